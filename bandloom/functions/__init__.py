@@ -1 +1 @@
-
+"""Column functions: text, URL and JSON values."""

@@ -1 +1 @@
-
+"""Relational operators over evidence records, pages and candidates."""

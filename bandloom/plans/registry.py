@@ -1,4 +1,421 @@
-"""Registered queries and their oracle SQL."""
+"""Queries that apply the operators to the driver's tables, each with its DuckDB equivalent."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import strict_json
+from ..functions import text as T
+from ..functions import values as V
+from ..operators import candidates as cand
+from ..operators import catalog, context, extract, flatten, search
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Search over documents and parts: text is the target, source the sample, lang the condition.
+DOCS = search.Columns(paper="source", target="text", sample=("source", "lang"), condition=("text", "lang"), everywhere=("text", "source", "lang"))
+PARTS = search.Columns(paper="p_brand", target="p_name", sample=("p_name", "p_brand"), condition=("p_type", "p_name"), everywhere=("p_name", "p_brand", "p_type"))
+_HIT = "(text ILIKE '%the%' ESCAPE '\\' OR source ILIKE '%the%' ESCAPE '\\' OR lang ILIKE '%the%' ESCAPE '\\') AND (text ILIKE '%src1%' ESCAPE '\\' OR source ILIKE '%src1%' ESCAPE '\\' OR lang ILIKE '%src1%' ESCAPE '\\')"
+_WHERE = search.Criteria(q="the  src1")
+
+
+@query(f"SELECT doc_id, source, lang, n_chars FROM documents WHERE {_HIT} ORDER BY n_chars DESC, doc_id DESC LIMIT 25 OFFSET 5")
+def catalog_search(spark, sf_dir):
+    page = search.search_page(table(spark, sf_dir, "documents"), search.predicate(_WHERE, DOCS), [F.desc_nulls_first("n_chars"), F.desc_nulls_first("doc_id")], 25, 5)
+    return page.select("doc_id", "source", "lang", "n_chars")
+
+
+@query(f"SELECT count(*) AS total FROM documents WHERE {_HIT}")
+def catalog_count(spark, sf_dir):
+    return search.search_total(table(spark, sf_dir, "documents"), search.predicate(_WHERE, DOCS))
+
+
+@query(f"SELECT (SELECT count(*) FROM documents WHERE {_HIT}) AS total, (SELECT count(*) FROM (SELECT 1 FROM documents WHERE {_HIT} LIMIT 200 OFFSET 1000000000)) AS n_rows")
+def catalog_page_total(spark, sf_dir):
+    docs, where = table(spark, sf_dir, "documents"), search.predicate(_WHERE, DOCS)
+    page = search.search_page(docs, where, [F.desc("n_chars"), F.desc("doc_id")], 500, 1_000_000_000)
+    return search.search_total(docs, where).crossJoin(page.agg(F.count("*").alias("n_rows")))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%part 1%' ESCAPE '\\' OR p_name ILIKE '%r%n%' ESCAPE '\\'")
+def target_phrase(spark, sf_dir):
+    where = search.predicate(search.Criteria(target=" part 1 "), PARTS) | search.predicate(search.Criteria(target="r%n"), PARTS)
+    return table(spark, sf_dir, "part").filter(where).select("p_partkey", "p_name")
+
+
+@query("SELECT doc_id, source FROM documents WHERE source = 'src3'")
+def paper_exact(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter(search.predicate(search.Criteria(paper_id=" src3 "), DOCS)).select("doc_id", "source")
+
+
+@query("SELECT p_partkey FROM part WHERE (p_name ILIKE '%1%' OR p_brand ILIKE '%1%') AND (p_name ILIKE '%brand%' OR p_brand ILIKE '%brand%')")
+def sample_terms_stopwords(spark, sf_dir):
+    return table(spark, sf_dir, "part").filter(search.predicate(search.Criteria(sample="Brand cells, 1 TISSUE"), PARTS)).select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_name ILIKE '%cell line%' OR p_brand ILIKE '%cell line%'")
+def stopwords_only_fallback(spark, sf_dir):
+    return table(spark, sf_dir, "part").filter(search.predicate(search.Criteria(sample=" cell line "), PARTS)).select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_type ILIKE '%s%' OR p_name ILIKE '%s%'")
+def condition_terms(spark, sf_dir):
+    return table(spark, sf_dir, "part").filter(search.predicate(search.Criteria(condition="treated with s"), PARTS)).select("p_partkey")
+
+
+@query("SELECT doc_id FROM documents WHERE text ILIKE '%t_e%of%' ESCAPE '\\'")
+def wildcard_percent(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter(T.contains_phrase(F.col("text"), "t_e%of")).select("doc_id")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey = 7")
+def get_by_id(spark, sf_dir):
+    return search.get_by_id(table(spark, sf_dir, "customer"), 7, "c_custkey").select("c_custkey", "c_name", "c_acctbal")
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 100")
+def recent_page(spark, sf_dir):
+    return search.search_page(table(spark, sf_dir, "events"), F.lit(True), [F.desc_nulls_first("ts"), F.desc_nulls_first("event_id")], 50, 100).select("event_id", "event_type")
+
+
+@query("SELECT o_orderkey, CAST(floor(o_orderkey / 25) AS BIGINT) + 1 AS page, CAST(ceil(o_orderkey / 25) AS BIGINT) AS pages, CAST(floor((greatest(o_orderkey, 1) - 1) / 25) * 25 AS BIGINT) AS last_offset FROM orders")
+def paging_math(spark, sf_dir):
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", search.page_number(key, 25).alias("page"), search.page_count(key, 25).alias("pages"), search.last_offset(key, 25).alias("last_offset"))
+
+
+def _orders_catalog(spark, sf_dir):
+    """Orders as a catalog of two sources by key; two thirds of them come again in a batch with changed prices."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("candidate_key"), F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("panel_label"),
+        (F.col("o_orderkey") % 2).cast("string").alias("source_id"), F.col("o_custkey").cast("int").alias("page"), F.col("o_totalprice").alias("confidence"),
+    )
+    batch = orders.filter("id % 3 <> 0 AND source_id = '0'").select("candidate_key", "panel_label", "source_id", (F.col("page") + 1).alias("page"), (F.col("confidence") + 1).alias("confidence"), F.col("id").alias("input_pos"))
+    fresh = orders.filter("source_id = '1' AND id % 5 = 0").select((-F.col("candidate_key") - 1).alias("candidate_key"), "panel_label", F.lit("0").alias("source_id"), "page", "confidence", F.col("id").alias("input_pos"))
+    return orders, batch.unionByName(fresh)
+
+
+_ORDERS = """WITH cat AS (SELECT o_orderkey AS id, o_orderkey AS candidate_key, nullif(o_orderpriority, '5-LOW') AS panel_label, CAST(o_orderkey % 2 AS VARCHAR) AS source_id, CAST(o_custkey AS INTEGER) AS page, o_totalprice AS confidence FROM orders),
+batch AS (SELECT candidate_key, panel_label, source_id, page + 1 AS page, confidence + 1 AS confidence FROM cat WHERE id % 3 <> 0 AND source_id = '0'
+UNION ALL SELECT -candidate_key - 1, panel_label, '0', page, confidence FROM cat WHERE source_id = '1' AND id % 5 = 0) """
+_KEYS = ("candidate_key", "panel_label")
+
+
+@query(_ORDERS + """SELECT coalesce(c.id, -1) AS id, b.candidate_key, b.panel_label, b.source_id, coalesce(c.page, b.page) AS page, round(b.confidence, 2) AS confidence
+FROM batch b LEFT JOIN cat c ON c.source_id = b.source_id AND c.candidate_key = b.candidate_key AND c.panel_label IS NOT DISTINCT FROM b.panel_label
+UNION ALL SELECT id, candidate_key, panel_label, source_id, page, round(confidence, 2) FROM cat WHERE source_id <> '0'""")
+def upsert_replace(spark, sf_dir):
+    existing, batch = _orders_catalog(spark, sf_dir)
+    sources = spark.range(1).select(F.lit("0").alias("source_id"))
+    out = catalog.replace_sources(existing, batch, sources, F.current_timestamp(), _KEYS, ("source_id",), ("id", "page"))
+    known = F.when(F.col("candidate_key") >= 0, F.col("id")).otherwise(-1)
+    return out.select(known.alias("id"), "candidate_key", "panel_label", "source_id", "page", F.round("confidence", 2).alias("confidence"))
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT o_orderkey) AS n_ids FROM orders WHERE o_orderkey % 2 = 1")
+def replace_empty(spark, sf_dir):
+    existing, batch = _orders_catalog(spark, sf_dir)
+    out = catalog.replace_sources(existing, batch.limit(0), spark.range(1).select(F.lit("0").alias("source_id")), F.current_timestamp(), _KEYS, ("source_id",), ("id", "page"))
+    return out.agg(F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_ids"))
+
+
+@query("SELECT o_orderkey AS candidate_key FROM orders WHERE o_orderkey % 4 = 1")
+def upsert_conflict_other_source(spark, sf_dir):
+    existing, _ = _orders_catalog(spark, sf_dir)
+    stolen = existing.filter("id % 4 = 1").withColumn("source_id", F.lit("0"))
+    return catalog.other_source_conflicts(existing, stolen, _KEYS).select("candidate_key")
+
+
+@query(_ORDERS + "SELECT id FROM cat c WHERE source_id = '0' AND NOT EXISTS (SELECT 1 FROM batch b WHERE b.candidate_key = c.candidate_key AND b.panel_label IS NOT DISTINCT FROM c.panel_label)")
+def stale_delete(spark, sf_dir):
+    existing, batch = _orders_catalog(spark, sf_dir)
+    return existing.filter("source_id = '0'").join(batch, catalog.same(existing, batch, _KEYS), "left_anti").select("id")
+
+
+@query("WITH o AS (SELECT nullif(o_orderpriority, '5-LOW') AS panel_label, nullif(o_orderstatus, 'P') AS state, o_custkey % 10 AS lane FROM orders) SELECT panel_label, state, lane, count(*) AS n FROM o GROUP BY ALL HAVING count(*) > 1")
+def nullsafe_identity(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("panel_label"), F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("state"), (F.col("o_custkey") % 10).alias("lane"))
+    return catalog.duplicate_identities(rows, ("panel_label", "state", "lane"))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_identity(spark, sf_dir):
+    return catalog.duplicate_identities(table(spark, sf_dir, "lineitem"), ("l_orderkey", "l_linenumber"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_quantity - 3 > 0) OR NOT (lower(l_linestatus) = 'o') OR NOT (l_discount * 12 BETWEEN 0 AND 1)")
+def constraint_violations(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_quantity") - 3).alias("page"), F.when(F.lower("l_linestatus") == "o", "present").otherwise("maybe").alias("band_state"), (F.col("l_discount") * 12).alias("confidence"),
+        *[F.lit("x").alias(c) for c in catalog.REQUIRED if c != "page"],
+    )
+    return catalog.violations(rows).select("l_orderkey", "l_linenumber")
+
+
+def _figures(spark, sf_dir):
+    """Orders as figures with their lines as lanes and bands, and suppliers as targets; text JSON read as VARIANT."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_quantity", "l_discount").distinct()
+    lane = F.struct(F.col("l_linenumber").alias("lane_index"), F.concat(F.lit(" "), F.col("l_quantity").cast("int").cast("string")).alias("condition"))
+    target = F.struct((F.col("l_suppkey") % 5 + 1).alias("row_index"), F.concat(F.lit("p-"), (F.col("l_suppkey") % 5).cast("string")).alias("target"), ((F.col("l_suppkey") % 5) == 0).alias("is_loading_control"), F.lit("medium").alias("confidence"))
+    band = F.struct((F.col("l_suppkey") % 5 + 1).cast("string").alias("row_index"), F.col("l_linenumber").alias("lane_index"), F.when(F.col("l_returnflag") == "R", "maybe").when(F.col("l_returnflag") == "A", " Absent ").otherwise("present").alias("band_state"), F.when(F.col("l_discount") > 0, F.col("l_discount") * 20).alias("confidence"))
+    grouped = lines.groupBy("l_orderkey").agg(*[F.array_sort(F.collect_list(x)).alias(n) for x, n in ((lane, "lanes_left_to_right"), (target, "targets_top_to_bottom"), (band, "bands"))])
+    orders = table(spark, sf_dir, "orders").join(grouped, F.col("o_orderkey") == F.col("l_orderkey"))
+    panel = F.struct(F.when(F.col("o_orderkey") % 2 == 0, F.lit("own")).otherwise("  ").alias("organism"), F.lit("A").alias("panel_label"), "lanes_left_to_right", "targets_top_to_bottom", "bands")
+    ext = F.to_json(F.struct((F.col("o_orderstatus") != "P").alias("is_western_blot"), F.lit("Figure 1").alias("figure_label"), F.col("o_orderpriority").alias("organism"), F.col("o_orderstatus").alias("biological_sample"), F.array(panel).alias("panels")))
+    return orders.select(F.col("o_orderkey").alias("figure_no"), F.lit("paper").alias("paper_id"), F.concat(F.lit("crops/fig."), F.col("o_orderkey").cast("string"), F.lit(".png")).alias("candidate_path"), (F.col("o_custkey") % 9).cast("int").alias("page"), F.parse_json(ext).alias("extraction"))
+
+
+_FLAT = """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_quantity, l_discount FROM lineitem),
+lanes AS (SELECT l_orderkey, l_linenumber, max(' ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)) AS condition FROM l GROUP BY ALL),
+flat AS (SELECT o_orderkey, 'fig.' || o_orderkey AS candidate_key, greatest(1, CAST(o_custkey % 9 AS INTEGER)) AS page, CAST(l_suppkey % 5 + 1 AS INTEGER) AS row_index, l.l_linenumber AS lane_index,
+ 'p-' || (l_suppkey % 5) AS target, l_suppkey % 5 = 0 AS is_loading_control, o_orderstatus AS sample, CASE WHEN o_orderkey % 2 = 0 THEN 'own' ELSE o_orderpriority END AS organism,
+ trim(condition) AS condition, CASE WHEN l_returnflag = 'A' THEN 'absent' ELSE 'present' END AS band_state, round(CASE WHEN l_discount > 0 THEN least(1.0, l_discount * 20) ELSE 0.6 END, 6) AS confidence
+ FROM orders JOIN l ON l_orderkey = o_orderkey JOIN lanes ON lanes.l_orderkey = o_orderkey AND lanes.l_linenumber = l.l_linenumber WHERE o_orderstatus <> 'P' AND l_returnflag <> 'R') """
+
+
+@query(_FLAT + "SELECT candidate_key, page, row_index, lane_index, target, is_loading_control, CASE WHEN is_loading_control THEN 'loading_control' ELSE 'phospho_signaling' END AS western_blot_type, condition, band_state, confidence FROM flat")
+def flatten_nested(spark, sf_dir):
+    rows = flatten.flatten_records(_figures(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+    return rows.select("candidate_key", "page", "row_index", "lane_index", "target", "is_loading_control", "western_blot_type", "condition", "band_state", "confidence")
+
+
+@query(_FLAT + "SELECT candidate_key, 'Figure 1' AS figure_label, organism, sample, count(*) AS n FROM flat GROUP BY ALL")
+def panel_inherit(spark, sf_dir):
+    return flatten.flatten_records(_figures(spark, sf_dir)).groupBy("candidate_key", "figure_label", "organism", "sample").agg(F.count("*").alias("n"))
+
+
+@query(_FLAT + "SELECT candidate_key, lane_index, max(condition) AS condition FROM flat GROUP BY ALL")
+def lane_lookup_last_wins(spark, sf_dir):
+    return flatten.flatten_records(_figures(spark, sf_dir)).groupBy("candidate_key", "lane_index").agg(F.max("condition").alias("condition"))
+
+
+@query("SELECT o_orderkey, o_orderstatus = 'P' OR NOT coalesce(bool_or(l_returnflag <> 'R'), false) AS retry FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY ALL UNION ALL SELECT DISTINCT o_orderkey, false FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'")
+def retry_needed(spark, sf_dir):
+    out = flatten.needs_retry(_figures(spark, sf_dir).withColumnRenamed("figure_no", "o_orderkey"))
+    return out.select("o_orderkey", F.col("needs_retry").alias("retry"))
+
+
+@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 0.9 WHEN '2-HIGH' THEN 0.6 WHEN '3-MEDIUM' THEN 0.3 WHEN '5-LOW' THEN CAST(1.0 AS DOUBLE) END AS confidence FROM orders")
+def confidence_map(spark, sf_dir):
+    words = {"1-URGENT": '" High"', "2-HIGH": '"medium "', "3-MEDIUM": '"LOW"', "5-LOW": "1.4"}
+    raw = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in words.items() for x in p]), F.col("o_orderpriority")), F.lit('"0.5"'))
+    return table(spark, sf_dir, "orders").select("o_orderkey", V.confidence(F.parse_json(raw)).alias("confidence"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'loading_control' WHEN lower(trim(p_name)) LIKE 'p-%' OR lower(trim(p_name)) LIKE 'phospho-%' OR lower(trim(p_name)) LIKE 'phospho %' OR p_size % 2 = 0 THEN 'phospho_signaling' ELSE 'total_protein' END AS kind FROM part")
+def blot_type(spark, sf_dir):
+    name = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" Phospho-"), F.col("p_name"))).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.blot_type(name, F.col("p_size") % 7 == 0).alias("kind"))
+
+
+@query("SELECT doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS digest FROM documents")
+def normalize_ws(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.content_hash(T.normalize_ws(F.col("text"))).alias("digest"))
+
+
+@query("SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'paper') AS segment, coalesce(nullif(left(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), 80), ''), 'source') AS slug FROM pages")
+def path_segment(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.path_segment(F.col("url")).alias("segment"), T.run_slug(F.col("url")).alias("slug"))
+
+
+@query("SELECT doc_id, left(sha256(source), 16) || '-' || doc_id AS scoped FROM documents")
+def source_key(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.source_scoped_key(F.col("source"), F.col("doc_id").cast("string")).alias("scoped"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'page-' || page_id ELSE 'crop.' || page_id END AS candidate_key FROM pages")
+def candidate_key(spark, sf_dir):
+    path = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("runs/a.b/crop."), F.col("page_id").cast("string"), F.lit(".png")))
+    return table(spark, sf_dir, "pages").select("page_id", T.candidate_key(path, F.col("page_id")).alias("candidate_key"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("digest"))
+
+
+@query("SELECT doc_id, '10.1234/abc' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '|10.55555/x(' || (doc_id % 7) END AS dois FROM documents")
+def doi_extract(spark, sf_dir):
+    i = F.col("doc_id").cast("string")
+    other = F.when(F.col("doc_id") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit(" (10.55555/x("), (F.col("doc_id") % 7).cast("string"), F.lit(").")))
+    text = F.concat(F.lit("see doi:10.1234/abc"), i, F.lit("., also 10.1234/abc"), i, F.lit(";"), other)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.dois(text), "|").alias("dois"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '10.1234/a+' || doc_id WHEN 1 THEN '10.1234/b' || doc_id WHEN 2 THEN '10.1234/c d' END AS doi FROM documents WHERE doc_id % 4 <> 2 UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 4 = 2")
+def record_doi(spark, sf_dir):
+    k, i = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    url = F.when(k == 0, F.concat(F.lit("https://DX.doi.org/10.1234%2Fa+"), i)).when(k == 2, F.lit("https://doi.org/10.1234/c%20d")).otherwise(F.lit("https://example.org/x"))
+    paper = F.when(k == 1, F.concat(F.lit("doi:10.1234/b"), i)).otherwise(F.lit("paper 10.1/x"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.record_doi(paper, url).alias("doi"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url END AS url FROM pages")
+def url_filter(spark, sf_dir):
+    url = F.when(F.col("page_id") % 2 == 0, F.col("url")).when(F.col("page_id") % 3 == 0, F.concat(F.lit("ftp"), F.col("url"))).otherwise(F.lit("https:///none"))
+    return table(spark, sf_dir, "pages").select("page_id", T.public_url(url).alias("url"))
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, lower(left(text, 250)) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def prefix_dedupe(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("source", F.lower(F.substring("text", 1, 250)).alias("prefix"), "doc_id")
+    return rows.groupBy("source", "prefix").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def latest_per_key(spark, sf_dir):
+    return extract.latest_by_key(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
+
+
+@query("SELECT conv_id, sha256(string_agg('--- PAGE ' || turn || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def full_text_agg(spark, sf_dir):
+    out = context.ordered_text(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", context.page_marked(F.col("turn"), F.col("text")), "\n\n")
+    return out.select("conv_id", T.content_hash(F.col("full_text")).alias("digest"))
+
+
+@query("WITH t AS (SELECT conv_id, turn, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 2500) AS s FROM conversations) SELECT a.conv_id, a.turn, sha256(string_agg('--- PAGE ' || b.turn || ' ---' || chr(10) || b.s, chr(10) || chr(10) ORDER BY b.turn)) AS digest FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1 GROUP BY ALL")
+def neighbor_text(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    return context.neighbour_text(conv, conv, "conv_id", "turn", "text").select("conv_id", "turn", T.content_hash(F.col("full_text")).alias("digest"))
+
+
+_SENT = "WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+([A-Z0-9(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')) AS sentence, generate_subscripts(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+([A-Z0-9(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> ''), 1) - 1 AS pos FROM documents) "
+
+
+@query(_SENT + "SELECT doc_id, CAST(pos AS INTEGER) AS pos, sha256(sentence) AS digest FROM s")
+def sentence_split(spark, sf_dir):
+    return context.sentence_rows(table(spark, sf_dir, "documents"), "doc_id", F.col("text")).select("doc_id", "pos", T.content_hash(F.col("sentence")).alias("digest"))
+
+
+@query(_SENT + """, m AS (SELECT *, max(CAST(sentence LIKE '%that%' AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS near FROM s),
+k AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM m WHERE near = 1),
+g AS (SELECT doc_id, island, string_agg(sentence, ' ' ORDER BY pos) AS paragraph FROM k GROUP BY ALL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY island) AS INTEGER) AS paragraph_no, sha256(paragraph) AS digest FROM g""")
+def context_islands(spark, sf_dir):
+    rows = context.sentence_rows(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    return context.context_groups(rows, "doc_id", F.col("sentence").contains("that")).select("doc_id", "paragraph_no", T.content_hash(F.col("paragraph")).alias("digest"))
+
+
+@query("SELECT doc_id, CAST((length(text) - length(replace(lower(text), 'the', ''))) / 3 AS BIGINT) AS hits, CAST(strpos(lower(text), 'the') - 1 AS INTEGER) AS first_at FROM documents WHERE strpos(lower(text), 'the') > 0")
+def keyword_hits(spark, sf_dir):
+    at = context.match_offsets(F.lower("text"), r"\Qthe\E")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(at).cast("long").alias("hits"), F.try_element_at(at, F.lit(1)).alias("first_at")).filter("hits > 0")
+
+
+@query()
+def keyword_snippets(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", context.snippets(F.col("text"), ("the", "rat", "of")).alias("snippets"))
+
+
+@query()
+def figure_windows(spark, sf_dir):
+    text = F.regexp_replace("text", r"\bthe\b", "Figure 2")
+    return table(spark, sf_dir, "documents").select("doc_id", context.figure_context(text).alias("figure_context"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_discount FROM lineitem WHERE coalesce(l_discount * 10, 0) >= 0.65")
+def score_threshold(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("cv_score", F.col("l_discount") * 10)
+    return cand.good_candidates(rows).select("l_orderkey", "l_linenumber", "l_discount")
+
+
+_SCORE = """WITH f AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity * 20 AS INTEGER) AS w, CAST(l_partkey % 900 + 60 AS INTEGER) AS h, l_discount * 1000 AS sat, l_tax * 8 AS dark, l_discount AS horiz, l_quantity / 20 AS rr, l_quantity / 30 AS cr FROM lineitem),
+s AS (SELECT *, 0.25 * greatest(0.0, 1 - sat / 80) + 0.20 * least(dark / 0.18, 1.0) + 0.30 * least(horiz / 0.08, 1.0) + 0.15 * least(rr / 1.8, 1.0) + 0.10 * least(cr / 2.5, 1.0) AS raw FROM f) """
+
+
+@query(_SCORE + "SELECT l_orderkey, l_linenumber, round(CASE WHEN w >= 180 AND h >= 80 AND w * h >= 40000 AND w / greatest(h, 1) BETWEEN 0.6 AND 8.0 AND dark BETWEEN 0.01 AND 0.65 THEN CASE WHEN sat > 70 THEN raw * 0.4 ELSE raw END ELSE 0.0 END, 6) AS score FROM s")
+def score_formula(spark, sf_dir):
+    w, h = (F.col("l_quantity") * 20).cast("int"), (F.col("l_partkey") % 900 + 60).cast("int")
+    score = cand.candidate_score(w, h, F.col("l_discount") * 1000, F.col("l_tax") * 8, F.col("l_discount"), F.col("l_quantity") / 20, F.col("l_quantity") / 30)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(score, 6).alias("score"))
+
+
+@query("SELECT l_orderkey, l_linenumber, greatest(0, x - 240) AS x1, greatest(0, y - 60) AS y1, least(2000, x + w + 20) AS x2, least(1500, y + h + 20) AS y2 FROM (SELECT *, CAST(l_partkey % 1700 AS INTEGER) AS x, CAST(l_suppkey % 1300 AS INTEGER) AS y, CAST(l_quantity * 10 AS INTEGER) AS w, CAST(l_linenumber * 50 AS INTEGER) AS h FROM lineitem)")
+def bbox_expand(spark, sf_dir):
+    x, y, w, h = (F.col("l_partkey") % 1700).cast("int"), (F.col("l_suppkey") % 1300).cast("int"), (F.col("l_quantity") * 10).cast("int"), (F.col("l_linenumber") * 50).cast("int")
+    box = cand.expand_bbox(x, y, w, h, F.lit(2000), F.lit(1500))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[box[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
+
+
+@query("SELECT o_orderkey, o_totalprice AS score FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def top_candidates(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("score"))
+    return cand.top_candidates(rows, "score", "o_orderkey")
+
+
+@query("WITH d AS (SELECT p_partkey, CAST(p_size * 60 AS INTEGER) AS w, CAST(p_partkey % 3000 AS INTEGER) AS h FROM part), c AS (SELECT *, CAST(least(h - 200, greatest(200, h // 2 + least(120, greatest(40, h // 14)))) AS INTEGER) AS cut FROM d WHERE h >= 1200 AND w >= 900) SELECT p_partkey, 1 AS part, 0 AS x1, 0 AS y1, w AS x2, cut AS y2 FROM c UNION ALL SELECT p_partkey, 2, 0, cut, w, h FROM c")
+def split_boxes(spark, sf_dir):
+    dims = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 60).cast("int").alias("w"), (F.col("p_partkey") % 3000).cast("int").alias("h"))
+    return dims.select("p_partkey", F.inline(cand.split_boxes(F.col("w"), F.col("h"))))
+
+
+@query("SELECT p_partkey, CAST(w * least(1.0, 1800.0 / greatest(w, h)) AS INTEGER) AS width, CAST(h * least(1.0, 1800.0 / greatest(w, h)) AS INTEGER) AS height FROM (SELECT p_partkey, 1800 * (1 + p_size % 2) AS w, 900 AS h FROM part)")
+def scaled_size(spark, sf_dir):
+    size = cand.scaled_size(F.lit(1800) * (1 + F.col("p_size") % 2), F.lit(900))
+    return table(spark, sf_dir, "part").select("p_partkey", size["width"].alias("width"), size["height"].alias("height"))
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1)")
+def resume_antijoin(spark, sf_dir):
+    """Documents are candidates; those of good quality have a usable cached result, the others an error."""
+    path = F.col("doc_id").cast("string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", path.alias("candidate_path"), F.col("doc_id").alias("candidate_no"))
+    answer = F.when(F.col("quality") == 1, '{"is_western_blot": false}').otherwise('{"error": "bad_json"}')
+    cache = table(spark, sf_dir, "labels").select(path.alias("candidate_path"), F.lit("p").alias("paper_id"), F.lit(1).alias("page"), F.lit(1).alias("line_no"), F.parse_json(answer).alias("extraction"))
+    return extract.resume(docs, cache)[1].select("doc_id")
+
+
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'unexpected' END AS fault FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
+def result_completeness(spark, sf_dir):
+    return extract.completeness_faults(table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "documents").filter("doc_id % 2 = 0"), "doc_id")
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS candidates, count(*) AS results, count_if(toxic = 1) AS positive_results, count_if(quality = 0) AS failed_candidates, count_if(doc_id % 3 = 0) AS cached, count_if(doc_id % 3 <> 0) AS queried FROM labels")
+def run_summary(spark, sf_dir):
+    results = table(spark, sf_dir, "labels")
+    return extract.run_summary(table(spark, sf_dir, "documents"), results, results.filter("doc_id % 3 = 0"), F.col("toxic") == 1, F.col("quality") == 0)
+
+
+@query("SELECT conv_id, coalesce(arg_min(role, turn) FILTER (turn >= 1), '') AS figure_label, count(*) AS n_panels, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS turns FROM conversations GROUP BY conv_id")
+def merge_parts(spark, sf_dir):
+    """Turns are parts: the first turn's label is blank, so the second's counts; each part is a panel of its own."""
+    label = F.when(F.col("turn") >= 1, F.col("role")).otherwise("")
+    ext = F.to_json(F.struct(F.lit(True).alias("is_western_blot"), label.alias("figure_label"), F.col("turn").alias("panel_label"), F.array(F.col("turn").cast("string")).alias("warnings")))
+    parts = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("part_no"), F.parse_json(ext).alias("extraction"))
+    out = flatten.merge_parts(parts)
+    turns = F.array_join(F.transform("warnings", lambda w: F.try_variant_get(w, "$", "string")), ",")
+    return out.select(F.col("key").alias("conv_id"), "figure_label", F.size("panels").cast("long").alias("n_panels"), turns.alias("turns"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'bad_json' END AS error, CASE event_id % 3 WHEN 0 THEN NULL ELSE event_type END AS kind FROM events")
+def model_json(spark, sf_dir):
+    body = F.concat(F.lit('{"kind": "'), F.col("event_type"), F.lit('"}'))
+    k = F.col("event_id") % 3
+    raw = F.when(k == 0, F.lit('{"a":1}{"b":2}')).when(k == 1, F.concat(F.lit("<think>{x}</think>\n```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("Answer: "), body, F.lit(" done")))
+    parsed = table(spark, sf_dir, "events").select("event_id", strict_json.model_json(raw).alias("v"))
+    return parsed.select("event_id", F.try_variant_get("v", "$.error", "string").alias("error"), F.try_variant_get("v", "$.kind", "string").alias("kind"))
+
+
+@query("SELECT event_id, CAST(json_type(props, '$') AS VARCHAR) = 'OBJECT' AS is_object, len(json_keys(props)) AS n_keys FROM events WHERE props IS NOT NULL")
+def json_props(spark, sf_dir):
+    v = F.try_parse_json("props")
+    return table(spark, sf_dir, "events").filter("props IS NOT NULL").select("event_id", V.is_kind(v, "OBJECT").alias("is_object"), F.coalesce(F.json_object_keys(F.col("props")), F.array()).alias("k")).select("event_id", "is_object", F.size("k").cast("long").alias("n_keys"))

@@ -1 +1 @@
-
+"""Readers and writers of manifests, caches, images and pages."""

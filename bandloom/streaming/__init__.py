@@ -1 +1 @@
-
+"""Continuous publication of extraction results."""
