@@ -40,23 +40,33 @@ def neighbour_text(rows: DataFrame, pages: DataFrame, key: str, page: str, text:
     return ordered_text(joined, [key, "at"], "near", page_marked(F.col("near"), F.col("_text")), "\n\n").withColumnRenamed("at", page)
 
 
-def match_offsets(text: Column, pattern: str) -> Column:
-    """0-based starts of non-overlapping matches: lengths of the parts between matches and of the matches, summed."""
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), F.length)
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, where body uses it more than once or inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def match_offsets(text: Column, pattern: str, most: int | None = None) -> Column:
+    """0-based starts of the (first `most`) non-overlapping matches: running sums of the lengths between and of matches."""
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+    pairs = F.slice(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), F.lit(1), F.size(hits))
+    pairs = F.slice(pairs, 1, most) if most else pairs
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
 
-    def step(acc: Column, i: Column) -> Column:
-        begin = acc["at"] + F.element_at(gaps, i)
-        return F.struct((begin + F.element_at(hits, i)).alias("at"), F.array_append(acc["found"], begin).alias("found"))
+    def step(acc: Column, pair: Column) -> Column:
+        begin = acc["at"] + F.length(pair["gap"])
+        return F.struct((begin + F.length(pair["hit"])).alias("at"), F.array_append(acc["found"], begin).alias("found"))
 
-    return F.when(F.size(hits) > 0, F.aggregate(F.sequence(F.lit(1), F.size(hits)), start, step, lambda acc: acc["found"])).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(pairs, start, step, lambda acc: acc["found"])
 
 
 def dedupe_prefix(chunks: Column, length: int = 250) -> Column:
     """The first chunk of each lower-cased prefix, in order."""
-    keys = F.transform(chunks, lambda c: F.lower(F.substring(c, 1, length)))
-    return F.filter(F.transform(chunks, lambda c, i: F.when(F.array_position(keys, F.lower(F.substring(c, 1, length))) == i + 1, c)), lambda c: c.isNotNull())
+
+    def firsts(keyed: Column) -> Column:
+        kept = F.transform(keyed["chunks"], lambda c, i: F.when(F.array_position(keyed["keys"], F.lower(F.substring(c, 1, length))) == i + 1, c))
+        return F.array_compact(kept)
+
+    return _let(chunks, lambda given: _let(F.struct(given.alias("chunks"), F.transform(given, lambda c: F.lower(F.substring(c, 1, length))).alias("keys")), firsts))
 
 
 def _window(text: Column, begin: Column, end: Column) -> Column:
@@ -66,21 +76,30 @@ def _window(text: Column, begin: Column, end: Column) -> Column:
 
 def snippets(text: Column, terms: Sequence[str] = SAMPLE_KEYWORDS, most: int = 16, reach: int = 350) -> Column:
     """Bulleted windows around the terms' hits: three times `most` hits in all, then one more for each later term that hits."""
-    clean = T.normalize_ws(text)
-    low = F.lower(clean)
-    found = F.array().cast("array<string>")
-    for term in terms:
-        starts = match_offsets(low, r"\Q" + term.lower() + r"\E")
-        allowed = F.greatest(F.lit(1), F.lit(most * 3) - F.size(found))
-        found = F.concat(found, F.transform(F.slice(starts, F.lit(1), allowed), lambda at, n=len(term): _window(clean, at - reach, at + n + reach)))
-    return F.array_join(F.transform(F.slice(dedupe_prefix(found), 1, most), lambda s: F.concat(F.lit("- "), s)), "\n\n")
+
+    def of_clean(clean: Column) -> Column:
+        hits = _let(F.lower(clean), lambda low: F.array(*[F.struct(F.lit(len(t)).alias("size"), match_offsets(low, r"\Q" + t.lower() + r"\E", most * 3).alias("at")) for t in terms]))
+        none = F.array().cast("array<struct<at:int,size:int>>")
+
+        def add(found: Column, term: Column) -> Column:
+            allowed = F.greatest(F.lit(1), F.lit(most * 3) - F.size(found))
+            return F.concat(found, F.transform(F.slice(term["at"], F.lit(1), allowed), lambda at: F.struct(at.alias("at"), term["size"].alias("size"))))
+
+        windows = F.transform(F.aggregate(hits, none, add), lambda h: _window(clean, h["at"] - reach, h["at"] + h["size"] + reach))
+        return F.array_join(F.transform(F.slice(dedupe_prefix(windows), 1, most), lambda s: F.concat(F.lit("- "), s)), "\n\n")
+
+    return _let(T.normalize_ws(text), of_clean)
 
 
 def figure_context(text: Column, longest: int = 5000) -> Column:
     """Windows from 300 before to 2,500 after each figure mention, by pattern, joined and cut."""
-    clean = T.normalize_ws(text)
-    windows = [F.transform(match_offsets(clean, f"(?iU){p}"), lambda at: _window(clean, at - 300, at + 2500)) for p in FIGURE_PATTERNS]
-    return F.substring(F.array_join(dedupe_prefix(F.concat(*windows)), "\n\n"), 1, longest)
+
+    def of_clean(clean: Column) -> Column:
+        starts = F.concat(*[match_offsets(clean, f"(?iU){p}") for p in FIGURE_PATTERNS])
+        windows = F.transform(starts, lambda at: _window(clean, at - 300, at + 2500))
+        return F.substring(F.array_join(dedupe_prefix(windows), "\n\n"), 1, longest)
+
+    return _let(T.normalize_ws(text), of_clean)
 
 
 def candidate_context(paper_id: Column, page: Column, bbox: Column, nearby: Column, paper_text: Column, longest: int = 12000) -> Column:

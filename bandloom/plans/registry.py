@@ -208,7 +208,7 @@ def lane_lookup_last_wins(spark, sf_dir):
     return flatten.flatten_records(_figures(spark, sf_dir)).groupBy("candidate_key", "lane_index").agg(F.max("condition").alias("condition"))
 
 
-@query("SELECT o_orderkey, o_orderstatus = 'P' OR NOT coalesce(bool_or(l_returnflag <> 'R'), false) AS retry FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY ALL UNION ALL SELECT DISTINCT o_orderkey, false FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'")
+@query("SELECT o_orderkey, o_orderstatus <> 'P' AND n = 0 AS retry FROM orders JOIN (SELECT l_orderkey, count(*) FILTER (l_returnflag <> 'R') AS n FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
 def retry_needed(spark, sf_dir):
     out = flatten.needs_retry(_figures(spark, sf_dir).withColumnRenamed("figure_no", "o_orderkey"))
     return out.select("o_orderkey", F.col("needs_retry").alias("retry"))
@@ -389,7 +389,7 @@ def result_completeness(spark, sf_dir):
     return extract.completeness_faults(table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "documents").filter("doc_id % 2 = 0"), "doc_id")
 
 
-@query("SELECT (SELECT count(*) FROM documents) AS candidates, count(*) AS results, count_if(toxic = 1) AS positive_results, count_if(quality = 0) AS failed_candidates, count_if(doc_id % 3 = 0) AS cached, count_if(doc_id % 3 <> 0) AS queried FROM labels")
+@query("SELECT (SELECT count(*) FROM documents) AS candidates, count(*) AS results, count(*) FILTER (toxic = 1) AS positive_results, count(*) FILTER (quality = 0) AS failed_candidates, count(*) FILTER (doc_id % 3 = 0) AS cached, count(*) FILTER (doc_id % 3 <> 0) AS queried FROM labels")
 def run_summary(spark, sf_dir):
     results = table(spark, sf_dir, "labels")
     return extract.run_summary(table(spark, sf_dir, "documents"), results, results.filter("doc_id % 3 = 0"), F.col("toxic") == 1, F.col("quality") == 0)
