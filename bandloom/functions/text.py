@@ -109,7 +109,7 @@ def figure_reference(sentence: Column, label: Column) -> Column:
     """Whether a sentence refers to the label's first number, other than as a supplementary figure."""
     number = F.regexp_extract(label, r"\d+", 0)
     pattern = F.concat(F.lit(r"(?iU)(?<!Supplementary )\bfig(?:ure)?s?\.?\s*"), number)
-    return (number != "") & sentence.rlike(pattern)
+    return (number != "") & F.rlike(sentence, pattern)
 
 
 def page_body(text: Column) -> Column:
