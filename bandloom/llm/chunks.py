@@ -31,6 +31,18 @@ def spaced_pieces(text: str) -> list[str]:
     return out
 
 
+def word_and_marks(piece: str) -> tuple[str, str]:
+    """The lower-cased word and the closing marks of a Latin-1 piece of that form; otherwise the piece itself.
+
+    For a vocabulary that lower-cases and parts letters from marks, both halves encode on their own.
+    """
+    if piece and max(piece) < "\u0100":
+        word = piece.rstrip(",.;:!?")
+        if word.isalpha():
+            return word.lower(), piece[len(word) :]
+    return piece, ""
+
+
 def load_tokenizer(path: str):
     """The library's tokenizer at path, single-threaded, without truncation and padding."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,10 +55,15 @@ def load_tokenizer(path: str):
 
 
 class PieceTable(dict):
-    """Piece -> value(ids), filled by batch encoding and emptied when it outgrows max_bytes."""
+    """Piece -> value, filled by batch encoding and emptied when it outgrows max_bytes.
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], max_bytes: int = 160 << 20, batch_bytes: int = 1 << 18):
+    With join, pieces of a word and its marks are put together from the values of both, so that a
+    word is encoded once whatever marks and capitals it comes with.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], Iterable], max_bytes: int = 160 << 20, batch_bytes: int = 1 << 18, join: Callable | None = None):
         super().__init__()
+        self.join, self.parts = join, {}
         self.encode, self.max_bytes, self.batch_bytes, self.bytes = encode, max_bytes, batch_bytes, 0
 
     def learn(self, texts: Iterable[list[str]]) -> None:
@@ -55,6 +72,7 @@ class PieceTable(dict):
         new = wanted - self.keys()
         if new and self.bytes > self.max_bytes:
             self.clear()
+            self.parts.clear()
             self.bytes, new = 0, wanted
         batch, size = [], 0
         for piece in new:
@@ -67,7 +85,13 @@ class PieceTable(dict):
             self._add(batch)
 
     def _add(self, batch: list[str]) -> None:
-        self.update(zip(batch, self.encode(batch), strict=True))
+        if self.join is None:
+            self.update(zip(batch, self.encode(batch), strict=True))
+        else:
+            split = [word_and_marks(piece) for piece in batch]
+            new = [x for x in dict.fromkeys(x for pair in split for x in pair) if x not in self.parts]
+            self.parts.update(zip(new, self.encode(new), strict=True))
+            self.update((piece, self.join(self.parts[a], self.parts[b]) if b else self.parts[a]) for piece, (a, b) in zip(batch, split, strict=True))
         self.bytes += sum(map(len, batch)) + 200 * len(batch)
 
 
