@@ -27,7 +27,15 @@ _tables: dict[str, chunks.PieceTable] = {}
 def _ids(path: str) -> chunks.PieceTable:
     if path not in _tables:
         tokenizer = chunks.load_tokenizer(path)
-        _tables[path] = chunks.PieceTable(lambda batch: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False)])
+        model = tokenizer.model
+
+        def encode(batch: list[str]) -> list[bytes]:
+            """ids as bytes; a lower-cased ASCII word is a pre-token already and goes straight to the library's model."""
+            plain = [w.isascii() and w.isalpha() and w.islower() for w in batch]
+            others = iter(tokenizer.encode_batch_fast([w for w, p in zip(batch, plain, strict=True) if not p], add_special_tokens=False))
+            return [np.array([t.id for t in model.tokenize(w)] if p else next(others).ids, "<u4").tobytes() for w, p in zip(batch, plain, strict=True)]
+
+        _tables[path] = chunks.PieceTable(encode, join=bytes.__add__)
     return _tables[path]
 
 
