@@ -138,12 +138,16 @@ class TrieBPE:
         return out
 
 
+def _joined(a: tuple[str, str], b: tuple[str, str]) -> tuple[str, str]:
+    return (f"{a[0]} {b[0]}", f"{a[1]} {b[1]}") if a[0] and b[0] else (a[0] + b[0], a[1] + b[1])
+
+
 _encoders: dict[str, chunks.PieceTable] = {}
 
 
 def _table(path: str) -> chunks.PieceTable:
     if path not in _encoders:
-        _encoders[path] = chunks.PieceTable(TrieBPE(path).encode_pieces, batch_bytes=8 << 20)
+        _encoders[path] = chunks.PieceTable(TrieBPE(path).encode_pieces, batch_bytes=8 << 20, join=_joined)
     return _encoders[path]
 
 
