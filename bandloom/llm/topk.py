@@ -83,7 +83,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     Each task meets at most about shard_rows vectors and query_rows queries. Equal scores go to the
     smaller vec_id; rows that share the query's vec_id are the query's own and left out; a shorter
     vector counts as if filled with zeros; null vec_id and unsound vectors take no part; scores
-    beyond 64 bits are held at its ends; other columns are ignored; no rows give no rows.
+    beyond 64 bits are held at its ends, in no order among themselves; other columns are ignored; no rows give no rows.
     """
     whole = integer_vectors(vectors, scale)
     asked = F.col("vec_id") % every == 0
