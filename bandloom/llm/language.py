@@ -85,7 +85,7 @@ class WordCRF:
         self.labels, self.weights, self.transitions = labels, weights, transitions
 
     @classmethod
-    def fit(cls, texts: list[str], langs: list[str], rounds: int = 40, rate: float = 0.5, window: int = 32, windows: int = 8, seed: int = 7) -> WordCRF:
+    def fit(cls, texts: list[str], langs: list[str], rounds: int = 40, rate: float = 0.5, window: int = 32, windows: int = 3, seed: int = 7) -> WordCRF:
         """Likelihood ascent with per-coordinate rates on windows of words.
 
         Half of the windows are spliced from two texts, so that transitions learn to switch.
@@ -112,7 +112,12 @@ class WordCRF:
                 sequences.append((words, [y] * len(words)))
         lengths = np.array([len(w) for w, _ in sequences])
         truth = np.concatenate([y for _, y in sequences]).astype(int)
-        feats = [word_features(w) for ws, _ in sequences for w in ws]
+        known: dict[str, np.ndarray] = {}
+        for ws, _ in sequences:
+            for w in ws:
+                if w not in known:
+                    known[w] = np.array(word_features(w), np.int32)
+        feats = [known[w] for ws, _ in sequences for w in ws]
         counts = np.array([len(f) for f in feats])
         slots, word = np.concatenate(feats), np.repeat(np.arange(len(feats)), counts)
         starts = np.cumsum(counts) - counts
@@ -180,7 +185,7 @@ class Labeller:
         return langs, scores
 
 
-def train(docs: DataFrame, per_language: int = 300, longest: int = 20_000, folds: int = 5, held_out: int = 0) -> WordCRF:
+def train(docs: DataFrame, per_language: int = 200, longest: int = 20_000, folds: int = 5, held_out: int = 0) -> WordCRF:
     """Fit on at most per_language labelled texts of each language, each of at most longest characters.
 
     The sample takes the least hashes of doc_id among rows outside the held-out fold; rows with a
