@@ -71,9 +71,8 @@ class PieceTable(dict):
         wanted = set().union(*texts)
         new = wanted - self.keys()
         if new and self.bytes > self.max_bytes:
-            self.clear()
-            self.parts.clear()
-            self.bytes, new = 0, wanted
+            self.forget()
+            new = wanted
         batch, size = [], 0
         for piece in new:
             batch.append(piece)
@@ -84,6 +83,11 @@ class PieceTable(dict):
         if batch:
             self._add(batch)
 
+    def forget(self) -> None:
+        self.clear()
+        self.parts.clear()
+        self.bytes = 0
+
     def _add(self, batch: list[str]) -> None:
         if self.join is None:
             self.update(zip(batch, self.encode(batch), strict=True))

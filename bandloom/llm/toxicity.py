@@ -61,14 +61,15 @@ class SparseModel:
             return -shrunk / ((beta + np.sqrt(n[at])) / alpha + l2)
 
         if texts:
-            owner, slot = text_features(texts)
-            key = np.unique(owner * SLOTS + slot)
-            owner, slot = np.divmod(key, SLOTS)
-            begin = np.searchsorted(owner, np.arange(len(texts) + 1))
+            found: list[np.ndarray] = []  # each text's distinct slots, taken a megabyte of text at a time
+            for first, last in chunks.by_bytes(texts, 1 << 20):
+                owner, slot = np.divmod(np.unique(np.dot([SLOTS, 1], text_features(texts[first:last]))), SLOTS)
+                found += np.split(slot.astype(np.int32), np.searchsorted(owner, np.arange(1, last - first)))
+            _pieces.forget()
             rng = np.random.default_rng(seed)
             for _ in range(rounds):
                 for i in rng.permutation(len(texts)):
-                    at = np.append(slot[begin[i] : begin[i + 1]], SLOTS)
+                    at = np.append(found[i], SLOTS)
                     w = weight(at)
                     g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[i]
                     z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
@@ -93,7 +94,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -35, 35)))
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives: int = 5000, longest: int = 20_000, folds: int = 4, held_out: int = 2) -> SparseModel:
+def train(docs: DataFrame, labels: DataFrame, positives: int = 1500, negatives: int = 3500, longest: int = 20_000, folds: int = 4, held_out: int = 2) -> SparseModel:
     """Fit on at most positives and negatives labelled texts of at most longest characters each.
 
     The sample takes the least hashes of doc_id outside the held-out fold; rows with a null id or
