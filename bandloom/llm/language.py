@@ -21,18 +21,44 @@ from .common import id_remainder, whole_text
 UNKNOWN = "und"
 SLOTS = 1 << 16
 BLOCK = 64
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_of(piece: str) -> str:
     return "".join(filter(str.isalpha, piece.lower()))
 
 
-def word_features(word: str) -> list[int]:
-    """Slots of affixes up to three letters, inner bigrams and trigrams, and the word itself."""
-    framed = f"^{word}$"
-    names = [f"p{word[:i]}" for i in (1, 2, 3)] + [f"s{word[-i:]}" for i in (1, 2, 3)] + [f"w{word}"]
-    names += [f"2{framed[i : i + 2]}" for i in range(len(framed) - 1)] + [f"3{framed[i : i + 3]}" for i in range(len(framed) - 2)]
-    return [zlib.crc32(name.encode("utf-8", "replace")) % SLOTS for name in names]
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Place in words and slot of every feature: bigrams, trigrams, affixes up to three letters, the word itself.
+
+    Words are framed by marks, so the grams at a frame are the affixes.
+    """
+    code = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    place = np.repeat(np.arange(len(words)), sizes)
+    edge = np.zeros(len(code), bool)  # where a prefix or suffix of three letters and its frame start
+    ends = np.cumsum(sizes)
+    edge[ends - sizes] = edge[np.maximum(ends - 4, 0)] = True
+    whole = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
+    owner, hashes, gram = [np.arange(len(words))], [_mix(whole * _FACTOR)], code
+    for n in (2, 3, 4):
+        gram = gram[:-1] * _FACTOR + code[n - 1 :]
+        inside = place[: len(gram)] == place[n - 1 :]
+        if n == 4:
+            inside &= edge[: len(gram)]
+        owner.append(place[: len(gram)][inside])
+        hashes.append(_mix((gram[inside] + np.uint64(n)) * _FACTOR))
+    return np.concatenate(owner), (np.concatenate(hashes) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def emission_rows(owner: np.ndarray, slots: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
+    """The summed weights of n words' features by label."""
+    return np.stack([np.bincount(owner, weights[slots, y], n) for y in range(weights.shape[1])], 1)
 
 
 def posteriors(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
@@ -112,15 +138,9 @@ class WordCRF:
                 sequences.append((words, [y] * len(words)))
         lengths = np.array([len(w) for w, _ in sequences])
         truth = np.concatenate([y for _, y in sequences]).astype(int)
-        known: dict[str, np.ndarray] = {}
-        for ws, _ in sequences:
-            for w in ws:
-                if w not in known:
-                    known[w] = np.array(word_features(w), np.int32)
-        feats = [known[w] for ws, _ in sequences for w in ws]
-        counts = np.array([len(f) for f in feats])
-        slots, word = np.concatenate(feats), np.repeat(np.arange(len(feats)), counts)
-        starts = np.cumsum(counts) - counts
+        number: dict[str, int] = {}
+        word = np.array([number.setdefault(w, len(number)) for ws, _ in sequences for w in ws])
+        owner, slots = word_features(list(number))
         inner = np.ones(len(truth), bool)
         inner[np.cumsum(lengths)[:-1]] = False
         inner[0] = False
@@ -130,9 +150,10 @@ class WordCRF:
         transitions = np.log((seen + 1) / (seen + 1).sum(1, keepdims=True))
         squares, onehot = np.full_like(weights, 1e-6), np.eye(n_labels)[truth]
         for _ in range(rounds):
-            marginal = posteriors(np.add.reduceat(weights[slots], starts), lengths, transitions)
+            marginal = posteriors(emission_rows(owner, slots, len(number), weights)[word], lengths, transitions)
             slope = (onehot - marginal) / len(truth)
-            grad = np.stack([np.bincount(slots, slope[word, y], SLOTS) for y in range(n_labels)], 1) - 1e-7 * weights
+            by_word = np.stack([np.bincount(word, slope[:, y], len(number)) for y in range(n_labels)], 1)
+            grad = np.stack([np.bincount(slots, by_word[owner, y], SLOTS) for y in range(n_labels)], 1) - 1e-7 * weights
             squares += grad * grad
             weights += rate * grad / np.sqrt(squares)
         return cls(labels, weights.astype(np.float32), transitions)
@@ -154,12 +175,10 @@ class Labeller:
         words = [word_of(p) for p in pieces]
         new = [w for w in dict.fromkeys(words) if w and w not in self.words]
         if new:
-            feats = [word_features(w) for w in new]
-            counts = np.array([len(f) for f in feats])
             begin, end = len(self.words), len(self.words) + len(new)
             while end > len(self.emission):
                 self.emission = np.concatenate([self.emission, np.zeros_like(self.emission)])
-            self.emission[begin:end] = np.add.reduceat(self.model.weights[np.concatenate(feats)], np.cumsum(counts) - counts)
+            self.emission[begin:end] = emission_rows(*word_features(new), len(new), self.model.weights)
             self.words.update(zip(new, range(begin, end), strict=True))
         return [self.words[w] if w else -1 for w in words]
 
