@@ -58,16 +58,27 @@ class PieceTable(dict):
     """Piece -> value, filled by batch encoding and emptied when it outgrows max_bytes.
 
     With join, pieces of a word and its marks are put together from the values of both, so that a
-    word is encoded once whatever marks and capitals it comes with.
+    word is encoded once whatever marks and capitals it comes with. A worker serves many operators
+    in turn, so the table that is in use empties the one used before.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], max_bytes: int = 160 << 20, batch_bytes: int = 1 << 18, join: Callable | None = None):
+    filled: PieceTable | None = None
+
+    @classmethod
+    def keep_only(cls, table: PieceTable | None) -> None:
+        """Empty the worker's filled table unless it is this one."""
+        if cls.filled is not None and cls.filled is not table:
+            cls.filled.forget()
+        cls.filled = table
+
+    def __init__(self, encode: Callable[[list[str]], Iterable], max_bytes: int = 128 << 20, batch_bytes: int = 1 << 18, join: Callable | None = None):
         super().__init__()
         self.join, self.parts = join, {}
         self.encode, self.max_bytes, self.batch_bytes, self.bytes = encode, max_bytes, batch_bytes, 0
 
     def learn(self, texts: Iterable[list[str]]) -> None:
         """Afterwards every piece of these texts has its value."""
+        self.keep_only(self)
         wanted = set().union(*texts)
         new = wanted - self.keys()
         if new and self.bytes > self.max_bytes:
@@ -95,6 +106,7 @@ class PieceTable(dict):
             split = [word_and_marks(piece) for piece in batch]
             new = [x for x in dict.fromkeys(x for pair in split for x in pair) if x not in self.parts]
             self.parts.update(zip(new, self.encode(new), strict=True))
+            self.bytes += sum(map(len, new)) + 200 * len(new)
             self.update((piece, self.join(self.parts[a], self.parts[b]) if b else self.parts[a]) for piece, (a, b) in zip(batch, split, strict=True))
         self.bytes += sum(map(len, batch)) + 200 * len(batch)
 
