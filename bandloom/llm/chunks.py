@@ -71,7 +71,7 @@ class PieceTable(dict):
             cls.filled.forget()
         cls.filled = table
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], max_bytes: int = 128 << 20, batch_bytes: int = 1 << 18, join: Callable | None = None):
+    def __init__(self, encode: Callable[[list[str]], Iterable], max_bytes: int = 96 << 20, batch_bytes: int = 1 << 18, join: Callable | None = None):
         super().__init__()
         self.join, self.parts = join, {}
         self.encode, self.max_bytes, self.batch_bytes, self.bytes = encode, max_bytes, batch_bytes, 0
@@ -111,7 +111,7 @@ class PieceTable(dict):
         self.bytes += sum(map(len, batch)) + 200 * len(batch)
 
 
-def by_bytes(texts: list[str], limit: int = 4 << 20) -> Iterable[tuple[int, int]]:
+def by_bytes(texts: list[str], limit: int = 1 << 20) -> Iterable[tuple[int, int]]:
     """Ranges of texts of about limit characters each, so that no range outgrows memory by count alone."""
     begin = size = 0
     for i, text in enumerate(texts):

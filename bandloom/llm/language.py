@@ -164,7 +164,7 @@ class Labeller:
 
     def __init__(self, model: WordCRF):
         self.model = model
-        self.pieces = chunks.PieceTable(self._rows, max_bytes=96 << 20)
+        self.pieces = chunks.PieceTable(self._rows)
         self.words: dict[str, int] = {}
         self.emission = np.zeros((1024, len(model.labels)), np.float32)
 

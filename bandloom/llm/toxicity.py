@@ -25,7 +25,7 @@ def _hash_pieces(pieces: list[str]) -> list[int]:
     return [zlib.crc32(word_of(p).encode("utf-8", "replace")) for p in pieces]
 
 
-_pieces = chunks.PieceTable(_hash_pieces, max_bytes=128 << 20)
+_pieces = chunks.PieceTable(_hash_pieces)
 
 
 def text_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +62,7 @@ class SparseModel:
 
         if texts:
             found: list[np.ndarray] = []  # each text's distinct slots, taken a megabyte of text at a time
-            for first, last in chunks.by_bytes(texts, 1 << 20):
+            for first, last in chunks.by_bytes(texts):
                 owner, slot = np.divmod(np.unique(np.dot([SLOTS, 1], text_features(texts[first:last]))), SLOTS)
                 found += np.split(slot.astype(np.int32), np.searchsorted(owner, np.arange(1, last - first)))
             _pieces.forget()
