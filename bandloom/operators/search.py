@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,9 +70,26 @@ def page_bounds(limit: int = 100, offset: int = 0) -> tuple[int, int]:
     return max(1, min(limit, 200)), max(0, offset)
 
 
-def search_page(rows: DataFrame, where: Column, order: Sequence[Column], limit: int = 100, offset: int = 0) -> DataFrame:
+def search_page(rows: DataFrame, where: Column, order: Sequence[Column], limit: int = 100, offset: int = 0, deep: int = 10_000) -> DataFrame:
+    """One ordered page. Up to deep rows it is a top-k; past that no task could hold the rows before it.
+
+    A deep page sorts the hits by ranges once, counts them by partition (one row each to the driver)
+    and reads the places it needs; an offset past the end gives no rows.
+    """
     limit, offset = page_bounds(limit, offset)
-    return rows.filter(where).orderBy(*order).offset(offset).limit(limit)
+    hits = rows.filter(where)
+    if offset + limit <= deep:
+        return hits.orderBy(*order).offset(offset).limit(limit)
+    at = "at" + "_" * max(len(c) for c in rows.columns)
+    placed = hits.orderBy(*order).withColumn(at, F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    part = F.shiftright(at, 33)
+    before, wanted = 0, F.lit(False)
+    for number, n in placed.groupBy(part.alias("part")).agg(F.count("*")).sort("part").collect():
+        first, last = max(offset - before, 0), min(offset + limit - before, n) - 1
+        if first <= last:
+            wanted = wanted | F.col(at).between((number << 33) + first, (number << 33) + last)
+        before += n
+    return placed.filter(wanted).orderBy(at).drop(at)
 
 
 def search_total(rows: DataFrame, where: Column) -> DataFrame:

@@ -151,3 +151,12 @@ def test_page_context_crosses_pages_and_skips_supplement(spark):
 
 def test_fingerprint_depends_on_every_value():
     assert extract.run_fingerprint({"a": 1, "b": "é"}) == extract.run_fingerprint({"b": "é", "a": 1}) != extract.run_fingerprint({"a": 2, "b": "é"})
+
+
+def test_deep_pages_equal_shallow_ones(spark):
+    rows = spark.range(1000).selectExpr("id", "id % 7 AS at", "id % 10 < 9 AS hit").repartition(5)
+    order, hits = [F.desc("at"), F.asc("id")], F.col("hit")
+    for offset in (0, 130, 899, 900, 1_000_000_000):
+        deep = search.search_page(rows, hits, order, 50, offset, deep=0)
+        want = sorted((-(i % 7), i) for i in range(1000) if i % 10 < 9)[offset : offset + 50]
+        assert deep.columns == rows.columns and [r.id for r in deep.collect()] == [i for _, i in want]
