@@ -32,12 +32,13 @@ class TrieBPE:
         self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(spec["model"]["merges"])}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.longest = max(len(t.removesuffix(WORD_END)) for t in self.vocab)
         library = chunks.load_tokenizer(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
-        self.max_pairs = max_pairs
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
+        self.byte_form = str.maketrans({c: self.splitter.pre_tokenize_str(c)[0][0] for c in map(chr, range(256)) if c.isalpha() and c == c.lower()})
+        self.decimal = {t: str(i) for t, i in (self.vocab | self.added).items()}
+        self.heads = {t[:n] for t in self.vocab for n in range(1, len(t.removesuffix(WORD_END)) + 1)}
+        self.max_pairs, self.n_pairs = max_pairs, 0
+        self.follows: dict[str, dict[str, bool]] = {t: {} for t in self.vocab}
 
     def _merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE on a few symbols: the lowest rank first, leftmost among equals."""
@@ -56,17 +57,15 @@ class TrieBPE:
             out[-1] += WORD_END
         return out
 
-    def _stands_alone(self, token: str) -> bool:
-        if token not in self.alone:
-            self.alone[token] = self._merged(self._symbols(token)) == [token]
-        return self.alone[token]
-
     def _may_follow(self, before: str, token: str) -> bool:
-        known = self.pairs.get((before, token))
-        if known is None:
-            if len(self.pairs) >= self.max_pairs:
-                self.pairs.clear()
-            known = self.pairs[before, token] = self._merged(self._symbols(before) + self._symbols(token)) == [before, token]
+        """Whether before and token stay apart; an empty before asks whether token stands alone."""
+        if self.n_pairs >= self.max_pairs:
+            self.n_pairs = 0
+            for known in self.follows.values():
+                known.clear()
+        pair = [before, token] if before else [token]
+        self.n_pairs += 1
+        known = self.follows[token][before] = self._merged([s for t in pair for s in self._symbols(t)]) == pair
         return known
 
     def encode_words(self, words: set[str]) -> dict[str, list[str]]:
@@ -76,50 +75,54 @@ class TrieBPE:
             node = root
             for symbol in word[:-1]:
                 node = node.setdefault(symbol, {})
-            node.setdefault(word[-1] + WORD_END, {})
+            node[word[-1] + WORD_END] = None
         out: dict[str, list[str]] = {}
-        tokens: list[str] = []  # tokens[d]: last token of the path's first d + 1 symbols
-        starts: list[int] = []  # where that token starts
-        prefix, walk = "", [iter(root.items())]
+        # Of the path being walked: tokens[d], the last token of its first d symbols, and starts[d], where that
+        # token starts. What a visited node left below its own depth is overwritten before it is read.
+        room = max(map(len, words), default=0) + 1
+        tokens, starts = [""] * room, [0] * room
+        heads, last_token = self.heads, self._last_token
+        walk = [("", 0, root)]
         while walk:
-            step = next(walk[-1], None)
-            depth = len(walk) - 1
-            if step is None:
-                walk.pop()
-                del tokens[depth - 1 :], starts[depth - 1 :]
-                prefix = prefix[: max(0, depth - 1)]
-                continue
-            symbol, below = step
-            token, start = self._last_token(prefix + symbol, depth, tokens)
-            if len(symbol) > 1:
-                found, at = [token], start
+            path, low, below = walk.pop()
+            depth = len(path)
+            if depth:
+                while path[low:] not in heads:  # no token that reaches on from here starts at low
+                    low += 1
+                tokens[depth], starts[depth] = last_token(path, low, depth, tokens)
+            for symbol, node in below.items():
+                if node is not None:
+                    walk.append((path + symbol, low, node))
+                    continue
+                token, at = last_token(path + symbol, low, depth + 1, tokens)
+                found = [token]
                 while at:
-                    found.append(tokens[at - 1])
-                    at = starts[at - 1]
-                out[prefix + symbol[0]] = found[::-1]
-            else:
-                tokens.append(token)
-                starts.append(start)
-                prefix += symbol
-                walk.append(iter(below.items()))
+                    found.append(tokens[at])
+                    at = starts[at]
+                out[path + symbol[0]] = found[::-1]
         return out
 
-    def _last_token(self, path: str, depth: int, tokens: list[str]) -> tuple[str, int]:
-        """path has depth + 1 symbols."""
-        for start in range(max(0, depth + 1 - self.longest), depth + 1):
+    def _last_token(self, path: str, low: int, depth: int, tokens: list[str]) -> tuple[str, int]:
+        """The last token of path, which has depth symbols, and its start, which is not before low."""
+        follows = self.follows
+        for start in range(low, depth):
             token = path[start:]
-            if token in self.vocab and (self._may_follow(tokens[start - 1], token) if start else self._stands_alone(token)):
-                return token, start
+            known = follows.get(token)
+            if known is not None:
+                before = tokens[start]
+                fits = known.get(before)
+                if fits or fits is None and self._may_follow(before, token):
+                    return token, start
         raise ValueError(f"no token of the vocabulary ends {path!r}")
 
     def split(self, piece: str) -> list[tuple[str, bool]]:
         """The words of a piece as the library splits it; True marks a special token."""
         out: list[tuple[str, bool]] = []
-        if piece.isascii():  # letters and closing marks: the common case needs no library call
-            word = piece.rstrip(",.;:!?")
-            if word.isalpha():
-                out.append((word.lower(), False))
-                return [*out, (piece[len(word) :], False)] if len(word) < len(piece) else out
+        word, marks = chunks.word_and_marks(piece)  # the common case needs no library call
+        if word.isalpha() and max(word) < "\u0100":
+            return [(word.translate(self.byte_form), False), *([(marks, False)] if marks else [])]
+        if word and not word.strip(chunks.MARKS):
+            return [(word, False)]
         for part in self.specials.split(piece) if self.specials else [piece]:
             if part in self.added:
                 out.append((part, True))
@@ -134,7 +137,7 @@ class TrieBPE:
         out = []
         for ws in words:
             tokens = [t for w, special in ws for t in ([w] if special else known[w])]
-            out.append((" ".join(str(self.added[t] if t in self.added else self.vocab[t]) for t in tokens), " ".join(tokens)))
+            out.append((" ".join(map(self.decimal.__getitem__, tokens)), " ".join(tokens)))
         return out
 
 

@@ -10,6 +10,11 @@ import os
 from collections.abc import Callable, Iterable
 
 
+#: ASCII marks that word splitting keeps together and apart from letters. Left out: the apostrophe, which opens
+#: contractions, and the characters around the names of special tokens.
+MARKS = '!"#$%&()*+,-./:;=?@[\\]^_`{}~'
+
+
 def space_pieces(text: str) -> list[str]:
     """Pieces between white space, for a vocabulary that drops white space."""
     return text.replace("\n", " ").split(" ")
@@ -37,7 +42,7 @@ def word_and_marks(piece: str) -> tuple[str, str]:
     For a vocabulary that lower-cases and parts letters from marks, both halves encode on their own.
     """
     if piece and max(piece) < "\u0100":
-        word = piece.rstrip(",.;:!?")
+        word = piece.rstrip(MARKS)
         if word.isalpha():
             return word.lower(), piece[len(word) :]
     return piece, ""
