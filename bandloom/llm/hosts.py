@@ -36,21 +36,27 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """Distinct links a -> b between hosts: absolute links of the pages, and a host and its parent domain both ways."""
+    """Distinct links a -> b between hosts: absolute links of the pages, and each host and its parent domains, step by step to two labels, both ways."""
     host = host_of(F.col("url"))
     links = F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']?(https?://[^"'\s>]+)"""), 1)
     linked = pages.filter(F.instr("html", "://") > 0).select(host.alias("a"), F.explode(links).alias("link")).select("a", host_of(F.col("link")).alias("b"))
-    parent = pages.select(host.alias("a")).distinct().withColumn("b", F.regexp_extract("a", r"^[^.]+\.([^.]+\..+)$", 1))
-    up = parent.filter("b <> ''")
+    hosts = pages.select(host.alias("host")).unionByName(linked.select(F.col("b").alias("host"))).distinct()
+    label, n = F.split("host", r"\."), F.size(F.split("host", r"\."))
+    steps = F.explode(F.sequence(F.lit(1), n - 2)).alias("step")
+    step = hosts.filter(n > 2).select(label.alias("label"), n.alias("n"), steps)
+    up = step.select(*[F.array_join(F.slice("label", F.col("step") + k, F.col("n")), ".").alias(name) for k, name in enumerate("ab")])
+    up = up.filter(F.col("a").rlike(r"^[^.]+\.") & F.col("b").rlike(r"^[^.]+\..")).distinct()
     both = linked.unionByName(up).unionByName(up.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return both.filter("a <> '' AND b <> '' AND a <> b").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 8) -> DataFrame:
-    """side, host, mass: personalised PageRank of both sides after some rounds.
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, bound: float = 1e-6) -> DataFrame:
+    """side, host, mass: personalised PageRank of both sides.
 
     seeds has side (trust or distrust), host and a positive weight. Trust goes along the edges,
-    distrust against them; a host shares its mass equally among its neighbours.
+    distrust against them; a host shares its mass equally among its neighbours. Ends when four
+    rounds add no more than bound of its own mass to any host, so not before every host that a seed
+    reaches has some.
     """
     ways = edges.select(F.lit("trust").alias("side"), F.col("a").alias("host"), F.col("b").alias("to")).unionByName(
         edges.select(F.lit("distrust").alias("side"), F.col("b").alias("host"), F.col("a").alias("to"))
@@ -58,21 +64,24 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     degree = ways.groupBy("side", "host").agg((F.lit(damping) / F.count("*")).alias("share"))
     ways = stored(ways.join(degree, ["side", "host"]))
     total = seeds.groupBy("side").agg(F.sum("weight").alias("total"))
-    start = stored(seeds.join(total, "side").select("side", "host", (F.col("weight") / F.col("total")).alias("mass")))
-    ranks = start
-    for _ in range(rounds):
-        moved = ranks.join(ways, ["side", "host"]).select("side", F.col("to").alias("host"), (F.col("mass") * F.col("share")).alias("mass"))
-        again = start.withColumn("mass", F.col("mass") * (1 - damping))
-        ranks = stored(moved.unionByName(again).groupBy("side", "host").agg(F.sum("mass").alias("mass")))
-    return ranks
-
-
-def judge(pages: DataFrame, rules=RULES, tolerance: float = 1e-12) -> DataFrame:
+    first = (F.col("weight") / F.col("total") * (1 - damping)).alias("mass")
+    ranks = stored(seeds.join(total, "side").select("side", "host", first).withColumns({"moving": F.col("mass"), "grown": F.lit(0.0)}))
+    while True:
+        for k in range(4):
+            moved = ranks.join(ways, ["side", "host"]).select("side", F.col("to").alias("host"), (F.col("moving") * F.col("share")).alias("mass"))
+            moved = moved.withColumns({"moving": F.col("mass"), "grown": F.col("mass")})
+            kept = ranks.withColumns({"moving": F.lit(0.0), "grown": F.col("grown") if k else F.lit(0.0)})
+            ranks = stored(moved.unionByName(kept).groupBy("side", "host").agg(*[F.sum(c).alias(c) for c in ("mass", "moving", "grown")]))
+        if ranks.filter(F.col("grown") > F.col("mass") * bound).isEmpty():
+            return ranks.select("side", "host", "mass")
+
+
+def judge(pages: DataFrame, rules=RULES, tolerance: float = 1e-5) -> DataFrame:
     """page_id, host, path, rule and verdict of every page.
 
     Null url or url without "://": empty host and path. A page that no rule fits takes its host's
-    verdict: block where distrust exceeds trust by more than tolerance, otherwise (hosts that
-    nothing reaches, ties, the empty host) allow. Null html gives no links. Repeated rows each
+    verdict: block where distrust exceeds trust by more than tolerance of the trust, otherwise (hosts
+    that nothing reaches, ties, the empty host) allow. Null html gives no links. Repeated rows each
     give a row; other columns are ignored; no rows give no rows.
     """
     read = pages.select("page_id", "url", "html")
@@ -81,8 +90,9 @@ def judge(pages: DataFrame, rules=RULES, tolerance: float = 1e-12) -> DataFrame:
     side = F.when(F.col("by_rule") == "allow", "trust").otherwise("distrust")
     seeds = ruled.filter("by_rule IS NOT NULL").groupBy(side.alias("side"), "host").agg(F.count("*").cast("double").alias("weight"))
     ranks = propagate(host_edges(read), seeds)
-    balance = F.sum(F.when(F.col("side") == "distrust", F.col("mass")).otherwise(-F.col("mass")))
-    blocked = ranks.groupBy("host").agg(balance.alias("balance")).filter(F.col("balance") > tolerance).select("host", F.lit(True).alias("distrusted"))
+    trust, distrust = (F.sum(F.when(F.col("side") == side, F.col("mass")).otherwise(0.0)) for side in ("trust", "distrust"))
+    sides = ranks.groupBy("host").agg(trust.alias("trust"), distrust.alias("distrust"))
+    blocked = sides.filter(F.col("distrust") > F.col("trust") * (1 + tolerance)).select("host", F.lit(True).alias("distrusted"))
     verdict = F.coalesce("by_rule", F.when(F.col("distrusted"), "block").otherwise("allow"))
     return ruled.join(blocked, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 

@@ -239,6 +239,17 @@ def test_propagation_equals_a_plain_loop(spark):
     assert {r.host: pytest.approx(r.mass) for r in got.collect()} == {h: m for h, m in mass.items() if m}
 
 
+def test_far_and_faint_hosts_are_judged(spark):
+    """Distrust reaches a host 12 links away; each parent domain is a step."""
+    chain = [(k, f"http://h{k}.org/", f'<a href="http://h{k + 1}.org/">') for k in range(11)] + [(11, "http://h11.org/", '<a href="http://h12.net/">'), (12, "http://h12.net/es/", None)]
+    got = {r.page_id: r.verdict for r in hosts.judge(spark.createDataFrame(chain, "page_id long, url string, html string")).collect()}
+    assert set(got.values()) == {"block"}
+    deep = spark.createDataFrame([("http://a.blog.x.example.org/", '<a href="http://q.w.y.org/">')], "url string, html string")
+    up = {("a.blog.x.example.org", "blog.x.example.org"), ("blog.x.example.org", "x.example.org"), ("x.example.org", "example.org"), ("q.w.y.org", "w.y.org"), ("w.y.org", "y.org")}
+    want = up | {(b, a) for a, b in up} | {("a.blog.x.example.org", "q.w.y.org")}
+    assert {tuple(r) for r in hosts.host_edges(deep).collect()} == want
+
+
 def test_shards(docs, spark):
     got = sharding.shard_records(docs, part_rows=1).collect()
     assert len(got) == len(TEXTS) + 2
