@@ -149,6 +149,7 @@ _encoders: dict[str, chunks.PieceTable] = {}
 
 
 def _table(path: str) -> chunks.PieceTable:
+    chunks.hold("bpe", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = chunks.PieceTable(TrieBPE(path).encode_pieces, max_bytes=256 << 20, batch_bytes=8 << 20, join=_joined)
     return _encoders[path]

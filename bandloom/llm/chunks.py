@@ -6,9 +6,13 @@ those of its pieces in order; each distinct piece is then encoded once per Pytho
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
+
 
 #: ASCII marks that word splitting keeps together and apart from letters. Left out: the apostrophe, which opens
 #: contractions, and the characters around the names of special tokens.
@@ -59,31 +63,42 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Say that this worker now runs owner's tasks, and how to drop what owner keeps from task to task.
+
+    A worker serves many operators in turn: what the others keep is released here, and freed memory
+    goes back to the system.
+    """
+    others = [name for name in _held if name != owner]
+    for name in others:
+        _held.pop(name)()
+    if release is not None:
+        _held[owner] = release
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 class PieceTable(dict):
     """Piece -> value, filled by batch encoding and emptied when it outgrows max_bytes.
 
     With join, pieces of a word and its marks are put together from the values of both, so that a
-    word is encoded once whatever marks and capitals it comes with. A worker serves many operators
-    in turn, so the table that is in use empties the one used before.
+    word is encoded once whatever marks and capitals it comes with.
     """
 
-    filled: PieceTable | None = None
-
-    @classmethod
-    def keep_only(cls, table: PieceTable | None) -> None:
-        """Empty the worker's filled table unless it is this one."""
-        if cls.filled is not None and cls.filled is not table:
-            cls.filled.forget()
-        cls.filled = table
-
-    def __init__(self, encode: Callable[[list[str]], Iterable], max_bytes: int = 96 << 20, batch_bytes: int = 1 << 18, join: Callable | None = None):
+    def __init__(self, encode: Callable[[list[str]], Iterable], max_bytes: int = 48 << 20, batch_bytes: int = 1 << 18, join: Callable | None = None):
         super().__init__()
         self.join, self.parts = join, {}
         self.encode, self.max_bytes, self.batch_bytes, self.bytes = encode, max_bytes, batch_bytes, 0
 
     def learn(self, texts: Iterable[list[str]]) -> None:
         """Afterwards every piece of these texts has its value."""
-        self.keep_only(self)
         wanted = set().union(*texts)
         new = wanted - self.keys()
         if new and self.bytes > self.max_bytes:

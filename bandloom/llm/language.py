@@ -225,6 +225,7 @@ _labellers: dict[str, Labeller] = {}
 
 
 def _labeller(key: str, model) -> Labeller:
+    chunks.hold("language", _labellers.clear)
     if key not in _labellers:
         _labellers.clear()
         _labellers[key] = Labeller(WordCRF(*model.value))

@@ -3,27 +3,31 @@
 Each text's shingle set gets minwise tokens. A tree deals the texts into nodes by one minwise token
 and deals each text of a node that stays large into several children by further ones; small nodes are
 compared exhaustively. Independent trees and children bring the share of pairs that never meet to the
-target at every depth. What meets is confirmed on full sets.
+target at every depth. Inside a node a bitmap of each set bounds its distance to the others from below,
+and what the bound leaves is compared on full sets, so no filter loses a link.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .chunks import PieceTable
-from .common import stored, whole_text
+from . import chunks
+from .common import stored
 from .components import components
 
-SKETCH = 128  # minwise tokens of which a byte each is kept
-CHOICES, SPAN, LEVELS = 6, 4, 4  # children of each text of a large node, tokens that a child's texts share, levels of nodes
+SKETCH = 128  # minwise tokens of which a byte each is kept, for the children of large nodes
+CHOICES, SPAN, LEVELS = 6, 4, 4  # children of each text of a large node, tokens that a child's texts share, levels of children
+FIRST_TREES, PIVOTS, SALTS = 2, 32, 16
+WIDEST = 18  # a bitmap has at most 2 ** WIDEST bits; a larger set only makes its bound weaker
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,220 +62,298 @@ def minwise(shingles: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _profiles(texts: DataFrame, width: int, trees: int) -> DataFrame:
-    """Per row: set size, digest of the set, the first node in each tree, and the sketch (null without shingles)."""
+def bitmap(shingles: np.ndarray, bits_each: int) -> np.ndarray:
+    """The set's hashes as bits, at least bits_each for each and at most twice as many, as 64-bit words."""
+    bits = 1 << min(WIDEST, max(6, (bits_each * max(1, len(shingles)) - 1).bit_length()))
+    mask = np.zeros(bits, bool)
+    mask[(shingles & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(mask).view(np.uint64)
+
+
+def most_apart(sizes: np.ndarray, size: int, percent: int) -> np.ndarray:
+    """How many elements sets of these sizes may have apart from one of this size to reach percent of similarity."""
+    total = sizes + size
+    return total - 2 * -(-percent * total // (100 + percent))
+
+
+class Members:
+    """A node's sets in the order of size, with bitmaps that bound their distances from below."""
+
+    def __init__(self, bitmaps: list[np.ndarray], sizes: np.ndarray, percent: int):
+        self.sizes, self.percent, self.own = sizes, percent, bitmaps
+        self.width = np.array([len(b) for b in bitmaps])
+        self.place = np.zeros(len(bitmaps), np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self.rows[w] = np.stack([bitmaps[i] for i in at])
+        self.folded = {w: m[:, : w // 2] | m[:, w // 2 :] for w, m in self.rows.items() if w > 1}
+
+    def near(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of others, in the order of size, whose bound allows the similarity with i."""
+        size, w = int(self.sizes[i]), len(self.own[i])
+        low, high = np.searchsorted(self.sizes[others], [-(-self.percent * size // 100), 100 * size // self.percent + 1])
+        others = others[low:high]
+        if not len(others):
+            return others
+        apart = np.full(len(others), 1 << 62)
+        for u, rows, mine in ((w, self.rows.get(w), self.own[i]), (2 * w, self.folded.get(2 * w), self.own[i]), (w // 2, self.rows.get(w // 2), self.own[i][: w // 2] | self.own[i][w // 2 :] if w > 1 else None)):
+            at = np.flatnonzero(self.width[others] == u)
+            if len(at) and rows is not None and mine is not None:
+                apart[at] = np.bitwise_count(rows[self.place[others[at]]] ^ mine).sum(1)
+        return others[apart <= most_apart(self.sizes[others], size, self.percent)]
+
+
+def promising(members: Members, label: np.ndarray) -> np.ndarray:
+    """Whether each member's bounds allow a link to some other one of another label."""
+    n = len(label)
+    alive, every = np.zeros(n, bool), np.arange(n)
+    for i in range(n):
+        others = every[i + 1 :]
+        if alive[i]:
+            others = others[~alive[i + 1 :]]
+        found = members.near(i, others[label[others] != label[i]])
+        if len(found):
+            alive[found] = alive[i] = True
+    return alive
+
+
+def links_within(sets: list[np.ndarray], label: np.ndarray, percent: int, bits_each: int = 16) -> list[tuple[int, int]]:
+    """Pairs that join the members, in the order of size, into the groups that their links and equal labels make.
+
+    A walk over links: each member is compared with those that no walk has reached yet.
+    """
+    sizes = np.array([len(s) for s in sets])
+    members = Members([bitmap(s, bits_each) for s in sets], sizes, percent)
+    unmet, out = np.arange(len(sets)), []
+    while len(unmet):
+        first, queue, unmet = int(unmet[0]), [int(unmet[0])], unmet[1:]
+        for i in queue:
+            same = label[unmet] == label[i]
+            if same.any():
+                queue += unmet[same].tolist()
+                unmet = unmet[~same]
+            near = members.near(i, unmet)
+            for at in range(0, len(near), 256):
+                part = near[at : at + 256]
+                ends = np.cumsum(sizes[part])
+                values = np.concatenate([sets[j] for j in part])
+                spot = np.minimum(np.searchsorted(sets[i], values), sizes[i] - 1)
+                both = np.add.reduceat(sets[i][spot] == values, ends - sizes[part], dtype=np.int64)
+                linked = part[100 * both >= percent * (sizes[part] + sizes[i] - both)]
+                out += [(first, int(j)) for j in linked]
+                queue += linked.tolist()
+                unmet = np.setdiff1d(unmet, linked, assume_unique=True)
+    return out
+
+
+def _profiles(docs: DataFrame, width: int, trees: int) -> DataFrame:
+    """Per row: its own number, the row itself, set size, digest of the set, first node in each tree, sketch and bitmap (null without shingles)."""
     salt = _mix(np.arange(trees, dtype=np.uint64) + np.uint64(77))
+    own = [T.StructField("row", T.LongType()), T.StructField("doc", docs.schema), T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())]
+    more = [T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("bits", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        PieceTable.keep_only(None)
+        chunks.hold("neardup")
+        at = TaskContext.get().partitionId() << 33
         for batch in batches:
-            n, digest, nodes, sketch = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                shingles = shingle_set(text, width)
+            doc = batch.column("doc")
+            n, first, second, nodes, sketch, bits = [], [], [], [], [], []
+            for text in doc.field("text"):
+                shingles = shingle_set(text.as_py() or "", width)
                 n.append(len(shingles))
                 if len(shingles):
                     token = _mix(minwise(shingles, SKETCH + trees))
-                    digest.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
+                    digest = xxhash.xxh3_128_digest(shingles.tobytes())
+                    first.append(int.from_bytes(digest[:8], "big", signed=True)), second.append(int.from_bytes(digest[8:], "big", signed=True))
                     nodes.append(_mix(token[SKETCH:] ^ salt).view(np.int64))
                     sketch.append((token[:SKETCH] >> np.uint64(56)).astype(np.uint8).tobytes())
+                    bits.append(bitmap(shingles, 4).tobytes())
                 else:
-                    digest.append(None), nodes.append(None), sketch.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(nodes, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                ["doc_id", "n_shingles", "digest", "nodes", "sketch"],
-            )
-
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, digest binary, nodes array<long>, sketch binary")
-
-
-def _forest(likeness: np.ndarray, least: float, apart: np.ndarray | None) -> list[tuple[int, int]]:
-    """Pairs of at least this likeness: a spanning forest of the likest, or all pairs in different groups where apart names those."""
-    i, j = np.nonzero(np.triu(likeness >= least, 1))
-    if apart is not None:
-        other = apart[i] != apart[j]
-        return list(zip(i[other], j[other], strict=True))
-    order = np.argsort(-likeness[i, j], kind="stable")
-    root, out = list(range(len(likeness))), []
-    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
-        x, y = a, b
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        while root[y] != y:
-            root[y] = y = root[root[y]]
-        if x != y:
-            root[x] = y
-            out.append((a, b))
-            if len(out) == len(likeness) - 1:
-                break
-    return out
+                    for column in (first, second, nodes, sketch, bits):
+                        column.append(None)
+            columns = [pa.array(np.arange(at, at + len(n)), pa.int64()), doc, *(pa.array(c, pa.int64()) for c in (n, first, second)), pa.array(nodes, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(bits, pa.binary())]
+            at += len(n)
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in own + more])
 
+    return docs.select(F.struct("*").alias("doc")).mapInArrow(run, T.StructType(own + more))
 
-def _node_pairs(nodes: DataFrame, similarity: float, margin: float) -> DataFrame:
-    """Candidate links inside each node of members (rep, n_shingles, sketch[, component])."""
-    with_groups = "component" in nodes.schema["members"].dataType.elementType.names
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            members = batch.column("members")
-            flat = members.flatten()
-            rep, n = flat.field("rep").to_numpy(), flat.field("n_shingles").to_numpy()
-            group = flat.field("component").to_numpy() if with_groups else None
-            sketch = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-            begin = members.offsets.to_numpy() - members.offsets[0].as_py()
-            out: list[np.ndarray] = []
-            size = np.diff(begin)
-            twos = begin[:-1][size == 2]
-            ratio = np.minimum(n[twos], n[twos + 1]) / np.maximum(n[twos], n[twos + 1])
-            fit = ((sketch[twos] == sketch[twos + 1]).mean(1) >= similarity - margin) & (ratio >= similarity)
-            if group is not None:
-                fit &= group[twos] != group[twos + 1]
-            out.append(np.stack([rep[twos[fit]], rep[twos[fit] + 1]], 1))
-            for b, e in zip(begin[:-1][size > 2], begin[1:][size > 2], strict=True):
-                own, size_of = sketch[b:e], n[b:e].astype(float)
-                like = np.stack([(own == row).mean(1) for row in own])
-                like[np.minimum.outer(size_of, size_of) < similarity * np.maximum.outer(size_of, size_of)] = 0
-                pairs = _forest(like, similarity - margin, None if group is None else group[b:e])
-                if pairs:
-                    out.append(rep[b:e][np.array(pairs)])
-            found = np.concatenate(out)
-            yield pa.RecordBatch.from_arrays([pa.array(found.min(1), pa.int64()), pa.array(found.max(1), pa.int64())], ["a", "b"])
-
-    return nodes.select("members").mapInArrow(run, "a long, b long")
-
-
-def _star_pairs(rows: DataFrame, similarity: float, margin: float) -> DataFrame:
-    """Candidate links of each row of a large node to the node's pivot."""
+def _by_node(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[list]]:
+    """The named columns as lists, node by node, of rows that come sorted by node."""
+    kept: list[list] = [[] for _ in range(len(names) + 1)]
+    for batch in batches:
+        columns = [k + batch.column(c).to_pylist() for k, c in zip(kept, ("node", *names), strict=True)]
+        node = np.array(columns[0], np.int64)
+        cuts = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)]
+        for b, e in zip(cuts[:-2], cuts[1:-1], strict=True):
+            yield [c[b:e] for c in columns[1:]]
+        kept = [c[cuts[-2] :] for c in columns]
+    if kept[0]:
+        yield kept[1:]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch", "pivot_sketch"))
-            rep, pivot = batch.column("rep").to_numpy(), batch.column("pivot").to_numpy()
-            fit = ((a == b).mean(1) >= similarity - margin) & (rep != pivot)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep, pivot)[fit], pa.int64()), pa.array(np.maximum(rep, pivot)[fit], pa.int64())], ["a", "b"])
 
-    return rows.select("rep", "sketch", "pivot", "pivot_sketch").mapInArrow(run, "a long, b long")
+def _links(members: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links a, b that join the members (node, v, n_shingles, label) of each node into groups; no node is large."""
 
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks.hold("neardup")
+        for node, v, n, label, bits in _by_node(batches, "node", "v", "n_shingles", "label", "bits"):
+            alive = np.flatnonzero(promising(Members([np.frombuffer(b, np.uint64) for b in bits], np.array(n), percent), np.array(label)))
+            if len(alive):
+                yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in alive], pa.int64()) for c in (node, v, n, label)], ["node", "v", "n_shingles", "label"])
 
-def _split(large: DataFrame, found: DataFrame, small: int, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members of large nodes: beside the node's largest group, in pairs of parts, and those to deal on.
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks.hold("neardup")
+        for v, label, text in _by_node(batches, "v", "label", "text"):
+            pairs = links_within([shingle_set(t, width) for t in text], np.array(label), percent)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([v[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    of_bits = members.join(rows.select(F.col("row").alias("v"), "bits"), "v").select("node", "v", "n_shingles", "label", "bits")
+    sifted = stored(of_bits.repartition("node").sortWithinPartitions("node", "n_shingles", "v").mapInArrow(sift, "node long, v long, n_shingles long, label long"))
+    of_text = sifted.join(rows.select(F.col("row").alias("v"), "doc.text"), "v").select("node", "v", "n_shingles", "label", "text")
+    return stored(of_text.repartition("node").sortWithinPartitions("node", "n_shingles", "v").mapInArrow(compare, "a long, b long").distinct())
+
+
+def _parts(size: Column, weight: Column, small: int, heavy: int) -> Column:
+    return F.greatest(F.ceil(size / small), F.ceil(weight / heavy)).cast("int")
+
+
+def _pieces(large: DataFrame, small: int, heavy: int) -> DataFrame:
+    """Large nodes cut at random into small ones that share about PIVOTS members."""
+    parts = _parts(F.col("size"), F.col("weight"), small, heavy)
+    every = F.pmod(F.xxhash64("v", "node", F.lit(1)), F.col("size")) < PIVOTS
+    into = F.when(every, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("v", "node"), parts).cast("int")))
+    return large.withColumn("part", F.explode(into)).withColumn("node", F.xxhash64("node", "part"))
+
+
+def _split(large: DataFrame, small: int, heavy: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """Members (with label) of large nodes: those to compare in small nodes, and those to deal on.
 
     A node inside one group needs no more links and is dropped. Where at most small members lie outside
-    the largest group, they are copied to each part of that group. A node of up to CHOICES parts (any,
-    at the last level) becomes all pairs of its parts.
+    the largest group, they join each part of that group. A node of up to CHOICES parts (any, at the
+    last level) becomes all pairs of its parts.
     """
-    grouped = stored(large.join(found, large["rep"] == found["vertex"], "left").select(large["*"], F.coalesce("component", "rep").alias("component")))
-    groups = grouped.groupBy("node", "component").agg(F.count("*").alias("n"))
-    main = groups.groupBy("node").agg(F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
-    sized = grouped.join(main, "node").withColumn("others", F.col("size") - F.col("most"))
-    parts = F.ceil(F.col("most") / small).cast("int")
-    number = F.pmod(F.xxhash64("rep", "node"), parts).cast("int")
-    into = F.when(F.col("component") == F.col("main"), F.array(number)).otherwise(F.sequence(F.lit(0), parts - 1))
-    few = sized.filter(F.col("others").between(1, small)).withColumn("part", F.explode(into)).withColumn("node", F.xxhash64("node", "part"))
-    many = sized.filter(F.col("others") > small).withColumn("parts", F.ceil(F.col("size") / small).cast("int"))
+    groups = large.groupBy("node", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    main = groups.groupBy("node").agg(F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max_by("w", F.struct("n", "label")).alias("main_weight"))
+    sized = stored(large.join(main, "node").withColumns({"others": F.col("size") - F.col("most"), "other_weight": F.col("weight") - F.col("main_weight")}))
+    light = F.col("others").between(1, small) & (F.col("other_weight") <= heavy)
+    parts = _parts(F.col("most"), F.col("main_weight"), small, heavy)
+    number = F.pmod(F.xxhash64("v", "node"), parts).cast("int")
+    into = F.when(F.col("label") == F.col("main"), F.array(number)).otherwise(F.sequence(F.lit(0), parts - 1))
+    few = sized.filter(light).withColumn("part", F.explode(into)).withColumn("node", F.xxhash64("node", "part"))
+    many = sized.filter((F.col("others") > 0) & ~light).withColumn("parts", _parts(F.col("size"), F.col("weight"), small, heavy))
     fits = F.lit(last) | (F.col("parts") <= CHOICES)
-    pairs = many.filter(fits).withColumn("part", F.pmod(F.xxhash64("rep", "node"), F.col("parts")).cast("int"))
+    pairs = many.filter(fits).withColumn("part", F.pmod(F.xxhash64("v", "node"), F.col("parts")).cast("int"))
     pairs = pairs.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter(F.col("with") != F.col("part"))
     pairs = pairs.withColumn("node", F.xxhash64("node", F.least("part", "with"), F.greatest("part", "with")))
-    return few, pairs, many.filter(~fits)
+    own = ["node", "v", "n_shingles", "label"]
+    return few.select(own).unionByName(pairs.select(own)), many.filter(~fits).select("tree", *own)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity."""
-    percent = round(similarity * 100)
-    text_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    text_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+def _groups(rows: DataFrame, width: int, percent: int, trees: int, small: int, heavy: int) -> DataFrame:
+    """d1, d2, component_id and kept_row of the digests that several rows have or links join."""
+    first = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("doc_id"), "row")
+    vertices = stored(
+        rows.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min(first).alias("first"), F.count("*").alias("copies")).select("d1", "d2", "copies", F.col("first.row").alias("v"), F.col("first.doc_id").alias("least"))
+    )
+    tokens = rows.join(vertices.select("v"), F.col("row") == F.col("v"), "left_semi").select(F.col("row").alias("v"), "n_shingles", F.posexplode("nodes").alias("tree", "node"))
+    links: list[DataFrame] = []
+    found: DataFrame | None = None
+
+    def labelled(live: DataFrame) -> DataFrame:
+        if found is None:
+            return live.withColumn("label", F.col("v"))
+        return live.join(found, live["v"] == found["vertex"], "left").select(live["*"], F.coalesce("component", "v").alias("label"))
+
+    def compared(members: DataFrame) -> None:
+        nonlocal found
+        links.append(_links(members, rows, width, percent))
+        found = components(reduce(DataFrame.unionByName, links))
+
+    def sized(live: DataFrame) -> DataFrame:
+        """Members of the nodes that hold several groups still, with the node's size and weight."""
+        live = labelled(live)
+        sizes = live.groupBy("node").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"), F.min("label").alias("low"), F.max("label").alias("high"))
+        return stored(live.join(sizes.filter("low < high").drop("low", "high"), "node"))
+
+    large: list[DataFrame] = []
+    own = ["node", "v", "n_shingles", "label"]
+
+    def wave(live: DataFrame) -> None:
+        members = sized(live)
+        is_large = (F.col("size") > small) | ((F.col("weight") > heavy) & (F.col("size") > 16))
+        compared(members.filter(~is_large).select(own).unionByName(_pieces(members.filter(is_large), small, heavy).select(own)))
+        if not members.filter(is_large).isEmpty():
+            large.append(members.filter(is_large).drop("label"))
+
+    # The first trees join most of what is alike; the others then compare only what is not yet in one group.
+    wave(tokens.filter(F.col("tree") < FIRST_TREES))
+    wave(tokens.filter(F.col("tree") >= FIRST_TREES))
+    for level in range(LEVELS):
+        if not large:
+            break
+        beside, deep = _split(labelled(reduce(DataFrame.unionByName, large)), max(1, small // 2), heavy, level == LEVELS - 1)
+        large = []
+        compared(beside)
+        deep = stored(deep)
+        if deep.isEmpty():
+            break
+        # Each choice is SPAN bytes of the sketch, at a place of the tree's and the choice's own.
+        choice = deep.drop("label").join(rows.select(F.col("row").alias("v"), "sketch"), "v").withColumn("choice", F.explode(F.sequence(F.lit(0), F.lit(CHOICES - 1))))
+        place = F.pmod(F.xxhash64("tree", "choice", F.lit(level)), F.lit(SKETCH - SPAN + 1)).cast("int") + 1
+        wave(choice.select("v", "n_shingles", "tree", F.xxhash64("node", "choice", F.substring("sketch", place, F.lit(SPAN))).alias("node")))
+    joined = vertices.join(found, vertices["v"] == found["vertex"], "left").select(vertices["*"], "component").filter("copies > 1 OR component IS NOT NULL")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "v"))
+    named = joined.filter("component IS NOT NULL").groupBy("component").agg(first.alias("first"))
+    return joined.join(named, "component", "left").select("d1", "d2", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("first.least")).alias("component_id"), F.coalesce("first.v", "v").alias("kept_row"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str, np.ndarray] = ("", shingle_set("", width))
-        for batch in batches:
-            keep = []
-            for one, two in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                if one != last[0]:
-                    last = (one, shingle_set(one, width))
-                other = shingle_set(two, width)
-                both = len(np.intersect1d(last[1], other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(last[1]) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(text_a, "a").join(text_b, "b").mapInArrow(run, "a long, b long")
+def _judged(docs: DataFrame, width: int, similarity: float, trees: int, small: int, heavy: int) -> DataFrame:
+    """doc (the row as a struct), n_shingles, component_id, and chosen: the one row of each group that stands for it."""
+    rows = stored(_profiles(docs, width, trees))
+    groups = _groups(rows, width, round(similarity * 100), trees, small, heavy).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # Copies of one text can be a third of all rows, so a digest meets its rows in several places.
+    spread = rows.select("row", "doc", "n_shingles", F.coalesce("d1", "row").alias("d1"), "d2", F.pmod(F.col("row"), F.lit(SALTS)).cast("int").alias("salt"))
+    joined = spread.join(groups, ["d1", "d2", "salt"], "left")
+    alone = F.col("kept_row").isNull()
+    return joined.select("doc", "n_shingles", F.when(alone, F.col("doc.doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("row") == F.col("kept_row"))).alias("chosen"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, trees: int = 8, small: int = 512, margin: float = 0.11) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, trees: int = 8, small: int = 4096, heavy: int = 1 << 21) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links) and kept of every document.
 
     Links join texts whose sets of width-word shingles have Jaccard similarity of at least
-    similarity (compared as a whole per cent), confirmed on full sets. Rows of equal sets are one
-    vertex; a text without words, or a null text, has an empty set and no link. Rows that share a
-    doc_id share its component. A null doc_id takes part in links but names no component: alone it
-    has a null component and is kept. Other columns are ignored; no rows give no rows.
+    similarity (compared as a whole per cent), on full sets. Rows of equal sets are one vertex; a text
+    without words, or a null text, has an empty set and no link; a very long text is read whole. Rows
+    that repeat a doc_id are linked by their texts alone. A null doc_id takes part in links but names
+    no component: a group without ids has a null component, and one row of it is kept. Other columns
+    are ignored; no rows give no rows.
 
     A pair at the similarity meets in the first node of a tree with probability similarity; a node of
-    at most small texts ends there, so eight trees miss it with probability 3e-6. In a larger node every
-    member is compared with the node's pivot. Then what lies outside the node's largest linked group is
-    compared with all of the node where it is at most small texts; a node of up to CHOICES times small
-    texts is compared exhaustively by pairs of parts; a larger one is dealt on, each text into CHOICES
-    children of SPAN tokens. A pair at 0.8 then has 2.5 common children in the mean at each level, which
-    eight trees all miss with probability 1e-5 whatever the depth. Nodes still larger after LEVELS are
-    compared exhaustively by parts: slow (the square of the node), but nothing is left out.
-    Sketches rule out pairs more than margin (three deviations) below the similarity before the exact
-    check: that alone loses about 1.6e-3 of the pairs at exactly 0.80 and 2e-4 at 0.82.
+    at most small texts and heavy shingles is compared exhaustively, so eight trees miss the pair with
+    probability 3e-6. A larger node is cut into pieces that share pivots. Then what lies outside the
+    node's largest linked group is compared with all of the node where it is at most half of small; a
+    node of up to CHOICES parts is compared exhaustively by pairs of parts; a larger one is dealt on,
+    each text into CHOICES children of SPAN tokens. A pair at 0.8 then has 2.5 common children in the
+    mean at each level, which eight trees all miss with probability 1e-5 whatever the depth. Nodes still
+    larger after LEVELS are compared exhaustively by parts: slow (the square of the node), but nothing is
+    left out. Bitmaps rule out only pairs that their bound proves to be below the similarity.
     """
-    texts = whole_text(docs)
-    profiles = stored(_profiles(texts, width, trees))
-    vertices = stored(
-        profiles.filter(F.col("n_shingles") > 0).groupBy("digest").agg(
-            F.min("doc_id").alias("rep"), F.min_by(F.struct("nodes", "sketch", "n_shingles"), "doc_id").alias("s")
-        ).filter(F.col("rep").isNotNull()).select("digest", "rep", "s.*")
-    )
-    live = vertices.select("rep", "n_shingles", "sketch", F.posexplode("nodes").alias("tree", "node"))
-    own = ["node", "rep", "n_shingles", "sketch"]
-    settled, beside, tried, linked = [], [], [], []
-    for level in range(LEVELS):
-        sizes = live.groupBy("node").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("rep", "node")).alias("pivot"), F.min_by("sketch", F.xxhash64("rep", "node")).alias("pivot_sketch"))
-        sized = stored(live.join(sizes.filter(F.col("size") > 1), "node"))
-        settled.append(sized.filter(F.col("size") <= small).select(own))
-        large = sized.filter(F.col("size") > small)
-        if large.isEmpty():
-            break
-        tried.append(stored(_star_pairs(large, similarity, margin).distinct()))
-        linked.append(stored(_confirmed(tried[-1], texts, width, similarity)))
-        alone, parts, deep = _split(large, components(reduce(DataFrame.unionByName, linked)), small, level == LEVELS - 1)
-        beside.append(alone.select(*own))
-        settled.append(parts.select(*own))
-        # Each choice is SPAN bytes of the sketch, at a place of the tree's and the choice's own.
-        choice = deep.select("rep", "n_shingles", "sketch", "tree", "node", F.explode(F.sequence(F.lit(0), F.lit(CHOICES - 1))).alias("choice"))
-        place = F.pmod(F.xxhash64("tree", "choice", F.lit(level)), F.lit(SKETCH - SPAN + 1)).cast("int") + 1
-        live = choice.select("rep", "n_shingles", "sketch", "tree", F.xxhash64("node", "choice", F.substring("sketch", place, F.lit(SPAN))).alias("node"))
-    rows = reduce(DataFrame.unionByName, settled)
-
-    def in_nodes(df: DataFrame, *more: str) -> DataFrame:
-        return df.groupBy("node").agg(F.collect_list(F.struct("rep", "n_shingles", "sketch", *more)).alias("members")).filter(F.size("members") > 1)
-
-    near = _node_pairs(in_nodes(rows), similarity, margin).distinct()
-    for pairs in tried:
-        near = near.join(pairs, ["a", "b"], "left_anti")
-    near = stored(near)
-    links = reduce(DataFrame.unionByName, [stored(_confirmed(near, texts, width, similarity)), *linked])
-    found = components(links)
-    # Members of a node that no confirmed link joins: now every pair across groups that was not tried yet.
-    whole = reduce(DataFrame.unionByName, beside, rows)
-    grouped = whole.join(found, whole["rep"] == found["vertex"], "left").select("node", "rep", "n_shingles", "sketch", F.coalesce("component", "rep").alias("component"))
-    mixed = grouped.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("node")
-    rest = _node_pairs(in_nodes(grouped.join(mixed, "node"), "component"), similarity, margin).distinct()
-    for pairs in (near, *tried):
-        rest = rest.join(pairs, ["a", "b"], "left_anti")
-    more = stored(_confirmed(stored(rest), texts, width, similarity))
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
-    vertex_of = vertices.select("digest", "rep").join(found, F.col("rep") == F.col("vertex"), "left").select("digest", F.coalesce("component", "rep").alias("of_set"))
-    out = profiles.select("doc_id", "n_shingles", "digest").join(vertex_of, "digest", "left").select("doc_id", "n_shingles", F.coalesce("of_set", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
-
-
-def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs, all columns, whose document stands for its near-duplicate group."""
-    kept = near_duplicates(docs, width, similarity).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    judged = _judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, similarity, trees, small, heavy)
+    kept = F.when(F.col("component_id").isNull(), F.col("chosen")).otherwise(F.coalesce(F.col("doc.doc_id") == F.col("component_id"), F.lit(False)))
+    return judged.select("doc.doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, trees: int = 8, small: int = 4096, heavy: int = 1 << 21) -> DataFrame:
+    """One row, all columns, of each near-duplicate group: that of the least doc_id.
+
+    Rows without words, null and empty texts all stay. Repeated rows, of one doc_id or of none, are
+    copies like any others, so one stays. No rows give no rows.
+    """
+    return _judged(docs, width, similarity, trees, small, heavy).filter("chosen").select("doc.*")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chunks
 from .common import whole_text
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -109,6 +110,7 @@ def fingerprint_documents(docs: DataFrame, k: int = 12, s: int = 5, size: int =
         return base64.b64encode(f.tobytes()).decode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks.hold("syncmers")
         last = None  # the row that waits for its next one: range, doc_id, text, fingerprint
         for batch in batches:
             rows = []

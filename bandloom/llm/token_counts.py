@@ -16,6 +16,7 @@ _tables: dict[str, chunks.PieceTable] = {}
 
 def _lengths(path: str) -> chunks.PieceTable:
     """This worker's table of piece lengths; kept from task to task."""
+    chunks.hold("token_counts", _tables.clear)
     if path not in _tables:
         tokenizer = chunks.load_tokenizer(path)
         _tables[path] = chunks.PieceTable(lambda batch: [len(e) for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False)])

@@ -116,7 +116,13 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 1500, negatives:
 _scorers: dict[str, Scorer] = {}
 
 
+def _release() -> None:
+    _scorers.clear()
+    _pieces.forget()
+
+
 def _scorer(key: str, model) -> Scorer:
+    chunks.hold("toxicity", _release)
     if key not in _scorers:
         _scorers.clear()
         _scorers[key] = Scorer(SparseModel(*model.value))
