@@ -11,7 +11,9 @@ import gc
 import os
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 #: ASCII marks that word splitting keeps together and apart from letters. Left out: the apostrophe, which opens
@@ -141,3 +143,14 @@ def by_bytes(texts: list[str], limit: int = 1 << 20) -> Iterable[tuple[int, int]
             begin, size = i + 1, 0
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def byte_ranges(column: pa.Array, limit: int = 1 << 20) -> Iterable[tuple[int, int]]:
+    """Ranges of the values of a text or binary column of about limit bytes each, at least one value."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(ends):
+        done = int(ends[begin - 1]) if begin else 0
+        stop = min(len(ends), int(np.searchsorted(ends, done + limit)) + 1)
+        yield begin, stop
+        begin = stop

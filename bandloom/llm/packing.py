@@ -1,73 +1,248 @@
 """Lexical retrieval packing: windows filled by a seed document and its BM25 neighbours.
 
-Documents are dealt into shards of bounded size. Each shard holds its own inverted index; a seed
-queries it with its weightiest terms, and unused neighbours fill the seed's window in the order
-of their scores. The neighbour that crosses the window's end is cut there and its rest stays unused.
+Documents are encoded once and written. Weighted minwise terms deal likely neighbours into the same
+shard of bounded size. Each shard holds its own inverted index, with document frequencies and mean
+length of the whole table; a seed queries it with all of its terms, and unused neighbours fill the
+seed's window in the order of their scores. The neighbour that crosses the window's end is cut there
+and its rest stays unused.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chunks
-from .common import whole_text
+from .common import stored, whole_text
 
 K1, B = 1.2, 0.75
+LATIN_WORD = r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+$"
+KEYS = 3  # minwise terms by which documents are sorted into shards
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-_tables: dict[str, chunks.PieceTable] = {}
 
+class Ragged:
+    """Token ids by key, one after another in a flat array."""
 
-def _ids(path: str) -> chunks.PieceTable:
-    if path not in _tables:
-        tokenizer = chunks.load_tokenizer(path)
-        model = tokenizer.model
+    def __init__(self, kind: str):
+        self.slot: dict[str, int] = {}
+        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
 
-        def encode(batch: list[str]) -> list[bytes]:
-            """ids as bytes; a lower-cased ASCII word is a pre-token already and goes straight to the library's model."""
-            plain = [w.isascii() and w.isalpha() and w.islower() for w in batch]
-            others = iter(tokenizer.encode_batch_fast([w for w, p in zip(batch, plain, strict=True) if not p], add_special_tokens=False))
-            return [np.array([t.id for t in model.tokenize(w)] if p else next(others).ids, "<u4").tobytes() for w, p in zip(batch, plain, strict=True)]
+    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.slot.update(zip(keys, range(len(self.slot), len(self.slot) + len(keys)), strict=True))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.size, self.flat = np.concatenate([self.size, sizes]), np.concatenate([self.flat, ids.astype(self.flat.dtype)])
 
-        _tables[path] = chunks.PieceTable(encode, join=bytes.__add__)
-    return _tables[path]
+    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these slots in a row, and how many each has."""
+        sizes = self.size[slots]
+        return self.flat[np.repeat(self.start[slots] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))], sizes
+
+
+class WordEncoder:
+    """Ids of whole texts from a table of pieces, for a vocabulary with word ends that lower-cases and drops white space.
+
+    A word is encoded once whatever marks and capitals it comes with; new words of one kind of letters go to the library
+    in one string, which their word-end tokens part again.
+    """
+
+    def __init__(self, path: str, kind: str, max_pieces: int = 300_000):
+        self.library, self.kind, self.max_pieces = chunks.load_tokenizer(path), kind, max_pieces
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.parts, self.pieces = Ragged(self.kind), Ragged(self.kind)
+        self.parts.add([""], np.zeros(0, self.kind), np.zeros(1, np.int64))
+
+    def _learn_parts(self, plain: list[str], others: list[str]) -> None:
+        """Encode new parts; plain ones are words of lower-case Latin-1 letters alone."""
+        if plain:
+            ids = np.array(self.library.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int64)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(plain):
+                self.parts.add(plain, ids, np.diff(last, prepend=-1))
+            else:  # one of them is not one word to the library
+                others = [*others, *plain]
+        if others:
+            found = [e.ids for e in self.library.encode_batch_fast(others, add_special_tokens=False)]
+            self.parts.add(others, np.array(list(chain.from_iterable(found)), np.int64), np.array([len(f) for f in found], np.int64))
+
+    def _slots(self, table: Ragged, keys: list[str]) -> np.ndarray:
+        """The slot of each key, -1 for a new one."""
+        return np.fromiter(map(table.slot.get, keys, repeat(-1)), np.int64, len(keys))
+
+    def _learn(self, new: pa.Array) -> None:
+        stem = pc.utf8_rtrim(new, chunks.MARKS)
+        latin = pc.match_substring_regex(stem, LATIN_WORD)
+        words, pieces = pc.if_else(latin, pc.utf8_lower(stem), new).to_pylist(), new.to_pylist()
+        latin, length = latin.to_numpy(zero_copy_only=False), pc.utf8_length(stem).to_pylist()
+        marks = [piece[n:] if ok else "" for piece, n, ok in zip(pieces, length, latin.tolist(), strict=True)]
+        first, second = self._slots(self.parts, words), self._slots(self.parts, marks)
+        if (first < 0).any() or (second < 0).any():
+            unknown = np.flatnonzero(first < 0)
+            plain = list(dict.fromkeys(words[i] for i in unknown[latin[unknown]]))
+            self._learn_parts(plain, list(dict.fromkeys([*(words[i] for i in unknown[~latin[unknown]]), *(marks[i] for i in np.flatnonzero(second < 0))])))
+            for slots, keys in ((first, words), (second, marks)):
+                at = np.flatnonzero(slots < 0)
+                slots[at] = self._slots(self.parts, [keys[i] for i in at])
+        ids, sizes = self.parts.ids(np.stack([first, second], 1).ravel())
+        self.pieces.add(pieces, ids, sizes.reshape(-1, 2).sum(1))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's ids end."""
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        counts, coded = pc.list_value_length(words).to_numpy(), words.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        slots = self._slots(self.pieces, pieces)
+        if (slots < 0).any():
+            if len(self.pieces.slot) + int((slots < 0).sum()) > self.max_pieces:
+                self.forget()
+                slots[:] = -1
+            new = np.flatnonzero(slots < 0)
+            slots[new] = np.arange(len(new)) + len(self.pieces.slot)
+            self._learn(coded.dictionary.take(pa.array(new)))
+        ids, sizes = self.pieces.ids(slots[coded.indices.to_numpy()])
+        return ids, np.cumsum(sizes)[np.cumsum(counts) - 1]
+
+
+_encoders: dict[tuple[str, str], WordEncoder] = {}
+
+
+def _encoder(path: str, kind: str) -> WordEncoder:
+    chunks.hold("packing", _encoders.clear)
+    if (path, kind) not in _encoders:
+        _encoders[path, kind] = WordEncoder(path, kind)
+    return _encoders[path, kind]
+
+
+def _id_kind(path: str, end_id: int) -> str:
+    """The narrowest type that holds every id."""
+    most = max(end_id, max(chunks.load_tokenizer(path).get_vocab(with_added_tokens=True).values()))
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def encoded(docs: DataFrame, path: str, kind: str, end_id: int) -> DataFrame:
+    """row (a number of its own), doc_id, n and ids of every text, end_id included."""
+    end = np.array([end_id], kind).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, at = _encoder(path, kind), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            texts = batch.column("text")
+            for begin, stop in chunks.byte_ranges(texts, 2 << 20):
+                ids, ends = encoder.encode(texts[begin:stop])
+                starts = np.concatenate([[0], ends[:-1]])
+                body = pa.array([ids[b:e].tobytes() + end for b, e in zip(starts, ends, strict=True)], pa.binary())
+                rows = pa.array(np.arange(at + begin, at + stop), pa.int64())
+                yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id")[begin:stop], pa.array(ends - starts + 1, pa.int64()), body], ["row", "doc_id", "n", "ids"])
+            at += len(texts)
+
+    return whole_text(docs).mapInArrow(run, "row long, doc_id long, n long, ids binary")
+
+
+def _distinct_terms(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """document number, term and count of each distinct term of each document, in that order."""
+    lengths = np.array([len(d) for d in ids])
+    key, count = np.unique((np.repeat(np.arange(len(ids)), lengths) << 32) | np.concatenate(ids).astype(np.int64), return_counts=True)
+    return key >> 32, key & 0xFFFFFFFF, count
+
+
+def _batches(column: pa.Array, kind: str, most: int = 1 << 20) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Where each part of about most bytes begins, and its documents' ids."""
+    values = column.to_pylist()
+    for begin, stop in chunks.by_bytes(values, most):
+        yield begin, [np.frombuffer(v, kind) for v in values[begin:stop]]
+
+
+def document_frequencies(table: DataFrame, kind: str) -> tuple[np.ndarray, int, float]:
+    """How many documents hold each term, over all of the table, how many documents it has and their mean length.
+
+    One row a term and task is shuffled; what comes to the driver is bounded by the vocabulary.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks.hold("packing", _encoders.clear)
+        found, n, total = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            for _, ids in _batches(batch.column("ids"), kind):
+                own = np.bincount(_distinct_terms(ids)[1])
+                size = max(len(own), len(found))
+                found = np.pad(found, (0, size - len(found))) + np.pad(own, (0, size - len(own)))
+                n, total = n + len(ids), total + sum(map(len, ids))
+        terms = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], terms]), pa.int64()), pa.array(np.concatenate([[n, total], found[terms]]), pa.int64())], ["term", "n"])
+
+    rows = table.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    by_term = {r.term: r.n for r in rows}
+    n, total = by_term.pop(-1, 0), by_term.pop(-2, 0)
+    out = np.zeros(max(by_term, default=0) + 1, np.int64)
+    out[list(by_term)] = list(by_term.values())
+    return out, n, total / max(1, n)
+
+
+def inverse_frequency(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log1p((n - df + 0.5) / (df + 0.5))
+
+
+def _minwise_terms(ids: list[np.ndarray], weight: np.ndarray) -> np.ndarray:
+    """For each document KEYS of its terms, each the first in a race whose speeds are the terms' weights.
+
+    Two documents share such a term with the probability of their weighted similarity.
+    """
+    doc, term, count = _distinct_terms(ids)
+    speed = weight[term] * count / (count + K1)
+    begins = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    out = []
+    for k in range(KEYS):
+        time = -np.log(np.random.default_rng(k + 1).random(len(weight)))[term] / np.maximum(speed, 1e-12)
+        first = time == np.repeat(np.minimum.reduceat(time, begins), np.diff(np.r_[begins, len(doc)]))
+        at = np.flatnonzero(first)
+        out.append(term[at[np.searchsorted(doc[at], np.arange(len(ids)))]])
+    return np.stack(out, 1)
 
 
 class ShardIndex:
-    """BM25 over the token ids of one shard's documents."""
+    """Inverted index of one shard's documents: by term the documents that hold it, with their BM25 weights."""
 
-    def __init__(self, docs: list[np.ndarray]):
-        n = len(docs)
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
         lengths = np.array([len(d) for d in docs])
-        key, tf = np.unique(np.concatenate(docs).astype(np.int64) * n + np.repeat(np.arange(n), lengths), return_counts=True)
-        term, self.doc = np.divmod(key, n)
-        first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-        df = np.diff(np.r_[first, len(term)])
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / lengths.mean()))
-        self.span = np.stack([np.repeat(first, df), np.repeat(first + df, df)], 1)
-        self.by_doc = np.argsort(self.doc, kind="stable")
-        self.doc_start = np.searchsorted(self.doc[self.by_doc], np.arange(n + 1))
-        self.n = n
-
-    def scores(self, seed: int, n_terms: int) -> np.ndarray:
-        """Every document's score for the seed's n_terms weightiest terms."""
-        postings = self.by_doc[self.doc_start[seed] : self.doc_start[seed + 1]]
-        if len(postings) > n_terms:
-            postings = postings[np.argsort(-self.weight[postings], kind="stable")[:n_terms]]
-        out = np.zeros(self.n)
-        for begin, end in self.span[postings]:
-            out[self.doc[begin:end]] += self.weight[begin:end]
+        doc, term, tf = _distinct_terms(docs)
+        self.terms, self.term_start = term, np.searchsorted(doc, np.arange(len(docs) + 1))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean_length))
+        order = np.argsort(term, kind="stable")
+        self.doc, self.weight, self.span = doc[order], weight[order], np.searchsorted(term[order], np.arange(len(idf) + 1))
+        self.n = self.held = len(docs)
+
+    def drop(self, unused: np.ndarray) -> None:
+        """Leave out the postings of used documents once they are a third."""
+        left = int(unused.sum())
+        if left < self.held * 2 / 3:
+            keep = unused[self.doc]
+            self.span = np.concatenate([[0], np.cumsum(keep)])[self.span]
+            self.doc, self.weight, self.held = self.doc[keep], self.weight[keep], left
+
+    def scores(self, seed: int) -> np.ndarray:
+        """Every unused document's score for all of the seed's terms."""
+        own = self.terms[self.term_start[seed] : self.term_start[seed + 1]]
+        out, doc, weight = np.zeros(self.n), self.doc, self.weight
+        for begin, end in zip(self.span[own].tolist(), self.span[own + 1].tolist(), strict=True):
+            out[doc[begin:end]] += weight[begin:end]
         return out
 
 
-def fill_windows(docs: list[np.ndarray], window: int, n_terms: int) -> list[list[tuple[int, int, int]]]:
+def fill_windows(docs: list[np.ndarray], window: int, idf: np.ndarray, mean_length: float) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (document, start, length); each id of docs lies in exactly one.
 
     All are full but those of the last window, which is cut to falling powers of two instead of padded.
@@ -76,7 +251,7 @@ def fill_windows(docs: list[np.ndarray], window: int, n_terms: int) -> list[list
     start = lengths // window * window
     out = [[(i, s, window)] for i in range(len(docs)) for s in range(0, int(start[i]), window)]
     left = lengths - start
-    index = ShardIndex(docs) if (left > 0).sum() > 1 else None
+    index = ShardIndex(docs, idf, mean_length) if (left > 0).sum() > 1 else None
     for seed in range(len(docs)):
         while left[seed]:
             room, parts = window, []
@@ -91,7 +266,12 @@ def fill_windows(docs: list[np.ndarray], window: int, n_terms: int) -> list[list
             room -= take(seed, room)
             rest = np.flatnonzero(left)
             if room and len(rest):
-                scores = index.scores(seed, n_terms)[rest]
+                index.drop(left > 0)
+                scores = index.scores(seed)[rest]
+                if len(rest) > 512:  # enough of the best for the window, ties at the cut included
+                    held = np.flatnonzero(scores >= np.partition(scores, len(rest) - 256)[len(rest) - 256])
+                    if left[rest[held]].sum() >= room:
+                        rest, scores = rest[held], scores[held]
                 rest = rest[np.lexsort((rest, -scores))]
                 for i in rest[: int(np.searchsorted(np.cumsum(left[rest]), room)) + 1]:
                     room -= take(int(i), room)
@@ -111,40 +291,61 @@ def fill_windows(docs: list[np.ndarray], window: int, n_terms: int) -> list[list
     return out
 
 
-def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, tokenizer: str | None = None, shard_bytes: int = 8 << 20, n_terms: int = 24) -> DataFrame:
+def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, tokenizer: str | None = None, shard_tokens: int = 1 << 19, task_tokens: int = 16 << 20) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most window tokens.
 
     A document is its text's ids and end_id, so a null or empty text is the one id end_id. Repeated
     rows are packed each on its own; a null doc_id stays null; a document longer than the window
     fills sequences alone, and only its rest joins others; equal scores go in the order of doc_id;
-    other columns are ignored; no rows give no rows. shard_bytes bounds what one task indexes,
-    beyond a single longer text; the number of shards follows the bytes of text.
+    other columns are ignored; no rows give no rows. shard_tokens bounds what an index holds, beyond
+    a single longer text. Documents are sorted by their minwise terms and dealt by ranges, so no key
+    gathers more than a shard; a range has about task_tokens where that is more parts than the
+    session's shuffle partitions.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    texts = whole_text(docs)
-    total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-
-    def one_shard(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        pieces = _ids(path)
-        end = np.array([end_id], "<u4").tobytes()
-        docs = []
-        for begin, stop in chunks.by_bytes([r[1] for r in rows]):
-            words = [chunks.space_pieces(text) for _, text in rows[begin:stop]]
-            pieces.learn(words)
-            docs += [np.frombuffer(b"".join([*map(pieces.__getitem__, w), end]), "<u4") for w in words]
-        out = []
-        for k, sequence in enumerate(fill_windows(docs, window, n_terms)):
-            offset = 0
-            for i, start, length in sequence:
-                out.append((rows[i][0], start, length, zlib.crc32(docs[i][start : start + length].tobytes()), len(docs[i]), (shard << 32) + k, offset))
-                offset += length
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], [f.split()[0] for f in SCHEMA.split(", ")])
-
-    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(one_shard, SCHEMA)
+    kind = _id_kind(path, end_id)
+    table = stored(encoded(docs, path, kind, end_id))
+    df, n, mean_length = document_frequencies(table, kind)
+    idf = inverse_frequency(df, n)
+    sent = table.sparkSession.sparkContext.broadcast((idf, np.where(df > 1, idf, 0.0)))  # bounded by the vocabulary
+    parts = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(n * mean_length) // task_tokens + 1)
+    names = [f"k{k}" for k in range(KEYS)]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks.hold("packing", _encoders.clear)
+        for batch in batches:
+            keys = [np.zeros((0, KEYS), np.int64), *(_minwise_terms(ids, sent.value[1]) for _, ids in _batches(batch.column("ids"), kind))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in np.concatenate(keys).T)], [*batch.schema.names, *names])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks.hold("packing", _encoders.clear)
+        number = TaskContext.get().partitionId() << 33
+
+        def shard(rows: list[tuple]) -> pa.RecordBatch:
+            nonlocal number
+            rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+            ids, out = [np.frombuffer(r[2], kind) for r in rows], []
+            for sequence in fill_windows(ids, window, *([sent.value[0], mean_length])):
+                offset = 0
+                for i, start, length in sequence:
+                    out.append((rows[i][0], start, length, zlib.crc32(ids[i][start : start + length].astype("<u4").tobytes()), len(ids[i]), number, offset))
+                    offset += length
+                number += 1
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], [f.split()[0] for f in SCHEMA.split(", ")])
+
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "ids", "n")), strict=True):
+                held.append(row)
+                size += row[3]
+                if size >= shard_tokens:
+                    yield shard(held)
+                    held, size = [], 0
+        if held:
+            yield shard(held)
+
+    ranged = table.mapInArrow(keyed, "row long, doc_id long, n long, ids binary, " + ", ".join(f"{k} long" for k in names))
+    return ranged.repartitionByRange(parts, *names, "row").sortWithinPartitions(*names, "row").mapInArrow(fill, SCHEMA)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from bandloom.llm import bpe, chunks, components, hosts, language, neardup, packing, sharding, syncmers, token_counts, topk, toxicity
+from bandloom.llm import bpe, chunks, components, hosts, language, neardup, sharding, syncmers, token_counts, topk, toxicity
 
 RND = random.Random(5)
 WORDS = ["the", "Of", "thing", "don't", "über", "naïve,", "漢字", "a1b2", "x" * 40, "...", "İ", "<|endoftext|>", "É!", "ﬁn"]
@@ -56,33 +56,6 @@ def test_pieces_are_safe_cuts():
         assert sum(len(lib.encode(p, add_special_tokens=False).ids) for p in chunks.spaced_pieces(text)) == len(lib.encode(text, add_special_tokens=False).ids)
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 10, 8 << 20])
-def test_packing_holds_each_id_once(docs, shard_bytes):
-    lib = tokenizer("word_bpe_49k.json")
-    got = packing.pack(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), window=256, shard_bytes=shard_bytes).collect()
-    ids = {i: [*lib.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(TEXTS)}
-    seen = {i: [] for i in ids}
-    sequences = {}
-    for r in got:
-        part = np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4")
-        assert r.ids_crc32 == zlib.crc32(part.tobytes()) and r.doc_tokens == len(ids[r.doc_id])
-        seen[r.doc_id] += range(r.start, r.start + r.length)
-        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    assert all(sorted(s) == list(range(len(ids[i]))) for i, s in seen.items())
-    for parts in sequences.values():
-        at = 0
-        for offset, length in sorted(parts):
-            assert offset == at
-            at += length
-        assert at <= 256 and at & (at - 1) == 0
-
-
-def test_bm25_prefers_shared_words():
-    docs = [np.array([1, 2, 3, 9]), np.array([7, 8, 7]), np.array([2, 3, 5])]
-    scores = packing.ShardIndex(docs).scores(0, 8)
-    assert scores[2] > scores[1] == 0
-
-
 def test_syncmers(docs, spark):
     clean = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     got = rows_of(syncmers.fingerprint_documents(clean))
