@@ -199,17 +199,59 @@ def test_host_verdicts(spark):
     assert got[7][2:] == ("www.example.com/en/", "allow") and got[8][2:] == ("example.com/en/", "block") and got[9] == ("good.com", "", None, "allow") and got[10][2] is None
 
 
-def test_propagation_equals_a_plain_loop(spark):
-    edges, seeds = [("a", "b"), ("b", "c"), ("a", "c")], {"a": 2.0, "c": 1.0}
-    mass = start = {h: w / 3 for h, w in seeds.items()}
-    out = {"a": 2, "b": 1}
-    for _ in range(8):
-        moved = {h: 0.15 * start.get(h, 0) for h in "abc"}
-        for x, y in edges:
-            moved[y] += 0.85 * mass.get(x, 0) / out[x]
+def plain_pagerank(edges, seeds, rounds):
+    hosts_of = {h for e in edges for h in e} | set(seeds)
+    degree = {h: sum(a == h for a, _ in edges) for h in hosts_of}
+    start = {h: 0.15 * seeds.get(h, 0) / sum(seeds.values()) for h in hosts_of}
+    mass = dict(start)
+    for _ in range(rounds):
+        moved = dict(start)
+        for a, b in edges:
+            moved[b] += 0.85 * mass[a] / degree[a]
         mass = moved
-    got = hosts.propagate(spark.createDataFrame(edges, "a string, b string"), spark.createDataFrame([("trust", h, w) for h, w in seeds.items()], "side string, host string, weight double"))
-    assert {r.host: pytest.approx(r.mass) for r in got.collect()} == {h: m for h, m in mass.items() if m}
+    return mass
+
+
+@pytest.mark.parametrize("block_edges", [2, 1000])
+def test_propagation_equals_a_plain_loop(spark, block_edges):
+    """A random graph over several domains, whole in one block and cut into many, with a hub beyond a block's size."""
+    rnd = random.Random(9)
+    names = [f"h{i}.d{i % 3}.org" for i in range(12)]
+    edges = sorted({(a, b) for a in names for b in rnd.sample(names, 2) if a != b} | {(names[0], b) for b in names[1:]})
+    seeds = {names[1]: 2.0, names[5]: 1.0, "alone.org": 1.0}
+    rows = [(side, h, w) for side in ("trust", "distrust") for h, w in seeds.items()]
+    got = hosts.propagate(spark.createDataFrame(edges, "a string, b string"), spark.createDataFrame(rows, "side string, host string, weight double"), block_edges=block_edges)
+    found = {(r.side, r.host): r.mass for r in got.collect()}
+    for side, way in (("trust", edges), ("distrust", [(b, a) for a, b in edges])):
+        want = plain_pagerank(way, seeds, 200)
+        assert {h: m for (s, h), m in found.items() if s == side} == {h: pytest.approx(m, rel=1e-4) for h, m in want.items() if m}
+
+
+def test_verdicts_of_a_random_graph_equal_a_plain_loop(spark):
+    """host_edges, seeds and verdicts by brute force, with repeated pages, nulls and a clashing column."""
+    rnd = random.Random(4)
+    names = [f"{a}.{b}" for a in ("x", "y.x", "z") for b in ("com", "net", "org", "info")]
+    pages = [(i, f"http://{rnd.choice(names)}/{rnd.choice(['es/', 'fr/', 'a'])}", "".join(f'<a href="http://{rnd.choice(names)}/">' for _ in range(rnd.randint(0, 2))), "c") for i in range(40)]
+    pages += [pages[0], (None, None, None, "c")]
+    rows = hosts.judge(spark.createDataFrame(pages, "page_id long, url string, html string, host string")).collect()
+    assert len(rows) == len(pages) and hosts.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    host = {i: u.split("://")[1].split("/")[0] for i, u, *_ in pages if u}
+    edges = {(host[i], link.split("://")[1].split("/")[0]) for i, _, html, _ in pages if i is not None for link in html.split('"')[1::2]}
+    known = set(host.values()) | {b for _, b in edges}
+    for name in known:
+        while name.count(".") > 1:
+            up = name.split(".", 1)[1]
+            edges |= {(name, up), (up, name)}
+            name = up
+    edges = sorted((a, b) for a, b in edges if a != b)
+    seeds = {"allow": {}, "block": {}}
+    for r in rows:
+        if r.rule:
+            seeds[r.verdict][r.host] = seeds[r.verdict].get(r.host, 0) + 1
+    trust, distrust = plain_pagerank(edges, seeds["allow"], 300), plain_pagerank([(b, a) for a, b in edges], seeds["block"], 300)
+    for r in rows:
+        if not r.rule:
+            assert r.verdict == ("block" if distrust.get(r.host, 0) > trust.get(r.host, 0) * (1 + 1e-5) else "allow"), r
 
 
 def test_far_and_faint_hosts_are_judged(spark):
