@@ -27,6 +27,7 @@ from .components import components
 SKETCH = 128  # minwise tokens of which a byte each is kept, for the children of large nodes
 CHOICES, SPAN, LEVELS = 6, 4, 4  # children of each text of a large node, tokens that a child's texts share, levels of children
 FIRST_TREES, PIVOTS, SALTS = 2, 32, 16
+SIEVE = 18  # 2 ** SIEVE words of 64 bits tell most rows that a join does not need
 WIDEST = 18  # a bitmap has at most 2 ** WIDEST bits; a larger set only makes its bound weaker
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -180,6 +181,23 @@ def _profiles(docs: DataFrame, width: int, trees: int) -> DataFrame:
     return docs.select(F.struct("*").alias("doc")).mapInArrow(run, T.StructType(own + more))
 
 
+def _sieve(ids: DataFrame) -> DataFrame:
+    """word and mask: a bitmap of hashes of the ids' only column, of at most 2 ** SIEVE words whatever their number."""
+    id_ = ids.columns[0]
+    return ids.select(*_spot(id_)).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, spot)")).alias("mask"))
+
+
+def _spot(id_: str) -> tuple[Column, Column]:
+    hashed = F.xxhash64(id_)
+    return F.pmod(hashed, F.lit(1 << SIEVE)).alias("word"), F.pmod(F.shiftright(hashed, 32), F.lit(64)).cast("int").alias("spot")
+
+
+def _through(df: DataFrame, id_: str, sieve: DataFrame) -> DataFrame:
+    """df with passes: false only where the id is surely none of the sieve's. A broadcast of bounded size, so df is not shuffled."""
+    met = df.withColumns(dict(zip(("word", "spot"), _spot(id_), strict=True))).join(F.broadcast(sieve), "word", "left")
+    return met.withColumn("passes", F.coalesce(F.expr("bit_get(mask, spot) = 1"), F.lit(False))).drop("word", "spot", "mask")
+
+
 def _by_node(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[list]]:
     """The named columns as lists, node by node, of rows that come sorted by node."""
     kept: list[list] = [[] for _ in range(len(names) + 1)]
@@ -213,7 +231,8 @@ def _links(members: DataFrame, rows: DataFrame, width: int, percent: int) -> Dat
 
     of_bits = members.join(rows.select(F.col("row").alias("v"), "bits"), "v").select("node", "v", "n_shingles", "label", "bits")
     sifted = stored(of_bits.repartition("node").sortWithinPartitions("node", "n_shingles", "v").mapInArrow(sift, "node long, v long, n_shingles long, label long"))
-    of_text = sifted.join(rows.select(F.col("row").alias("v"), "doc.text"), "v").select("node", "v", "n_shingles", "label", "text")
+    texts = _through(rows.select(F.col("row").alias("v"), "doc.text"), "v", _sieve(sifted.select("v"))).filter("passes")
+    of_text = sifted.join(texts, "v").select("node", "v", "n_shingles", "label", "text")
     return stored(of_text.repartition("node").sortWithinPartitions("node", "n_shingles", "v").mapInArrow(compare, "a long, b long").distinct())
 
 
@@ -311,15 +330,15 @@ def _groups(rows: DataFrame, width: int, percent: int, trees: int, small: int, h
     return joined.join(named, "component", "left").select("d1", "d2", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("first.least")).alias("component_id"), F.coalesce("first.v", "v").alias("kept_row"))
 
 
-def _judged(docs: DataFrame, width: int, similarity: float, trees: int, small: int, heavy: int) -> DataFrame:
-    """doc (the row as a struct), n_shingles, component_id, and chosen: the one row of each group that stands for it."""
+def _judged(docs: DataFrame, width: int, similarity: float, trees: int, small: int, heavy: int) -> tuple[DataFrame, DataFrame]:
+    """The profiles; and of each row row, doc_id, n_shingles, component_id, and chosen: the one row of each group that stands for it."""
     rows = stored(_profiles(docs, width, trees))
     groups = _groups(rows, width, round(similarity * 100), trees, small, heavy).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # Copies of one text can be a third of all rows, so a digest meets its rows in several places.
-    spread = rows.select("row", "doc", "n_shingles", F.coalesce("d1", "row").alias("d1"), "d2", F.pmod(F.col("row"), F.lit(SALTS)).cast("int").alias("salt"))
+    spread = rows.select("row", "doc.doc_id", "n_shingles", F.coalesce("d1", "row").alias("d1"), "d2", F.pmod(F.col("row"), F.lit(SALTS)).cast("int").alias("salt"))
     joined = spread.join(groups, ["d1", "d2", "salt"], "left")
     alone = F.col("kept_row").isNull()
-    return joined.select("doc", "n_shingles", F.when(alone, F.col("doc.doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("row") == F.col("kept_row"))).alias("chosen"))
+    return rows, joined.select("row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("row") == F.col("kept_row"))).alias("chosen"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, trees: int = 8, small: int = 4096, heavy: int = 1 << 21) -> DataFrame:
@@ -342,9 +361,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, tr
     larger after LEVELS are compared exhaustively by parts: slow (the square of the node), but nothing is
     left out. Bitmaps rule out only pairs that their bound proves to be below the similarity.
     """
-    judged = _judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, similarity, trees, small, heavy)
-    kept = F.when(F.col("component_id").isNull(), F.col("chosen")).otherwise(F.coalesce(F.col("doc.doc_id") == F.col("component_id"), F.lit(False)))
-    return judged.select("doc.doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    _, judged = _judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, similarity, trees, small, heavy)
+    kept = F.when(F.col("component_id").isNull(), F.col("chosen")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return judged.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, trees: int = 8, small: int = 4096, heavy: int = 1 << 21) -> DataFrame:
@@ -353,7 +372,11 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, t
     Rows without words, null and empty texts all stay. Repeated rows, of one doc_id or of none, are
     copies like any others, so one stays. No rows give no rows.
     """
-    return _judged(docs, width, similarity, trees, small, heavy).filter("chosen").select("doc.*")
+    rows, judged = _judged(docs, width, similarity, trees, small, heavy)
+    dropped = stored(judged.filter("NOT chosen").select(F.col("row").alias("dropped")))
+    met = _through(rows.select("row", "doc"), "row", _sieve(dropped))
+    sure, doubtful = met.filter("NOT passes"), met.filter("passes")
+    return sure.select("doc.*").unionByName(doubtful.join(dropped, F.col("row") == F.col("dropped"), "left_anti").select("doc.*"))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
