@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import strip
 
 NUMBER = r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
+NUMBER_OR_BOOLEAN = NUMBER.replace("(", "(BOOLEAN|", 1)
 
 
 def field(v: Column, name: str) -> Column:
@@ -25,12 +28,23 @@ def is_number(v: Column) -> Column:
 
 
 def is_kind(v: Column, name: str) -> Column:
+    """Whether a scalar is of this kind. For lists and objects, which kind() would walk whole, see is_list and is_object."""
     return F.coalesce(kind(v).startswith(name), F.lit(False))
 
 
+def items(v: Column, path: str = "$") -> Column:
+    """The list's items; null where it is missing or of another kind."""
+    return F.try_variant_get(v, path, "array<variant>")
+
+
+def is_object(v: Column) -> Column:
+    """Looks at the value itself only, not at what it holds."""
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
 def as_double(v: Column) -> Column:
     """Numbers and booleans; a string is not a number here."""
-    return F.when(is_number(v) | is_kind(v, "BOOLEAN"), F.try_variant_get(v, "$", "double"))
+    return F.when(kind(v).rlike(NUMBER_OR_BOOLEAN), F.try_variant_get(v, "$", "double"))
 
 
 def as_text(v: Column) -> Column:
@@ -41,8 +55,11 @@ def as_text(v: Column) -> Column:
 
 def truthy(v: Column) -> Column:
     """False for null, false, zero and anything empty."""
-    empty = F.coalesce(F.to_json(v), F.lit("null")).isin("null", "false", '""', "[]", "{}")
-    return F.coalesce(~empty & ~(is_number(v) & (as_double(v) == 0)), F.lit(False))
+    found = kind(v)
+    return (
+        F.when(found.isNull(), False).when(found == "STRING", F.try_variant_get(v, "$", "string") != "")
+        .when(found.rlike(NUMBER_OR_BOOLEAN), F.try_variant_get(v, "$", "double") != 0).otherwise(~F.to_json(v).isin("[]", "{}"))
+    )
 
 
 def text_or_null(v: Column) -> Column:
@@ -66,14 +83,14 @@ def confidence(v: Column) -> Column:
 
 def list_field(v: Column, name: str) -> Column:
     """The list's items; empty where it is missing or of another kind."""
-    found = field(v, name)
-    return F.coalesce(F.when(is_kind(found, "ARRAY"), F.try_variant_get(found, "$", "array<variant>")), F.array().cast("array<variant>"))
+    return F.coalesce(items(v, f"$.{name}"), F.array().cast("array<variant>"))
 
 
 def bad_list(v: Column, name: str) -> Column:
     """Whether the list is a JSON null, number or boolean, which cannot be walked."""
     found = field(v, name)
-    return F.coalesce(F.is_variant_null(found), F.lit(False)) | is_number(found) | is_kind(found, "BOOLEAN")
+    scalar = F.coalesce(F.is_variant_null(found), F.lit(False)) | F.coalesce(kind(found).rlike(NUMBER_OR_BOOLEAN), F.lit(False))
+    return F.when(found.isNull() | items(found).isNotNull(), False).otherwise(scalar)
 
 
 def last_item(items: Column) -> Column:
@@ -81,4 +98,10 @@ def last_item(items: Column) -> Column:
 
 
 def objects(items: Column) -> Column:
-    return F.filter(items, lambda x: is_kind(x, "OBJECT"))
+    return F.filter(items, is_object)
+
+
+def members_json(v: Column, keys: Sequence[str]) -> Column:
+    """JSON text of an object with those of the keys that v has."""
+    shown = [F.when(field(v, k).isNotNull(), F.concat(F.lit(f'"{k}":'), F.to_json(field(v, k)))) for k in keys]
+    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*shown)), ","), F.lit("}"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ LISTS = ("lanes_left_to_right", "targets_top_to_bottom", "bands")
 def is_positive(extraction: Column) -> Column:
     """Only the JSON boolean true counts."""
     flag = V.field(extraction, "is_western_blot")
-    return F.coalesce(V.is_kind(extraction, "OBJECT") & V.is_kind(flag, "BOOLEAN") & F.try_variant_get(extraction, "$.is_western_blot", "boolean"), F.lit(False))
+    return F.coalesce(V.is_object(extraction) & V.is_kind(flag, "BOOLEAN") & F.try_variant_get(extraction, "$.is_western_blot", "boolean"), F.lit(False))
 
 
 def panels_of(extraction: Column) -> Column:
@@ -111,23 +113,37 @@ def needs_retry(results: DataFrame) -> DataFrame:
     rows = flatten_records(numbered).select(F.coalesce("candidate_path", F.lit("")).alias("path")).distinct().withColumn("has_rows", F.lit(True))
     unwalkable = F.exists(panels_of(ext), lambda p: V.bad_list(p, LISTS[0]) | V.bad_list(p, LISTS[1]) | V.bad_list(p, LISTS[2]))
     flag = V.field(ext, "is_western_blot")
-    sound = V.is_kind(ext, "OBJECT") & ~V.truthy(V.field(ext, "error")) & V.is_kind(flag, "BOOLEAN")
+    sound = V.is_object(ext) & ~V.truthy(V.field(ext, "error")) & V.is_kind(flag, "BOOLEAN")
     fruitless = is_positive(ext) & (F.col("has_rows").isNull() | unwalkable)
     joined = results.join(rows, F.coalesce("candidate_path", F.lit("")) == F.col("path"), "left")
     return joined.withColumn("needs_retry", ~F.coalesce(sound, F.lit(False)) | F.coalesce(fruitless, F.lit(False))).drop("path", "has_rows")
 
 
-def merge_parts(parts: DataFrame) -> DataFrame:
-    """One extraction per candidate from the parts of a split crop: key, part_no, extraction VARIANT -> key, merged fields.
+def merge_parts(parts: DataFrame, warning: str | None = None) -> DataFrame:
+    """One extraction per candidate from the parts of a split crop: key, part_no, extraction VARIANT -> key, extraction VARIANT.
 
-    For each root key the first truthy value in part order; panels and warnings in order; a part
-    without panels is a panel itself. Candidates without a positive part give no row.
+    For each root key the first truthy value in part order, otherwise an empty text; panels and
+    warnings in order, then the given warning; a part without panels gives a panel of its own
+    panel keys. A column request_path is listed as split_candidate_paths. Candidates without a
+    positive part give no row.
     """
     ext = F.col("extraction")
-    firsts = {k: F.when(V.truthy(V.field(ext, k)), V.as_text(V.field(ext, k))) for k in ROOT_KEYS}
-    rows = parts.filter(is_positive(ext)).select("key", "part_no", panels_of(ext).alias("panels"), V.list_field(ext, "warnings").alias("warnings"), *[v.alias(k) for k, v in firsts.items()])
-    ordered = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("part_no", *ROOT_KEYS))).alias("ordered"), F.collect_list(F.struct("part_no", "panels", "warnings")).alias("lists"))
-    first = {k: F.coalesce(F.try_element_at(F.filter(F.transform("ordered", lambda x: x[k]), lambda s: s.isNotNull()), F.lit(1)), F.lit("")) for k in ROOT_KEYS}
-    by_part = F.array_sort("lists", lambda a, b: F.when(a["part_no"] < b["part_no"], -1).when(a["part_no"] > b["part_no"], 1).otherwise(0))
-    merged = ordered.withColumn("by_part", by_part)
-    return merged.select("key", *[v.alias(k) for k, v in first.items()], F.flatten(F.transform("by_part", lambda p: p["panels"])).alias("panels"), F.flatten(F.transform("by_part", lambda p: p["warnings"])).alias("warnings")).filter(F.size("panels") > 0)
+    listed = V.list_field(ext, "panels")
+    panels = F.when(F.size(listed) > 0, F.transform(V.objects(listed), lambda p: F.to_json(p))).otherwise(F.array(V.members_json(ext, PANEL_KEYS)))
+    values = {k: F.when(V.truthy(V.field(ext, k)), F.to_json(V.field(ext, k))) for k in ROOT_KEYS}
+    path = F.to_json(F.array("request_path")) if "request_path" in parts.columns else F.lit(None).cast("string")
+    lists = {"panels": panels, "warnings": F.transform(V.list_field(ext, "warnings"), lambda w: F.to_json(w)), "path": path}
+    rows = parts.select("key", F.struct("part_no", *[v.alias(k) for k, v in (values | lists).items()], is_positive(ext).alias("counts")).alias("part"))
+    grouped = rows.groupBy("key").agg(F.array_sort(F.collect_list("part")).alias("all")).withColumn("parts", F.filter("all", lambda p: p["counts"]))
+    first = {k: F.coalesce(F.try_element_at(F.array_compact(F.transform("parts", lambda p: p[k])), F.lit(1)), F.lit('""')) for k in ROOT_KEYS}  # noqa: B023
+    joined = {k: F.flatten(F.transform("parts", lambda p: p[k])) for k in ("panels", "warnings")}  # noqa: B023
+    warnings = F.concat(joined["warnings"], F.array(*([F.to_json(F.parse_json(F.lit(json.dumps(warning))))] if warning else [])).cast("array<string>"))
+    body = [F.lit('{"is_western_blot":true')]
+    for k, v in first.items():
+        body += [F.lit(f',"{k}":'), v]
+    body += [F.lit(',"panels":['), F.array_join(joined["panels"], ","), F.lit('],"warnings":['), F.array_join(warnings, ","), F.lit("]")]
+    if "request_path" in parts.columns:
+        paths = F.transform("all", lambda p: F.substring(p["path"], F.lit(2), F.length(p["path"]) - 2))
+        body += [F.lit(',"split_candidate_paths":['), F.array_join(paths, ","), F.lit("]")]
+    merged = grouped.filter(F.size("parts") > 0).filter(F.size(joined["panels"]) > 0)
+    return merged.select("key", F.parse_json(F.concat(*body, F.lit("}"))).alias("extraction"))

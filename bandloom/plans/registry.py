@@ -395,15 +395,20 @@ def run_summary(spark, sf_dir):
     return extract.run_summary(table(spark, sf_dir, "documents"), results, results.filter("doc_id % 3 = 0"), F.col("toxic") == 1, F.col("quality") == 0)
 
 
-@query("SELECT conv_id, coalesce(arg_min(role, turn) FILTER (turn >= 1), '') AS figure_label, count(*) AS n_panels, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS turns FROM conversations GROUP BY conv_id")
+@query("""SELECT conv_id, coalesce(arg_min(role, turn) FILTER (turn >= 1), '') AS figure_label, count(*) AS n_panels,
+'[' || string_agg(CASE WHEN turn % 3 = 2 THEN '{"panel_label":"own"}' ELSE '{"panel_label":' || turn || ',"warnings":["' || turn || '"]}' END, ',' ORDER BY turn) || ']' AS panels,
+string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) || ',split' AS warnings FROM conversations GROUP BY conv_id""")
 def merge_parts(spark, sf_dir):
-    """Turns are parts: the first turn's label is blank, so the second's counts; each part is a panel of its own."""
+    """Turns are parts: the first turn's label is blank, so the second's counts; a part with panels brings those, any other its own panel keys."""
     label = F.when(F.col("turn") >= 1, F.col("role")).otherwise("")
-    ext = F.to_json(F.struct(F.lit(True).alias("is_western_blot"), label.alias("figure_label"), F.col("turn").alias("panel_label"), F.array(F.col("turn").cast("string")).alias("warnings")))
+    own = F.when(F.col("turn") % 3 == 2, F.array(F.struct(F.lit("own").alias("panel_label"))))
+    ext = F.to_json(F.struct(F.lit(True).alias("is_western_blot"), label.alias("figure_label"), F.col("turn").alias("panel_label"), own.alias("panels"), F.array(F.col("turn").cast("string")).alias("warnings")))
     parts = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("part_no"), F.parse_json(ext).alias("extraction"))
-    out = flatten.merge_parts(parts)
-    turns = F.array_join(F.transform("warnings", lambda w: F.try_variant_get(w, "$", "string")), ",")
-    return out.select(F.col("key").alias("conv_id"), "figure_label", F.size("panels").cast("long").alias("n_panels"), turns.alias("turns"))
+    out, ext = flatten.merge_parts(parts, "split"), F.col("extraction")
+    warnings = F.array_join(F.try_variant_get(ext, "$.warnings", "array<string>"), ",")
+    panels = V.list_field(ext, "panels")
+    shown = F.concat(F.lit("["), F.array_join(F.transform(panels, lambda p: F.to_json(p)), ","), F.lit("]"))
+    return out.select(F.col("key").alias("conv_id"), F.try_variant_get(ext, "$.figure_label", "string").alias("figure_label"), F.size(panels).cast("long").alias("n_panels"), shown.alias("panels"), warnings.alias("warnings"))
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'bad_json' END AS error, CASE event_id % 3 WHEN 0 THEN NULL ELSE event_type END AS kind FROM events")
@@ -418,4 +423,4 @@ def model_json(spark, sf_dir):
 @query("SELECT event_id, CAST(json_type(props, '$') AS VARCHAR) = 'OBJECT' AS is_object, len(json_keys(props)) AS n_keys FROM events WHERE props IS NOT NULL")
 def json_props(spark, sf_dir):
     v = F.try_parse_json("props")
-    return table(spark, sf_dir, "events").filter("props IS NOT NULL").select("event_id", V.is_kind(v, "OBJECT").alias("is_object"), F.coalesce(F.json_object_keys(F.col("props")), F.array()).alias("k")).select("event_id", "is_object", F.size("k").cast("long").alias("n_keys"))
+    return table(spark, sf_dir, "events").filter("props IS NOT NULL").select("event_id", V.is_object(v).alias("is_object"), F.coalesce(F.json_object_keys(F.col("props")), F.array()).alias("k")).select("event_id", "is_object", F.size("k").cast("long").alias("n_keys"))
