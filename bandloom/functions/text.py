@@ -18,11 +18,6 @@ def normalize_ws(text: Column) -> Column:
     return strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
-def blank_to_null(text: Column) -> Column:
-    kept = strip(text)
-    return F.when(kept != "", kept)
-
-
 def like_pattern(phrase: str) -> str:
     """%phrase% for ilike: % and _ stay wildcards, and a backslash before any other character is dropped.
 
@@ -50,6 +45,7 @@ def blot_type(target: Column, loading: Column) -> Column:
 
 def dois(text: Column) -> Column:
     """Distinct DOIs in order of first appearance, without closing punctuation."""
+    # Fixed value: the pattern of a DOI.
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+"), 0)
     return F.array_distinct(F.transform(found, lambda d: F.regexp_replace(d, r"[.,;)\]}<>]+$", "")))
 
@@ -99,6 +95,29 @@ def record_doi(paper_id: Column, source_url: Column) -> Column:
     return F.when(host.isin("doi.org", "dx.doi.org") & decoded.rlike(whole), decoded).when(plain.rlike(whole), plain)
 
 
+def display(value: Column) -> Column:
+    """What a table cell shows: a dash for null and empty, otherwise the value's text."""
+    shown = value.cast("string")
+    return F.when(F.coalesce(shown, F.lit("")) == "", "—").otherwise(shown)
+
+
+def source_link(doi: Column, source_url: Column) -> Column:
+    """Where a record's source can be seen: its web address, otherwise the DOI's, otherwise null."""
+    encoded = F.array_join(F.transform(F.split(doi, "/"), lambda part: F.replace(F.url_encode(part), F.lit("+"), F.lit("%20"))), "/")
+    for code, plain in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):  # characters that a path part keeps
+        encoded = F.replace(encoded, F.lit(code), F.lit(plain))
+    return F.coalesce(public_url(source_url), F.when(doi != "", F.concat(F.lit("https://doi.org/"), encoded)))
+
+
+def first_doi(*texts: Column) -> Column:
+    """The first DOI of the first text that holds one."""
+    return F.coalesce(*[F.try_element_at(dois(t), F.lit(1)) for t in texts])
+
+
+def model_version(model: Column, revision: Column) -> Column:
+    return F.concat(model, F.lit("@"), revision)
+
+
 def sentences(text: Column) -> Column:
     """Cut after . ! ? before white space and an upper-case letter, digit or bracket."""
     parts = F.split(F.coalesce(text, F.lit("")), r"(?U)(?<=[.!?])\s+(?=[A-Z0-9(])")
@@ -115,6 +134,7 @@ def figure_reference(sentence: Column, label: Column) -> Column:
 def page_body(text: Column) -> Column:
     """A page's running text: cut at the first figure heading (and the panel letters over it), without furniture lines."""
     lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]")
+    # What a figure heading and page furniture look like.
     heading = r"(?U)^\s*(?:FIGURE|Figure)\s+\d+\s*$"
     # position of the first heading, then back over single capitals: -1 means none
     at = F.array_position(F.transform(lines, lambda s: s.rlike(heading)), True).cast("int") - 1

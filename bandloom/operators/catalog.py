@@ -6,9 +6,11 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import search
 
 IDENTITY = ("paper_id", "candidate_key", "panel_label", "row_index", "lane_index", "target")
@@ -25,6 +27,17 @@ def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(Column.__and__, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
+def public_records(rows: DataFrame) -> DataFrame:
+    """The public columns, with a source_url only where it is a web address, and the DOI."""
+    url = T.public_url(F.col("source_url"))
+    return rows.select(*[url.alias(c) if c == "source_url" else c for c in PUBLIC], T.record_doi(F.col("paper_id"), url).alias("doi"))
+
+
+def stale_rows(own: DataFrame, batch: DataFrame, identity: Sequence[str] = IDENTITY) -> DataFrame:
+    """Rows of a source that its new batch does not hold again: an empty batch leaves them all."""
+    return own.join(batch, same(own, batch, identity), "left_anti")
+
+
 def violations(rows: DataFrame) -> DataFrame:
     """Rows that break a constraint: a required value missing, page, state or confidence out of range."""
     sound = (F.col("page") > 0) & (F.col("band_state").isNull() | F.col("band_state").isin("present", "absent", "uncertain")) & (F.col("confidence").isNull() | F.col("confidence").between(0, 1))
@@ -42,8 +55,9 @@ def last_of_each(rows: DataFrame, keys: Sequence[str], position: str) -> DataFra
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), position).alias("_last")).select(*keys, *[F.col("_last")[c].alias(c) for c in rest])
 
 
-def numbered(rows: DataFrame, keys: Sequence[str], name: str, parts: int = 64) -> DataFrame:
-    """Consecutive numbers from 1, counted per hashed part so that no task holds all rows."""
+def numbered(rows: DataFrame, keys: Sequence[str], name: str, parts: int | None = None) -> DataFrame:
+    """Consecutive numbers from 1, counted per hashed part (the session's shuffle partitions) so that no task holds all rows."""
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(parts)))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # parts rows
     offsets = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
@@ -81,7 +95,11 @@ def replace_sources(existing: DataFrame, incoming: DataFrame, sources: DataFrame
 
 
 class Catalog:
-    """Versions of the table under a folder; the pointer to the current one moves last and in one step."""
+    """Versions of the table under a folder. Each is a snapshot and a numbered entry of the log that names it.
+
+    The entry is created last and only if its number is free, so of two writers one fails and changes nothing.
+    An entry that a writer left empty as it died counts for nothing but keeps its number: remove it by hand.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -90,43 +108,46 @@ class Catalog:
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm_path
 
-    def version(self) -> str | None:
-        fs, pointer = self._fs(f"{self.root}/CURRENT")
-        if not fs.exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0]
+    def version(self) -> int:
+        """The number of the latest entry; 0 before the first."""
+        fs, log = self._fs(f"{self.root}/log")
+        return max((int(x.getPath().getName()) for x in fs.listStatus(log) if x.getLen()), default=0) if fs.exists(log) else 0
 
     def initialize(self) -> None:
         """Create the empty table unless it is there; older versions gain missing columns when read."""
-        if self.version() is None:
-            self._publish(self.spark.createDataFrame([], SCHEMA), None)
+        if not self.version():
+            self._publish(self.spark.createDataFrame([], SCHEMA), 0)
 
-    def rows(self, version: str | None = None) -> DataFrame:
+    def rows(self, version: int | None = None) -> DataFrame:
         """One snapshot; columns it lacks are null."""
-        df = self.spark.read.parquet(f"{self.root}/{version or self.version()}")
-        return self.spark.createDataFrame([], SCHEMA).unionByName(df, allowMissingColumns=True)
-
-    def _publish(self, df: DataFrame, expected: str | None) -> str:
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{version}")
-        if self.version() != expected:
-            raise RuntimeError("another writer published meanwhile; nothing was changed")
-        fs, fresh = self._fs(f"{self.root}/.CURRENT-{version}")
-        stream = fs.create(fresh, True)
-        stream.write(bytearray(version.encode()))
+        name = self.spark.read.text(f"{self.root}/log/{version or self.version():020d}").first()[0]
+        return self.spark.createDataFrame([], SCHEMA).unionByName(self.spark.read.parquet(f"{self.root}/{name}"), allowMissingColumns=True)
+
+    def _publish(self, df: DataFrame, expected: int) -> None:
+        name = f"v-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{name}")
+        fs, entry = self._fs(f"{self.root}/log/{expected + 1:020d}")
+        try:
+            stream = fs.create(entry, False)
+        except Py4JJavaError as error:
+            raise RuntimeError("another writer published meanwhile; nothing was changed") from error
+        stream.write(bytearray(name.encode()))
         stream.close()
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), self.spark._jsc.hadoopConfiguration())
-        option = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = option
-        context.rename(fresh, self._fs(f"{self.root}/CURRENT")[1], options)
-        return version
 
     def replace(self, records: DataFrame, paper_id: str, source_id: str | None = None) -> int:
         """Replace one source's rows; every check comes before the first write. Returns the number of rows given."""
+        source = self.spark.createDataFrame([(paper_id, source_id)], "paper_id string, source_id string")
+        foreign = ~F.col("paper_id").eqNullSafe(paper_id) | ~F.col("source_id").eqNullSafe(source_id)
+        return self.replace_batch(records, source, foreign)
+
+    def replace_batch(self, records: DataFrame, sources: DataFrame, foreign: Column | None = None) -> int:
+        """Replace the rows of all these sources (paper_id, source_id) by the records in one version."""
+        at = f"{self.root}/incoming-{uuid.uuid4().hex}"
         records = records if "input_pos" in records.columns else records.withColumn("input_pos", F.monotonically_increasing_id())
-        records = self.spark.createDataFrame([], SCHEMA).drop("id", "created_at", "updated_at").withColumn("input_pos", F.lit(0).cast("long")).unionByName(records, allowMissingColumns=True)
-        if not records.filter(~F.col("paper_id").eqNullSafe(paper_id) | ~F.col("source_id").eqNullSafe(source_id)).isEmpty():
+        whole = self.spark.createDataFrame([], SCHEMA).drop("id", "created_at", "updated_at").withColumn("input_pos", F.lit(0).cast("long")).unionByName(records, allowMissingColumns=True)
+        whole.write.parquet(at)  # evaluated once: its numbering and its source may differ the next time
+        records = self.spark.read.schema(whole.schema).parquet(at)
+        if foreign is not None and not records.filter(foreign).isEmpty():
             raise ValueError("a record belongs to another paper or source")
         if not violations(records).isEmpty():
             raise ValueError("a record breaks a constraint")
@@ -134,22 +155,27 @@ class Catalog:
         existing = self.rows(version)
         if not other_source_conflicts(existing, records).isEmpty():
             raise ValueError("another source holds one of these identities")
-        sources = self.spark.createDataFrame([(paper_id, source_id)], "paper_id string, source_id string")
+        shared = records.groupBy(*IDENTITY).agg(F.min(F.struct("source_id")).alias("low"), F.max(F.struct("source_id")).alias("high"))
+        if not shared.filter(~F.col("low").eqNullSafe(F.col("high"))).isEmpty():
+            raise ValueError("two sources of the batch hold one identity")
         self._publish(replace_sources(existing, records, sources, F.current_timestamp()), version)
-        return records.count()
+        n = records.count()
+        fs, staged = self._fs(at)
+        fs.delete(staged, True)
+        return n
 
     def search(self, criteria: search.Criteria, limit: int = 100, offset: int = 0) -> tuple[DataFrame, DataFrame]:
         """Page and total from the same snapshot."""
         search.validate(criteria, limit, offset)
         rows, where = self.rows(self.version()), search.predicate(criteria)
         page = search.search_page(rows, where, [F.desc_nulls_first("updated_at"), F.desc_nulls_first("id")], limit, offset)
-        return page.select(*PUBLIC), search.search_total(rows, where)
+        return public_records(page), search.search_total(rows, where)
 
     def get(self, record_id: int) -> DataFrame:
         return search.get_by_id(self.rows(), record_id)
 
     def health(self) -> bool:
         try:
-            return self.spark.sql("SELECT 1").first()[0] == 1 and self.version() is not None
+            return self.spark.sql("SELECT 1").first()[0] == 1 and self.version() > 0
         except Exception:
             return False

@@ -1,19 +1,25 @@
-"""Model extraction as resumable batches: cache, requests, completeness, summaries."""
+"""Model extraction as resumable batches: cache, requests, split fallback, completeness, summaries."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import strict_json
 from ..functions import values as V
-from .flatten import is_positive, needs_retry
+from . import catalog, images
+from .flatten import is_positive, merge_parts, needs_retry
 
-Client = Callable[[str, str], str]  # candidate_path, text_context -> the model's answer
+Client = Callable[[str, str, str | None], str]  # request_path, text_context, image as data URL -> the model's answer
+ATTEMPT = "candidate_path string, request_path string, stage string, part int, raw string, error_type string, error_message string, status_code int, response_url string, response_text string"
+SPLIT_NOTE = "Candidate image was split into smaller crops after the full crop request failed."
+CACHE = "candidate_path string, paper_id string, page int, attempt_no long, extraction string"
 
 
 def run_fingerprint(config: dict) -> str:
@@ -50,24 +56,169 @@ def resume(candidates: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFram
     return reused, candidates.join(usable.select("candidate_path"), "candidate_path", "left_anti")
 
 
-def ask_model(candidates: DataFrame, client: Client) -> DataFrame:
-    """candidate_path, raw answer or error of each candidate; a failed request becomes a row, not a failed job.
+def error_fields(error: Exception) -> tuple:
+    """error_type, error_message, status_code, response_url and the start of response_text of a failed request.
 
+    The last three come from the error's response, or from the error itself where it is the response.
+    """
+    response = getattr(error, "response", None)
+    if response is None and hasattr(error, "code"):
+        response = error
+    status = getattr(response, "status_code", getattr(response, "code", None))
+    text = getattr(response, "text", None)
+    return type(error).__name__, str(error), status, getattr(response, "url", None), text[:1200] if text else None
+
+
+def ask_model(requests: DataFrame, client: Client) -> DataFrame:
+    """The raw answer or the error of each request; a failed request becomes a row, not a failed job.
+
+    requests: candidate_path, text_context, and where they are there request_path, stage, part, data_url.
     Tasks may run again after a lost executor, so a client must be safe to call twice for a path;
     write the result before using it.
     """
+    missing = {"request_path": F.col("candidate_path"), "stage": F.lit("full"), "part": F.lit(0), "data_url": F.lit(None).cast("string")}
+    asked = requests.select("candidate_path", "text_context", *[F.col(c) if c in requests.columns else v.alias(c) for c, v in missing.items()])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.split()[0] for f in ATTEMPT.split(", ")]
         for pdf in batches:
             rows = []
-            for path, context in zip(pdf["candidate_path"], pdf["text_context"], strict=True):
+            for path, context, request, stage, part, url in zip(*(pdf[c] for c in ("candidate_path", "text_context", "request_path", "stage", "part", "data_url")), strict=True):
                 try:
-                    rows.append((path, client(path, context), None, None))
+                    raw = client(request, context, url)
+                    if not isinstance(raw, str):
+                        raise ValueError("the model's answer is not a text")
+                    rows.append((path, request, stage, part, raw, *[None] * 5))
                 except Exception as error:  # the failure log's row
-                    rows.append((path, None, type(error).__name__, str(error)[:1200]))
-            yield pd.DataFrame(rows, columns=["candidate_path", "raw", "error_type", "error_message"])
+                    rows.append((path, request, stage, part, None, *error_fields(error)))
+            yield pd.DataFrame(rows, columns=names).astype({"status_code": "Int32"})
+
+    return asked.mapInPandas(run, ATTEMPT)
+
+
+def request_body(model: str, prompt: str, schema: dict, text_context: str, data_url: str | None, max_tokens: int) -> dict:
+    """A chat request for one crop: image and text, no randomness, no thinking, an answer held to the schema."""
+    picture = [{"type": "image_url", "image_url": {"url": data_url}}] if data_url else []
+    text = {"type": "text", "text": f"{prompt}\n\n--- LOCAL TEXT ---\n{text_context}"}
+    form = {"type": "json_schema", "json_schema": {"name": "figure_extraction", "schema": schema}}
+    return {"model": model, "messages": [{"role": "user", "content": [*picture, text]}], "temperature": 0, "max_tokens": max_tokens, "chat_template_kwargs": {"enable_thinking": False}, "response_format": form}
+
+
+def http_client(base_url: str, api_key: str, model: str, prompt: str, schema: dict, timeout: float = 300, max_tokens: int = 4096) -> Client:
+    """A client of a chat-completions service."""
+
+    def ask(path: str, text_context: str, data_url: str | None) -> str:
+        body = json.dumps(request_body(model, prompt, schema, text_context, data_url, max_tokens)).encode()
+        headers = {"Authorization": f"Bearer {api_key}", "Content-Type": "application/json"}
+        with urllib.request.urlopen(urllib.request.Request(f"{base_url}/chat/completions", body, headers), timeout=timeout) as answer:
+            return json.load(answer)["choices"][0]["message"]["content"]
+
+    return ask
+
+
+def read_answer(raw: Column, shown: int = 1200) -> Column:
+    """VARIANT of an answer; what is no object with a boolean flag becomes {"error": "invalid_extraction", "raw": its start}."""
+    found = strict_json.model_json(raw)
+    sound = V.is_object(found) & V.is_kind(V.field(found, "is_western_blot"), "BOOLEAN")
+    refused = F.to_json(F.struct(F.lit("invalid_extraction").alias("error"), F.substring(raw, 1, shown).alias("raw")))
+    return F.when(sound, found).otherwise(F.parse_json(refused))
 
-    return candidates.select("candidate_path", "text_context").mapInPandas(run, "candidate_path string, raw string, error_type string, error_message string")
+
+def first_candidates(candidates: DataFrame, limit: int | None) -> DataFrame:
+    """The first candidates in their order; the limit comes before anything cached is looked at."""
+    return candidates if limit is None else candidates.orderBy("candidate_no").limit(limit)
+
+
+def split_requests(failed: DataFrame, pixels: DataFrame, longest: int = 1800) -> DataFrame:
+    """Requests for the halves of the large crops among the failed candidates (candidate_path, text_context)."""
+    parts = images.crop_parts(pixels.join(failed.select("candidate_path"), "candidate_path", "left_semi"))
+    sized = images.model_images(parts, longest).select("candidate_path", "part", "request_path", "data_url", F.lit("split").alias("stage"))
+    return sized.join(failed.select("candidate_path", "text_context"), "candidate_path")
+
+
+def judged_parts(attempts: DataFrame) -> DataFrame:
+    """Attempts on parts with their extraction; an answer that would be asked again is a failure too."""
+    read = attempts.withColumn("extraction", F.when(F.col("raw").isNotNull(), read_answer(F.col("raw"))))
+    checked = needs_retry(read.select(F.col("request_path").alias("candidate_path"), F.lit(1).alias("page"), F.lit("").alias("paper_id"), "extraction"))
+    bad = checked.filter("needs_retry").select(F.col("candidate_path").alias("request_path"), F.lit(True).alias("bad"))
+    refused = F.col("error_type").isNull() & F.coalesce("bad", F.lit(False))
+    joined = read.join(bad, "request_path", "left")
+    return joined.withColumns({"error_type": F.when(refused, "ValueError").otherwise(F.col("error_type")), "error_message": F.when(refused, "Split image returned an invalid extraction").otherwise(F.col("error_message"))}).drop("bad")
+
+
+def extractions_of(full: DataFrame, parts: DataFrame) -> DataFrame:
+    """candidate_path and extraction VARIANT from the attempts on whole crops and the judged ones on their parts.
+
+    Where the whole failed and every part answered well, the parts are merged (no positive part: a
+    negative extraction); otherwise an error with the messages of all attempts.
+    """
+    fine = full.filter("error_type IS NULL").select("candidate_path", read_answer(F.col("raw")).alias("extraction"))
+    failed = full.filter("error_type IS NOT NULL").select("candidate_path", F.col("error_message").alias("first_message"))
+    message = F.transform(F.array_sort(F.collect_list(F.when(F.col("error_type").isNotNull(), F.struct("part", "error_message")))), lambda e: e["error_message"])
+    tried = parts.groupBy("candidate_path").agg(message.alias("messages"), F.transform(F.array_sort(F.collect_list(F.struct("part", "request_path"))), lambda p: p["request_path"]).alias("paths"))
+    merged = merge_parts(parts.filter("error_type IS NULL").select(F.col("candidate_path").alias("key"), F.col("part").alias("part_no"), "request_path", "extraction"), SPLIT_NOTE)
+    merged = merged.select(F.col("key").alias("candidate_path"), F.to_json("extraction").alias("merged"))
+    joined = failed.join(tried, "candidate_path", "left").join(merged, "candidate_path", "left")
+    none = F.to_json(F.struct(F.lit(False).alias("is_western_blot"), F.lit("No western blot found in any split image.").alias("reason"), F.array(F.lit(SPLIT_NOTE)).alias("warnings"), F.col("paths").alias("split_candidate_paths")))
+    whole = F.coalesce(F.size("paths") > 0, F.lit(False)) & (F.size("messages") == 0)
+    error = F.to_json(F.struct(F.lit("vlm_request_failed").alias("error"), F.array_join(F.concat(F.array("first_message"), F.coalesce("messages", F.array().cast("array<string>"))), "; ").alias("message")))
+    text = F.when(whole, F.coalesce("merged", none)).otherwise(error)
+    return fine.unionByName(joined.select("candidate_path", F.parse_json(text).alias("extraction")))
+
+
+def _table(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+    df.write.mode(mode).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_run_cache(spark, run_dir: str) -> DataFrame:
+    """What earlier runs appended: candidate_path, paper_id, page, line_no (the attempt) and extraction VARIANT."""
+    path = f"{run_dir}/extractions"
+    try:
+        rows = spark.read.schema(CACHE).parquet(path)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        rows = spark.createDataFrame([], CACHE)
+    return rows.select("candidate_path", "paper_id", "page", F.col("attempt_no").alias("line_no"), F.parse_json("extraction").alias("extraction"))
+
+
+def run_extraction(candidates: DataFrame, contexts: DataFrame, pixels: DataFrame, client: Client, run_dir: str, limit: int | None = None, use_cache: bool = True, longest: int = 1800, wave: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Ask the model about every candidate without a usable cached result; results and a one-row summary.
+
+    candidates: candidate_no, candidate_path, paper_id, page; contexts: candidate_path, text_context,
+    line_no; pixels: candidate_path, width_px, height_px, bgr. Candidates go in waves of about wave
+    requests; each wave's results are appended to run_dir/extractions and its failures to
+    run_dir/failures before the next begins, so a stopped run goes on where its last wave ended.
+    Without use_cache both start empty. Repeated candidate paths are asked once.
+    """
+    spark = candidates.sparkSession
+    chosen = first_candidates(candidates.dropDuplicates(["candidate_path"]), limit)
+    if not use_cache:
+        _table(spark.createDataFrame([], CACHE), f"{run_dir}/extractions")
+        _table(spark.createDataFrame([], ATTEMPT), f"{run_dir}/failures")
+    cache = read_run_cache(spark, run_dir)
+    last = cache.agg(F.coalesce(F.max("line_no"), F.lit(0))).first()[0]
+    usable = usable_cache(cache).select("candidate_path")
+    todo = _table(catalog.numbered(chosen.join(usable, "candidate_path", "left_anti"), ["candidate_no", "candidate_path"], "place"), f"{run_dir}/work/todo")
+    cached = chosen.join(usable, "candidate_path", "left_semi").count()
+    n = todo.count()
+    for k in range(-(-n // wave)):
+        own = with_context(todo.filter(F.col("place").between(k * wave + 1, (k + 1) * wave)), contexts)
+        sent = images.model_images(pixels.join(own.select("candidate_path"), "candidate_path", "left_semi"), longest).select("candidate_path", "data_url")
+        full = _table(ask_model(own.join(sent, "candidate_path", "left"), client), f"{run_dir}/work/full")
+        failed = own.join(full.filter("error_type IS NOT NULL").select("candidate_path"), "candidate_path", "left_semi")
+        parts = _table(ask_model(split_requests(failed, pixels, longest), client), f"{run_dir}/work/parts")
+        judged = judged_parts(parts)
+        rows = extractions_of(full, judged).join(own.select("candidate_path", "paper_id", "page", "place"), "candidate_path")
+        full.filter("error_type IS NOT NULL").unionByName(judged.filter("error_type IS NOT NULL").drop("extraction")).write.mode("append").parquet(f"{run_dir}/failures")
+        rows.select("candidate_path", "paper_id", "page", (F.col("place") + last).alias("attempt_no"), F.to_json("extraction").alias("extraction")).write.mode("append").parquet(f"{run_dir}/extractions")
+    latest = read_run_cache(spark, run_dir).groupBy("candidate_path").agg(F.max_by(F.struct("paper_id", "page", F.to_json("extraction").alias("extraction")), "line_no").alias("r"))
+    results = chosen.select("candidate_no", "candidate_path").join(latest, "candidate_path").select("candidate_no", "candidate_path", "r.paper_id", "r.page", F.parse_json("r.extraction").alias("extraction"))
+    checked = needs_retry(results)
+    counts = checked.agg(F.count("*").alias("results"), F.count_if(is_positive(F.col("extraction"))).alias("positive_results"), F.count_if("needs_retry").alias("failed_candidates"))
+    summary = counts.select(F.lit(cached + n).alias("candidates"), "*", F.lit(cached).alias("cached"), F.lit(n).alias("queried"))
+    return results, summary
 
 
 def completeness_faults(results: DataFrame, expected: DataFrame, key: str = "candidate_path") -> DataFrame:
@@ -87,7 +238,3 @@ def run_summary(candidates: DataFrame, results: DataFrame, reused: DataFrame, po
     of_results = results.agg(F.count("*").alias("results"), F.count_if(positive).alias("positive_results"), F.count_if(failed).alias("failed_candidates"))
     counted = candidates.agg(F.count("*").alias("candidates")).crossJoin(of_results).crossJoin(reused.agg(F.count("*").alias("cached")))  # one row each
     return counted.withColumn("queried", F.col("results") - F.col("cached"))
-
-
-def is_error(extraction: Column) -> Column:
-    return V.truthy(V.field(extraction, "error"))

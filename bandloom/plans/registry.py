@@ -11,7 +11,7 @@ from ..functions import strict_json
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import candidates as cand
-from ..operators import catalog, context, extract, flatten, search
+from ..operators import catalog, context, detail, extract, flatten, ingest, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -148,7 +148,7 @@ def upsert_conflict_other_source(spark, sf_dir):
 @query(_ORDERS + "SELECT id FROM cat c WHERE source_id = '0' AND NOT EXISTS (SELECT 1 FROM batch b WHERE b.candidate_key = c.candidate_key AND b.panel_label IS NOT DISTINCT FROM c.panel_label)")
 def stale_delete(spark, sf_dir):
     existing, batch = _orders_catalog(spark, sf_dir)
-    return existing.filter("source_id = '0'").join(batch, catalog.same(existing, batch, _KEYS), "left_anti").select("id")
+    return catalog.stale_rows(existing.filter("source_id = '0'"), batch, _KEYS).select("id")
 
 
 @query("WITH o AS (SELECT nullif(o_orderpriority, '5-LOW') AS panel_label, nullif(o_orderstatus, 'P') AS state, o_custkey % 10 AS lane FROM orders) SELECT panel_label, state, lane, count(*) AS n FROM o GROUP BY ALL HAVING count(*) > 1")
@@ -275,10 +275,14 @@ def url_filter(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.public_url(url).alias("url"))
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, lower(left(text, 250)) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN upper(role) ELSE role END || text AS s FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(left(s, 3)) ORDER BY turn) AS n FROM t)
+SELECT conv_id, sha256(string_agg(s, '|' ORDER BY turn)) AS digest FROM r WHERE n = 1 GROUP BY conv_id""")
 def prefix_dedupe(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("source", F.lower(F.substring("text", 1, 250)).alias("prefix"), "doc_id")
-    return rows.groupBy("source", "prefix").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    """The turns of a conversation as chunks: the first of each three letters counts."""
+    chunk = F.concat(F.when(F.col("turn") % 3 == 0, F.upper("role")).otherwise(F.col("role")), F.col("text"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", chunk.alias("s")))), lambda x: x["s"]).alias("chunks"))
+    return rows.select("conv_id", T.content_hash(F.array_join(context.dedupe_prefix(F.col("chunks"), 3), "|")).alias("digest"))
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
@@ -356,9 +360,9 @@ def bbox_expand(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[box[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
 
 
-@query("SELECT o_orderkey, o_totalprice AS score FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+@query("SELECT o_orderkey, round(round(o_totalprice * 1000) / 16384 / 1000, 3) AS score FROM orders ORDER BY round(o_totalprice * 1000) / 16384 / 1000 DESC, o_orderkey LIMIT 20")
 def top_candidates(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("score"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.round(F.col("o_totalprice") * 1000) / 16384 / 1000).alias("score"))
     return cand.top_candidates(rows, "score", "o_orderkey")
 
 
@@ -424,3 +428,75 @@ def model_json(spark, sf_dir):
 def json_props(spark, sf_dir):
     v = F.try_parse_json("props")
     return table(spark, sf_dir, "events").filter("props IS NOT NULL").select("event_id", V.is_object(v).alias("is_object"), F.coalesce(F.json_object_keys(F.col("props")), F.array()).alias("k")).select("event_id", "is_object", F.size("k").cast("long").alias("n_keys"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM (SELECT *, CAST(l_quantity * 25 AS INTEGER) AS w, CAST(l_partkey % 1100 AS INTEGER) AS h FROM lineitem) WHERE w * h >= 40000 AND NOT (w > 0.95 * 1200 AND h > 0.95 * 1000)")
+def geometry_filter(spark, sf_dir):
+    w, h = (F.col("l_quantity") * 25).cast("int"), (F.col("l_partkey") % 1100).cast("int")
+    return table(spark, sf_dir, "lineitem").filter(cand.passes_geometry(w, h, F.lit(1200), F.lit(1000))).select("l_orderkey", "l_linenumber")
+
+
+@query("WITH c AS (SELECT doc_id, arg_max(quality * 10 + toxic, doc_id + quality) AS v FROM labels GROUP BY doc_id) SELECT d.doc_id, coalesce(CAST(v AS VARCHAR), '') AS text_context FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id")
+def candidate_context_join(spark, sf_dir):
+    path = F.col("doc_id").cast("string").alias("candidate_path")
+    contexts = table(spark, sf_dir, "labels").select(path, (F.col("doc_id") + F.col("quality")).alias("line_no"), (F.col("quality") * 10 + F.col("toxic")).cast("string").alias("text_context"))
+    return extract.with_context(table(spark, sf_dir, "documents").select("doc_id", path), contexts).select("doc_id", "text_context")
+
+
+@query("SELECT doc_id FROM documents WHERE source IS DISTINCT FROM 'src1'")
+def foreign_papers(spark, sf_dir):
+    return extract.foreign_papers(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("paper_id")), "src1").select("doc_id")
+
+
+@query("SELECT doc_id, sha256(left('given' || chr(10) || chr(10) || text, 12000)) AS digest FROM documents")
+def user_context_prefix(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.content_hash(context.with_user_context(F.lit("given"), F.col("text"))).alias("digest"))
+
+
+_CLEAN = "WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM documents), "
+_WINDOWS = """p AS (SELECT doc_id, s, string_split({low}, '{term}') AS parts FROM t), o AS (SELECT doc_id, s, unnest(list_slice(range(1, len(parts)), 1, {most})) AS k, parts FROM p WHERE len(parts) > 1),
+w AS (SELECT doc_id, s, k, CAST(list_sum(list_transform(list_slice(parts, 1, k), lambda x: length(x))) AS BIGINT) + (k - 1) * {size} AS pos FROM o),
+v AS (SELECT doc_id, k, substring(s, greatest(0, pos - {before}) + 1, least(length(s), pos + {after}) - greatest(0, pos - {before})) AS win FROM w),
+f AS (SELECT doc_id, k, win, row_number() OVER (PARTITION BY doc_id, lower(left(win, 250)) ORDER BY k) AS n FROM v), g AS (SELECT doc_id, k, win, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM f WHERE n = 1) """
+
+
+@query(_CLEAN + _WINDOWS.format(low="lower(s)", term="that", size=4, most=48, before=350, after=354) + "SELECT t.doc_id, sha256(coalesce(string_agg('- ' || win, chr(10) || chr(10) ORDER BY k) FILTER (i <= 16), '')) AS digest FROM t LEFT JOIN g ON g.doc_id = t.doc_id GROUP BY t.doc_id")
+def snippet_windows(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.content_hash(context.snippets(F.col("text"), ("that",))).alias("digest"))
+
+
+@query(_CLEAN.replace("text,", "regexp_replace(text, ' that ', ' Figure 2 ', 'g'),") + _WINDOWS.format(low="s", term="Figure 2", size=8, most=100000000, before=300, after=2500) + "SELECT t.doc_id, sha256(coalesce(left(string_agg(win, chr(10) || chr(10) ORDER BY k), 5000), '')) AS digest FROM t LEFT JOIN g ON g.doc_id = t.doc_id GROUP BY t.doc_id")
+def figure_mentions(spark, sf_dir):
+    text = F.regexp_replace("text", " that ", " Figure 2 ")
+    return table(spark, sf_dir, "documents").select("doc_id", T.content_hash(context.figure_context(text)).alias("digest"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '—' ELSE CAST(p_size AS VARCHAR) END AS shown, CASE WHEN p_size % 2 = 0 THEN 'https://x.org/' || p_partkey WHEN p_size % 5 <> 0 THEN 'https://doi.org/10.1234/a%20b/' || p_partkey END AS link, 'm@' || p_size AS version FROM part")
+def display_values(spark, sf_dir):
+    size, key = F.col("p_size"), F.col("p_partkey").cast("string")
+    url = F.when(size % 2 == 0, F.concat(F.lit("https://x.org/"), key)).otherwise("javascript:x")
+    doi = F.when(size % 5 != 0, F.concat(F.lit("10.1234/a b/"), key))
+    return table(spark, sf_dir, "part").select("p_partkey", T.display(F.when(size % 3 != 0, size)).alias("shown"), T.source_link(doi, url).alias("link"), T.model_version(F.lit("m"), size.cast("string")).alias("version"))
+
+
+@query("SELECT conv_id AS paper_id, CASE WHEN conv_id % 3 = 0 THEN '10.1234/meta' || conv_id WHEN min(turn) FILTER (turn % 2 = 1 AND turn <= 3) IS NOT NULL THEN '10.1234/p' || min(turn) FILTER (turn % 2 = 1 AND turn <= 3) END AS doi FROM conversations GROUP BY conv_id")
+def paper_doi(spark, sf_dir):
+    turn = F.col("turn")
+    text = F.when(turn % 2 == 1, F.concat(F.lit("see 10.1234/p"), turn.cast("string"), F.lit(", and 10.9999/z"))).otherwise("none")
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("paper_id"), turn.alias("page"), text.alias("text"))
+    return ingest.paper_doi(pages, F.when(F.col("paper_id") % 3 == 0, F.concat(F.lit("doi:10.1234/meta"), F.col("paper_id").cast("string"))))
+
+
+@query("SELECT doc_id AS id, doc_id % 2 = 0 AS has_image, CASE WHEN doc_id % 2 = 0 AND quality IS NOT NULL AND quality = 1 THEN 'caption ' || doc_id ELSE '' END AS figure_caption, CASE WHEN doc_id % 3 = 0 THEN 'https://x.org/' || doc_id END AS source_url FROM (SELECT DISTINCT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)")
+def record_detail(spark, sf_dir):
+    """Documents are records; half have a crop in a run, labels are the run's results, the good ones positive."""
+    i = F.col("doc_id").cast("string")
+    path = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("runs/r/panel_candidates/c"), i, F.lit(".png"))).otherwise(F.concat(F.lit("../c"), i, F.lit(".png")))
+    url = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://x.org/"), i)).otherwise("file:///etc")
+    given = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("p").alias("paper_id"), path.alias("candidate_path"), url.alias("source_url"), F.lit(1).alias("page"))
+    records = spark.createDataFrame([], catalog.SCHEMA).unionByName(given, allowMissingColumns=True)
+    answer = F.to_json(F.struct((F.col("quality") == 1).alias("is_western_blot"), F.concat(F.lit("caption "), i).alias("figure_caption")))
+    cache = table(spark, sf_dir, "labels").select(F.lit("runs/r").alias("run"), F.concat(F.lit("/old/c"), i, F.lit(".png")).alias("candidate_path"), F.lit(1).alias("line_no"), F.parse_json(answer).alias("extraction"))
+    pages = spark.createDataFrame([], "run string, page int, page_no int, text string")
+    out = detail.record_detail(records, cache, pages)
+    return out.select("id", F.col("image_url").isNotNull().alias("has_image"), "figure_caption", "source_url")

@@ -1,4 +1,4 @@
-"""A stream of band rows into the catalog: every micro-batch replaces the sources it holds."""
+"""A stream of band rows into the catalog: every micro-batch replaces the sources it holds, in one version."""
 
 from __future__ import annotations
 
@@ -9,13 +9,13 @@ from ..operators.catalog import Catalog
 
 
 def publish_stream(rows: DataFrame, catalog: Catalog, checkpoint: str) -> StreamingQuery:
-    """Start publishing rows (the write columns with paper_id and source_id); each source arrives whole in one batch."""
+    """Start publishing rows (the write columns with paper_id and source_id); each source arrives whole in one batch.
+
+    A batch that runs again after a failure replaces its sources by the same rows.
+    """
 
     def publish(batch: DataFrame, _: int) -> None:
-        held = batch.persist()
-        for paper_id, source_id in held.select("paper_id", "source_id").distinct().toLocalIterator():
-            own = held.filter(held.paper_id.eqNullSafe(paper_id) & held.source_id.eqNullSafe(source_id))
-            catalog.replace(own, paper_id, source_id)
-        held.unpersist()
+        if not batch.isEmpty():
+            catalog.replace_batch(batch, batch.select("paper_id", "source_id").distinct())
 
     return rows.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
