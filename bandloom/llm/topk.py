@@ -1,17 +1,23 @@
 """Exact top-k by inner product with block-at-a-time pruning.
 
-Candidates are dealt into shards and, in each, cut into blocks of vec_id ranges. Per dimension a
-block knows its greatest and least value, whose sum of products bounds every score in it. A query
-visits blocks from the greatest bound down and stops when a bound falls below its k-th score.
+Candidates are cut, where they lie, into blocks of vec_id ranges. Per dimension a block knows its
+greatest and least value, whose sum of products bounds every score in it. A query visits blocks from
+the greatest bound down and stops when a bound falls below its k-th score.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import chunks
+from .common import stored
+
 EXACT = float(1 << 53)
 
 
@@ -45,69 +51,101 @@ def _suits_floats(a: np.ndarray, b: np.ndarray) -> bool:
     return top(a) * top(b) * a.shape[1] < EXACT
 
 
-def search_blocks(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query position, vec_id and score of each query's k best of these vectors, equal scores by smaller vec_id."""
-    order = np.argsort(ids, kind="stable")
-    kind = np.float64 if _suits_floats(queries, vectors) else object  # object: Python's exact integers
-    q, x, ids = queries.astype(kind), vectors[order].astype(kind), ids[order]
-    begins = np.arange(0, len(x), block)
-    high, low = np.maximum.reduceat(x, begins), np.minimum.reduceat(x, begins)
-    bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
-    visit = np.argsort(-bounds, axis=1, kind="stable")
-    least = np.array([-np.inf] * len(q), object if kind is object else np.float64)
-    best: list[list[np.ndarray]] = [[np.array([], np.int64), np.array([], kind)] for _ in q]
-    alive = np.arange(len(q))
-    for turn in range(len(begins)):
-        alive = alive[bounds[alive, visit[alive, turn]] >= least[alive]]
-        if not len(alive):
-            break
-        goes = visit[alive, turn]
-        for b in np.unique(goes):
-            own = alive[goes == b]
-            rows = slice(begins[b], begins[b] + block)
-            scores = q[own] @ x[rows].T
-            for i, row in zip(own, scores, strict=True):
-                take = np.flatnonzero((row >= least[i]) & (ids[rows] != query_ids[i]))
-                if len(take):
-                    who, what = np.concatenate([best[i][0], ids[rows][take]]), np.concatenate([best[i][1], row[take]])
-                    top = np.lexsort((who, -what))[:k]
-                    best[i] = [who[top], what[top]]
-                    if len(top) == k:
-                        least[i] = what[top[-1]]
-    return np.repeat(np.arange(len(q)), [len(b[0]) for b in best]), np.concatenate([b[0] for b in best]), np.concatenate([b[1] for b in best])
-
-
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, shard_rows: int = 8192, query_rows: int = 1024, block: int = 128) -> DataFrame:
+class Best:
+    """The k best candidates of each query so far, equal scores by smaller vec_id, and the share of blocks that were scored."""
+
+    def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray | None = None):
+        self.queries, self.ids, self.k = queries, ids, k
+        self.least = np.full(len(ids), -np.inf, object) if least is None else least.astype(object)  # what a candidate must reach
+        self.found: list[list[np.ndarray]] = [[np.array([], np.int64), np.array([], object)] for _ in ids]
+        self.scored = self.met = 0
+
+    def search(self, vectors: np.ndarray, ids: np.ndarray, block: int) -> None:
+        """Meet these vectors by blocks of vec_id ranges, for each query from the greatest bound down."""
+        order = np.argsort(ids, kind="stable")
+        kind = np.float64 if _suits_floats(self.queries, vectors) else object  # object: Python's exact integers
+        q, x, ids = self.queries.astype(kind), vectors[order].astype(kind), ids[order]
+        least = self.least if kind is object else self.least.astype(np.float64)
+        begins = np.arange(0, len(x), block)
+        high, low = np.maximum.reduceat(x, begins), np.minimum.reduceat(x, begins)
+        bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+        visit = np.argsort(-bounds, axis=1, kind="stable")
+        alive = np.arange(len(q))
+        self.met += bounds.size
+        for turn in range(len(begins)):
+            alive = alive[bounds[alive, visit[alive, turn]] >= least[alive]]
+            if not len(alive):
+                break
+            self.scored += len(alive)
+            goes = visit[alive, turn]
+            for b in np.unique(goes):
+                own, rows = alive[goes == b], slice(begins[b], begins[b] + block)
+                scores = q[own] @ x[rows].T
+                takes = (scores >= least[own][:, None]) & (ids[rows][None, :] != self.ids[own][:, None])
+                for n in np.flatnonzero(takes.any(1)):
+                    i, take = own[n], np.flatnonzero(takes[n])
+                    who, what = np.concatenate([self.found[i][0], ids[rows][take]]), np.concatenate([self.found[i][1], scores[n, take]])
+                    top = np.lexsort((who, -what))[: self.k]
+                    self.found[i] = [who[top], what[top]]
+                    if len(top) == self.k:
+                        least[i] = max(least[i], what[top[-1]])
+        self.least = least.astype(object)
+
+    def table(self) -> pa.Table:
+        sizes = [len(f[0]) for f in self.found]
+        held = [max(-(1 << 63), min((1 << 63) - 1, int(s))) for f in self.found for s in f[1]]
+        vec = np.concatenate([np.array([], np.int64), *(f[0] for f in self.found)])
+        return pa.table({"query_id": pa.array(np.repeat(self.ids, sizes), pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(held, pa.int64())})
+
+
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, lot_values: int = 1 << 21, block: int = 32, first: int = 16) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row whose vec_id is divisible by every.
 
-    Each task meets at most about shard_rows vectors and query_rows queries. Equal scores go to the
-    smaller vec_id; rows that share the query's vec_id are the query's own and left out; a shorter
-    vector counts as if filled with zeros; null vec_id and unsound vectors take no part; scores
-    beyond 64 bits are held at its ends, in no order among themselves; other columns are ignored; no rows give no rows.
+    Equal scores go to the smaller vec_id; rows that share a vec_id are one, with the least of their
+    vectors; a shorter vector counts as if filled with zeros; null vec_id and unsound vectors take no
+    part; scores beyond 64 bits are held at its ends, in no order among themselves; other columns
+    are ignored; no rows give no rows. Queries are broadcast in lots of about lot_values components,
+    each lot against all rows where they lie; only what each task finds best is shuffled. The k-th
+    scores of a first part of the rows (one in first, by hash) bound from below what the rest must reach.
     """
-    whole = integer_vectors(vectors, scale)
-    asked = F.col("vec_id") % every == 0
-    n, n_asked = whole.agg(F.count("*"), F.count_if(asked)).first()
-    shards, lots = max(1, -(-n // shard_rows)), max(1, -(-n_asked // query_rows))
-
-    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))))
-
-    def run(query: pa.Table, candidate: pa.Table) -> pa.Table:
-        width = _width(query.column("v"), candidate.column("v"))
-        ids = query.column("vec_id").to_numpy()
-        if len(ids) and candidate.num_rows:
-            row, vec, score = search_blocks(_matrix(query.column("v"), width), ids, _matrix(candidate.column("v"), width), candidate.column("vec_id").to_numpy(), k, block)
-        else:
-            row, vec, score = np.array([], int), np.array([], int), np.array([], float)
-        held = [max(-(1 << 63), min((1 << 63) - 1, int(s))) for s in score]
-        return pa.table({"query_id": pa.array(ids[row], pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(held, pa.int64())})
-
-    queries = dealt(whole.filter(asked), "lot", lots, "shard", shards).groupBy("shard", "lot")
-    candidates = dealt(whole, "shard", shards, "lot", lots).groupBy("shard", "lot")
-    found = queries.cogroup(candidates).applyInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = vectors.sparkSession
+    whole = stored(integer_vectors(vectors, scale).groupBy("vec_id").agg(F.min("v").alias("v")))
+    asked = whole.filter(F.col("vec_id") % every == 0)
+    n_asked, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    lots = max(1, -(-n_asked * max(1, width) // lot_values))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def nearest(rows: DataFrame, lot: pa.Table, least: np.ndarray | None) -> DataFrame:
+        ids, column = lot.column("vec_id").to_numpy(), lot.column("v")
+        sent = spark.sparkContext.broadcast((_matrix(column, _width(column)), ids, least))  # a lot is bounded
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chunks.hold("topk")
+            queries, query_ids, bound = sent.value
+            found = Best(queries, query_ids, k, bound)
+            for batch in batches:
+                column = pa.chunked_array([batch.column("v")])
+                wide = max(_width(column), queries.shape[1])
+                found.queries = np.pad(queries, ((0, 0), (0, wide - queries.shape[1])))
+                if batch.num_rows and len(query_ids):
+                    found.search(_matrix(column, wide), batch.column("vec_id").to_numpy(), block)
+            yield from found.table().to_batches()
+
+        return rows.mapInArrow(run, "query_id long, vec_id long, score long")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    in_first = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(first)) == 0
+    parts = []
+    for number in range(lots):
+        lot = asked.filter(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(lots)) == number).toArrow()
+        early = stored(ranked(nearest(whole.filter(in_first), lot, None)))
+        kth = {r.query_id: r.score for r in early.filter(F.col("rank") == k).collect()}
+        held = (1 << 63) - 1
+        least = np.array([-np.inf if abs(kth.get(i, held)) >= held else kth[i] for i in lot.column("vec_id").to_pylist()], object)
+        parts.append(early.drop("rank").unionByName(nearest(whole.filter(~in_first), lot, least)))
+    return ranked(reduce(DataFrame.unionByName, parts)).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,9 +154,10 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH sound AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score

@@ -73,19 +73,35 @@ def test_syncmers(docs, spark):
     assert set(inner[20:-20].tolist()) <= set(hashes.tolist())
 
 
-@pytest.mark.parametrize("scale", [1, 1 << 14])
-def test_top_k_equals_brute_force(spark, scale):
+@pytest.mark.parametrize(("scale", "lot_values"), [(1, 1 << 21), (1, 12), (1 << 14, 12)])
+def test_top_k_equals_brute_force(spark, scale, lot_values):
+    """Repeated rows, repeated ids with other vectors, ties, shorter vectors, nulls, a clashing column."""
     rng = np.random.default_rng(1)
-    vectors = {i: [float(x) * scale for x in rng.integers(-3, 4, 6) / 2] for i in range(0, 700, 7)}
-    rows = [*vectors.items(), (800, None), (900, [1.0, None]), (1000, [float("nan")]), (None, [1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = {i: [float(x) * scale for x in rng.integers(-3, 4, 6 - (i == 7)) / 2] for i in range(0, 700, 7)}
+    rows = [*vectors.items(), (0, vectors[0]), (7, vectors[7]), (14, [9.0 * scale] * 6), (350, [9.0 * scale] * 6), (800, None), (900, [1.0, None]), (1000, [float("nan")]), (None, [1.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int").repartition(3)
     ints = {i: [int(np.floor(1024 * x)) for x in v] for i, v in vectors.items()}
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, shard_rows=30, query_rows=2, block=4).collect()}
+    got = [((r.query_id, r["rank"]), (r.vec_id, r.score)) for r in topk.top_k(df, lot_values=lot_values, block=4, first=3).collect()]
     want = {}
     for q in (i for i in ints if i % 100 == 0):
         order = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:10]
         want |= {(q, r): (i, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, i) in enumerate(order, 1)}
-    assert got == want
+    assert dict(got) == want and len(got) == len(want)
+    assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_blocks_far_from_a_query_are_not_scored():
+    rng = np.random.default_rng(2)
+    centres = rng.integers(-900, 900, (20, 16))
+    vectors = np.concatenate([c + rng.integers(-30, 30, (64, 16)) for c in centres])
+    best = topk.Best(vectors[::100], np.arange(len(vectors))[::100], 10)
+    best.search(vectors, np.arange(len(vectors)), 32)
+    assert best.scored < 0.3 * best.met
+    scores = vectors[::100] @ vectors.T
+    for n, (who, what) in enumerate(best.found):
+        order = np.lexsort((np.arange(len(vectors)), -scores[n]))
+        order = order[order != 100 * n][:10]
+        assert who.tolist() == order.tolist() and [int(x) for x in what] == scores[n, order].tolist()
 
 
 def test_posteriors_equal_a_plain_recursion():
