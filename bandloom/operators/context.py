@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterable, Sequence
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,66 +43,68 @@ def neighbour_text(rows: DataFrame, pages: DataFrame, key: str, page: str, text:
     return ordered_text(joined, [key, "at"], "near", page_marked(F.col("near"), F.col("_text")), "\n\n").withColumnRenamed("at", page)
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with the value computed once, where body uses it more than once or inside a lambda."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def match_offsets(text: Column, pattern: str, most: int | None = None) -> Column:
-    """0-based starts of the (first `most`) non-overlapping matches: running sums of the lengths between and of matches."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    pairs = F.slice(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), F.lit(1), F.size(hits))
-    pairs = F.slice(pairs, 1, most) if most else pairs
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+    """0-based starts, in characters, of the (first `most`) non-overlapping matches; null text has none."""
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
-        return F.struct((begin + F.length(pair["hit"])).alias("at"), F.array_append(acc["found"], begin).alias("found"))
+    @F.pandas_udf("array<int>")
+    def starts(texts: pd.Series) -> pd.Series:
+        found = re.compile(pattern)
+        return texts.map(lambda t: [m.start() for m in islice(found.finditer(t or ""), most)])
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["found"])
+    return starts(text)
 
 
-def dedupe_prefix(chunks: Column, length: int = 250) -> Column:
-    """The first chunk of each lower-cased prefix, in order."""
+def _first_of_each(pieces: Iterable[str], length: int) -> list[str]:
+    """The first piece of each lower-cased prefix, in order."""
+    by_prefix: dict[str, str] = {}
+    for piece in pieces:
+        by_prefix.setdefault(piece[:length].lower(), piece)
+    return list(by_prefix.values())
 
-    def firsts(keyed: Column) -> Column:
-        kept = F.transform(keyed["chunks"], lambda c, i: F.when(F.array_position(keyed["keys"], F.lower(F.substring(c, 1, length))) == i + 1, c))
-        return F.array_compact(kept)
 
-    return _let(chunks, lambda given: _let(F.struct(given.alias("chunks"), F.transform(given, lambda c: F.lower(F.substring(c, 1, length))).alias("keys")), firsts))
+def dedupe_prefix(chunks: Column, length: int = 250) -> Column:
+    """The first chunk of each lower-cased prefix, in order; null chunks are left out."""
 
+    @F.pandas_udf("array<string>")
+    def firsts(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda given: None if given is None else _first_of_each([c for c in given if c is not None], length))
 
-def _window(text: Column, begin: Column, end: Column) -> Column:
-    low = F.greatest(F.lit(0), begin)
-    return F.substring(text, low + 1, F.least(F.length(text), end) - low)
+    return firsts(chunks)
 
 
 def snippets(text: Column, terms: Sequence[str] = SAMPLE_KEYWORDS, most: int = 16, reach: int = 350) -> Column:
     """Bulleted windows around the terms' hits: three times `most` hits in all, then one more for each later term that hits."""
 
-    def of_clean(clean: Column) -> Column:
-        hits = _let(F.lower(clean), lambda low: F.array(*[F.struct(F.lit(len(t)).alias("size"), match_offsets(low, r"\Q" + t.lower() + r"\E", most * 3).alias("at")) for t in terms]))
-        none = F.array().cast("array<struct<at:int,size:int>>")
+    @F.pandas_udf("string")
+    def joined(texts: pd.Series) -> pd.Series:
+        wanted = [re.compile(re.escape(term.lower())) for term in terms]
 
-        def add(found: Column, term: Column) -> Column:
-            allowed = F.greatest(F.lit(1), F.lit(most * 3) - F.size(found))
-            return F.concat(found, F.transform(F.slice(term["at"], F.lit(1), allowed), lambda at: F.struct(at.alias("at"), term["size"].alias("size"))))
+        def of_one(clean: str) -> str:
+            low, windows = clean.lower(), []
+            for term in wanted:
+                allowed = max(1, most * 3 - len(windows))
+                windows += [clean[max(0, hit.start() - reach) : hit.end() + reach] for hit in islice(term.finditer(low), allowed)]
+            return "\n\n".join(f"- {window}" for window in _first_of_each(windows, 250)[:most])
 
-        windows = F.transform(F.aggregate(hits, none, add), lambda h: _window(clean, h["at"] - reach, h["at"] + h["size"] + reach))
-        return F.array_join(F.transform(F.slice(dedupe_prefix(windows), 1, most), lambda s: F.concat(F.lit("- "), s)), "\n\n")
+        return texts.map(of_one)
 
-    return _let(T.normalize_ws(text), of_clean)
+    return joined(T.normalize_ws(text))
 
 
 def figure_context(text: Column, longest: int = 5000) -> Column:
     """Windows from 300 before to 2,500 after each figure mention, by pattern, joined and cut."""
 
-    def of_clean(clean: Column) -> Column:
-        starts = F.concat(*[match_offsets(clean, f"(?iU){p}") for p in FIGURE_PATTERNS])
-        windows = F.transform(starts, lambda at: _window(clean, at - 300, at + 2500))
-        return F.substring(F.array_join(dedupe_prefix(windows), "\n\n"), 1, longest)
+    @F.pandas_udf("string")
+    def joined(texts: pd.Series) -> pd.Series:
+        mentions = [re.compile(pattern, re.IGNORECASE) for pattern in FIGURE_PATTERNS]
+
+        def of_one(clean: str) -> str:
+            starts = (hit.start() for mention in mentions for hit in mention.finditer(clean))
+            return "\n\n".join(_first_of_each((clean[max(0, at - 300) : at + 2500] for at in starts), 250))[:longest]
+
+        return texts.map(of_one)
 
-    return _let(T.normalize_ws(text), of_clean)
+    return joined(T.normalize_ws(text))
 
 
 def candidate_context(paper_id: Column, page: Column, bbox: Column, nearby: Column, paper_text: Column, longest: int = 12000) -> Column:

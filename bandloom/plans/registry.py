@@ -321,7 +321,7 @@ def context_islands(spark, sf_dir):
 
 @query("SELECT doc_id, CAST((length(text) - length(replace(lower(text), 'the', ''))) / 3 AS BIGINT) AS hits, CAST(strpos(lower(text), 'the') - 1 AS INTEGER) AS first_at FROM documents WHERE strpos(lower(text), 'the') > 0")
 def keyword_hits(spark, sf_dir):
-    at = context.match_offsets(F.lower("text"), r"\Qthe\E")
+    at = context.match_offsets(F.lower("text"), "the")
     return table(spark, sf_dir, "documents").select("doc_id", F.size(at).cast("long").alias("hits"), F.try_element_at(at, F.lit(1)).alias("first_at")).filter("hits > 0")
 
 

@@ -160,3 +160,17 @@ def test_deep_pages_equal_shallow_ones(spark):
         deep = search.search_page(rows, hits, order, 50, offset, deep=0)
         want = sorted((-(i % 7), i) for i in range(1000) if i % 10 < 9)[offset : offset + 50]
         assert deep.columns == rows.columns and [r.id for r in deep.collect()] == [i for _, i in want]
+
+
+def test_figure_windows_against_a_loop(spark):
+    import re
+
+    text = "Intro words. " * 40 + "See Figure 1 here. " + "x" * 2600 + " fig. 2 and FIGURE  3, Extended Data Fig. 4 end " + "See Figure 1 here. "
+    clean, windows = " ".join(text.split()), []
+    for pattern in context.FIGURE_PATTERNS:
+        for m in re.finditer(pattern, clean, re.IGNORECASE):
+            piece = clean[max(0, m.start() - 300) : m.start() + 2500]
+            if piece[:250].lower() not in [w[:250].lower() for w in windows]:
+                windows.append(piece)
+    assert one(spark, context.figure_context(F.col("t")), t=text) == "\n\n".join(windows)[:5000] and len(windows) > 2
+    assert one(spark, context.figure_context(F.col("t")), t="none") == ""
