@@ -57,20 +57,76 @@ def test_pieces_are_safe_cuts():
 
 
 def test_syncmers(docs, spark):
-    clean = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    got = rows_of(syncmers.fingerprint_documents(clean))
-    texts = [t or "" for t in TEXTS]
-    for i, row in enumerate(got):
-        edited = syncmers.edit(texts[i], texts[(i + 1) % len(texts)])
-        assert (row["n_chars"], row["edited_sha256"]) == (len(texts[i]), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= row["near_next"] <= 1 and 0 <= row["near_edited"] <= 1
-    prose = " ".join("".join(RND.choices("abcdefgh", k=6)) for _ in range(300))
-    a, b = (syncmers.fingerprint(t, 12, 5, 64) for t in (prose, prose[: len(prose) * 3 // 4]))
-    assert syncmers.likeness(a, a, 64) == 1 and syncmers.likeness(a, b, 64) > 0.6
-    assert len(got) == len(texts) and not syncmers.fingerprint_documents(clean.limit(0)).count()
-    hashes, at = syncmers.closed_syncmers(prose, 12, 5)
-    inner, where = syncmers.closed_syncmers(prose[100:400], 12, 5)
-    assert set(inner[20:-20].tolist()) <= set(hashes.tolist())
+    """The null id last, rows of one id by text, hashes and counts; ranges of a few bytes give the same rows."""
+    got = syncmers.fingerprint_documents(docs).collect()
+    texts = [(i, t or "") for i, t in enumerate(TEXTS)]
+    texts = sorted([*texts, (5, TEXTS[5])]) + [(None, "no id here")]
+    want = []
+    for n, (i, t) in enumerate(texts):
+        edited = syncmers.edit(t, texts[(n + 1) % len(texts)][1])
+        assert edited == t[: len(t) - len(t) // 4] + texts[(n + 1) % len(texts)][1][: len(t) // 4]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted(map(str, [tuple(r)[:3] for r in got])) == sorted(map(str, want))
+    assert all(0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1 for r in got)
+    by_text = {}
+    for r in got:
+        if r.doc_id is not None:
+            by_text.setdefault(TEXTS[r.doc_id] or "", set()).add(r.fingerprint)
+    assert all(len(f) == 1 for f in by_text.values())
+    ranged = syncmers.successors(syncmers.whole_text(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])), bytes_per_range=500)
+    assert ranged.filter("closing = 1").count() == ranged.select("range").distinct().count() > 5
+    assert not syncmers.fingerprint_documents(docs.limit(0)).count()
+
+
+def plain_syncmers(text, k, s):
+    """k-mers of the framed text whose least s-mer hash stands first or last, by a loop."""
+    framed = "\0" * (k - 1) + text + "\0" * (k - 1)
+
+    def hashed(part):
+        x = 0
+        for n, c in enumerate(part):
+            x = ord(c) if not n else (x + ord(c)) % (1 << 64)
+            x = x * 0x9E3779B97F4A7C15 % (1 << 64)
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % (1 << 64)
+        return x ^ (x >> 31)
+
+    out = []
+    for at in range(len(framed) - k + 1):
+        inner = [hashed(framed[at + j : at + j + s]) for j in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((at, framed[at : at + k]))
+    return out
+
+
+def test_chosen_kmers_equal_a_plain_loop():
+    for text in ("", "a", "the thing über 漢字 and the thing", "".join(RND.choices("abcd ", k=400))):
+        hashes, at = syncmers.closed_syncmers(text, 12, 5)
+        want = plain_syncmers(text, 12, 5)
+        assert at.tolist() == [p for p, _ in want]
+        kmers = {}
+        for h, (_, kmer) in zip(hashes.tolist(), want):
+            assert kmers.setdefault(kmer, h) == h
+        assert len(set(kmers.values())) == len(kmers)
+
+
+def prose(n):
+    return " ".join("".join(RND.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+
+
+def near(a, b):
+    return syncmers.likeness(syncmers.fingerprint(a, 12, 5, 64, 4), syncmers.fingerprint(b, 12, 5, 64, 4), len(a), len(b))
+
+
+def test_likeness_follows_the_text_in_common():
+    text, other = prose(3000), prose(3000)
+    assert near(text, text) == 1 and near(text, other) == 0 and near("", "") == 1 and near("ab", "ab") == 1 and near("", text) < 0.05
+    assert abs(near(text, text[: len(text) * 3 // 4]) - 2 * 0.75 / 1.75) < 0.05
+    assert abs(near(text, text[9000:] + text[:9000]) - 1) < 0.05  # moved passages
+    assert near(text, " ".join(sorted(text.split()))) < 0.1  # the same words in another order
+    passage = prose(60)
+    assert 0 < near(other + " " + passage, prose(3000) + passage) < 0.1  # a passage of 60 words in two long texts
+    assert len(syncmers.fingerprint(prose(30_000), 12, 5, 64, 4)[1]) > 8 * len(syncmers.fingerprint(text, 12, 5, 64, 4)[1])
 
 
 @pytest.mark.parametrize(("scale", "lot_values"), [(1, 1 << 21), (1, 12), (1 << 14, 12)])
