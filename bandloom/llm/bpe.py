@@ -160,8 +160,9 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, digest: bool =
 
     digest: doc_id, n_tokens, ids_sha256, decoded_sha256; otherwise doc_id, n_tokens, ids (decimal,
     joined by a space) and decoded themselves. Decoding joins tokens by a space, as a vocabulary
-    without a decoder asks. Null or empty text: no token, digests of the empty string. Repeated
-    rows each give a row; a null doc_id stays null; other columns are ignored; no rows give no rows.
+    without a decoder asks. Null or empty text: no token, digests of the empty string. A very
+    long text is read whole. Repeated rows each give a row; a null doc_id stays null; other columns
+    are ignored; no rows give no rows.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     names = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"])]
@@ -170,9 +171,9 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, digest: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for begin, end in chunks.by_bytes(texts):
-                pieces = [chunks.space_pieces(text) for text in texts[begin:end]]
+            texts = batch.column("text")
+            for begin, end in chunks.byte_ranges(texts):
+                pieces = [chunks.space_pieces(text) for text in texts[begin:end].to_pylist()]
                 table.learn(pieces)
                 rows = []
                 for words in pieces:

@@ -80,11 +80,16 @@ def hold(owner: str, release: Callable[[], None] | None = None) -> None:
     if release is not None:
         _held[owner] = release
     if others:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Hand freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    of_libc = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if of_libc is not None:
+        of_libc(0)
 
 
 class PieceTable(dict):
@@ -134,7 +139,7 @@ class PieceTable(dict):
 
 
 def by_bytes(texts: list[str], limit: int = 1 << 20) -> Iterable[tuple[int, int]]:
-    """Ranges of texts of about limit characters each, so that no range outgrows memory by count alone."""
+    """Ranges of texts or bytes in a list of about limit characters or bytes each, so that no range outgrows memory by count alone."""
     begin = size = 0
     for i, text in enumerate(texts):
         size += len(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.select("a", "b").filter(F.col("a") != F.col("b")).distinct())
     before = None
     while True:
-        edges = stored(_star(_star(edges, True), False))
+        last, edges = edges, stored(_star(_star(edges, True), False))
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             break

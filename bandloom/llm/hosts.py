@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -117,9 +117,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, bound:
     while True:
         active = inside.join(arriving.select("side", "block").distinct(), ["side", "block"], "left_semi")
         passed = stored(arriving.groupBy("side", "block").cogroup(active.groupBy("side", "block")).applyInArrow(_settle, "side string, host string, passed double"))
+        held = ranks
         ranks = stored(ranks.unionByName(passed.withColumnRenamed("passed", "mass")).groupBy("side", "host").agg(F.sum("mass").alias("mass")))
+        if hasattr(held, "stored_at"):
+            discard(held)
         sent = passed.join(leaving, ["side", "host"]).groupBy("side", F.col("to").alias("host"), F.col("to_block").alias("block"))
-        arriving = stored(sent.agg(F.sum(F.col("passed") * F.col("share")).alias("moving")))
+        last, arriving = arriving, stored(sent.agg(F.sum(F.col("passed") * F.col("share")).alias("moving")))
+        discard(passed)
+        discard(last)
         news = arriving.join(ranks, ["side", "host"], "left").filter(F.col("moving") > F.coalesce("mass", F.lit(0.0)) * bound)
         if news.isEmpty():
             return ranks

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import chunks
@@ -182,12 +182,13 @@ class Labeller:
             self.words.update(zip(new, range(begin, end), strict=True))
         return [self.words[w] if w else -1 for w in words]
 
-    def label(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def label(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        """Language and score of each text; a null text is empty."""
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not self.model.labels:
             return langs, scores
-        for begin, end in chunks.by_bytes(texts):
-            pieces = [text.split() for text in texts[begin:end]]
+        for begin, end in chunks.byte_ranges(texts):
+            pieces = [(text or "").split() for text in texts[begin:end].to_pylist()]
             self.pieces.learn(pieces)
             rows = [np.fromiter(map(self.pieces.__getitem__, p), np.int64, len(p)) for p in pieces]
             rows = [r[r >= 0] for r in rows]
@@ -204,20 +205,21 @@ class Labeller:
         return langs, scores
 
 
-def train(docs: DataFrame, per_language: int = 200, longest: int = 20_000, folds: int = 5, held_out: int = 0) -> WordCRF:
-    """Fit on at most per_language labelled texts of each language, each of at most longest characters.
+def train(docs: DataFrame, per_language: int = 200, longest: int = 20_000, languages: int = 100, folds: int = 5, held_out: int = 0) -> WordCRF:
+    """Fit on at most per_language labelled texts of each of at most languages languages (the most frequent ones).
 
-    The sample takes the least hashes of doc_id among rows outside the held-out fold; rows with a
-    null lang, doc_id or text teach nothing. Both bounds hold what the driver receives.
+    Texts have at most longest characters, and each teaches by at most three windows of 32 words. The
+    sample takes the least hashes of doc_id among such rows outside the held-out fold; rows with a null
+    lang, doc_id or text teach nothing. The bounds hold what the driver receives.
     """
-    spark = docs.sparkSession
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder(F.col("doc_id"), folds) != held_out))
+    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & (F.length("text") <= longest))
+    usable = usable.filter(id_remainder(F.col("doc_id"), folds) != held_out)
     names = usable.select("doc_id", "lang")
-    langs = sorted(r[0] for r in names.select("lang").distinct().collect())
-    chosen = [r[0] for lang in langs for r in names.filter(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language).collect()]
-    sample = spark.createDataFrame([(i,) for i in sorted(set(chosen))], "doc_id long")  # bounded: per_language rows a language
-    rows = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(F.length("text") <= longest).join(F.broadcast(sample), "doc_id").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.text))[: per_language * max(1, len(langs))]
+    known = names.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = names.join(F.broadcast(known), "lang").withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
+    rows = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).collect()
+    rows = sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text))[: per_language * languages]
     return WordCRF.fit([r.text for r in rows], [r.lang for r in rows])
 
 
@@ -243,13 +245,14 @@ def identify(docs: DataFrame, model: WordCRF | None = None, folds: int = 5, held
 
     Null text or text without a letter: und and 0; so is every text where no row could teach.
     A null doc_id is not held out. Ties go to the first language by name. Repeated rows each give
-    a row; other columns take no part in the prediction; no rows give no rows.
+    a row; other columns take no part in the prediction; no rows give no rows. A very long text is
+    read whole, in the memory of about its words times the number of languages.
     """
     key, sent = _shared(docs, model or train(docs, folds=folds, held_out=held_out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = _labeller(key, sent).label(batch.column("text").to_pylist())
+            langs, scores = _labeller(key, sent).label(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     found = whole_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -257,12 +260,19 @@ def identify(docs: DataFrame, model: WordCRF | None = None, folds: int = 5, held
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.4, model: WordCRF | None = None) -> DataFrame:
-    """The rows of docs, all columns, whose language is known with at least min_score."""
-    key, sent = _shared(docs, model or train(docs))
+    """The rows of docs, all columns, whose language is known with at least min_score.
+
+    Null and empty texts and texts without a letter go; where no row could teach, nothing goes. Repeated rows and
+    rows without a doc_id are judged each on its own text; no rows give no rows.
+    """
+    model = model or train(docs)
+    if not model.labels:
+        return docs
+    key, sent = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = _labeller(key, sent).label([t or "" for t in batch.column("text").to_pylist()])
+            langs, scores = _labeller(key, sent).label(batch.column("text"))
             yield batch.filter(pa.array([lang != UNKNOWN and s >= min_score for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

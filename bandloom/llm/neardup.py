@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import chunks
-from .common import stored
+from .common import discard, stored
 from .components import components
 
 SKETCH = 128  # minwise tokens of which a byte each is kept, for the children of large nodes
@@ -233,7 +233,9 @@ def _links(members: DataFrame, rows: DataFrame, width: int, percent: int) -> Dat
     sifted = stored(of_bits.repartition("node").sortWithinPartitions("node", "n_shingles", "v").mapInArrow(sift, "node long, v long, n_shingles long, label long"))
     texts = _through(rows.select(F.col("row").alias("v"), "doc.text"), "v", _sieve(sifted.select("v"))).filter("passes")
     of_text = sifted.join(texts, "v").select("node", "v", "n_shingles", "label", "text")
-    return stored(of_text.repartition("node").sortWithinPartitions("node", "n_shingles", "v").mapInArrow(compare, "a long, b long").distinct())
+    links = stored(of_text.repartition("node").sortWithinPartitions("node", "n_shingles", "v").mapInArrow(compare, "a long, b long").distinct())
+    discard(sifted)
+    return links
 
 
 def _parts(size: Column, weight: Column, small: int, heavy: int) -> Column:

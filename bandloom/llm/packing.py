@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
 from . import chunks
 from .common import stored, whole_text
@@ -30,101 +31,91 @@ KEYS = 3  # minwise terms by which documents are sorted into shards
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Ragged:
-    """Token ids by key, one after another in a flat array."""
-
-    def __init__(self, kind: str):
-        self.slot: dict[str, int] = {}
-        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
-
-    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.slot.update(zip(keys, range(len(self.slot), len(self.slot) + len(keys)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.size, self.flat = np.concatenate([self.size, sizes]), np.concatenate([self.flat, ids.astype(self.flat.dtype)])
-
-    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of these slots in a row, and how many each has."""
-        sizes = self.size[slots]
-        return self.flat[np.repeat(self.start[slots] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))], sizes
+def _gather(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of these sizes that lie one after another in flat, those asked for, in a row; and their sizes."""
+    starts, own = np.cumsum(sizes) - sizes, sizes[which]
+    return flat[np.repeat(starts[which] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))], own
 
 
 class WordEncoder:
-    """Ids of whole texts from a table of pieces, for a vocabulary with word ends that lower-cases and drops white space.
+    """Ids of whole texts, for a vocabulary with word ends that lower-cases and drops white space.
 
-    A word is encoded once whatever marks and capitals it comes with; new words of one kind of letters go to the library
-    in one string, which their word-end tokens part again.
+    Of a batch of texts each distinct word is encoded once, whatever marks and capitals it comes with. Words and
+    marks stay in Arrow arrays; the library gets the words in strings of JOINED, which word-end tokens part again.
+    Lower-case words between spaces need neither its normaliser nor its splitting by kinds of characters.
     """
 
-    def __init__(self, path: str, kind: str, max_pieces: int = 300_000):
-        self.library, self.kind, self.max_pieces = chunks.load_tokenizer(path), kind, max_pieces
+    JOINED = 500
+
+    def __init__(self, path: str):
+        self.library = chunks.load_tokenizer(path)
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.forget()
-
-    def forget(self) -> None:
-        self.parts, self.pieces = Ragged(self.kind), Ragged(self.kind)
-        self.parts.add([""], np.zeros(0, self.kind), np.zeros(1, np.int64))
-
-    def _learn_parts(self, plain: list[str], others: list[str]) -> None:
-        """Encode new parts; plain ones are words of lower-case Latin-1 letters alone."""
-        if plain:
-            ids = np.array(self.library.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int64)
-            last = np.flatnonzero(self.ends[ids])
-            if len(last) == len(plain):
-                self.parts.add(plain, ids, np.diff(last, prepend=-1))
-            else:  # one of them is not one word to the library
-                others = [*others, *plain]
-        if others:
-            found = [e.ids for e in self.library.encode_batch_fast(others, add_special_tokens=False)]
-            self.parts.add(others, np.array(list(chain.from_iterable(found)), np.int64), np.array([len(f) for f in found], np.int64))
-
-    def _slots(self, table: Ragged, keys: list[str]) -> np.ndarray:
-        """The slot of each key, -1 for a new one."""
-        return np.fromiter(map(table.slot.get, keys, repeat(-1)), np.int64, len(keys))
-
-    def _learn(self, new: pa.Array) -> None:
-        stem = pc.utf8_rtrim(new, chunks.MARKS)
+        self.of_words = Tokenizer(self.library.model)
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.breaks = [t.content for t in self.library.get_added_tokens_decoder().values() if t.special]
+
+    def _one_by_one(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.library.encode_batch_fast(parts.to_pylist(), add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.int64), np.array([len(f) for f in found], np.int64)
+
+    @staticmethod
+    def _joined(library, parts: pa.Array, separator: str, size: int) -> np.ndarray:
+        """The ids of the parts, joined by the separator in strings of size parts."""
+        cuts = pa.array([*range(0, len(parts), size), len(parts)], pa.int32())
+        strings = pc.binary_join(pa.ListArray.from_arrays(cuts, parts), separator).to_pylist()
+        return np.concatenate([np.array(e.ids, np.int64) for e in library.encode_batch_fast(strings, add_special_tokens=False)])
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of distinct words of lower-case Latin-1 letters."""
+        ids = self._joined(self.of_words, words, " ", self.JOINED)
+        last = np.flatnonzero(self.ends[ids])
+        return (ids, np.diff(last, prepend=-1)) if len(last) == len(words) else self._one_by_one(words)
+
+    def _others(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of distinct pieces of any form: parted by a special token, unless they may hold one themselves."""
+        if not self.breaks or pc.any(pc.match_substring(parts, self.breaks[0][:2])).as_py():
+            return self._one_by_one(parts)
+        ids = self._joined(self.library, parts, f" {self.breaks[0]} ", len(parts))
+        at = np.flatnonzero(ids == self.library.token_to_id(self.breaks[0]))
+        if len(at) != len(parts) - 1:
+            return self._one_by_one(parts)
+        return np.delete(ids, at), np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of distinct pieces."""
+        stem = pc.utf8_rtrim(pieces, chunks.MARKS)
         latin = pc.match_substring_regex(stem, LATIN_WORD)
-        words, pieces = pc.if_else(latin, pc.utf8_lower(stem), new).to_pylist(), new.to_pylist()
-        latin, length = latin.to_numpy(zero_copy_only=False), pc.utf8_length(stem).to_pylist()
-        marks = [piece[n:] if ok else "" for piece, n, ok in zip(pieces, length, latin.tolist(), strict=True)]
-        first, second = self._slots(self.parts, words), self._slots(self.parts, marks)
-        if (first < 0).any() or (second < 0).any():
-            unknown = np.flatnonzero(first < 0)
-            plain = list(dict.fromkeys(words[i] for i in unknown[latin[unknown]]))
-            self._learn_parts(plain, list(dict.fromkeys([*(words[i] for i in unknown[~latin[unknown]]), *(marks[i] for i in np.flatnonzero(second < 0))])))
-            for slots, keys in ((first, words), (second, marks)):
-                at = np.flatnonzero(slots < 0)
-                slots[at] = self._slots(self.parts, [keys[i] for i in at])
-        ids, sizes = self.parts.ids(np.stack([first, second], 1).ravel())
-        self.pieces.add(pieces, ids, sizes.reshape(-1, 2).sum(1))
+        marked = pc.and_(latin, pc.less(pc.binary_length(stem), pc.binary_length(pieces)))
+        marks = pc.if_else(marked, pc.replace_substring_regex(pieces, LATIN_WORD.rstrip("$"), "", max_replacements=1), "").dictionary_encode()
+        words = pc.if_else(latin, pc.utf8_lower(stem), None).dictionary_encode()
+        rest = pieces.filter(pc.invert(latin))
+        flat, sizes = zip(*(f(x) if len(x) else (np.zeros(0, np.int64), np.zeros(0, np.int64)) for f, x in ((self._words, words.dictionary), (self._one_by_one, marks.dictionary), (self._others, rest))), strict=True)
+        first = np.empty(len(pieces), np.int64)
+        is_latin = latin.to_numpy(zero_copy_only=False)
+        first[is_latin] = words.indices.drop_null().to_numpy()
+        first[~is_latin] = len(sizes[0]) + len(sizes[1]) + np.arange(len(rest))
+        second = len(sizes[0]) + marks.indices.to_numpy()
+        ids, own = _gather(np.concatenate(flat), np.concatenate(sizes), np.stack([first, second], 1).ravel())
+        return ids, own.reshape(-1, 2).sum(1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's ids end."""
         words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         counts, coded = pc.list_value_length(words).to_numpy(), words.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        slots = self._slots(self.pieces, pieces)
-        if (slots < 0).any():
-            if len(self.pieces.slot) + int((slots < 0).sum()) > self.max_pieces:
-                self.forget()
-                slots[:] = -1
-            new = np.flatnonzero(slots < 0)
-            slots[new] = np.arange(len(new)) + len(self.pieces.slot)
-            self._learn(coded.dictionary.take(pa.array(new)))
-        ids, sizes = self.pieces.ids(slots[coded.indices.to_numpy()])
+        ids, sizes = _gather(*self._pieces(coded.dictionary), coded.indices.to_numpy())
         return ids, np.cumsum(sizes)[np.cumsum(counts) - 1]
 
 
-_encoders: dict[tuple[str, str], WordEncoder] = {}
+_encoders: dict[str, WordEncoder] = {}
 
 
-def _encoder(path: str, kind: str) -> WordEncoder:
+def _encoder(path: str) -> WordEncoder:
     chunks.hold("packing", _encoders.clear)
-    if (path, kind) not in _encoders:
-        _encoders[path, kind] = WordEncoder(path, kind)
-    return _encoders[path, kind]
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def _id_kind(path: str, end_id: int) -> str:
@@ -138,16 +129,18 @@ def encoded(docs: DataFrame, path: str, kind: str, end_id: int) -> DataFrame:
     end = np.array([end_id], kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at = _encoder(path, kind), TaskContext.get().partitionId() << 33
+        encoder, at = _encoder(path), TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = batch.column("text")
-            for begin, stop in chunks.byte_ranges(texts, 2 << 20):
+            for begin, stop in chunks.byte_ranges(texts, 6 << 20):
                 ids, ends = encoder.encode(texts[begin:stop])
+                ids = ids.astype(kind)
                 starts = np.concatenate([[0], ends[:-1]])
                 body = pa.array([ids[b:e].tobytes() + end for b, e in zip(starts, ends, strict=True)], pa.binary())
                 rows = pa.array(np.arange(at + begin, at + stop), pa.int64())
                 yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id")[begin:stop], pa.array(ends - starts + 1, pa.int64()), body], ["row", "doc_id", "n", "ids"])
             at += len(texts)
+        chunks.trim()
 
     return whole_text(docs).mapInArrow(run, "row long, doc_id long, n long, ids binary")
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chunks
@@ -35,15 +36,13 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 102
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _lengths(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            n_tokens: list[int] = []
-            for begin, end in chunks.by_bytes(texts):
-                pieces = [chunks.spaced_pieces(text) for text in texts[begin:end]]
+            texts, n_tokens = batch.column("text"), []
+            for begin, end in chunks.byte_ranges(texts):
+                pieces = [chunks.spaced_pieces(text) for text in texts[begin:end].to_pylist()]
                 table.learn(pieces)
                 n_tokens += [sum(map(table.__getitem__, p)) for p in pieces]
-            n_bytes = [len(text.encode("utf-8", "replace")) for text in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())],
+                [batch.column("doc_id"), pc.binary_length(texts).cast(pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 

@@ -52,6 +52,8 @@ class SparseModel:
     @classmethod
     def fit(cls, texts: list[str], labels: list[int], alpha: float = 1.5, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1, rounds: int = 2, seed: int = 7) -> SparseModel:
         """FTRL-proximal with a text's distinct features as ones; slot SLOTS is the bias, without L1."""
+        if not texts:
+            return cls(-35.0, np.zeros(0, np.int32), np.zeros(0, np.float32))
         z, n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
         penalty = np.full(SLOTS + 1, l1)
         penalty[SLOTS] = 0
@@ -60,20 +62,19 @@ class SparseModel:
             shrunk = np.sign(z[at]) * np.maximum(np.abs(z[at]) - penalty[at], 0)
             return -shrunk / ((beta + np.sqrt(n[at])) / alpha + l2)
 
-        if texts:
-            found: list[np.ndarray] = []  # each text's distinct slots, taken a megabyte of text at a time
-            for first, last in chunks.by_bytes(texts):
-                owner, slot = np.divmod(np.unique(np.dot([SLOTS, 1], text_features(texts[first:last]))), SLOTS)
-                found += np.split(slot.astype(np.int32), np.searchsorted(owner, np.arange(1, last - first)))
-            _pieces.forget()
-            rng = np.random.default_rng(seed)
-            for _ in range(rounds):
-                for i in rng.permutation(len(texts)):
-                    at = np.append(found[i], SLOTS)
-                    w = weight(at)
-                    g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[i]
-                    z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
-                    n[at] += g * g
+        found: list[np.ndarray] = []  # each text's distinct slots, taken a megabyte of text at a time
+        for first, last in chunks.by_bytes(texts):
+            owner, slot = np.divmod(np.unique(np.dot([SLOTS, 1], text_features(texts[first:last]))), SLOTS)
+            found += np.split(slot.astype(np.int32), np.searchsorted(owner, np.arange(1, last - first)))
+        _pieces.forget()
+        rng = np.random.default_rng(seed)
+        for _ in range(rounds):
+            for i in rng.permutation(len(texts)):
+                at = np.append(found[i], SLOTS)
+                w = weight(at)
+                g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[i]
+                z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
+                n[at] += g * g
         w = weight(np.arange(SLOTS + 1))
         kept = np.flatnonzero(w[:SLOTS])
         return cls(float(w[SLOTS]), kept.astype(np.int32), w[kept].astype(np.float32))
@@ -84,10 +85,11 @@ class Scorer:
         self.bias, self.weights = model.bias, np.zeros(SLOTS, np.float32)
         self.weights[model.slots] = model.values
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, texts: pa.Array) -> np.ndarray:
+        """Score of each text; a null text is empty."""
         out = np.empty(len(texts))
-        for begin, end in chunks.by_bytes(texts):
-            owner, slot = text_features(texts[begin:end])
+        for begin, end in chunks.byte_ranges(texts):
+            owner, slot = text_features([text or "" for text in texts[begin:end].to_pylist()])
             hit = np.flatnonzero(self.weights[slot])
             owner, slot = np.divmod(np.unique(owner[hit] * SLOTS + slot[hit]), SLOTS)
             out[begin:end] = np.bincount(owner, self.weights[slot], end - begin)
@@ -97,18 +99,17 @@ class Scorer:
 def train(docs: DataFrame, labels: DataFrame, positives: int = 1500, negatives: int = 3500, longest: int = 20_000, folds: int = 4, held_out: int = 2) -> SparseModel:
     """Fit on at most positives and negatives labelled texts of at most longest characters each.
 
-    The sample takes the least hashes of doc_id outside the held-out fold; rows with a null id or
-    label teach nothing; of contradicting labels the greater counts. The bounds hold what the driver receives.
+    The sample takes the least hashes of doc_id, among labelled texts of that length outside the held-out
+    fold; rows with a null id or label teach nothing; of contradicting labels the greater counts. The
+    bounds hold what the driver receives.
     """
-    spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-    known = known.filter(id_remainder(F.col("doc_id"), folds) != held_out)
-    chosen: dict[int, int] = {}
-    for toxic, most in ((0, negatives), (1, positives)):
-        rows = known.filter(F.col("toxic") == toxic).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
-        chosen |= dict.fromkeys((r[0] for r in rows), toxic)
-    sample = spark.createDataFrame(sorted(chosen.items()), "doc_id long, toxic int")  # bounded: positives + negatives rows
-    rows = whole_text(docs).filter(F.length("text") <= longest).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()
+    known = known.filter(id_remainder(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    short = whole_text(docs).filter(F.length("text") <= longest)
+    known = known.join(short.select("doc_id"), "doc_id", "left_semi")
+    order = F.xxhash64("doc_id"), F.col("doc_id")
+    sample = known.filter("toxic = 1").orderBy(*order).limit(positives).unionByName(known.filter("toxic <> 1").orderBy(*order).limit(negatives))
+    rows = short.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()
     rows = sorted(rows, key=lambda r: (r.doc_id, r.text))[: positives + negatives]
     return SparseModel.fit([r.text for r in rows], [r.toxic for r in rows])
 
@@ -139,14 +140,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: SparseModel | None
     """doc_id, held_out, score and predicted of every whole text.
 
     Null and empty texts get the score of the bias. A null doc_id is not held out. Repeated rows
-    each give a row; only texts take part in a score; no labels leave every score at 0.5; no rows
-    give no rows.
+    each give a row; a very long text is read whole; only texts take part in a score; without
+    labels nothing marks a text and every score is 0; no rows give no rows.
     """
     key, sent = _shared(docs, model or train(docs, labels, folds=folds, held_out=held_out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = _scorer(key, sent).score(batch.column("text").to_pylist())
+            scores = _scorer(key, sent).score(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     found = whole_text(docs).mapInArrow(run, "doc_id long, score double")
@@ -154,12 +155,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: SparseModel | None
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, model: SparseModel | None = None) -> DataFrame:
-    """The rows of docs, all columns, that score below threshold."""
+    """The rows of docs, all columns, that score below threshold.
+
+    Null and empty texts have the score of the bias. Repeated rows and rows without a doc_id are judged each on its
+    own text; without labels all rows stay; no rows give no rows.
+    """
     key, sent = _shared(docs, model or train(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = _scorer(key, sent).score([t or "" for t in batch.column("text").to_pylist()])
+            scores = _scorer(key, sent).score(batch.column("text"))
             yield batch.filter(pa.array(scores < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

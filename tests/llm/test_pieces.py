@@ -18,7 +18,7 @@ def test_latin_letters_and_marks_encode_as_in_the_library():
     words.learn([pieces])
     for piece, want in zip(pieces, wanted, strict=True):
         assert words[piece] == (" ".join(map(str, want)), library.decode(want, skip_special_tokens=False)), piece
-    encoder = packing.WordEncoder(path, "<u2")
+    encoder = packing.WordEncoder(path)
     for size in (len(pieces), 7):  # the library's own splitting and joining of new words must not show
         for at in range(0, len(pieces), size):
             ids, ends = encoder.encode(pa.array(pieces[at : at + size]))
