@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Sequence
+import zlib
+from collections.abc import Collection, Sequence
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
@@ -14,6 +16,7 @@ from ..functions import text as T
 from . import search
 
 IDENTITY = ("paper_id", "candidate_key", "panel_label", "row_index", "lane_index", "target")
+BUCKETS = 64
 KEPT_ON_UPDATE = ("id", "created_at", "page")
 SCHEMA = """id BIGINT, paper_id STRING, candidate_key STRING, source_pdf STRING, candidate_path STRING, page INT,
 figure_label STRING, panel_label STRING, row_index INT, lane_index INT, target STRING, is_loading_control BOOLEAN,
@@ -70,12 +73,13 @@ def other_source_conflicts(existing: DataFrame, incoming: DataFrame, identity: S
     return incoming.join(existing, same(existing, incoming, identity) & ~existing[source].eqNullSafe(incoming[source]), "left_semi")
 
 
-def replace_sources(existing: DataFrame, incoming: DataFrame, sources: DataFrame, now: Column, identity: Sequence[str] = IDENTITY, scope: Sequence[str] = ("paper_id", "source_id"), kept: Sequence[str] = KEPT_ON_UPDATE, id_column: str = "id") -> DataFrame:
+def replace_sources(existing: DataFrame, incoming: DataFrame, sources: DataFrame, now: Column, identity: Sequence[str] = IDENTITY, scope: Sequence[str] = ("paper_id", "source_id"), kept: Sequence[str] = KEPT_ON_UPDATE, id_column: str = "id", top: int | None = None) -> DataFrame:
     """The catalog after the rows of these sources are replaced by the incoming ones.
 
     A row of known identity keeps its id, creation time and page; a new one gets the next id; rows
     of the sources that did not come again go; an empty batch removes them all. Of equal incoming
-    identities the last by input_pos counts. Missing provenance columns become null.
+    identities the last by input_pos counts. Missing provenance columns become null. top is the highest
+    id so far, where existing is only a part of the catalog.
     """
     batch = last_of_each(incoming, identity, "input_pos").drop("input_pos")
     own = existing.join(F.broadcast(sources) if sources.isLocal() else sources, same(existing, sources, scope), "left_semi")
@@ -84,8 +88,8 @@ def replace_sources(existing: DataFrame, incoming: DataFrame, sources: DataFrame
     match = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(identity)])
     joined = batch.join(old, match, "left").drop(*[f"_k{i}" for i in range(len(identity))])
     known, new = joined.filter(F.col(f"_old_{id_column}").isNotNull()), joined.filter(F.col(f"_old_{id_column}").isNull())
-    top = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_top"))
-    new = numbered(new, identity, "_n").crossJoin(F.broadcast(top)).withColumn(f"_old_{id_column}", F.col("_top") + F.col("_n")).drop("_n", "_top")
+    last = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_top")) if top is None else existing.sparkSession.range(1).select(F.lit(top).cast("long").alias("_top"))
+    new = numbered(new, identity, "_n").crossJoin(F.broadcast(last)).withColumn(f"_old_{id_column}", F.col("_top") + F.col("_n")).drop("_n", "_top")
     rows = known.unionByName(new)
     values = {f.name: F.lit(None).cast(f.dataType) for f in existing.schema} | {c: F.col(c) for c in batch.columns}
     values |= {c: F.coalesce(F.col(f"_old_{c}"), values[c]) for c in kept if c != "created_at"}
@@ -94,9 +98,14 @@ def replace_sources(existing: DataFrame, incoming: DataFrame, sources: DataFrame
     return others.unionByName(rows.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in existing.schema]))
 
 
+def bucket_of(paper_id: str) -> int:
+    return zlib.crc32(paper_id.encode()) % BUCKETS
+
+
 class Catalog:
-    """Versions of the table under a folder. Each is a snapshot and a numbered entry of the log that names it.
+    """Versions of the table under a folder. Each is a numbered entry of the log, which names a folder for each bucket of papers.
 
+    A new version writes the buckets of its papers alone and refers to the others where they are.
     The entry is created last and only if its number is free, so of two writers one fails and changes nothing.
     An entry that a writer left empty as it died counts for nothing but keeps its number: remove it by hand.
     """
@@ -116,22 +125,33 @@ class Catalog:
     def initialize(self) -> None:
         """Create the empty table unless it is there; older versions gain missing columns when read."""
         if not self.version():
-            self._publish(self.spark.createDataFrame([], SCHEMA), 0)
-
-    def rows(self, version: int | None = None) -> DataFrame:
-        """One snapshot; columns it lacks are null."""
-        name = self.spark.read.text(f"{self.root}/log/{version or self.version():020d}").first()[0]
-        return self.spark.createDataFrame([], SCHEMA).unionByName(self.spark.read.parquet(f"{self.root}/{name}"), allowMissingColumns=True)
-
-    def _publish(self, df: DataFrame, expected: int) -> None:
-        name = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{name}")
-        fs, entry = self._fs(f"{self.root}/log/{expected + 1:020d}")
+            self._log({"top": 0, "folders": {}}, 0)
+
+    def _entry(self, version: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.root}/log/{version:020d}").first()[0])
+
+    def rows(self, version: int | None = None, buckets: Collection[int] | None = None) -> DataFrame:
+        """One snapshot, or these buckets of it; columns it lacks are null."""
+        folders = self._entry(version or self.version())["folders"]
+        wanted = [f"{self.root}/{f}" for b, f in sorted(folders.items()) if buckets is None or int(b) in buckets]
+        empty = self.spark.createDataFrame([], SCHEMA)
+        return empty.unionByName(self.spark.read.option("mergeSchema", True).parquet(*wanted), allowMissingColumns=True) if wanted else empty
+
+    def _publish(self, df: DataFrame, buckets: Collection[int], expected: int) -> None:
+        """Write df as the content of these buckets and log the version after the expected one."""
+        name, entry = f"v-{uuid.uuid4().hex}", self._entry(expected)
+        df.withColumn("bucket", F.crc32(F.col("paper_id").cast("binary")) % BUCKETS).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{name}")
+        written = self.spark.read.schema("id BIGINT, bucket INT").parquet(f"{self.root}/{name}").groupBy("bucket").agg(F.max("id").alias("top")).collect()  # a row a bucket
+        folders = {b: f for b, f in entry["folders"].items() if int(b) not in buckets} | {str(r.bucket): f"{name}/bucket={r.bucket}" for r in written}
+        self._log({"top": max([entry["top"], *(r.top for r in written)]), "folders": folders}, expected)
+
+    def _log(self, entry: dict, expected: int) -> None:
+        fs, path = self._fs(f"{self.root}/log/{expected + 1:020d}")
         try:
-            stream = fs.create(entry, False)
+            stream = fs.create(path, False)
         except Py4JJavaError as error:
             raise RuntimeError("another writer published meanwhile; nothing was changed") from error
-        stream.write(bytearray(name.encode()))
+        stream.write(bytearray(json.dumps(entry).encode()))
         stream.close()
 
     def replace(self, records: DataFrame, paper_id: str, source_id: str | None = None) -> int:
@@ -152,13 +172,15 @@ class Catalog:
         if not violations(records).isEmpty():
             raise ValueError("a record breaks a constraint")
         version = self.version()
-        existing = self.rows(version)
+        papers = records.select("paper_id").unionByName(sources.select("paper_id")).select((F.crc32(F.col("paper_id").cast("binary")) % BUCKETS).alias("bucket"))
+        buckets = {r.bucket for r in papers.distinct().collect()}  # at most BUCKETS
+        existing = self.rows(version, buckets)
         if not other_source_conflicts(existing, records).isEmpty():
             raise ValueError("another source holds one of these identities")
         shared = records.groupBy(*IDENTITY).agg(F.min(F.struct("source_id")).alias("low"), F.max(F.struct("source_id")).alias("high"))
         if not shared.filter(~F.col("low").eqNullSafe(F.col("high"))).isEmpty():
             raise ValueError("two sources of the batch hold one identity")
-        self._publish(replace_sources(existing, records, sources, F.current_timestamp()), version)
+        self._publish(replace_sources(existing, records, sources, F.current_timestamp(), top=self._entry(version)["top"]), buckets, version)
         n = records.count()
         fs, staged = self._fs(at)
         fs.delete(staged, True)
@@ -167,7 +189,8 @@ class Catalog:
     def search(self, criteria: search.Criteria, limit: int = 100, offset: int = 0) -> tuple[DataFrame, DataFrame]:
         """Page and total from the same snapshot."""
         search.validate(criteria, limit, offset)
-        rows, where = self.rows(self.version()), search.predicate(criteria)
+        paper = (criteria.paper_id or "").strip()
+        rows, where = self.rows(self.version(), {bucket_of(paper)} if paper else None), search.predicate(criteria)
         page = search.search_page(rows, where, [F.desc_nulls_first("updated_at"), F.desc_nulls_first("id")], limit, offset)
         return public_records(page), search.search_total(rows, where)
 

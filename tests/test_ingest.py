@@ -194,7 +194,7 @@ def test_two_writers_and_a_stream(spark, tmp_path):
     store = catalog.Catalog(spark, str(tmp_path / "c"))
     store.initialize()
     with pytest.raises(RuntimeError, match="another writer"):
-        store._publish(store.rows(), 0)
+        store._log({"top": 0, "folders": {}}, 0)
     rows = [("p", f"k{i}", 1, "AKT", False, "total_protein", f"s{i % 2}") for i in range(6)]
     schema = "paper_id string, candidate_key string, page int, target string, is_loading_control boolean, western_blot_type string, source_id string"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))

@@ -116,6 +116,22 @@ def test_catalog_replaces_atomically(spark, tmp_path):
     assert store.rows().count() == 0 and store.health()
 
 
+def test_versions_share_the_buckets_they_do_not_touch(spark, tmp_path):
+    store = catalog.Catalog(spark, str(tmp_path))
+    store.initialize()
+    papers = [f"p{i}" for i in range(6)]
+    for paper in papers:
+        store.replace(frame(spark, record("a") | {"paper_id": paper}, record("b") | {"paper_id": paper}), paper, "s")
+    before = store._entry(store.version())["folders"]
+    store.replace(frame(spark, record("c") | {"paper_id": "p0"}), "p0", "s")
+    after = store._entry(store.version())["folders"]
+    assert [b for b in before if before[b] != after.get(b)] == [str(catalog.bucket_of("p0"))]
+    ids = {(r.paper_id, r.candidate_key): r.id for r in store.rows().collect()}
+    assert len(ids) == 11 and len(set(ids.values())) == 11 and ids["p0", "c"] == 13
+    page, total = store.search(search.Criteria(paper_id=" p3 "))
+    assert total.first().total == 2 and {r.paper_id for r in page.collect()} == {"p3"}
+
+
 def test_cache_reader(spark, tmp_path):
     good = json.dumps({"candidate_path": "a.png", "extraction": {"is_western_blot": False}})
     path = tmp_path / "cache.jsonl"
