@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 from urllib.parse import urlparse
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.strict_json import canonical_json
+from ..operators import extract
+from ..operators.flatten import is_positive
 
 SUFFIXES = (".pdf", ".png", ".jpg", ".jpeg")
 
 
-def admit_source(name: str, source_url: str | None = None, source_id: str | None = None) -> None:
-    """Raise ValueError unless suffix, URL and ids are acceptable."""
+def admit_source(name: str, source_url: str | None = None, source_id: str | None = None, path: str | None = None) -> None:
+    """Raise ValueError unless suffix, URL and ids are acceptable, FileNotFoundError where a local path is given that is no file."""
+    if path is not None and not Path(path).is_file():
+        raise FileNotFoundError(path)
     if not name.lower().endswith(SUFFIXES):
         raise ValueError(f"unsupported source: {name}")
     if source_url is not None:
@@ -61,8 +66,17 @@ def read_contexts(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("candidate_path").agg(F.max_by("text_context", "line_no").alias("text_context"))
 
 
+def is_single_frame(content: Column) -> Column:
+    """Whether the bytes are a JPEG, or a PNG that is not animated."""
+    png = F.substring(content, 1, 8) == F.unhex(F.lit("89504E470D0A1A0A"))
+    return (png & ~F.contains(content, F.lit(b"acTL"))) | (F.substring(content, 1, 3) == F.unhex(F.lit("FFD8FF")))
+
+
 def read_images(spark: SparkSession, path: str, paper_id: str) -> DataFrame:
-    """One candidate per PNG or JPEG: the whole image, page 1, score 1."""
+    """One candidate per PNG or JPEG: the whole image, page 1, score 1. Other files and images of several frames raise ValueError."""
+    odd = spark.read.format("binaryFile").load(path).filter(~is_single_frame(F.col("content"))).select("path").limit(1).collect()
+    if odd:
+        raise ValueError(f"{odd[0].path} is not a PNG or JPEG of one frame")
     image = F.col("image")
     box = F.array(F.lit(0), F.lit(0), image["width"], image["height"])
     return spark.read.format("image").option("dropInvalid", True).load(path).select(
@@ -71,17 +85,36 @@ def read_images(spark: SparkSession, path: str, paper_id: str) -> DataFrame:
     )
 
 
-def read_pages(spark: SparkSession, path: str, render: Callable[[bytes], list[tuple[str, int, int]]]) -> DataFrame:
-    """path, page, text, width_px, height_px of documents; render turns a file's bytes into its pages and is a plug-in."""
+def read_pages(spark: SparkSession, path: str, render: Callable[[bytes, float], Iterable[tuple[str, int, int, bytes | None]]], dpi: int = 350) -> DataFrame:
+    """path, page (from 1), image_path, text, width_px, height_px and bgr of documents' pages.
+
+    render is a plug-in: from a file's bytes and the scale over 72 dots an inch, each page's text, width,
+    height and pixels (rows of blue, green, red bytes, or None). Pages leave a task one by one, so a
+    long document's pixels are never held together.
+    """
+    scale, names = dpi / 72, ["path", "page", "image_path", "text", "width_px", "height_px", "bgr"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame(
-                [(p, k, *page) for p, content in zip(pdf["path"], pdf["content"], strict=True) for k, page in enumerate(render(content), 1)],
-                columns=["path", "page", "text", "width_px", "height_px"],
-            )
+            for source, content in zip(pdf["path"], pdf["content"], strict=True):
+                for k, (text, width, height, bgr) in enumerate(render(content, scale), 1):
+                    yield pd.DataFrame([(source, k, f"rendered_pages/page_{k:03d}.png", text, width, height, bgr)], columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, page int, image_path string, text string, width_px int, height_px int, bgr binary")
+
+
+def latest_positive(spark: SparkSession, path: str) -> DataFrame:
+    """file_name and extraction: the last positive result of each file name in a run's cache; none of a cache that cannot be read."""
+    try:
+        rows = read_cache(spark, path)
+    except ValueError:
+        rows = spark.createDataFrame([], "line_no int, candidate_path string, page int, paper_id string, extraction variant")
+    return extract.latest_positive(rows)
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, page int, text string, width_px int, height_px int")
+def positive_results(results: DataFrame) -> DataFrame:
+    """The results whose extraction is positive."""
+    return results.filter(is_positive(F.col("extraction")))
 
 
 def write_json_lines(rows: DataFrame, path: str, append: bool = False) -> None:

@@ -220,8 +220,18 @@ def test_files(spark, tmp_path):
     for bad in (("x.gif",), ("x.pdf", "ftp://h"), ("x.pdf", None, " ")):
         with pytest.raises(ValueError):
             files.admit_source(*bad)
-    pages = files.read_pages(spark, str(tmp_path / "i.png"), lambda content: [("text", 1, 2), ("more", 3, 4)])
-    assert [(r.page, r.text) for r in pages.collect()] == [(1, "text"), (2, "more")]
+    with pytest.raises(FileNotFoundError):
+        files.admit_source("x.pdf", path=str(tmp_path / "none.pdf"))
+    pages = files.read_pages(spark, str(tmp_path / "i.png"), lambda content, scale: [("text", 1, int(72 * scale), b"abc"), ("more", 3, 4, None)], dpi=144)
+    assert [(r.page, r.text, r.height_px, r.image_path) for r in pages.collect()] == [(1, "text", 144, "rendered_pages/page_001.png"), (2, "more", 4, "rendered_pages/page_002.png")]
+    plain = (tmp_path / "i.png").read_bytes()
+    (tmp_path / "moving.png").write_bytes(plain[:33] + b"\0\0\0\0acTL" + plain[33:])
+    (tmp_path / "text.png").write_bytes(b"no image")
+    for bad in ("moving.png", "text.png"):
+        with pytest.raises(ValueError, match="one frame"):
+            files.read_images(spark, str(tmp_path / bad), "p")
     (tmp_path / "cut.jsonl").write_bytes(b'{"candidate_path": "a.png", "extraction": {"is_western_blot": true}}\n{"candidate_path": "\xe6')
-    cache = files.read_cache(spark, str(tmp_path / "cut.jsonl"))
-    assert [r.file_name for r in extract.latest_positive(cache).collect()] == ["a.png"]
+    assert [r.file_name for r in files.latest_positive(spark, str(tmp_path / "cut.jsonl")).collect()] == ["a.png"]
+    assert files.positive_results(files.read_cache(spark, str(tmp_path / "cut.jsonl"))).count() == 1
+    (tmp_path / "bad.jsonl").write_text("not json\n")
+    assert files.latest_positive(spark, str(tmp_path / "bad.jsonl")).count() == 0
