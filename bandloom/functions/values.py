@@ -86,6 +86,17 @@ def list_field(v: Column, name: str) -> Column:
     return F.coalesce(items(v, f"$.{name}"), F.array().cast("array<variant>"))
 
 
+def records_field(v: Column, name: str, members: Sequence[str]) -> Column:
+    """The list's objects as structs of these members, each a VARIANT; empty where there is no list.
+
+    One typed read where the list holds objects (and nulls) alone; otherwise each item is looked at.
+    """
+    plain = F.try_variant_get(v, f"$.{name}", f"array<struct<{','.join(f'{m}:variant' for m in members)}>>")
+    sound = F.filter(plain, lambda x: x.isNotNull())
+    one_by_one = F.transform(objects(list_field(v, name)), lambda x: F.struct(*[field(x, m).alias(m) for m in members]))
+    return F.when(plain.isNotNull(), sound).otherwise(one_by_one)
+
+
 def bad_list(v: Column, name: str) -> Column:
     """Whether the list is a JSON null, number or boolean, which cannot be walked."""
     found = field(v, name)

@@ -13,6 +13,7 @@ from ..functions import values as V
 ROOT_KEYS = ("figure_label", "figure_caption", "biological_sample", "cell_line_tissue", "organism", "sample_type", "treatment_context")
 PANEL_KEYS = ("panel_label", "panel_title", "treatment_context", "targets_top_to_bottom", "lanes_left_to_right", "bands", "warnings")
 SAMPLE_KEYS = ("cell_line_tissue", "biological_sample", "sample_type")
+BAND_KEYS = ("row_index", "lane_index", "target", "band_state", "confidence")
 STATES = ("present", "absent", "uncertain")
 LISTS = ("lanes_left_to_right", "targets_top_to_bottom", "bands")
 
@@ -39,14 +40,14 @@ def _key(raw: Column) -> Column:
 
 
 def _lane(item: Column) -> Column:
-    return F.struct(_key(V.field(item, "lane_index")).alias("key"), V.text_or_null(V.field(item, "condition")).alias("condition"))
+    return F.struct(_key(item["lane_index"]).alias("key"), V.text_or_null(item["condition"]).alias("condition"))
 
 
 def _target(item: Column) -> Column:
-    name, trust = V.field(item, "target"), V.field(item, "confidence")
+    name = item["target"]
     return F.struct(
-        _key(V.field(item, "row_index")).alias("key"), F.when(V.truthy(name), V.as_text(name)).alias("name"),
-        V.truthy(V.field(item, "is_loading_control")).alias("loading"), V.confidence(trust).alias("confidence"),
+        _key(item["row_index"]).alias("key"), F.when(V.truthy(name), V.as_text(name)).alias("name"),
+        V.truthy(item["is_loading_control"]).alias("loading"), V.confidence(item["confidence"]).alias("confidence"),
     )
 
 
@@ -66,10 +67,11 @@ def flatten_records(figures: DataFrame, source_pdf: str | None = None) -> DataFr
     panels = panels.select(
         "figure_no", "panel_no", "paper_id", "path", "page", V.field(panel, "panel_label").alias("panel_label"),
         *[V.field(panel, k).alias(f"own_{k}") for k in inherited], *[V.field(ext, k).alias(f"root_{k}") for k in inherited],
-        F.transform(V.objects(V.list_field(panel, "lanes_left_to_right")), _lane).alias("lanes"),
-        F.transform(V.objects(V.list_field(panel, "targets_top_to_bottom")), _target).alias("targets"),
-        V.objects(V.list_field(panel, "bands")).alias("bands"),
+        V.records_field(panel, "lanes_left_to_right", ("lane_index", "condition")).alias("lanes"),
+        V.records_field(panel, "targets_top_to_bottom", ("row_index", "target", "is_loading_control", "confidence")).alias("targets"),
+        V.records_field(panel, "bands", BAND_KEYS).alias("bands"),
     )
+    panels = panels.withColumns({"lanes": F.transform("lanes", _lane), "targets": F.transform("targets", _target)})
     panels = panels.withColumns({f"text_{w}_{k}": V.text_or_null(F.col(f"{w}_{k}")) for w in ("own", "root") for k in inherited})
     sample = None
     for k in SAMPLE_KEYS:
@@ -81,7 +83,7 @@ def flatten_records(figures: DataFrame, source_pdf: str | None = None) -> DataFr
         *[F.coalesce(f"text_own_{k}", f"text_root_{k}").alias(k) for k in inherited if k not in SAMPLE_KEYS],
         F.posexplode("bands").alias("band_no", "band"),
     )
-    bands = bands.withColumns({f"band_{k}": V.field(band, k) for k in ("row_index", "lane_index", "target", "band_state", "confidence")}).drop("band")
+    bands = bands.withColumns({f"band_{k}": band[k] for k in BAND_KEYS}).drop("band")
     bands = bands.withColumns({"row_index": V.positive_int(F.col("band_row_index")), "lane_index": V.positive_int(F.col("band_lane_index")), "named": F.when(V.truthy(F.col("band_target")), V.as_text(F.col("band_target"))), "trusted": V.truthy(F.col("band_confidence"))})
     bands = bands.withColumn("lane", V.last_item(F.filter("lanes", lambda x: _same_key(x["key"], F.col("lane_index")))))
     by_row = V.last_item(F.filter("targets", lambda t: _same_key(t["key"], F.col("row_index"))))
