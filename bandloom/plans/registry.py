@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,7 @@ from ..functions import strict_json
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import candidates as cand
-from ..operators import catalog, context, detail, extract, flatten, ingest, search
+from ..operators import catalog, context, detail, extract, flatten, images, ingest, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -500,3 +502,62 @@ def record_detail(spark, sf_dir):
     pages = spark.createDataFrame([], "run string, page int, page_no int, text string")
     out = detail.record_detail(records, cache, pages)
     return out.select("id", F.col("image_url").isNotNull().alias("has_image"), "figure_caption", "source_url")
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A fresh folder where a query that publishes keeps its versions and runs: shared on a cluster, local in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(named or tempfile.mkdtemp(prefix='bandloom-')).rstrip('/')}/query-{uuid.uuid4().hex}"
+
+
+@query("""SELECT doc_id, quality * 2 + toxic = 1 AS positive, CASE quality * 2 + toxic WHEN 2 THEN 'vlm_request_failed' WHEN 3 THEN 'invalid_extraction' END AS error,
+count(*) FILTER (quality = 1) OVER () AS failed_candidates, count(*) OVER () AS queried FROM labels""")
+def extraction_run(spark, sf_dir):
+    """Labels are candidates; their two marks tell what the model answers: no, yes, nothing, nonsense."""
+    path = F.concat(F.lit("runs/r/panel_candidates/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("candidate_path")
+    labels = table(spark, sf_dir, "labels")
+    candidates = labels.select(F.col("doc_id").alias("candidate_no"), path, F.lit("p").alias("paper_id"), F.lit(1).alias("page"))
+    contexts = labels.select(path, (F.col("quality") * 2 + F.col("toxic")).cast("string").alias("text_context"), F.lit(1).alias("line_no"))
+    dots = labels.select(path, F.lit(2).alias("width_px"), F.lit(1).alias("height_px"), F.unhex(F.lit("000000ffffff")).alias("bgr"))
+
+    def model(_: str, text_context: str, data_url: str | None) -> str:
+        if not data_url or text_context == "2":
+            raise TimeoutError("no answer")
+        return {"0": '{"is_western_blot": false}', "1": '{"is_western_blot": true, "bands": [{"target": "x"}]}'}.get(text_context, "[]")
+
+    results, summary = extract.run_extraction(candidates, contexts, dots, model, _scratch(spark), wave=100_000)
+    ext = F.col("extraction")
+    return results.crossJoin(F.broadcast(summary)).select(F.col("candidate_no").alias("doc_id"), flatten.is_positive(ext).alias("positive"), F.try_variant_get(ext, "$.error", "string").alias("error"), "failed_candidates", "queried")
+
+
+_SUPPLIERS = "SELECT s_suppkey, CAST(s_nationkey AS VARCHAR) AS paper_id, s_name AS target, CASE WHEN s_nationkey < 10 THEN 'again' ELSE 'once' END AS sample FROM supplier WHERE s_nationkey >= 10 OR s_suppkey % 2 = 0"
+
+
+@query(f"SELECT paper_id, target, sample, count(*) OVER () AS total FROM ({_SUPPLIERS}) WHERE target ILIKE '%u%' AND sample ILIKE '%again%' AND paper_id = '4'")
+def catalog_versions(spark, sf_dir):
+    """Suppliers are records of their nation's paper; a second batch brings those of ten nations again, without every other one."""
+    rows = table(spark, sf_dir, "supplier").select(
+        F.col("s_nationkey").cast("string").alias("paper_id"), F.col("s_suppkey").cast("string").alias("candidate_key"), F.lit(1).alias("page"), F.col("s_name").alias("target"), F.lit(False).alias("is_loading_control"),
+        F.lit("total_protein").alias("western_blot_type"), F.lit("s").alias("source_id"), F.lit("once").alias("sample"), "s_suppkey",
+    )
+    store = catalog.Catalog(spark, _scratch(spark))
+    store.initialize()
+    store.replace_batch(rows.drop("s_suppkey"), rows.select("paper_id", "source_id").distinct())
+    again = rows.filter("CAST(paper_id AS INT) < 10")
+    store.replace_batch(again.filter("s_suppkey % 2 = 0").drop("s_suppkey").withColumn("sample", F.lit("again")), again.select("paper_id", "source_id").distinct())
+    page, total = store.search(search.Criteria(q="u", sample="again", paper_id="4"), 200)
+    return page.crossJoin(F.broadcast(total)).select("paper_id", "target", "sample", "total")
+
+
+@query("""WITH p AS (SELECT doc_id, r, c, CAST('0x' || substring(md5(text), 8 * r + 2 * c + 1, 2) AS INTEGER) AS g FROM documents, range(0, 4) AS a(r), range(0, 4) AS b(c)),
+rows_ AS (SELECT doc_id, stddev_pop(m) / (avg(m) + 1e-6) AS row_ratio FROM (SELECT doc_id, r, avg(255 - g) AS m FROM p GROUP BY ALL) GROUP BY doc_id),
+cols_ AS (SELECT doc_id, stddev_pop(m) / (avg(m) + 1e-6) AS col_ratio FROM (SELECT doc_id, c, avg(255 - g) AS m FROM p GROUP BY ALL) GROUP BY doc_id)
+SELECT p.doc_id, avg(CAST(g < 210 AS INTEGER)) AS dark, round(any_value(row_ratio), 6) AS row_ratio, round(any_value(col_ratio), 6) AS col_ratio, 0.0::DOUBLE AS saturation
+FROM p JOIN rows_ ON rows_.doc_id = p.doc_id JOIN cols_ ON cols_.doc_id = p.doc_id GROUP BY p.doc_id""")
+def image_measures(spark, sf_dir):
+    """The digest of each text as a gray image of four by four."""
+    bgr = F.unhex(F.regexp_replace(F.md5(F.col("text").cast("binary")), "(..)", "$1$1$1"))
+    out = images.image_features(table(spark, sf_dir, "documents").select("doc_id", F.lit(4).alias("width_px"), F.lit(4).alias("height_px"), bgr.alias("bgr")))
+    return out.select("doc_id", "dark", F.round("row_ratio", 6).alias("row_ratio"), F.round("col_ratio", 6).alias("col_ratio"), "saturation")
