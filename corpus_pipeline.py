@@ -12,22 +12,38 @@ from bandloom.llm.toxicity import keep_clean
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language the random field does not know."""
+    """Drops documents whose language the random field does not know.
+
+    So go null and empty texts and texts without a letter; where no lang teaches, nothing goes. Rows without a
+    doc_id and repeated rows are judged each on its own text; no rows give no rows.
+    """
     return keep_identified(docs)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score as toxic; the labels teach, whatever documents are left."""
+    """Drops documents that score as toxic; the labels of documents that are left teach.
+
+    Null and empty texts have the score of the bias; without labels all rows stay; repeated rows and rows without a
+    doc_id are judged each on its own text; no rows give no rows.
+    """
     return keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates (five words, 0.8)."""
+    """Keeps one document of each group of near duplicates (five words, 0.8): the one of the least doc_id.
+
+    Repeated rows are copies, so one stays, and so are equal texts without a doc_id; texts without words all stay; no
+    rows give no rows.
+    """
     return keep_one_of_each(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences: one row per piece."""
+    """Packs what is left into sequences: one row per piece.
+
+    A null or empty text is its end token alone; repeated rows are packed each on its own; a null doc_id stays null; no
+    rows give no rows.
+    """
     return pack(docs)
 
 
