@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import strip
+
 
 def _finite(value):
     if isinstance(value, float) and not math.isfinite(value):
@@ -39,12 +41,12 @@ def canonical_json(texts: pd.Series) -> pd.Series:
 def model_json(raw: Column, shown: int = 1200) -> Column:
     """VARIANT of a model's answer: fences and thoughts go, then the whole, then the outermost braces are tried.
 
-    Otherwise {"error": "bad_json", "raw": the start of the answer}. A closing thought mark without
+    Otherwise {"error": "bad_json", "raw": the start of what is left}. A closing thought mark without
     an opening one before it ends the removal.
     """
-    text = F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?s)<think>.*?</think>", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?i)^```(?:json)?|```$", "")
+    text = F.replace(F.replace(strip(F.coalesce(raw, F.lit(""))), F.lit("```json"), F.lit("")), F.lit("```"), F.lit(""))
+    text = strip(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
     inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     found = F.coalesce(canonical_json(text), canonical_json(inner))
-    failed = F.to_json(F.struct(F.lit("bad_json").alias("error"), F.substring(F.coalesce(raw, F.lit("")), 1, shown).alias("raw")))
+    failed = F.to_json(F.struct(F.lit("bad_json").alias("error"), F.substring(text, 1, shown).alias("raw")))
     return F.parse_json(F.coalesce(found, failed))

@@ -41,6 +41,11 @@ def run_of(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]+/[^/]+$", 1)
 
 
+def shown_text(value: Column) -> Column:
+    """A value as text: a JSON null as None, lists and objects as JSON."""
+    return F.coalesce(V.as_text(value), F.when(F.is_variant_null(value), "None"), F.to_json(value))
+
+
 def record_detail(records: DataFrame, cache: DataFrame, pages: DataFrame) -> DataFrame:
     """The public columns of records with image_url, figure_caption, paper_context and warnings.
 
@@ -55,8 +60,9 @@ def record_detail(records: DataFrame, cache: DataFrame, pages: DataFrame) -> Dat
     positive = extract.is_positive(ext)
     latest = cache.filter(positive).withColumn("file_name", name).groupBy("run", "file_name").agg(F.max_by(F.to_json("extraction"), "line_no").alias("latest"))
     joined = known.join(latest, ["run", "file_name"], "left").withColumn("extraction", F.parse_json("latest"))
-    caption = F.coalesce(V.as_text(V.field(ext, "figure_caption")), F.lit(""))
-    shown = joined.select("*", caption.alias("figure_caption"), F.transform(V.list_field(ext, "warnings"), lambda w: F.coalesce(V.as_text(w), F.lit("None"))).alias("warnings"))
+    given = V.field(ext, "figure_caption")
+    caption = F.when(given.isNull(), "").otherwise(shown_text(given))
+    shown = joined.select("*", caption.alias("figure_caption"), F.transform(V.list_field(ext, "warnings"), shown_text).alias("warnings"))
     about = context.page_context(known.filter("run IS NOT NULL").select("id", "run", "page", "figure_label"), pages)
     public = catalog.public_records(shown)
     extra = shown.select("id", F.when(F.col("run").isNotNull(), F.format_string("/api/records/%d/image", F.col("id"))).alias("image_url"), "figure_caption", "warnings")

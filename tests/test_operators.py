@@ -74,7 +74,7 @@ def test_retry(spark):
     assert [r.needs_retry for r in out] == [w for _, w in cases]
 
 
-@pytest.mark.parametrize(("raw", "error"), [("<think>a</think> ```json\n{\"a\": 1}\n```", None), ("not json", "bad_json"), ('{"a":1}{"b":2}', "bad_json"), ("</think><think>{}", None), ('{"a":1,"a":2}', None)])
+@pytest.mark.parametrize(("raw", "error"), [("<think>a</think> ```json\n{\"a\": 1}\n```", None), ("not json", "bad_json"), ('{"a":1}{"b":2}', "bad_json"), ("</think><think>{}", None), ("Here:\n```json\n{\"a\": 1}\n```\nDone ```", None), ('{"a":1,"a":2}', None)])
 def test_model_json(spark, raw, error):
     v = spark.createDataFrame([(raw,)], "r string").select(strict_json.model_json(F.col("r")).alias("v"))
     assert v.select(F.try_variant_get("v", "$.error", "string")).first()[0] == error
