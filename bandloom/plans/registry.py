@@ -327,17 +327,6 @@ def keyword_hits(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(at).cast("long").alias("hits"), F.try_element_at(at, F.lit(1)).alias("first_at")).filter("hits > 0")
 
 
-@query()
-def keyword_snippets(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", context.snippets(F.col("text"), ("the", "rat", "of")).alias("snippets"))
-
-
-@query()
-def figure_windows(spark, sf_dir):
-    text = F.regexp_replace("text", r"\bthe\b", "Figure 2")
-    return table(spark, sf_dir, "documents").select("doc_id", context.figure_context(text).alias("figure_context"))
-
-
 @query("SELECT l_orderkey, l_linenumber, l_discount FROM lineitem WHERE coalesce(l_discount * 10, 0) >= 0.65")
 def score_threshold(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumn("cv_score", F.col("l_discount") * 10)
@@ -561,3 +550,25 @@ def image_measures(spark, sf_dir):
     bgr = F.unhex(F.regexp_replace(F.md5(F.col("text").cast("binary")), "(..)", "$1$1$1"))
     out = images.image_features(table(spark, sf_dir, "documents").select("doc_id", F.lit(4).alias("width_px"), F.lit(4).alias("height_px"), bgr.alias("bgr")))
     return out.select("doc_id", "dark", F.round("row_ratio", 6).alias("row_ratio"), F.round("col_ratio", 6).alias("col_ratio"), "saturation")
+
+
+_TERMS = ("the", "rat", "of")
+_HITS = " UNION ALL ".join(f"SELECT doc_id, s, {i} AS term, {len(t)} AS size, string_split(lower(s), '{t}') AS parts FROM t" for i, t in enumerate(_TERMS))
+
+
+@query(_CLEAN + f"""h AS ({_HITS}), n AS (SELECT doc_id, max(len(parts) - 1) FILTER (term = 0) AS n0, max(len(parts) - 1) FILTER (term = 1) AS n1 FROM h GROUP BY doc_id),
+m AS (SELECT doc_id, least(n0, 48) AS c0, least(n0, 48) + least(n1, greatest(1, 48 - least(n0, 48))) AS c1 FROM n),
+o AS (SELECT h.doc_id, s, term, size, parts, unnest(range(1, least(len(parts), 1 + CASE term WHEN 0 THEN 48 WHEN 1 THEN greatest(1, 48 - c0) ELSE greatest(1, 48 - c1) END))) AS k FROM h JOIN m ON m.doc_id = h.doc_id),
+w AS (SELECT doc_id, s, term, size, k, CAST(list_sum(list_transform(list_slice(parts, 1, k), lambda x: length(x))) AS BIGINT) + (k - 1) * size AS pos FROM o),
+v AS (SELECT doc_id, term, k, substring(s, greatest(0, pos - 350) + 1, least(length(s), pos + size + 350) - greatest(0, pos - 350)) AS win FROM w),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(left(win, 250)) ORDER BY term, k) AS first FROM v),
+g AS (SELECT doc_id, term, k, win, row_number() OVER (PARTITION BY doc_id ORDER BY term, k) AS i FROM f WHERE first = 1)
+SELECT t.doc_id, sha256(coalesce(string_agg('- ' || win, chr(10) || chr(10) ORDER BY term, k) FILTER (i <= 16), '')) AS digest FROM t LEFT JOIN g ON g.doc_id = t.doc_id GROUP BY t.doc_id""")
+def keyword_snippets(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.content_hash(context.snippets(F.col("text"), _TERMS)).alias("digest"))
+
+
+@query(_CLEAN.replace("text,", "regexp_replace(text, '\\bthe\\b', 'Figure 2', 'g'),") + _WINDOWS.format(low="s", term="Figure 2", size=8, most=100000000, before=300, after=2500) + "SELECT t.doc_id, sha256(coalesce(left(string_agg(win, chr(10) || chr(10) ORDER BY k), 5000), '')) AS digest FROM t LEFT JOIN g ON g.doc_id = t.doc_id GROUP BY t.doc_id")
+def figure_windows(spark, sf_dir):
+    text = F.regexp_replace("text", r"\bthe\b", "Figure 2")
+    return table(spark, sf_dir, "documents").select("doc_id", T.content_hash(context.figure_context(text)).alias("digest"))
