@@ -383,3 +383,22 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, t
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, similarity=0.8)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS shingles FROM w),
+e AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM met JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+  WHERE 100 * n >= 80 * (len(x.shingles) + len(y.shingles) - n)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, least) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT ways.b, reached.least FROM reached JOIN ways ON ways.a = reached.doc_id WHERE ways.b > reached.least)
+SELECT s.doc_id, CAST(len(any_value(shingles)) AS BIGINT) AS n_shingles, min(least) AS component_id, s.doc_id = min(least) AS kept
+FROM s JOIN reached ON reached.doc_id = s.doc_id GROUP BY s.doc_id
+"""
