@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
@@ -25,9 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Bound the bytes of the batches that Arrow functions get, where the session leaves Spark's own bound of 64 MB."""
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, most)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: its lineage ends there."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/bandloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
@@ -43,6 +53,7 @@ def discard(df: DataFrame) -> None:
 
 def whole_text(df: DataFrame) -> DataFrame:
     """doc_id and text alone (null text: empty), whatever else the table holds."""
+    bound_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import chunks
-from .common import id_remainder, whole_text
+from .common import bound_batches, id_remainder, whole_text
 
 UNKNOWN = "und"
 SLOTS = 1 << 16
@@ -236,6 +236,7 @@ def _labeller(key: str, model) -> Labeller:
 
 def _shared(docs: DataFrame, model: WordCRF):
     """The model as a broadcast of fixed size, and a key for the workers' copies."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.transitions))
     return f"{docs.sparkSession.sparkContext.applicationId}-{sent._jbroadcast.id()}", sent
 

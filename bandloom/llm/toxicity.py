@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chunks
-from .common import id_remainder, whole_text
+from .common import bound_batches, id_remainder, whole_text
 from .language import word_of
 
 SLOTS = 1 << 20
@@ -132,6 +132,7 @@ def _scorer(key: str, model) -> Scorer:
 
 def _shared(docs: DataFrame, model: SparseModel):
     """The weights other than zero as a broadcast of at most SLOTS entries, and a key for the workers' copies."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.slots, model.values))
     return f"{docs.sparkSession.sparkContext.applicationId}-{sent._jbroadcast.id()}", sent
 
