@@ -11,21 +11,26 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chunks
 from .common import whole_text
+from .words import BatchEncoder
 
 WORD_END = "</w>"
 
 
-class TrieBPE:
+class TrieBPE(BatchEncoder):
     """Encoder for a BPE file with word ends; its normaliser and word splitter are the library's."""
 
-    def __init__(self, path: str, max_pairs: int = 1_000_000):
+    def __init__(self, path: str, max_pairs: int = 1_000_000, max_words: int = 400_000):
+        self.kept: dict[str, list[str]] = {}  # words of earlier batches
+        self.max_words = max_words
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
@@ -35,7 +40,10 @@ class TrieBPE:
         library = chunks.load_tokenizer(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.byte_form = str.maketrans({c: self.splitter.pre_tokenize_str(c)[0][0] for c in map(chr, range(256)) if c.isalpha() and c == c.lower()})
-        self.decimal = {t: str(i) for t, i in (self.vocab | self.added).items()}
+        self.number = self.vocab | self.added
+        self.token = np.full(max(self.number.values()) + 1, "", object)  # by id
+        self.token[list(self.number.values())] = list(self.number)
+        self.decimal = np.array([str(i) for i in range(len(self.token))], object)
         self.heads = {t[:n] for t in self.vocab for n in range(1, len(t.removesuffix(WORD_END)) + 1)}
         self.max_pairs, self.n_pairs = max_pairs, 0
         self.follows: dict[str, dict[str, bool]] = {t: {} for t in self.vocab}
@@ -130,28 +138,34 @@ class TrieBPE:
                 out += [(word, False) for word, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))]
         return out
 
-    def encode_pieces(self, pieces: list[str]) -> list[tuple[str, str]]:
-        """For each piece its decimal ids and its decoded form, both joined by single spaces."""
-        words = [self.split(piece) for piece in pieces]
-        known = self.encode_words({w for ws in words for w, special in ws if not special})
-        out = []
-        for ws in words:
-            tokens = [t for w, special in ws for t in ([w] if special else known[w])]
-            out.append((" ".join(map(self.decimal.__getitem__, tokens)), " ".join(tokens)))
-        return out
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of words of lower-case Latin-1 letters."""
+        forms = [w if w.isascii() else w.translate(self.byte_form) for w in words.to_pylist()]
+        new = {w for w in forms if w not in self.kept}
+        if len(self.kept) + len(new) > self.max_words:
+            self.kept.clear()
+            new = set(forms)
+        self.kept.update(self.encode_words(new))
+        return self._ids([self.kept[w] for w in forms])
 
+    def others(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of pieces of any form."""
+        split = [self.split(piece) for piece in pieces.to_pylist()]
+        known = self.encode_words({w for ws in split for w, special in ws if not special})
+        return self._ids([[t for w, special in ws for t in ([w] if special else known[w])] for ws in split])
 
-def _joined(a: tuple[str, str], b: tuple[str, str]) -> tuple[str, str]:
-    return (f"{a[0]} {b[0]}", f"{a[1]} {b[1]}") if a[0] and b[0] else (a[0] + b[0], a[1] + b[1])
+    def _ids(self, tokens: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        return np.fromiter(map(self.number.__getitem__, chain.from_iterable(tokens)), np.int64, int(sizes.sum())), sizes
 
 
-_encoders: dict[str, chunks.PieceTable] = {}
+_encoders: dict[str, TrieBPE] = {}
 
 
-def _table(path: str) -> chunks.PieceTable:
+def _encoder(path: str) -> TrieBPE:
     chunks.hold("bpe", _encoders.clear)
     if path not in _encoders:
-        _encoders[path] = chunks.PieceTable(TrieBPE(path).encode_pieces, max_bytes=256 << 20, batch_bytes=8 << 20, join=_joined)
+        _encoders[path] = TrieBPE(path)
     return _encoders[path]
 
 
@@ -169,19 +183,15 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, digest: bool =
     sha = (lambda s: hashlib.sha256(s.encode()).hexdigest()) if digest else (lambda s: s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(path)
+        encoder = _encoder(path)
         for batch in batches:
             texts = batch.column("text")
-            for begin, end in chunks.byte_ranges(texts):
-                pieces = [chunks.space_pieces(text) for text in texts[begin:end].to_pylist()]
-                table.learn(pieces)
-                rows = []
-                for words in pieces:
-                    found = [pair for pair in map(table.__getitem__, words) if pair[0]]
-                    ids = " ".join([a for a, _ in found])
-                    rows.append((ids.count(" ") + bool(ids), sha(ids), sha(" ".join([b for _, b in found]))))
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[begin:end], pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], names)
+            for begin, stop in chunks.byte_ranges(texts, 9 << 20):
+                ids, ends = encoder.encode(texts[begin:stop])
+                starts = np.concatenate([[0], ends[:-1]])
+                decimal, token = ([sha(" ".join(shown[ids[b:e]].tolist())) for b, e in zip(starts, ends, strict=True)] for shown in (encoder.decimal, encoder.token))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[begin:stop], pa.array(ends - starts, pa.int64()), pa.array(decimal, pa.string()), pa.array(token, pa.string())], names)
+        chunks.trim()
 
     return whole_text(docs).mapInArrow(run, f"doc_id long, n_tokens long, {names[2]} string, {names[3]} string")
 

@@ -93,15 +93,10 @@ def trim() -> None:
 
 
 class PieceTable(dict):
-    """Piece -> value, filled by batch encoding and emptied when it outgrows max_bytes.
+    """Piece -> value, filled by batch encoding and emptied when it outgrows max_bytes."""
 
-    With join, pieces of a word and its marks are put together from the values of both, so that a
-    word is encoded once whatever marks and capitals it comes with.
-    """
-
-    def __init__(self, encode: Callable[[list[str]], Iterable], max_bytes: int = 48 << 20, batch_bytes: int = 1 << 18, join: Callable | None = None):
+    def __init__(self, encode: Callable[[list[str]], Iterable], max_bytes: int = 48 << 20, batch_bytes: int = 1 << 18):
         super().__init__()
-        self.join, self.parts = join, {}
         self.encode, self.max_bytes, self.batch_bytes, self.bytes = encode, max_bytes, batch_bytes, 0
 
     def learn(self, texts: Iterable[list[str]]) -> None:
@@ -123,18 +118,10 @@ class PieceTable(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.parts.clear()
         self.bytes = 0
 
     def _add(self, batch: list[str]) -> None:
-        if self.join is None:
-            self.update(zip(batch, self.encode(batch), strict=True))
-        else:
-            split = [word_and_marks(piece) for piece in batch]
-            new = [x for x in dict.fromkeys(x for pair in split for x in pair) if x not in self.parts]
-            self.parts.update(zip(new, self.encode(new), strict=True))
-            self.bytes += sum(map(len, new)) + 200 * len(new)
-            self.update((piece, self.join(self.parts[a], self.parts[b]) if b else self.parts[a]) for piece, (a, b) in zip(batch, split, strict=True))
+        self.update(zip(batch, self.encode(batch), strict=True))
         self.bytes += sum(map(len, batch)) + 200 * len(batch)
 
 
