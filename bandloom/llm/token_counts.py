@@ -20,7 +20,7 @@ def _lengths(path: str) -> chunks.PieceTable:
     chunks.hold("token_counts", _tables.clear)
     if path not in _tables:
         tokenizer = chunks.load_tokenizer(path)
-        _tables[path] = chunks.PieceTable(lambda batch: [len(e) for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False)])
+        _tables[path] = chunks.PieceTable(lambda batch: [len(e) for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False)], max_bytes=128 << 20)
     return _tables[path]
 
 
