@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chunks
-from .common import shared_dir, stored
-from .packing import _id_kind, encoded
+from .common import shared_dir, stored, whole_text
+from .packing import _encoder, _id_kind
 
 MAGIC = b"DACIDS01"
 BLOCK = 512  # bits for each entry of a rank directory
@@ -158,51 +158,58 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
 
 
-def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 2, tokenizer: str | None = None, file_tokens: int = 4 << 20, task_tokens: int = 16 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 2, tokenizer: str | None = None, file_tokens: int = 4 << 20, task_bytes: int = 64 << 20) -> DataFrame:
     """Write the ids of whole texts, each with end_id after them, in ascending doc_id order; return the manifest of files.
 
     The manifest has a row for each file: its URI, the task that wrote it, the place of its first id among all ids, and what it
     holds. A file ends with the document that brings it to file_tokens, so only one longer text makes it larger. Each
     attempt of a task writes files of its own, and only those named in the manifest count, so a lost or repeated
     attempt leaves nothing that is read. path is a folder that tasks reach by Arrow's file systems, the shared folder by
-    default. A null or empty text is end_id alone; rows of one doc_id, and those without (they come first), go in the order of
-    the table; ranges are cut between rows, so one doc_id may fill many; other columns are ignored; no rows give no
-    file.
+    default. A null or empty text is end_id alone; rows of one doc_id, and those without (they come first), go in the order of a
+    hash of their texts; ranges of about task_bytes are cut between rows, so one doc_id, and copies of one row, may fill many; other
+    columns are ignored; no rows give no file. Texts are shuffled once and encoded where they are written, so docs should be
+    read from a table: equal each time it is evaluated.
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     kind, folder = _id_kind(tokenizer, end_id), f"{(path or shared_dir(spark)).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     system, inside = file_system(folder)
     system.create_dir(inside, recursive=True)
-    table = stored(encoded(docs, tokenizer, kind, end_id))
-    total = table.agg(F.sum("n")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // task_tokens + 1)
+    rows = whole_text(docs).withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    size_of_all = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size_of_all // task_bytes + 1)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks.hold("tokenfile", chunks.trim)
+        encoder, end = _encoder(tokenizer), np.array([end_id], kind)
         system, inside = file_system(folder)
         part, first, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def close() -> pa.RecordBatch:
-            lengths = np.array([len(ids) for _, ids in held])
+            ends = np.cumsum([len(ids) for _, ids in held])
             name = f"{part:06d}-{first:012d}-{uuid.uuid4().hex}.dac"
             with system.open_output_stream(f"{inside}/{name}") as out:
-                for piece in file_bytes([d for d, _ in held], np.concatenate([ids for _, ids in held]), np.cumsum(lengths)):
+                for piece in file_bytes([d for d, _ in held], np.concatenate([ids for _, ids in held]), ends):
                     out.write(piece)
                 n_bytes = out.tell()
             return pa.RecordBatch.from_pylist([{"file": f"{folder}/{name}", "part": part, "first": first, "n_docs": len(held), "n_tokens": size, "n_bytes": n_bytes}], _arrow_schema())
 
         for batch in batches:
-            for doc_id, body in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                held.append((doc_id, np.frombuffer(body, kind)))
-                size += len(held[-1][1])
-                if size >= file_tokens:
-                    yield close()
-                    first, held, size = first + size, [], 0
+            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            for begin, stop in chunks.byte_ranges(texts, 9 << 20):
+                ids, ends = encoder.encode(texts[begin:stop])
+                ids = ids.astype(kind)
+                for doc_id, own in zip(doc_ids[begin:stop], np.split(ids, ends[:-1]), strict=True):
+                    held.append((doc_id, np.concatenate([own, end])))
+                    size += len(own) + 1
+                    if size >= file_tokens:
+                        yield close()
+                        first, held, size = first + size, [], 0
         if held:
             yield close()
 
-    files = stored(table.select("doc_id", "row", "ids").repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").mapInArrow(write, MANIFEST))
+    order = ["doc_id", "hash", "row"]
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    files = stored(ranged.select("doc_id", "text").mapInArrow(write, MANIFEST))
     before, offsets = 0, [0] * parts
     for part, n in sorted(files.groupBy("part").agg(F.sum("n_tokens")).collect()):  # a number a task
         offsets[part], before = before, before + n
