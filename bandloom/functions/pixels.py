@@ -121,20 +121,36 @@ def ink_boxes(bgr: np.ndarray, side: int = 45) -> list[tuple[int, int, int, int]
     return outer_boxes(dilate(closed, side, side))
 
 
+def _cubic(x: np.ndarray) -> np.ndarray:
+    """The cubic kernel with slope -1/2 at 1."""
+    x = np.abs(x)
+    return np.where(x < 1, (1.5 * x - 2.5) * x * x + 1, np.where(x < 2, ((-0.5 * x + 2.5) * x - 4) * x + 2, 0.0))
+
+
+def _taps(old: int, new: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each new place the old places under the kernel, widened by the scale, and their weights, which sum to 1."""
+    scale = max(old / new, 1.0)
+    centre = (np.arange(new) + 0.5) * old / new
+    low = np.maximum((centre - 2 * scale + 0.5).astype(int), 0)
+    high = np.minimum((centre + 2 * scale + 0.5).astype(int), old)
+    at = low[:, None] + np.arange(int((high - low).max()))
+    weight = np.where(at < high[:, None], _cubic((at + 0.5 - centre[:, None]) / scale), 0.0)
+    return np.minimum(at, old - 1), weight / weight.sum(1, keepdims=True)
+
+
 def shrink(bgr: np.ndarray, width: int, height: int) -> np.ndarray:
-    """The image at another size by averages over the area of each new pixel."""
-    out = bgr.astype(np.float64)
-    for axis, size in ((0, height), (1, width)):
-        old = out.shape[axis]
-        if old == size:
+    """The image at another size by cubic resampling, first along rows, then along columns, rounded after each."""
+    out = bgr
+    for axis, size in ((1, width), (0, height)):
+        if out.shape[axis] == size:
             continue
-        sums = np.concatenate([np.zeros_like(out.take([0], axis)), np.cumsum(out, axis)], axis)
-        at = np.arange(size + 1) * old / size
-        low = np.minimum(at.astype(int), old - 1)
-        part = (at - low).reshape([-1 if a == axis else 1 for a in range(3)])
-        edges = sums.take(low, axis) + out.take(low, axis) * part
-        out = np.diff(edges, axis=axis) * size / old
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+        at, weight = _taps(out.shape[axis], size)
+        lines = np.moveaxis(out, axis, 0).astype(np.float32)
+        sums = np.zeros((size, *lines.shape[1:]), np.float32)
+        for k in range(at.shape[1]):  # a tap at a time: the kernel is a few dozen wide at most
+            sums += lines[at[:, k]] * weight[:, k, None, None].astype(np.float32)
+        out = np.moveaxis(np.clip(np.floor(sums + 0.5), 0, 255).astype(np.uint8), 0, axis)
+    return np.ascontiguousarray(out)
 
 
 def png(bgr: np.ndarray) -> bytes:

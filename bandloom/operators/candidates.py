@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+LEAST_AREA, WHOLE_PAGE = 40_000, 0.95  # fixed values: pixels of a box, share of a page's sides
+
+
 def expand_bbox(x: Column, y: Column, w: Column, h: Column, page_w: Column, page_h: Column, left: int = 240, top: int = 60, right: int = 20, bottom: int = 20) -> Column:
     """x1, y1, x2, y2 with margins, held to the page."""
     return F.array(F.greatest(F.lit(0), x - left), F.greatest(F.lit(0), y - top), F.least(page_w, x + w + right), F.least(page_h, y + h + bottom))
@@ -13,12 +16,12 @@ def expand_bbox(x: Column, y: Column, w: Column, h: Column, page_w: Column, page
 
 def passes_geometry(w: Column, h: Column, page_w: Column, page_h: Column) -> Column:
     """Large enough, and not nearly the whole page."""
-    return (w * h >= 40_000) & ~((w > page_w * 0.95) & (h > page_h * 0.95))
+    return (w * h >= LEAST_AREA) & ~((w > page_w * WHOLE_PAGE) & (h > page_h * WHOLE_PAGE))
 
 
 def passes_gates(w: Column, h: Column, dark: Column) -> Column:
     aspect = w / F.greatest(h, F.lit(1))
-    return (w >= 180) & (h >= 80) & (w * h >= 40_000) & aspect.between(0.6, 8.0) & dark.between(0.01, 0.65)
+    return (w >= 180) & (h >= 80) & (w * h >= LEAST_AREA) & aspect.between(0.6, 8.0) & dark.between(0.01, 0.65)
 
 
 def candidate_score(w: Column, h: Column, saturation: Column, dark: Column, horizontal: Column, row_ratio: Column, col_ratio: Column) -> Column:

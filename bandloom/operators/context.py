@@ -107,13 +107,13 @@ def figure_context(text: Column, longest: int = 5000) -> Column:
     return joined(T.normalize_ws(text))
 
 
-def candidate_context(paper_id: Column, page: Column, bbox: Column, nearby: Column, paper_text: Column, longest: int = 12000) -> Column:
-    """The text block that goes with a candidate."""
+def candidate_context(paper_id: Column, page: Column, bbox: Column, nearby: Column, figures: Column, methods: Column, longest: int = 12000) -> Column:
+    """The text block that goes with a candidate; figures and methods are figure_context and snippets of the paper's text."""
     box = F.concat(F.lit("["), F.array_join(bbox.cast("array<string>"), ", "), F.lit("]"))
     block = F.concat(
         F.lit("\nPAPER_ID: "), paper_id, F.lit("\nCROP_PAGE: "), page.cast("string"), F.lit("\nCROP_BBOX_PAGE: "), box,
-        F.lit("\n\nNEARBY_PAGE_TEXT:\n"), nearby, F.lit("\n\nLIKELY_FIGURE_OR_CAPTION_CONTEXT:\n"), figure_context(paper_text),
-        F.lit("\n\nPAPER_SAMPLE_OR_METHODS_SNIPPETS:\n"), snippets(paper_text), F.lit("\n"),
+        F.lit("\n\nNEARBY_PAGE_TEXT:\n"), nearby, F.lit("\n\nLIKELY_FIGURE_OR_CAPTION_CONTEXT:\n"), figures,
+        F.lit("\n\nPAPER_SAMPLE_OR_METHODS_SNIPPETS:\n"), methods, F.lit("\n"),
     )
     return F.substring(block, 1, longest)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -67,3 +68,34 @@ def record_detail(records: DataFrame, cache: DataFrame, pages: DataFrame) -> Dat
     public = catalog.public_records(shown)
     extra = shown.select("id", F.when(F.col("run").isNotNull(), F.format_string("/api/records/%d/image", F.col("id"))).alias("image_url"), "figure_caption", "warnings")
     return public.join(extra, "id").join(about, "id", "left").withColumn("paper_context", F.coalesce("paper_context", F.lit("")))
+
+
+def published_detail(records: DataFrame, data_dir: str) -> DataFrame:
+    """record_detail of catalog rows from the pages and answers that their own runs published beneath data_dir.
+
+    The run folders of the records asked for are looked up (a row each to the driver: ask for a page of records, not for
+    the catalog); a run that is gone gives no caption, context or warnings.
+    """
+    spark = records.sparkSession
+    path = F.col("candidate_path")
+    runs = [r.run for r in records.filter(is_image_path(path)).select(run_of(path).alias("run")).distinct().collect()]
+    found = {}
+    for name, columns in (("pages", "page int, page_no int, text string"), ("extractions", "candidate_path string, line_no long, extraction string")):
+        there = [f"{data_dir.rstrip('/')}/{run}/{name}" for run in runs if _exists(spark, f"{data_dir.rstrip('/')}/{run}/{name}")]
+        base = re.escape(re.sub(r"^[a-z0-9]+:/+", "/", data_dir.rstrip("/")))
+        whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        run = F.regexp_extract(whole, rf"{base}/(.*)/{name}/[^/]+$", 1).alias("run")
+        found[name] = spark.read.schema(columns).parquet(*there).select(run, "*") if there else spark.createDataFrame([], f"run string, {columns}")
+    return record_detail(records, found["extractions"].withColumn("extraction", F.parse_json("extraction")), found["pages"])
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def record_image(records: DataFrame, record_id: int, data_dir: str) -> bytes | None:
+    """The bytes behind a record's image_url, if its stored path names an image beneath data_dir/runs; otherwise None."""
+    found = records.filter(F.col("id") == record_id).select("candidate_path").limit(1).collect()
+    path = safe_image_path(found[0].candidate_path, data_dir) if found else None
+    return path.read_bytes() if path else None

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
+from urllib.error import HTTPError
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,7 +20,8 @@ from .flatten import is_positive, merge_parts, needs_retry
 
 Client = Callable[[str, str, str | None], str]  # request_path, text_context, image as data URL -> the model's answer
 ATTEMPT = "candidate_path string, request_path string, stage string, part int, raw string, error_type string, error_message string, status_code int, response_url string, response_text string"
-SPLIT_NOTE = "Candidate image was split into smaller crops after the full crop request failed."
+SHOWN = 1200  # characters of an answer or a refusal that a failure keeps
+SPLIT_NOTE = "Asked in two halves, because the request for the whole crop failed."
 CACHE = "candidate_path string, paper_id string, page int, attempt_no long, extraction string"
 
 
@@ -66,7 +69,7 @@ def error_fields(error: Exception) -> tuple:
         response = error
     status = getattr(response, "status_code", getattr(response, "code", None))
     text = getattr(response, "text", None)
-    return type(error).__name__, str(error), status, getattr(response, "url", None), text[:1200] if text else None
+    return type(error).__name__, str(error), status, getattr(response, "url", None), text[:SHOWN] if text else None
 
 
 def ask_model(requests: DataFrame, client: Client) -> DataFrame:
@@ -99,24 +102,29 @@ def ask_model(requests: DataFrame, client: Client) -> DataFrame:
 def request_body(model: str, prompt: str, schema: dict, text_context: str, data_url: str | None, max_tokens: int) -> dict:
     """A chat request for one crop: image and text, no randomness, no thinking, an answer held to the schema."""
     picture = [{"type": "image_url", "image_url": {"url": data_url}}] if data_url else []
-    text = {"type": "text", "text": f"{prompt}\n\n--- LOCAL TEXT ---\n{text_context}"}
+    text = {"type": "text", "text": f"{prompt}\n\nText around the figure:\n{text_context}"}
     form = {"type": "json_schema", "json_schema": {"name": "figure_extraction", "schema": schema}}
     return {"model": model, "messages": [{"role": "user", "content": [*picture, text]}], "temperature": 0, "max_tokens": max_tokens, "chat_template_kwargs": {"enable_thinking": False}, "response_format": form}
 
 
 def http_client(base_url: str, api_key: str, model: str, prompt: str, schema: dict, timeout: float = 300, max_tokens: int = 4096) -> Client:
-    """A client of a chat-completions service."""
+    """A client of a chat-completions service; its identity names what shapes the answers. A refusal keeps the start of its body."""
 
     def ask(path: str, text_context: str, data_url: str | None) -> str:
         body = json.dumps(request_body(model, prompt, schema, text_context, data_url, max_tokens)).encode()
         headers = {"Authorization": f"Bearer {api_key}", "Content-Type": "application/json"}
-        with urllib.request.urlopen(urllib.request.Request(f"{base_url}/chat/completions", body, headers), timeout=timeout) as answer:
-            return json.load(answer)["choices"][0]["message"]["content"]
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"{base_url}/chat/completions", body, headers), timeout=timeout) as answer:
+                return json.load(answer)["choices"][0]["message"]["content"]
+        except HTTPError as error:
+            error.text = error.read(4 * SHOWN).decode("utf-8", "replace")
+            raise
 
+    ask.identity = {"model": model, "prompt": prompt, "schema": schema}
     return ask
 
 
-def read_answer(raw: Column, shown: int = 1200) -> Column:
+def read_answer(raw: Column, shown: int = SHOWN) -> Column:
     """VARIANT of an answer; what is no object with a boolean flag becomes {"error": "invalid_extraction", "raw": its start}."""
     found = strict_json.model_json(raw)
     sound = V.is_object(found) & V.is_kind(V.field(found, "is_western_blot"), "BOOLEAN")
@@ -143,7 +151,7 @@ def judged_parts(attempts: DataFrame) -> DataFrame:
     bad = checked.filter("needs_retry").select(F.col("candidate_path").alias("request_path"), F.lit(True).alias("bad"))
     refused = F.col("error_type").isNull() & F.coalesce("bad", F.lit(False))
     joined = read.join(bad, "request_path", "left")
-    return joined.withColumns({"error_type": F.when(refused, "ValueError").otherwise(F.col("error_type")), "error_message": F.when(refused, "Split image returned an invalid extraction").otherwise(F.col("error_message"))}).drop("bad")
+    return joined.withColumns({"error_type": F.when(refused, "ValueError").otherwise(F.col("error_type")), "error_message": F.when(refused, "the answer for this half is no valid extraction").otherwise(F.col("error_message"))}).drop("bad")
 
 
 def extractions_of(full: DataFrame, parts: DataFrame) -> DataFrame:
@@ -159,7 +167,7 @@ def extractions_of(full: DataFrame, parts: DataFrame) -> DataFrame:
     merged = merge_parts(parts.filter("error_type IS NULL").select(F.col("candidate_path").alias("key"), F.col("part").alias("part_no"), "request_path", "extraction"), SPLIT_NOTE)
     merged = merged.select(F.col("key").alias("candidate_path"), F.to_json("extraction").alias("merged"))
     joined = failed.join(tried, "candidate_path", "left").join(merged, "candidate_path", "left")
-    none = F.to_json(F.struct(F.lit(False).alias("is_western_blot"), F.lit("No western blot found in any split image.").alias("reason"), F.array(F.lit(SPLIT_NOTE)).alias("warnings"), F.col("paths").alias("split_candidate_paths")))
+    none = F.to_json(F.struct(F.lit(False).alias("is_western_blot"), F.lit("None of the halves shows a blot.").alias("reason"), F.array(F.lit(SPLIT_NOTE)).alias("warnings"), F.col("paths").alias("split_candidate_paths")))
     whole = F.coalesce(F.size("paths") > 0, F.lit(False)) & (F.size("messages") == 0)
     error = F.to_json(F.struct(F.lit("vlm_request_failed").alias("error"), F.array_join(F.concat(F.array("first_message"), F.coalesce("messages", F.array().cast("array<string>"))), "; ").alias("message")))
     text = F.when(whole, F.coalesce("merged", none)).otherwise(error)
@@ -183,14 +191,14 @@ def read_run_cache(spark, run_dir: str) -> DataFrame:
     return rows.select("candidate_path", "paper_id", "page", F.col("attempt_no").alias("line_no"), F.parse_json("extraction").alias("extraction"))
 
 
-def run_extraction(candidates: DataFrame, contexts: DataFrame, pixels: DataFrame, client: Client, run_dir: str, limit: int | None = None, use_cache: bool = True, longest: int = 1800, wave: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def run_extraction(candidates: DataFrame, contexts: DataFrame, pixels: DataFrame, client: Client, run_dir: str, limit: int | None = None, use_cache: bool = True, longest: int = 1800, wave: int = 1_000) -> tuple[DataFrame, DataFrame]:
     """Ask the model about every candidate without a usable cached result; results and a one-row summary.
 
     candidates: candidate_no, candidate_path, paper_id, page; contexts: candidate_path, text_context,
-    line_no; pixels: candidate_path, width_px, height_px, bgr. Candidates go in waves of about wave
-    requests; each wave's results are appended to run_dir/extractions and its failures to
-    run_dir/failures before the next begins, so a stopped run goes on where its last wave ended.
-    Without use_cache both start empty. Repeated candidate paths are asked once.
+    line_no; pixels: candidate_path, width_px, height_px, bgr. What must be asked is written once with its context and
+    crop, a folder for each wave of about wave requests, so a wave reads its own crops only; each wave's results are appended
+    to run_dir/extractions and its failures to run_dir/failures before the next begins, so a stopped run goes on where
+    its last wave ended. Without use_cache both start empty. Repeated candidate paths are asked once.
     """
     spark = candidates.sparkSession
     chosen = first_candidates(candidates.dropDuplicates(["candidate_path"]), limit)
@@ -200,19 +208,27 @@ def run_extraction(candidates: DataFrame, contexts: DataFrame, pixels: DataFrame
     cache = read_run_cache(spark, run_dir)
     last = cache.agg(F.coalesce(F.max("line_no"), F.lit(0))).first()[0]
     usable = usable_cache(cache).select("candidate_path")
-    todo = _table(catalog.numbered(chosen.join(usable, "candidate_path", "left_anti"), ["candidate_no", "candidate_path"], "place"), f"{run_dir}/work/todo")
     cached = chosen.join(usable, "candidate_path", "left_semi").count()
-    n = todo.count()
+    todo = catalog.numbered(chosen.join(usable, "candidate_path", "left_anti"), ["candidate_no", "candidate_path"], "place")
+    crops = with_context(todo, contexts).join(pixels.select("candidate_path", "width_px", "height_px", "bgr"), "candidate_path", "left")
+    work = f"{run_dir}/work/{uuid.uuid4().hex}"
+    cut = crops.withColumn("wave", F.expr(f"(place - 1) div {wave}")).repartition("wave", F.pmod(F.xxhash64("candidate_path"), F.lit(8)))
+    cut.write.partitionBy("wave").parquet(f"{work}/todo")
+    n = spark.read.schema("place BIGINT").parquet(f"{work}/todo").count()
     for k in range(-(-n // wave)):
-        own = with_context(todo.filter(F.col("place").between(k * wave + 1, (k + 1) * wave)), contexts)
-        sent = images.model_images(pixels.join(own.select("candidate_path"), "candidate_path", "left_semi"), longest).select("candidate_path", "data_url")
-        full = _table(ask_model(own.join(sent, "candidate_path", "left"), client), f"{run_dir}/work/full")
-        failed = own.join(full.filter("error_type IS NOT NULL").select("candidate_path"), "candidate_path", "left_semi")
-        parts = _table(ask_model(split_requests(failed, pixels, longest), client), f"{run_dir}/work/parts")
+        own = spark.read.schema(crops.schema).parquet(f"{work}/todo/wave={k}")
+        shots = own.select("candidate_path", "width_px", "height_px", "bgr")
+        sent = images.model_images(shots.filter(F.col("bgr").isNotNull()), longest).select("candidate_path", "data_url")
+        asked = own.drop("width_px", "height_px", "bgr")
+        full = _table(ask_model(asked.join(sent, "candidate_path", "left"), client), f"{work}/full-{k}")
+        failed = asked.join(full.filter("error_type IS NOT NULL").select("candidate_path"), "candidate_path", "left_semi")
+        parts = _table(ask_model(split_requests(failed, shots, longest), client), f"{work}/parts-{k}")
         judged = judged_parts(parts)
-        rows = extractions_of(full, judged).join(own.select("candidate_path", "paper_id", "page", "place"), "candidate_path")
+        rows = extractions_of(full, judged).join(asked.select("candidate_path", "paper_id", "page", "place"), "candidate_path")
         full.filter("error_type IS NOT NULL").unionByName(judged.filter("error_type IS NOT NULL").drop("extraction")).write.mode("append").parquet(f"{run_dir}/failures")
         rows.select("candidate_path", "paper_id", "page", (F.col("place") + last).alias("attempt_no"), F.to_json("extraction").alias("extraction")).write.mode("append").parquet(f"{run_dir}/extractions")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(work)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     latest = read_run_cache(spark, run_dir).groupBy("candidate_path").agg(F.max_by(F.struct("paper_id", "page", F.to_json("extraction").alias("extraction")), "line_no").alias("r"))
     results = chosen.select("candidate_no", "candidate_path").join(latest, "candidate_path").select("candidate_no", "candidate_path", "r.paper_id", "r.page", F.parse_json("r.extraction").alias("extraction"))
     checked = needs_retry(results)

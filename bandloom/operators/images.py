@@ -44,12 +44,13 @@ def scored(images: DataFrame) -> DataFrame:
     return image_features(images).withColumn("cv_score", F.coalesce(score, F.lit(0.0))).drop(*MEASURES)
 
 
-def page_candidates(pages: DataFrame, min_score: float = 0.35) -> DataFrame:
+def page_candidates(pages: DataFrame, min_score: float = 0.35, at: str | None = None) -> DataFrame:
     """paper_id, candidate_no, page, bbox_page, tight_bbox_page, candidate_path, cv_score and the crop as an image file.
 
     pages: paper_id, page, width_px, height_px, bgr. Boxes of ink that are large enough, not nearly the
     whole page and score at least min_score, with margins for labels. candidate_no counts from 0 in
     a paper by page and, on a page, from the bottom up; paths carry it. Pages without pixels give nothing.
+    at: a folder where boxes and crops are written once, before numbers are given; without one pixels are worked through twice.
     """
     boxes = "paper_id string, page int, seq int, x int, y int, w int, h int, page_w int, page_h int, saturation double, dark double, horizontal double, row_ratio double, col_ratio double, crop binary"
     names = [f.split()[0] for f in boxes.split(", ")]
@@ -60,7 +61,7 @@ def page_candidates(pages: DataFrame, min_score: float = 0.35) -> DataFrame:
             for paper, page, width, height, data in zip(*(batch.column(c).to_pylist() for c in ("paper_id", "page", "width_px", "height_px", "bgr")), strict=True):
                 rows, image = [], _array(data, width, height) if data else None
                 for seq, (x, y, w, h) in enumerate(pixels.ink_boxes(image) if image is not None else []):
-                    if w * h >= 40_000 and not (w > 0.95 * width and h > 0.95 * height):
+                    if w * h >= cand.LEAST_AREA and not (w > cand.WHOLE_PAGE * width and h > cand.WHOLE_PAGE * height):  # spares the measures of others
                         x1, y1, x2, y2 = max(0, x - 240), max(0, y - 60), min(width, x + w + 20), min(height, y + h + 20)
                         rows.append((paper, page, seq, x, y, w, h, width, height, *pixels.features(image[y : y + h, x : x + w]), pixels.png(image[y1:y2, x1:x2])))
                 if rows:  # a page at a time: crops are large
@@ -70,6 +71,9 @@ def page_candidates(pages: DataFrame, min_score: float = 0.35) -> DataFrame:
     x, y, w, h, page_w, page_h = (F.col(c) for c in ("x", "y", "w", "h", "page_w", "page_h"))
     score = cand.candidate_score(w, h, *(F.col(c) for c in MEASURES))
     kept = found.filter(cand.passes_geometry(w, h, page_w, page_h)).withColumn("cv_score", score).filter(F.col("cv_score") >= min_score)
+    if at:
+        kept.write.mode("overwrite").parquet(at)
+        kept = pages.sparkSession.read.schema(kept.schema).parquet(at)
     number = F.row_number().over(Window.partitionBy("paper_id").orderBy("page", "seq")) - 1
     path = F.format_string("panel_candidates/page_%03d_cand_%04d.png", F.col("page"), F.col("candidate_no"))
     # Numbers are given without the crops, which are joined again by page and box.
@@ -82,7 +86,7 @@ def page_candidates(pages: DataFrame, min_score: float = 0.35) -> DataFrame:
 def model_images(images: DataFrame, longest: int = 1800) -> DataFrame:
     """images (width_px, height_px, bgr) with width, height and data_url: shrunk so that no side passes longest, as an inline PNG.
 
-    Sizes are those of scaled_size; shrinking averages areas, so pixels differ a little from a cubic filter's.
+    Sizes are those of scaled_size.
     """
     sized = images.withColumn("_size", cand.scaled_size(F.col("width_px"), F.col("height_px"), longest)).select("*", "_size.width", "_size.height").drop("_size")
 

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources import files
+from ..sources import assets, files
 from . import candidates as cand
 from . import catalog, context, extract, flatten, images
 from .settings import Settings
 
+FORMAT = 2  # of what a run folder holds; another number starts every run anew
 BAND = ("candidate_key", "panel_label", "row_index", "lane_index", "target")
 
 
@@ -32,20 +31,23 @@ def paper_doi(pages: DataFrame, metadata: Column | None = None, most: int = 3) -
 
 def candidate_contexts(candidates: DataFrame, pages: DataFrame, user_context: str = "") -> DataFrame:
     """candidate_path, page, text_context and line_no of candidates, from their pages' and the whole paper's text."""
-    whole = context.ordered_text(pages, ["paper_id"], "page", context.page_marked(F.col("page"), F.col("text")), "\n\n").withColumnRenamed("full_text", "paper_text")
+    whole = context.ordered_text(pages, ["paper_id"], "page", context.page_marked(F.col("page"), F.col("text")), "\n\n")
+    about = whole.select("paper_id", context.figure_context(F.col("full_text")).alias("figures"), context.snippets(F.col("full_text")).alias("methods"))  # once a paper, not once a candidate
     near = context.neighbour_text(candidates.select("paper_id", "page").distinct(), pages, "paper_id", "page", "text").withColumnRenamed("full_text", "nearby")
-    joined = candidates.join(near, ["paper_id", "page"], "left").join(whole, "paper_id", "left")
-    block = context.candidate_context(F.col("paper_id"), F.col("page"), F.col("bbox_page"), F.coalesce("nearby", F.lit("")), F.col("paper_text"))
+    joined = candidates.join(near, ["paper_id", "page"], "left").join(about, "paper_id", "left")
+    block = context.candidate_context(F.col("paper_id"), F.col("page"), F.col("bbox_page"), F.coalesce("nearby", F.lit("")), F.col("figures"), F.col("methods"))
     text = context.with_user_context(F.lit(user_context), block) if user_context else block
     return joined.select("candidate_path", "page", text.alias("text_context"), F.col("candidate_no").alias("line_no"))
 
 
-def preprocess(pages: DataFrame, settings: Settings, user_context: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+def preprocess(pages: DataFrame, settings: Settings, user_context: str = "", work_dir: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Candidates, those good enough for the model, and the contexts of these.
 
     pages: paper_id, page, text, width_px, height_px, bgr. Candidates come by score, equal ones in the order of pages.
+    With a work_dir boxes and crops are written there as they are found, so pixels are worked through once, whatever reads
+    the three results; without one each of them works through the pixels again.
     """
-    found = images.page_candidates(pages, settings.min_candidate_score)
+    found = images.page_candidates(pages, settings.min_candidate_score, work_dir and f"{work_dir.rstrip('/')}/boxes")
     good = cand.good_candidates(found, least=settings.min_model_score)
     return found, good, candidate_contexts(good.drop("crop"), pages, user_context)
 
@@ -88,11 +90,15 @@ def with_provenance(rows: DataFrame, source_id: str, model_version: str, source_
     return rows.withColumns({"candidate_key": key, "source_id": F.lit(source_id), "model_version": F.lit(model_version), "source_url": F.lit(source_url).cast("string")})
 
 
-def publish_assets(assets: DataFrame, run_dir: str) -> str:
-    """Write name and content of a source's files to a fresh folder beneath run_dir that nothing writes again; returns its name."""
-    name = f"published-{uuid.uuid4().hex}"
-    assets.select("name", "content").write.parquet(f"{run_dir}/{name}")
-    return name
+def publish_assets(files_: DataFrame, source_name: str, run_dir: str, pages: DataFrame, results: DataFrame) -> str:
+    """Publish a source's files, pages and answers in a fresh folder beneath run_dir that nothing writes again; returns its name.
+
+    files_: name and content; what bears the source's name lies at the top, everything else is a crop in panel_candidates.
+    Beside them the tables pages and extractions, which record details read.
+    """
+    placed = files_.select(F.when(F.col("name") == source_name, F.col("name")).otherwise(F.concat(F.lit("panel_candidates/"), F.col("name"))).alias("name"), "content")
+    answers = results.select("candidate_path", "paper_id", "page", F.col("candidate_no").cast("long").alias("line_no"), F.to_json("extraction").alias("extraction"))
+    return assets.publish_folder(placed, {"pages": pages, "extractions": answers}, run_dir)
 
 
 def at_published(rows: DataFrame, folder: str, source_name: str) -> DataFrame:
@@ -101,16 +107,32 @@ def at_published(rows: DataFrame, folder: str, source_name: str) -> DataFrame:
     return rows.withColumns({"candidate_path": crop, "source_pdf": F.lit(f"{folder}/{source_name}")})
 
 
+def source_fingerprint(candidates: DataFrame, contexts: DataFrame, crops: DataFrame, client: extract.Client, settings: Settings, **given) -> str:
+    """The fingerprint of all that shapes an answer: the source's bytes, boxes, contexts, options, model, prompt and schema.
+
+    Prompt and schema are what the client says of itself (its attribute identity); a client that says nothing is told from
+    others by config alone.
+    """
+    boxes = [c for c in ("candidate_no", "candidate_path", "page", "bbox_page", "tight_bbox_page", "cv_score") if c in candidates.columns]
+    whole = {
+        "format": FORMAT, "crops": assets.rows_digest(crops, ["name", "content"]), "candidates": assets.rows_digest(candidates, boxes), "contexts": assets.rows_digest(contexts, ["candidate_path", "text_context", "line_no"]),
+        "dpi": settings.pdf_dpi, "least": [settings.min_candidate_score, settings.min_model_score], "model_version": settings.model_version, "base_url": settings.model_base_url, "max_tokens": settings.max_tokens,
+        "timeout": settings.timeout_seconds, "image_max_side": settings.image_max_side, "client": getattr(client, "identity", None), **given,
+    }
+    return extract.run_fingerprint(whole)
+
+
 def ingest(
     store: catalog.Catalog, client: extract.Client, candidates: DataFrame, contexts: DataFrame, pixels: DataFrame, crops: DataFrame, source_name: str, paper_id: str,
-    settings: Settings, source_id: str | None = None, source_url: str | None = None, use_cache: bool = True, config: dict | None = None,
+    settings: Settings, source_id: str | None = None, source_url: str | None = None, use_cache: bool = True, config: dict | None = None, pages: DataFrame | None = None,
 ) -> dict:
     """Extract, check and publish one source; returns the run's summary.
 
     candidates, contexts and pixels as of extract.run_extraction; crops has name and content of the
-    files to publish (the crops by file name). The run folder is that of the paper and of the
-    configuration's fingerprint, so a changed configuration starts anew. Nothing is published unless
-    every candidate has a good extraction and no band comes twice.
+    files to publish (the crops by file name, and the source under source_name); pages has page and text, and lacks a
+    single image's. The run folder is that of the paper and of source_fingerprint, so any change of the source or
+    of what is asked starts anew. Nothing is published unless every candidate has a good extraction and no band comes
+    twice. Files are published before the records that name them.
     """
     files.admit_source(source_name, source_url, source_id)
     if not paper_id.strip():
@@ -119,16 +141,20 @@ def ingest(
     if candidates.isEmpty():
         raise Incomplete("no candidate was found")
     slug = spark.range(1).select(T.run_slug(F.lit(paper_id))).first()[0]
-    whole = {"paper_id": paper_id, "source_id": source_id, "source_url": source_url, "model_version": settings.model_version, "base_url": settings.model_base_url, "max_tokens": settings.max_tokens, "timeout": settings.timeout_seconds, "image_max_side": settings.image_max_side, **(config or {})}
-    run_dir = f"{settings.data_dir}/runs/{slug}/{extract.run_fingerprint(whole)}"
+    fingerprint = source_fingerprint(candidates, contexts, crops, client, settings, paper_id=paper_id, source_id=source_id, source_url=source_url, config=config)
+    run_dir = f"{settings.data_dir}/runs/{slug}/{fingerprint}"
     results, summary = extract.run_extraction(candidates, contexts, pixels, client, run_dir, use_cache=use_cache, longest=settings.image_max_side)
     path = F.regexp_extract("candidate_path", r"([^/]+)$", 1)
     hashes = candidates.select("candidate_path", path.alias("name")).join(crops, "name").select("candidate_path", T.content_hash(F.col("content")).alias("image_sha256"))
     rows = with_provenance(validated_records(candidates, results, paper_id, source_name, hashes), source_id, settings.model_version, source_url)
     if not catalog.duplicate_identities(rows, BAND).isEmpty():
         raise ValueError("a band comes twice; the catalog is kept")
+    if pages is None:
+        first = contexts.groupBy("candidate_path").agg(F.max_by("text_context", "line_no").alias("text"))
+        pages = candidates.join(first, "candidate_path", "left").groupBy("page").agg(F.min("text").alias("text"))
+    numbered = pages.select(F.col("page").cast("int").alias("page"), F.col("page").cast("int").alias("page_no"), "text")
     store.initialize()
-    folder = publish_assets(crops, run_dir)
-    relative = f"runs/{slug}/{run_dir.rsplit('/', 1)[1]}/{folder}"
+    folder = publish_assets(crops, source_name, run_dir, numbered, results)
+    relative = f"runs/{slug}/{fingerprint}/{folder}"
     n = store.replace(at_published(rows, relative, source_name), paper_id, source_id)
     return {"paper_id": paper_id, "source_id": source_id, "source_url": source_url, "model_version": settings.model_version, "run_dir": run_dir, "published": relative, "database_rows": n, **summary.first().asDict()}

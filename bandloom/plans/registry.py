@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import strict_json
@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..functions import values as V
 from ..operators import candidates as cand
 from ..operators import catalog, context, detail, extract, flatten, images, ingest, search
+from ..operators.settings import Settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -572,3 +573,30 @@ def keyword_snippets(spark, sf_dir):
 def figure_windows(spark, sf_dir):
     text = F.regexp_replace("text", r"\bthe\b", "Figure 2")
     return table(spark, sf_dir, "documents").select("doc_id", T.content_hash(context.figure_context(text)).alias("digest"))
+
+
+@query("""SELECT doc_id, 't' || doc_id AS target, true AS has_image, sha256(text) AS image_sha256, sha256(text) AS file_sha256, 'caption ' || doc_id AS figure_caption,
+coalesce('After ' || lag(doc_id) OVER (ORDER BY doc_id) || ' it ended. ', '') || 'Before ' || doc_id || ' it began. Figure ' || doc_id || ' shows the source ' || source || '. After ' || doc_id || ' it ended.' AS paper_context
+FROM documents WHERE source IS NOT NULL""")
+def ingested_evidence(spark, sf_dir):
+    """Documents are the crops of one paper: ingested, then every record, its published file, caption and figure sentences read back."""
+    i = F.col("doc_id").cast("string")
+    docs = table(spark, sf_dir, "documents").filter("source IS NOT NULL").withColumn("place", F.dense_rank().over(Window.orderBy("doc_id")))
+    path = F.concat(F.lit("runs/r/panel_candidates/"), i, F.lit(".png")).alias("candidate_path")
+    candidates = docs.select(F.col("doc_id").alias("candidate_no"), path, F.lit("p").alias("paper_id"), F.col("place").alias("page"))
+    contexts = docs.select(path, i.alias("text_context"), F.lit(1).alias("line_no"))
+    dots = docs.select(path, F.lit(2).alias("width_px"), F.lit(1).alias("height_px"), F.unhex(F.lit("000000ffffff")).alias("bgr"))
+    crops = docs.select(F.concat(i, F.lit(".png")).alias("name"), F.col("text").cast("binary").alias("content"))
+    about = F.concat(F.lit("Before "), i, F.lit(" it began. Figure "), i, F.lit(" shows the source "), "source", F.lit(". After "), i, F.lit(" it ended."))
+
+    def model(_: str, number: str, __: str | None) -> str:
+        return f'{{"is_western_blot": true, "figure_label": "Figure {number}", "figure_caption": "caption {number}", "bands": [{{"target": "t{number}", "band_state": "present"}}]}}'
+
+    root = _scratch(spark)
+    store, settings = catalog.Catalog(spark, f"{root}/catalog"), Settings(data_dir=f"{root}/data")
+    out = ingest.ingest(store, model, candidates, contexts, dots, crops, "paper.pdf", "p", settings, pages=docs.select(F.col("place").alias("page"), about.alias("text")))
+    shown = detail.published_detail(store.rows(), settings.data_dir)
+    files = spark.read.format("binaryFile").load(f"{settings.data_dir}/{out['published']}/panel_candidates")
+    files = files.select(F.regexp_extract("path", r"([^/]+)\.png$", 1).cast("long").alias("doc_id"), F.sha2("content", 256).alias("file_sha256"))
+    rows = shown.select(F.substring("target", 2, 20).cast("long").alias("doc_id"), "target", F.col("image_url").isNotNull().alias("has_image"), "image_sha256", "figure_caption", "paper_context")
+    return rows.join(files, "doc_id", "left")

@@ -1,6 +1,9 @@
 """Extraction runs, the gate before publishing, ingestion, record detail, streaming publication."""
 
+import hashlib
 import json
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
 import pytest
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from bandloom.functions import pixels
 from bandloom.operators import catalog, detail, extract, flatten, ingest
 from bandloom.operators.settings import Settings
-from bandloom.sources import files
+from bandloom.sources import assets, files
 from bandloom.streaming import publish
 
 BLOT = {"is_western_blot": True, "figure_label": "Figure 1", "figure_caption": "cap", "bands": [{"target": "AKT", "row_index": 1, "lane_index": 1, "band_state": "present"}], "warnings": ["w"]}
@@ -73,7 +76,7 @@ def test_parts_must_all_answer_well(spark, tmp_path):
 
     candidates, contexts, shots = setup(spark, "c")
     results, _ = extract.run_extraction(candidates, contexts, shots, half, str(tmp_path))
-    assert json.loads(results.select(F.to_json("extraction")).first()[0]) == {"error": "vlm_request_failed", "message": "division by zero; Split image returned an invalid extraction"}
+    assert json.loads(results.select(F.to_json("extraction")).first()[0]) == {"error": "vlm_request_failed", "message": "division by zero; the answer for this half is no valid extraction"}
     negative = extract.run_extraction(candidates, contexts, shots, lambda p, c, u: '{"is_western_blot": false}' if "part" in p else 1 / 0, str(tmp_path / "n"))[0]
     found = json.loads(negative.select(F.to_json("extraction")).first()[0])
     assert found["is_western_blot"] is False and found["warnings"] == [extract.SPLIT_NOTE] and len(found["split_candidate_paths"]) == 2
@@ -96,7 +99,7 @@ def test_error_fields_and_request():
     assert extract.error_fields(Response("busy")) == ("Response", "busy", 503, "http://m", "x" * 1200)
     assert extract.error_fields(ValueError("v")) == ("ValueError", "v", None, None, None)
     body = extract.request_body("m", "prompt", {"type": "object"}, "ctx", "data:x", 7)
-    assert body["messages"][0]["content"][1]["text"] == "prompt\n\n--- LOCAL TEXT ---\nctx" and body["temperature"] == 0 and body["max_tokens"] == 7
+    assert body["messages"][0]["content"][1]["text"] == "prompt\n\nText around the figure:\nctx" and body["temperature"] == 0 and body["max_tokens"] == 7
 
 
 def ingested(spark, tmp_path, client, names="ab", **more):
@@ -112,9 +115,9 @@ def test_ingestion_publishes_once_complete(spark, tmp_path):
     assert out["database_rows"] == 1 and out["positive_results"] == 1 and out["model_version"] == "m@7"
     row = store.rows().first()
     assert (row.source_id, row.model_version, row.source_url, row.target) == ("s", "m@7", "https://x.org/1", "AKT")
-    assert row.candidate_key.endswith("-a") and len(row.candidate_key) == 18 and row.image_sha256 == __import__("hashlib").sha256(b"a").hexdigest()
+    assert row.candidate_key.endswith("-a") and len(row.candidate_key) == 18 and row.image_sha256 == hashlib.sha256(b"a").hexdigest()
     assert row.candidate_path.endswith("/panel_candidates/a.png") and row.source_pdf.endswith("/paper.pdf") and row.candidate_path.startswith(out["published"])
-    assert {r["name"] for r in spark.read.parquet(f"{tmp_path}/data/{out['published']}").collect()} == {"a.png", "b.png"}
+    assert {r.path.rsplit("/", 1)[1]: bytes(r.content) for r in spark.read.format("binaryFile").load(f"{tmp_path}/data/{out['published']}/panel_candidates").collect()} == {"a.png": b"a", "b.png": b"b"}
     before = store.version()
     with pytest.raises(ingest.Incomplete):
         ingested(spark, tmp_path, answers, names="abd", config={"another": 1})
@@ -124,6 +127,91 @@ def test_ingestion_publishes_once_complete(spark, tmp_path):
     assert store.version() == before
 
 
+def test_another_source_or_question_starts_anew(spark, tmp_path):
+    """Other crop bytes under the same names, another prompt, or another option never meet old answers; the same meet theirs."""
+    blot = lambda target: lambda *_: json.dumps({**BLOT, "bands": [{**BLOT["bands"][0], "target": target}]})
+    store, first = ingested(spark, tmp_path, blot("OLD"), names="a")
+    _, again = ingested(spark, tmp_path, blot("UNASKED"), names="a")
+    assert again["run_dir"] == first["run_dir"] and (again["cached"], again["queried"]) == (1, 0) and store.rows().first().target == "OLD"
+    candidates, contexts, shots = setup(spark, "a")
+    settings = Settings(data_dir=str(tmp_path / "data"), model="m", model_revision="7")
+    crops = lambda body: spark.createDataFrame([("a.png", bytearray(body)), ("paper.pdf", bytearray(b"%PDF"))], "name string, content binary")
+    asked = blot("NEW")
+    call = lambda body=b"other", client=asked, options=settings, about=contexts: ingest.ingest(store, client, candidates, about, shots, crops(body), "paper.pdf", "p", options, source_id="s")
+    changed = call()
+    row = store.rows().first()
+    assert changed["queried"] == 1 and row.target == "NEW" and row.image_sha256 == hashlib.sha256(b"other").hexdigest()
+    prompted = blot("NEW")
+    prompted.identity = {"prompt": "p2"}
+    keys = {out["run_dir"] for out in (first, changed)}
+    for given in ({"client": prompted}, {"options": Settings(data_dir=str(tmp_path / "data"), model="m", model_revision="7", pdf_dpi=100)}, {"about": contexts.withColumn("text_context", F.concat("text_context", F.lit("!")))}):
+        keys.add(f"{settings.data_dir}/runs/p/{ingest.source_fingerprint(candidates, given.get('about', contexts), crops(b'other'), given.get('client', asked), given.get('options', settings), paper_id='p', source_id='s', source_url=None, config=None)}")
+    assert len(keys) == 5
+    # What was published stays as it was, and every stored path leads to its file.
+    assert (tmp_path / "data" / first["published"] / "panel_candidates" / "a.png").read_bytes() == b"a"
+    assert detail.safe_image_path(row.candidate_path, settings.data_dir).read_bytes() == detail.record_image(store.rows(), row.id, settings.data_dir) == b"other"
+    assert (tmp_path / "data" / row.source_pdf).read_bytes() == b"%PDF"
+    shown = detail.published_detail(store.rows(), settings.data_dir).first()
+    assert (shown.image_url, shown.figure_caption, shown.warnings) == (f"/api/records/{row.id}/image", "cap", ["w"])
+    assert detail.record_image(store.rows(), -1, settings.data_dir) is None
+
+
+def test_files_are_published_whole(spark, tmp_path):
+    files_ = spark.createDataFrame([("a/b.png", bytearray(b"1")), ("c", None)], "name string, content binary")
+    name = assets.publish_folder(files_, {"t": spark.range(3)}, str(tmp_path))
+    assert (tmp_path / name / "a" / "b.png").read_bytes() == b"1" and (tmp_path / name / "c").read_bytes() == b"" and spark.read.parquet(f"{tmp_path}/{name}/t").count() == 3
+    for bad in ("../x", "/x", "a//b", "a/./b", ".hidden", "", "a\0"):
+        with pytest.raises(ValueError):
+            assets.write_files(spark.createDataFrame([(bad, bytearray(b""))], "name string, content binary"), str(tmp_path / "bad"))
+    with pytest.raises(ValueError):
+        assets.write_files(files_.unionByName(files_), str(tmp_path / "bad"))
+    assert not (tmp_path / "bad").exists()
+    rows = spark.createDataFrame([(1, bytearray(b"x")), (2, None)], "a int, b binary")
+    assert assets.rows_digest(rows, ["a", "b"]) == assets.rows_digest(rows.orderBy(F.desc("a")), ["a", "b"]) != assets.rows_digest(rows.withColumn("b", F.lit(None).cast("binary")), ["a", "b"])
+    assert assets.rows_digest(rows.limit(0), ["a"]) == "0:0:0:0:0"
+
+
+def test_a_refusal_keeps_its_body():
+    class Refuse(BaseHTTPRequestHandler):
+        def do_POST(self):
+            self.send_response(503)
+            self.end_headers()
+            self.wfile.write(b"busy " * 1000)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Refuse)
+    threading.Thread(target=server.handle_request, daemon=True).start()
+    client = extract.http_client(f"http://127.0.0.1:{server.server_port}/v1", "k", "m", "prompt", {})
+    with pytest.raises(Exception) as error:
+        client("a.png", "ctx", None)
+    kind, _, status, url, text = extract.error_fields(error.value)
+    assert (kind, status, text) == ("HTTPError", 503, ("busy " * 1000)[:1200]) and url.endswith("/chat/completions")
+    assert client.identity["prompt"] == "prompt"
+    server.server_close()
+
+
+def test_a_run_reads_each_crop_once_and_goes_on(spark, tmp_path):
+    """A client that dies in the second wave costs that wave only: the first one's answers are there."""
+    candidates, contexts, shots = setup(spark, "aqrst", large=())
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def model(path, context, data_url):
+        if path[-5] in "st" and not (log / "ready").exists():
+            raise SystemExit("killed")
+        (log / f"{path[-5]}{len(list(log.iterdir()))}").touch()
+        return '{"is_western_blot": false}'
+
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        extract.run_extraction(candidates, contexts, shots, model, str(tmp_path / "run"), wave=3)
+    (log / "ready").touch()
+    results, summary = extract.run_extraction(candidates, contexts, shots, model, str(tmp_path / "run"), wave=3)
+    assert summary.first().asDict() == {"candidates": 5, "results": 5, "positive_results": 0, "failed_candidates": 0, "cached": 3, "queried": 2}
+    assert sorted(p.name[0] for p in log.iterdir() if p.name != "ready") == list("aqrst")
+
+
 def test_gate(spark):
     candidates, _, _ = setup(spark, "ab")
     hashes = candidates.select("candidate_path", F.lit("h").alias("image_sha256"))
@@ -136,14 +224,17 @@ def test_gate(spark):
         ingest.validated_records(candidates, good, "p", "s.pdf", hashes.limit(1))
 
 
-def test_preprocessing(spark):
+def test_preprocessing(spark, tmp_path):
     page = np.full((1000, 1200, 3), 255, np.uint8)
     for k in range(4):
         for lane in range(5):
             page[300 + 60 * k : 320 + 60 * k, 400 + 80 * lane : 450 + 80 * lane] = 40
     rows = [("stem", 1, "First page of breast cells. Figure 1 shows it. doi:10.1234/abc.", 1200, 1000, page.tobytes()), ("stem", 2, "Second.", 1200, 1000, None)]
     pages = spark.createDataFrame(rows, "paper_id string, page int, text string, width_px int, height_px int, bgr binary")
-    found, good, contexts = ingest.preprocess(pages, Settings(), "given first")
+    found, good, contexts = ingest.preprocess(pages, Settings(), "given first", str(tmp_path))
+    assert sorted(map(repr, ingest.preprocess(pages, Settings())[0].collect())) == sorted(map(repr, found.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # the pixels were worked through before
     assert ingest.preprocess_summary(pages, found, good, contexts).first().asDict() == {"pages": 2, "candidate_count": 1, "llm_candidate_count": 1, "contexts_written": 1}
     text = contexts.first().text_context
     assert text.startswith("given first\n\n\nPAPER_ID: stem\nCROP_PAGE: 1\nCROP_BBOX_PAGE: [138, 218, ") and "--- PAGE 2 ---\nSecond." in text and "LIKELY_FIGURE_OR_CAPTION_CONTEXT:\n--- PAGE 1" in text and "\n- " in text
