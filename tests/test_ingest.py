@@ -314,10 +314,12 @@ def test_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         files.admit_source("x.pdf", path=str(tmp_path / "none.pdf"))
     pages = files.read_pages(spark, str(tmp_path / "i.png"), lambda content, scale: [("text", 1, int(72 * scale), b"abc"), ("more", 3, 4, None)], dpi=144)
-    assert [(r.page, r.text, r.height_px, r.image_path) for r in pages.collect()] == [(1, "text", 144, "rendered_pages/page_001.png"), (2, "more", 4, "rendered_pages/page_002.png")]
+    assert [(r.page, r.text, r.height_px, r.image_path, r.bgr) for r in pages.collect()] == [(1, "text", 144, None, bytearray(b"abc")), (2, "more", 4, None, None)]
     plain = (tmp_path / "i.png").read_bytes()
     (tmp_path / "moving.png").write_bytes(plain[:33] + b"\0\0\0\0acTL" + plain[33:])
     (tmp_path / "text.png").write_bytes(b"no image")
+    (tmp_path / "still.png").write_bytes(plain + b"acTL")
+    assert files.read_images(spark, str(tmp_path / "still.png"), "p").first().width_px == 6
     for bad in ("moving.png", "text.png"):
         with pytest.raises(ValueError, match="one frame"):
             files.read_images(spark, str(tmp_path / bad), "p")
@@ -326,3 +328,47 @@ def test_files(spark, tmp_path):
     assert files.positive_results(files.read_cache(spark, str(tmp_path / "cut.jsonl"))).count() == 1
     (tmp_path / "bad.jsonl").write_text("not json\n")
     assert files.latest_positive(spark, str(tmp_path / "bad.jsonl")).count() == 0
+
+
+def test_lines_of_a_file_in_many_splits(spark, tmp_path):
+    """The same rows, numbers, torn tail and first bad line as of the file in one piece; blank lines count; several files."""
+    lines = [json.dumps({"candidate_path": f"{k}.png", "text_context": "é" * (k % 50), "extraction": {"is_western_blot": k % 2 == 0}}, ensure_ascii=False) if k % 7 else "" for k in range(1, 401)]
+    body = "\n".join(lines).encode()
+    (tmp_path / "a.jsonl").write_bytes(body + b'\n{"candidate_path": "\xe6')
+    (tmp_path / "b.jsonl").write_bytes(body + b"\n")
+    (tmp_path / "c.jsonl").write_bytes(body)
+    (tmp_path / "d.jsonl").write_bytes(b"")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("700b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            for name, tail, closed in (("a", ['{"candidate_path": "\ufffd'], False), ("b", [], True), ("c", [], False)):
+                got = files.numbered_lines(spark, str(tmp_path / f"{name}.jsonl")).orderBy("line_no").collect()
+                assert [r.line_no for r in got] == list(range(1, len(lines) + len(tail) + 1)) and [r.line for r in got][:400] == lines
+                assert [r.closed for r in got] == [True] * (len(got) - 1) + [closed]
+            assert files.numbered_lines(spark, str(tmp_path / "[abc].jsonl")).groupBy("path").count().count() == 3
+            assert files.numbered_lines(spark, str(tmp_path / "d.jsonl")).count() == 0
+            cache = files.read_cache(spark, str(tmp_path / "a.jsonl")).collect()
+            assert sorted(r.line_no for r in cache) == [k for k in range(1, 401) if k % 7]
+            (tmp_path / "e.jsonl").write_bytes(body[: body.index(b"\n300") if b"\n300" in body else 9000].rsplit(b"\n", 1)[0] + b"\nnot json\n{}\n")
+            bad = (tmp_path / "e.jsonl").read_bytes().split(b"\n").index(b"not json") + 1
+            with pytest.raises(ValueError, match=f"line {bad} "):
+                files.read_cache(spark, str(tmp_path / "e.jsonl"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_pages_by_ranges(spark, tmp_path):
+    """A long document in many tasks, its images written; the same pages as by one task; no pixels where none are wanted."""
+    (tmp_path / "long.bin").write_bytes(bytes([37]))
+    (tmp_path / "none.bin").write_bytes(bytes([0]))
+    page = lambda k: (f"page {k}", 2, 1, bytes([k] * 6))
+    ranged = files.read_pages(spark, str(tmp_path / "*.bin"), lambda content, scale, first, last: map(page, range(first, last + 1)), count=lambda content: content[0], at_once=5, image_dir=str(tmp_path / "images"))
+    got = sorted(ranged.collect(), key=lambda r: r.page)
+    assert [(r.page, r.text, bytes(r.bgr)) for r in got] == [(k, f"page {k}", bytes([k] * 6)) for k in range(1, 38)]
+    assert len({p for p, in ranged.select(F.spark_partition_id()).distinct().collect()}) > 1
+    assert all(open(r.image_path, "rb").read() == pixels.png(np.full((1, 2, 3), r.page, np.uint8)) for r in got)
+    whole = files.read_pages(spark, str(tmp_path / "long.bin"), lambda content, scale: map(page, range(1, content[0] + 1)), with_pixels=False)
+    assert [(r.page, r.bgr, r.image_path) for r in whole.collect()] == [(k, None, None) for k in range(1, 38)]
