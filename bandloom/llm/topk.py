@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,7 +99,7 @@ class Best:
         return pa.table({"query_id": pa.array(np.repeat(self.ids, sizes), pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(held, pa.int64())})
 
 
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, lot_values: int = 1 << 21, block: int = 32, first: int = 16) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, lot_values: int = 1 << 21, block: int = 32, first: int = 16, counted: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row whose vec_id is divisible by every.
 
     Equal scores go to the smaller vec_id; rows that share a vec_id are one, with the least of their
@@ -106,10 +107,13 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     part; scores beyond 64 bits are held at its ends, in no order among themselves; other columns
     are ignored; no rows give no rows. Queries are broadcast in lots of about lot_values components,
     each lot against all rows where they lie; only what each task finds best is shuffled. The k-th
-    scores of a first part of the rows (one in first, by hash) bound from below what the rest must reach.
+    scores of a first part of the rows (one in first, by hash) bound from below what the rest must reach. Rows are dealt
+    by ranges of vec_id, so a task's blocks are ranges too, however many tasks there are. counted: accumulators of the
+    pairs of query and block that were scored and met.
     """
     spark = vectors.sparkSession
-    whole = stored(integer_vectors(vectors, scale).groupBy("vec_id").agg(F.min("v").alias("v")))
+    one_an_id = integer_vectors(vectors, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
+    whole = stored(one_an_id.repartitionByRange("vec_id").sortWithinPartitions("vec_id"))
     asked = whole.filter(F.col("vec_id") % every == 0)
     n_asked, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     lots = max(1, -(-n_asked * max(1, width) // lot_values))
@@ -129,6 +133,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
                 found.queries = np.pad(queries, ((0, 0), (0, wide - queries.shape[1])))
                 if batch.num_rows and len(query_ids):
                     found.search(_matrix(column, wide), batch.column("vec_id").to_numpy(), block)
+            if counted:
+                counted[0].add(found.scored)
+                counted[1].add(found.met)
             yield from found.table().to_batches()
 
         return rows.mapInArrow(run, "query_id long, vec_id long, score long")
