@@ -40,10 +40,14 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """Distinct links a -> b between hosts: absolute links of the pages, and each host and its parent domains, step by step to two labels, both ways."""
+    """Distinct links a -> b between hosts: absolute and scheme-relative links of the pages, and each host and its parent domains, step by step to two labels, both ways.
+
+    Pages are read once for their links, whose distinct pairs are written; very long html is searched whole.
+    """
     host = host_of(F.col("url"))
-    links = F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']?(https?://[^"'\s>]+)"""), 1)
-    linked = pages.filter(F.instr("html", "://") > 0).select(host.alias("a"), F.explode(links).alias("link")).select("a", host_of(F.col("link")).alias("b"))
+    links = F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']?(?:https?:)?(//[^"'\s>]+)"""), 1)
+    found = pages.filter(F.instr("html", "//") > 0).select(host.alias("a"), F.explode(links).alias("link"))
+    linked = stored(found.select("a", host_of(F.concat(F.lit("http:"), "link")).alias("b")).distinct())
     hosts = pages.select(host.alias("host")).unionByName(linked.select(F.col("b").alias("host"))).distinct()
     label, n = F.split("host", r"\."), F.size(F.split("host", r"\."))
     steps = F.explode(F.sequence(F.lit(1), n - 2)).alias("step")
@@ -136,14 +140,14 @@ def judge(pages: DataFrame, rules=RULES, tolerance: float = 1e-5) -> DataFrame:
     Null url or url without "://": empty host and path. A page that no rule fits takes its host's
     verdict: block where distrust exceeds trust by more than tolerance of the trust, otherwise (hosts
     that nothing reaches, ties, the empty host) allow. Null html gives no links. Repeated rows each
-    give a row; other columns are ignored; no rows give no rows.
+    give a row; html and urls of any length are read whole; other columns are ignored; no rows give no rows.
     """
     read = pages.select("page_id", "url", "html")
     parsed = read.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = parsed.withColumn("r", longest_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("by_rule"))
     side = F.when(F.col("by_rule") == "allow", "trust").otherwise("distrust")
     seeds = ruled.filter("by_rule IS NOT NULL").groupBy(side.alias("side"), "host").agg(F.count("*").cast("double").alias("weight"))
-    ranks = propagate(host_edges(read), seeds)
+    ranks = propagate(stored(host_edges(read)), seeds)
     trust, distrust = (F.sum(F.when(F.col("side") == side, F.col("mass")).otherwise(0.0)) for side in ("trust", "distrust"))
     sides = ranks.groupBy("host").agg(trust.alias("trust"), distrust.alias("distrust"))
     blocked = sides.filter(F.col("distrust") > F.col("trust") * (1 + tolerance)).select("host", F.lit(True).alias("distrusted"))
