@@ -104,34 +104,83 @@ def posteriors(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarr
     return out / out.sum(1, keepdims=True)
 
 
+def expectations(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, lot: int = 4096) -> tuple[np.ndarray, np.ndarray, float]:
+    """Posterior label shares of every word, expected counts of neighbouring labels, and the log of the summed scores of all labellings.
+
+    Before the first word of a sequence stands one of unknown label, each as likely, as in posteriors. For short
+    sequences, a lot of them side by side: forward and backward messages, each scaled to sum to 1.
+    """
+    n_labels, top = transitions.shape[0], transitions.max()
+    step = np.exp(transitions - top)
+    marginal, pairs, total = np.empty_like(emissions), np.zeros_like(transitions), 0.0
+    first_word = np.cumsum(lengths) - lengths
+    for begin in range(0, len(lengths), lot):
+        own, first = lengths[begin : begin + lot], first_word[begin : begin + lot]
+        longest = int(own.max())
+        at = np.minimum(first[:, None] + np.arange(longest), len(emissions) - 1)
+        here = np.arange(longest) < own[:, None]
+        given = np.where(here[..., None], emissions[at], 0.0)
+        peak = given.max(2, keepdims=True)
+        score = np.exp(given - peak)
+        total += float(peak[..., 0][here].sum()) + top * float(own.sum())
+        ahead, back = np.empty_like(score), np.ones((len(own), n_labels))
+        message = start = np.full((len(own), n_labels), 1 / n_labels)
+        for t in range(longest):
+            moved = (message @ step) * score[:, t]
+            size = moved.sum(1)
+            total += float(np.log(size[here[:, t]]).sum())
+            message = np.where(here[:, t, None], moved / size[:, None], message)
+            ahead[:, t] = message
+        for t in reversed(range(longest)):
+            now = here[:, t, None]
+            share = ahead[:, t] * back
+            marginal[at[here[:, t], t]] = (share / share.sum(1, keepdims=True))[here[:, t]]
+            behind, before = np.where(now, score[:, t] * back, 0.0), ahead[:, t - 1] if t else start
+            moved = behind @ step.T
+            norm = (before * moved).sum(1)
+            weight = np.divide(1.0, norm, out=np.zeros_like(norm), where=here[:, t])
+            pairs += (before * weight[:, None]).T @ behind * step
+            back = np.where(now, moved / moved.max(1, keepdims=True).clip(1e-300), back)
+    return marginal, pairs, total
+
+
+def cut_windows(text: str, window: int = 32, windows: int = 3) -> list[list[str]]:
+    """At most so many windows of a text's words, spread from its begin to its end."""
+    words = [w for w in map(word_of, text.split()) if w]
+    count = min(windows, -(-len(words) // window))
+    return [words[begin : begin + window] for k in range(count) for begin in [k * max(0, len(words) - window) // max(1, count - 1)]]
+
+
 class WordCRF:
     """Emission weights by feature slot and label, and transitions between labels."""
 
     def __init__(self, labels: list[str], weights: np.ndarray, transitions: np.ndarray):
         self.labels, self.weights, self.transitions = labels, weights, transitions
+        self.likelihoods: list[float] = []  # mean log-likelihood a word, before each round
 
     @classmethod
-    def fit(cls, texts: list[str], langs: list[str], rounds: int = 40, rate: float = 0.5, window: int = 32, windows: int = 3, seed: int = 7) -> WordCRF:
-        """Likelihood ascent with per-coordinate rates on windows of words.
+    def fit(cls, texts: list[str], langs: list[str], **given) -> WordCRF:
+        """fit_windows of the texts' windows."""
+        return cls.fit_windows([(words, lang) for text, lang in zip(texts, langs, strict=True) for words in cut_windows(text)], **given)
 
-        Half of the windows are spliced from two texts, so that transitions learn to switch.
+    @classmethod
+    def fit_windows(cls, cut: list[tuple[list[str], str]], rounds: int = 40, rate: float = 0.5, seed: int = 7) -> WordCRF:
+        """Likelihood ascent on windows of words, each of one language, with per-coordinate rates for emissions and transitions.
+
+        Half of the windows are spliced from two, so that transitions learn to switch; they start from
+        the frequencies of neighbours.
         """
-        labels, rng = sorted(set(langs)), np.random.default_rng(seed)
-        cut: list[tuple[list[str], int]] = []
-        for text, lang in zip(texts, langs, strict=True):
-            words = [w for w in map(word_of, text.split()) if w]
-            count = min(windows, -(-len(words) // window))
-            for k in range(count):
-                begin = k * max(0, len(words) - window) // max(1, count - 1)
-                cut.append((words[begin : begin + window], labels.index(lang)))
+        labels, rng = sorted({lang for _, lang in cut}), np.random.default_rng(seed)
         weights, transitions = np.zeros((SLOTS, len(labels))), np.zeros((len(labels), len(labels)))
         if not cut:
             return cls(labels, weights.astype(np.float32), transitions)
+        place = {lang: y for y, lang in enumerate(labels)}
         other = rng.permutation(len(cut))
         sequences = []
-        for i, (words, y) in enumerate(cut):
+        for i, (words, lang) in enumerate(cut):
+            y = place[lang]
             if i % 2 and len(words) > 1:
-                more, z = cut[other[i]]
+                more, z = cut[other[i]][0], place[cut[other[i]][1]]
                 k = int(rng.integers(1, len(words)))
                 sequences.append((words[:k] + more[k:], [y] * k + [z] * len(more[k:])))
             else:
@@ -148,15 +197,25 @@ class WordCRF:
         seen = np.zeros((n_labels, n_labels))
         np.add.at(seen, (truth[:-1][inner[1:]], truth[1:][inner[1:]]), 1)
         transitions = np.log((seen + 1) / (seen + 1).sum(1, keepdims=True))
-        squares, onehot = np.full_like(weights, 1e-6), np.eye(n_labels)[truth]
+        squares, of_steps, onehot = np.full_like(weights, 1e-6), np.full_like(transitions, 1e-6), np.eye(n_labels)[truth]
+        firsts = np.bincount(truth[np.cumsum(lengths) - lengths], minlength=n_labels)
+        likelihoods = []
         for _ in range(rounds):
-            marginal = posteriors(emission_rows(owner, slots, len(number), weights)[word], lengths, transitions)
+            emissions = emission_rows(owner, slots, len(number), weights)[word]
+            marginal, pairs, total = expectations(emissions, lengths, transitions)
+            entered = np.exp(transitions).sum(0)  # into a first word, from any label
+            likelihoods.append((float(emissions[np.arange(len(truth)), truth].sum() + (seen * transitions).sum() + (firsts * np.log(entered / n_labels)).sum()) - total) / len(truth))
             slope = (onehot - marginal) / len(truth)
             by_word = np.stack([np.bincount(word, slope[:, y], len(number)) for y in range(n_labels)], 1)
             grad = np.stack([np.bincount(slots, by_word[owner, y], SLOTS) for y in range(n_labels)], 1) - 1e-7 * weights
             squares += grad * grad
             weights += rate * grad / np.sqrt(squares)
-        return cls(labels, weights.astype(np.float32), transitions)
+            grad = (seen + np.exp(transitions) / entered * firsts - pairs) / len(truth) - 1e-7 * transitions
+            of_steps += grad * grad
+            transitions = transitions + rate / 5 * grad / np.sqrt(of_steps)
+        model = cls(labels, weights.astype(np.float32), transitions)
+        model.likelihoods = likelihoods
+        return model
 
 
 class Labeller:
@@ -206,21 +265,29 @@ class Labeller:
 
 
 def train(docs: DataFrame, per_language: int = 200, longest: int = 20_000, languages: int = 100, folds: int = 5, held_out: int = 0) -> WordCRF:
-    """Fit on at most per_language labelled texts of each of at most languages languages (the most frequent ones).
+    """Fit on at most per_language labelled texts of each of at most languages languages (the most frequent ones: no other is ever predicted).
 
-    Texts have at most longest characters, and each teaches by at most three windows of 32 words. The
-    sample takes the least hashes of doc_id among such rows outside the held-out fold; rows with a null
-    lang, doc_id or text teach nothing. The bounds hold what the driver receives.
+    Texts have at most longest characters, and each teaches by at most three windows of 32 words, which tasks cut. The
+    sample takes the least hashes of doc_id among such rows outside the held-out fold, and of several rows of one doc_id and
+    lang the one of the least windows; rows with a null lang, doc_id or text teach nothing. So the driver receives
+    at most per_language * languages rows of 96 words.
     """
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & (F.length("text") <= longest))
     usable = usable.filter(id_remainder(F.col("doc_id"), folds) != held_out)
     names = usable.select("doc_id", "lang")
-    known = names.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    counts = names.groupBy("lang").agg(F.count("*").alias("n"))
+    known = counts.orderBy(F.desc("n"), "lang").limit(languages).select("lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = names.join(F.broadcast(known), "lang").withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
-    rows = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text))[: per_language * languages]
-    return WordCRF.fit([r.text for r in rows], [r.lang for r in rows])
+    chosen = names.distinct().join(F.broadcast(known), "lang").withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_id", "lang")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [cut_windows(text) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(found, pa.list_(pa.list_(pa.string())))], ["doc_id", "lang", "windows"])
+
+    taught = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(cut, "doc_id long, lang string, windows array<array<string>>")
+    rows = sorted(taught.groupBy("doc_id", "lang").agg(F.min("windows").alias("windows")).collect(), key=lambda r: (r.doc_id, r.lang))
+    return WordCRF.fit_windows([(list(words), r.lang) for r in rows for words in r.windows])
 
 
 _labellers: dict[str, Labeller] = {}
@@ -264,7 +331,8 @@ def keep_identified(docs: DataFrame, min_score: float = 0.4, model: WordCRF | No
     """The rows of docs, all columns, whose language is known with at least min_score.
 
     Null and empty texts and texts without a letter go; where no row could teach, nothing goes. Repeated rows and
-    rows without a doc_id are judged each on its own text; no rows give no rows.
+    rows without a doc_id are judged each on its own text; very long texts are read whole; other columns, whatever their
+    names, are kept as they are; no rows give no rows.
     """
     model = model or train(docs)
     if not model.labels:

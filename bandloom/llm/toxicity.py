@@ -100,8 +100,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 1500, negatives:
     """Fit on at most positives and negatives labelled texts of at most longest characters each.
 
     The sample takes the least hashes of doc_id, among labelled texts of that length outside the held-out
-    fold; rows with a null id or label teach nothing; of contradicting labels the greater counts. The
-    bounds hold what the driver receives.
+    fold; rows with a null id or label teach nothing; of contradicting labels the greater counts, and of several
+    texts of one doc_id the least, so the driver receives at most positives + negatives rows.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     known = known.filter(id_remainder(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -109,8 +109,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 1500, negatives:
     known = known.join(short.select("doc_id"), "doc_id", "left_semi")
     order = F.xxhash64("doc_id"), F.col("doc_id")
     sample = known.filter("toxic = 1").orderBy(*order).limit(positives).unionByName(known.filter("toxic <> 1").orderBy(*order).limit(negatives))
-    rows = short.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.text))[: positives + negatives]
+    rows = short.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows = sorted(rows, key=lambda r: r.doc_id)
     return SparseModel.fit([r.text for r in rows], [r.toxic for r in rows])
 
 
@@ -159,7 +159,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, model
     """The rows of docs, all columns, that score below threshold.
 
     Null and empty texts have the score of the bias. Repeated rows and rows without a doc_id are judged each on its
-    own text; without labels all rows stay; no rows give no rows.
+    own text; very long texts are read whole; other columns, whatever their names, are kept as they are; without labels all
+    rows stay; no rows give no rows.
     """
     key, sent = _shared(docs, model or train(docs, labels))
 

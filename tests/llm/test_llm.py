@@ -160,6 +160,28 @@ def test_blocks_far_from_a_query_are_not_scored():
         assert who.tolist() == order.tolist() and [int(x) for x in what] == scores[n, order].tolist()
 
 
+def test_few_blocks_are_scored_in_many_tasks(spark):
+    """On vectors whose neighbours in vec_id are alike, however the rows come and however many tasks there are."""
+    rng, sc = np.random.default_rng(4), spark.sparkContext
+    centres = rng.integers(-900, 900, (40, 16))
+    vectors = np.concatenate([c + rng.integers(-30, 30, (128, 16)) for c in centres]) / 1024
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        counted = sc.accumulator(0), sc.accumulator(0)
+        got = topk.top_k(rows, counted=counted).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert counted[0].value < 0.3 * counted[1].value
+    whole = np.floor(1024 * vectors).astype(np.int64)
+    scores = whole[::100] @ whole.T
+    for n in range(len(scores)):
+        order = np.lexsort((np.arange(len(whole)), -scores[n]))
+        order = order[order != 100 * n][:10]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == 100 * n), key=lambda r: r.rank)] == list(zip(order.tolist(), scores[n, order].tolist(), strict=True))
+
+
 def test_posteriors_equal_a_plain_recursion():
     rng = np.random.default_rng(0)
     lengths = np.array([1, 64, 65, 200])
@@ -331,6 +353,9 @@ def test_far_and_faint_hosts_are_judged(spark):
     chain = [(k, f"http://h{k}.org/", f'<a href="http://h{k + 1}.org/">') for k in range(11)] + [(11, "http://h11.org/", '<a href="http://h12.net/">'), (12, "http://h12.net/es/", None)]
     got = {r.page_id: r.verdict for r in hosts.judge(spark.createDataFrame(chain, "page_id long, url string, html string")).collect()}
     assert set(got.values()) == {"block"}
+    relative = [(1, "http://a.org/", "<a HREF = '//b.org/x?y=://z'>"), (2, "http://b.org/", '<a href="//c.net/"> ' + "x " * 200_000), (3, "http://c.net/es/", '<a href="/local"> <p>//d.org/</p>'), (4, None, '<a href="//d.org/">')]
+    got = {r.page_id: r.verdict for r in hosts.judge(spark.createDataFrame(relative, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow"}
     deep = spark.createDataFrame([("http://a.blog.x.example.org/", '<a href="http://q.w.y.org/">')], "url string, html string")
     up = {("a.blog.x.example.org", "blog.x.example.org"), ("blog.x.example.org", "x.example.org"), ("x.example.org", "example.org"), ("q.w.y.org", "w.y.org"), ("w.y.org", "y.org")}
     want = up | {(b, a) for a, b in up} | {("a.blog.x.example.org", "q.w.y.org")}

@@ -1,5 +1,6 @@
 """The learners against plain loops, and the operators on nulls, repeats, clashing columns and no rows."""
 
+import itertools
 import math
 import random
 import zlib
@@ -7,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from bandloom.llm import bpe, hosts, language, neardup, packing, sharding, syncmers, token_counts, topk, toxicity
 
@@ -80,13 +82,67 @@ def test_word_features_equal_a_plain_loop():
         assert sorted(slots[owner == n].tolist()) == sorted(x % language.SLOTS for x in want), w
 
 
+def brute(emissions, lengths, transitions):
+    """Log of the summed scores, word marginals and pair counts over every labelling of every sequence."""
+    n_labels, at, total = len(transitions), 0, 0.0
+    marginal, pairs = np.zeros_like(emissions), np.zeros_like(transitions)
+    for n in lengths:
+        every = list(itertools.product(range(n_labels), repeat=int(n)))
+        start = np.exp(transitions) / n_labels  # a label of any kind stands before the first word
+        scores = [start[:, ys[0]].sum() * math.exp(sum(emissions[at + t, y] for t, y in enumerate(ys)) + sum(transitions[a, b] for a, b in zip(ys, ys[1:]))) for ys in every]
+        total += math.log(sum(scores))
+        for ys, s in zip(every, scores):
+            for t, y in enumerate(ys):
+                marginal[at + t, y] += s / sum(scores)
+            pairs[:, ys[0]] += start[:, ys[0]] / start[:, ys[0]].sum() * s / sum(scores)
+            for a, b in zip(ys, ys[1:]):
+                pairs[a, b] += s / sum(scores)
+        at += n
+    return marginal, pairs, total
+
+
+@pytest.mark.parametrize("lot", [2, 4096])
+def test_expectations_equal_every_labelling(lot):
+    rng = np.random.default_rng(3)
+    lengths = np.array([1, 5, 2, 4, 1, 3])
+    emissions, transitions = rng.normal(0, 2, (int(lengths.sum()), 3)), rng.normal(0, 1, (3, 3))
+    got, want = language.expectations(emissions, lengths, transitions, lot), brute(emissions, lengths, transitions)
+    for g, w in zip(got, want):
+        assert np.allclose(g, w)
+    assert np.allclose(language.posteriors(emissions, lengths, transitions), want[0])
+    # The gradient is what is seen less what is expected: held against differences of the likelihood.
+    for a in range(3):
+        for b in range(3):
+            moved = transitions.copy()
+            moved[a, b] += 1e-5
+            assert (language.expectations(emissions, lengths, moved)[2] - got[2]) / 1e-5 == pytest.approx(got[1][a, b], abs=1e-3)
+
+
 def test_likelihood_rises_and_separates():
     texts = [" ".join(RND.choices(["the", "and", "thing"] if i % 2 else ["der", "und", "ding"], k=20)) for i in range(40)]
     model = language.WordCRF.fit(texts, ["en" if i % 2 else "de" for i in range(40)])
+    assert all(b > a for a, b in zip(model.likelihoods, model.likelihoods[1:])) and model.likelihoods[-1] > -0.2
+    start = language.WordCRF.fit(texts, ["en" if i % 2 else "de" for i in range(40)], rounds=0).transitions
+    assert np.abs(model.transitions - start).max() > 0.05 and model.transitions[0, 0] > model.transitions[0, 1]
     langs, scores = language.Labeller(model).label(pa.array(["the thing and", "und der ding", "der und the and thing the", None]))
     assert langs == ["en", "de", "en", "und"] and min(scores[:2]) > 0.9 and scores[3] == 0
 
 
+def test_samples_hold_their_bounds(spark, monkeypatch):
+    """An id that repeats thousands of times gives the driver one row."""
+    rows = [(1, f"the thing {i} and", "en") for i in range(3000)] + [(i, "der und ding", "de") for i in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = docs.selectExpr("doc_id", "int(doc_id = 1) AS toxic").distinct()
+    got, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: got.append(collect(self)) or got[-1])
+    model = language.train(docs, per_language=5)
+    assert model.labels == ["de", "en"] and sum(map(len, got)) == 6
+    assert all(len(words) <= 32 for r in got[0] for words in r.windows)
+    got.clear()
+    toxicity.train(docs, labels, positives=4, negatives=7)
+    assert sum(map(len, got)) <= 8
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     """Repeated rows, null ids and texts, a long text, and columns named like results and like what operators add."""
