@@ -525,7 +525,7 @@ def extraction_run(spark, sf_dir):
 _SUPPLIERS = "SELECT s_suppkey, CAST(s_nationkey AS VARCHAR) AS paper_id, s_name AS target, CASE WHEN s_nationkey < 10 THEN 'again' ELSE 'once' END AS sample FROM supplier WHERE s_nationkey >= 10 OR s_suppkey % 2 = 0"
 
 
-@query(f"SELECT paper_id, target, sample, count(*) OVER () AS total FROM ({_SUPPLIERS}) WHERE target ILIKE '%u%' AND sample ILIKE '%again%' AND paper_id = '4'")
+@query(f"SELECT paper_id, target, sample, count(*) OVER (PARTITION BY paper_id) AS of_paper, s.total FROM ({_SUPPLIERS}), (SELECT count(*) AS total FROM ({_SUPPLIERS}) WHERE target ILIKE '%u%' AND sample ILIKE '%again%' AND paper_id = '4') s")
 def catalog_versions(spark, sf_dir):
     """Suppliers are records of their nation's paper; a second batch brings those of ten nations again, without every other one."""
     rows = table(spark, sf_dir, "supplier").select(
@@ -537,8 +537,9 @@ def catalog_versions(spark, sf_dir):
     store.replace_batch(rows.drop("s_suppkey"), rows.select("paper_id", "source_id").distinct())
     again = rows.filter("CAST(paper_id AS INT) < 10")
     store.replace_batch(again.filter("s_suppkey % 2 = 0").drop("s_suppkey").withColumn("sample", F.lit("again")), again.select("paper_id", "source_id").distinct())
-    page, total = store.search(search.Criteria(q="u", sample="again", paper_id="4"), 200)
-    return page.crossJoin(F.broadcast(total)).select("paper_id", "target", "sample", "total")
+    _, total = store.search(search.Criteria(q="u", sample="again", paper_id="4"), 200)
+    of_paper = F.count("*").over(Window.partitionBy("paper_id"))
+    return store.rows().crossJoin(F.broadcast(total)).select("paper_id", "target", "sample", of_paper.alias("of_paper"), "total")
 
 
 @query("""WITH p AS (SELECT doc_id, r, c, CAST('0x' || substring(md5(text), 8 * r + 2 * c + 1, 2) AS INTEGER) AS g FROM documents, range(0, 4) AS a(r), range(0, 4) AS b(c)),
