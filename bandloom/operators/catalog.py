@@ -358,7 +358,7 @@ class Catalog:
         paper = (criteria.paper_id or "").strip()
         entry = self._entry(self.version())
         rows, where = self._rows(entry, {directory_key(entry["folders"], zlib.crc32(paper.encode()))} if paper else None), search.predicate(criteria)
-        page = search.search_page(rows, where, [F.desc_nulls_first("updated_at"), F.desc_nulls_first("id")], limit, offset)
+        page = search.search_page(rows, where, [search.Key("updated_at"), search.Key("id")], limit, offset)
         return public_records(page), search.search_total(rows, where)
 
     def get(self, record_id: int) -> DataFrame:

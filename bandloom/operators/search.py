@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from ..functions import text as T
 
@@ -70,14 +71,102 @@ def page_bounds(limit: int = 100, offset: int = 0) -> tuple[int, int]:
     return max(1, min(limit, 200)), max(0, offset)
 
 
-def search_page(rows: DataFrame, where: Column, order: Sequence[Column], limit: int = 100, offset: int = 0, deep: int = 10_000) -> DataFrame:
-    """One ordered page. Up to deep rows it is a top-k; past that no task could hold the rows before it.
-
-    A deep page sorts the hits by ranges once, counts them by partition (one row each to the driver)
-    and reads the places it needs; an offset past the end gives no rows.
+@dataclass(frozen=True)
+class Key:
+    """A column to order by, whole numbers, dates or times."""
+
+    name: str
+    descending: bool = True
+    nulls_first: bool = True
+
+    def order(self, turned: bool = False) -> Column:
+        down, first = self.descending != turned, self.nulls_first != turned
+        return {(True, True): F.desc_nulls_first, (True, False): F.desc_nulls_last, (False, True): F.asc_nulls_first, (False, False): F.asc_nulls_last}[down, first](self.name)
+
+    def place(self, rows: DataFrame) -> Column | None:
+        """A whole number that ascends in this order, null for null; None where the column has none."""
+        kind, column = rows.schema[self.name].dataType, F.col(self.name)
+        if isinstance(kind, types.TimestampType):
+            value = F.unix_micros(column)
+        elif isinstance(kind, types.DateType):
+            value = F.unix_date(column).cast("long")
+        elif isinstance(kind, (types.ByteType, types.ShortType, types.IntegerType, types.LongType)):
+            value = column.cast("long")
+        else:
+            return None
+        return F.bitwise_not(value) if self.descending else value
+
+
+def _selected(hits: DataFrame, keys: Sequence[Key], limit: int, offset: int, most: int, slices: int = 1024) -> DataFrame:
+    """The page at an offset by histograms of the keys, without sorting what lies before it.
+
+    Each pass counts the hits that are left in at most slices equal parts of a key's range and goes on with the part that
+    holds the page; at most seven passes narrow a key to one value, and its ties go on by the next key. A part of at
+    most `most` hits is a top-k. Where the page begins in one part and ends in later ones, it is the last hits of the one
+    and the first of what follows.
+    """
+    order, turned = [k.order() for k in keys], [k.order(turned=True) for k in keys]
+    region, skip = F.lit(True), 0
+
+    def narrowed(parts: list[tuple[int, Column, Column]]) -> DataFrame | tuple[int, int, Column] | None:
+        """parts: in order, each with its count, what lies in it and what lies after it. The page, or the part to go on with."""
+        before = skip
+        for n, inside, after in parts:
+            if offset < before + n:
+                if offset + limit <= before + n or inside is parts[-1][1]:
+                    return before, n, region & inside
+                own = before + n - offset
+                tail = hits.filter(region & inside).orderBy(*turned).limit(own)
+                head = hits.filter(region & after).orderBy(*order).limit(limit - own)
+                return tail.unionByName(head).orderBy(*order)
+            before += n
+        return None  # past the end
+
+    for key in keys:
+        place = key.place(hits)
+        isnull, there = place.isNull(), place.isNotNull()
+        counted = hits.filter(region).agg(F.count_if(isnull).alias("nulls"), F.count(place).alias("n"), F.min(place).alias("low"), F.max(place).alias("high")).first()
+        bands = [(counted.nulls, isnull, there), (counted.n, there, F.lit(False))] if key.nulls_first else [(counted.n, there, isnull), (counted.nulls, isnull, F.lit(False))]
+        found = narrowed([b for b in bands if b[0]])
+        low, high = counted.low, counted.high
+        while isinstance(found, tuple):
+            skip, n, region = found
+            if n <= most:
+                return hits.filter(region).orderBy(*order).offset(offset - skip).limit(limit)
+            if low is None or low == high or offset < skip or (counted.nulls and (offset < counted.nulls) == key.nulls_first and n == counted.nulls):
+                break  # ties: on with the next key
+            width = -(-(high - low + 1) // slices)
+            rows = hits.filter(region).select(place.alias("_p"))
+            wide = lambda value: f"CAST({value} AS DECIMAL(38,0))"
+            part = F.expr(f"int(({wide('_p')} - {wide(f"'{low}'")}) div {wide(f"'{width}'")})")
+            counts = sorted((r.part, r["count"]) for r in rows.groupBy(part.alias("part")).count().collect())  # at most slices rows
+            found = narrowed([(n, place.between(low + p * width, min(high, low + (p + 1) * width - 1)), place > min(high, low + (p + 1) * width - 1)) for p, n in counts])
+            if isinstance(found, tuple):
+                before = skip
+                for p, n in counts:
+                    if before == found[0]:
+                        low, high = low + p * width, min(high, low + (p + 1) * width - 1)
+                        break
+                    before += n
+        if found is None:
+            return hits.limit(0)
+        if not isinstance(found, tuple):
+            return found
+    return hits.filter(region).limit(offset - skip + limit).offset(offset - skip)  # equal in every key: any of them
+
+
+def search_page(rows: DataFrame, where: Column, order: Sequence[Column | Key], limit: int = 100, offset: int = 0, deep: int = 10_000) -> DataFrame:
+    """One ordered page; an offset past the end gives no rows. Up to deep rows it is a top-k.
+
+    Past that no task could hold the rows before it. Ordered by Keys, a deep page is found by histograms; by other
+    columns the hits are sorted by ranges once, counted by partition (one row each to the driver) and read at the places needed.
     """
     limit, offset = page_bounds(limit, offset)
     hits = rows.filter(where)
+    keys = [k for k in order if isinstance(k, Key)]
+    if offset + limit > deep and len(keys) == len(order) and all(k.place(rows) is not None for k in keys):
+        return _selected(hits, keys, limit, offset, deep)
+    order = [k.order() if isinstance(k, Key) else k for k in order]
     if offset + limit <= deep:
         return hits.orderBy(*order).offset(offset).limit(limit)
     at = "at" + "_" * max(len(c) for c in rows.columns)

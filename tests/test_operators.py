@@ -178,6 +178,23 @@ def test_deep_pages_equal_shallow_ones(spark):
         assert deep.columns == rows.columns and [r.id for r in deep.collect()] == [i for _, i in want]
 
 
+@pytest.mark.parametrize(("descending", "nulls_first"), [(True, True), (False, False)])
+def test_deep_pages_by_histograms(spark, descending, nulls_first):
+    """Ties, nulls, values at the ends of their range and pages across parts: the same page as by sorting, and no sort of the hits."""
+    rows = spark.range(3000).selectExpr("id", "CASE WHEN id % 11 = 0 THEN NULL WHEN id = 5 THEN 9223372036854775807L WHEN id = 6 THEN -9223372036854775807L - 1 WHEN id % 3 = 0 THEN 77 ELSE id * 1000003 % 5003 END AS at").repartition(5).cache()
+    keys = [search.Key("at", descending, nulls_first), search.Key("id", False)]
+    want = [r.id for r in rows.orderBy(*[k.order() for k in keys]).collect()]
+    for offset in (0, 262, 1500, 2725, 2990, 3000):
+        page = search.search_page(rows, F.lit(True), keys, 50, offset, deep=60)
+        assert [r.id for r in page.collect()] == want[offset : offset + 50], offset
+    assert "Exchange rangepartitioning" not in search.search_page(rows, F.lit(True), keys, 50, 1500, deep=60)._jdf.queryExecution().executedPlan().toString()
+    same = spark.range(500).selectExpr("1 AS at", "id")
+    assert search.search_page(same, F.lit(True), [search.Key("at")], 50, 480, deep=60).count() == 20
+    times = spark.range(400).selectExpr("timestamp_seconds(id) AS at", "id", "date_add(date'2020-01-01', int(id)) AS day")
+    for name in ("at", "day"):
+        assert [r.id for r in search.search_page(times, F.lit(True), [search.Key(name)], 5, 200, deep=10).collect()] == [199, 198, 197, 196, 195]
+
+
 def test_figure_windows_against_a_loop(spark):
     import re
 
