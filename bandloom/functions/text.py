@@ -120,6 +120,7 @@ def model_version(model: Column, revision: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Cut after . ! ? before white space and an upper-case letter, digit or bracket."""
+    # Where a sentence ends.
     parts = F.split(F.coalesce(text, F.lit("")), r"(?U)(?<=[.!?])\s+(?=[A-Z0-9(])")
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
@@ -127,6 +128,7 @@ def sentences(text: Column) -> Column:
 def figure_reference(sentence: Column, label: Column) -> Column:
     """Whether a sentence refers to the label's first number, other than as a supplementary figure."""
     number = F.regexp_extract(label, r"\d+", 0)
+    # How a sentence names a figure.
     pattern = F.concat(F.lit(r"(?iU)(?<!Supplementary )\bfig(?:ure)?s?\.?\s*"), number)
     return (number != "") & F.rlike(sentence, pattern)
 

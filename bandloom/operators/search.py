@@ -44,6 +44,7 @@ class Columns:
 
 def search_terms(value: str, stopwords: frozenset[str]) -> list[str]:
     """Words of the value without stopwords; the whole value when none is left."""
+    # What makes a term.
     terms = [t for t in re.findall(r"[A-Za-z0-9][A-Za-z0-9_.+-]*", value) if t.casefold() not in stopwords]
     return terms or [value.strip()]
 
