@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bandloom.llm.common import stored
+from bandloom.llm.common import discard, stored
 from bandloom.llm.language import keep_identified
 from bandloom.llm.neardup import keep_one_of_each
 from bandloom.llm.packing import pack
@@ -54,9 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each result written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in turn, each result written to the shared folder and read again; a stage's input goes once its result is there."""
+    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        docs = stored(docs) if k < len(STAGES) - 1 else docs
+        if k < len(STAGES) - 1:
+            docs, read = stored(docs), kept
+            kept = docs
+            if read is not None:
+                discard(read)
     return docs
