@@ -89,8 +89,7 @@ def flatten_records(figures: DataFrame, source_pdf: str | None = None) -> DataFr
     by_row = V.last_item(F.filter("targets", lambda t: _same_key(t["key"], F.col("row_index"))))
     by_name = V.last_item(F.filter("targets", lambda t: F.coalesce(t["name"] == F.col("named"), F.lit(False))))
     bands = bands.withColumn("info", F.coalesce(by_row, by_name)).drop("lanes", "targets")
-    state = F.coalesce(F.when(V.truthy(F.col("band_band_state")), V.as_text(F.col("band_band_state"))), F.lit("uncertain"))
-    bands = bands.withColumns({"target": T.strip(F.coalesce("named", F.col("info.name"), F.lit(""))), "band_state": F.lower(T.strip(state)), "is_loading_control": F.coalesce("info.loading", F.lit(False))})
+    bands = bands.withColumns({"target": T.strip(F.coalesce("named", F.col("info.name"), F.lit(""))), "band_state": _band_state(F.col("band_band_state")), "is_loading_control": F.coalesce("info.loading", F.lit(False))})
     return bands.filter((F.col("target") != "") & F.col("band_state").isin(*STATES)).select(
         "figure_no", "panel_no", "band_no",
         F.coalesce(F.when(F.col("paper_id") != "", F.col("paper_id")), F.lit("unknown")).alias("paper_id"),
@@ -105,20 +104,43 @@ def flatten_records(figures: DataFrame, source_pdf: str | None = None) -> DataFr
     )
 
 
+def _band_state(raw: Column) -> Column:
+    return F.lower(T.strip(F.coalesce(F.when(V.truthy(raw), V.as_text(raw)), F.lit("uncertain"))))
+
+
+def _gives_rows(panels: Column) -> Column:
+    """Whether a band of these panels becomes a row: it has a target, its own or its row's, and one of the states."""
+    read = F.transform(
+        panels,
+        lambda p: F.struct(
+            F.transform(V.records_field(p, "targets_top_to_bottom", ("row_index", "target")), lambda t: F.struct(_key(t["row_index"]).alias("key"), V.as_text(t["target"]).alias("name"), V.truthy(t["target"]).alias("named"))).alias("targets"),
+            F.transform(
+                V.records_field(p, "bands", ("row_index", "target", "band_state")),
+                lambda b: F.struct(V.positive_int(b["row_index"]).alias("row"), F.when(V.truthy(b["target"]), V.as_text(b["target"])).alias("named"), _band_state(b["band_state"]).alias("state")),
+            ).alias("bands"),
+        ),
+    )  # each value is taken from the VARIANT once
+
+    def sound(targets: Column, band: Column) -> Column:
+        of_row = V.last_item(F.filter(targets, lambda t: _same_key(t["key"], band["row"])))
+        target = F.coalesce(band["named"], F.when(of_row["named"], of_row["name"]), F.lit(""))
+        return band["state"].isin(*STATES) & (T.strip(target) != "")
+
+    return F.coalesce(F.exists(read, lambda p: F.coalesce(F.exists(p["bands"], lambda b: sound(p["targets"], b)), F.lit(False))), F.lit(False))
+
+
 def needs_retry(results: DataFrame) -> DataFrame:
     """results with needs_retry: not an object, an error, no boolean flag, or a positive figure without a valid row.
 
-    results: candidate_path, page, paper_id, extraction VARIANT, one row per candidate_path.
+    results: an extraction VARIANT and any other columns. Each row is judged on its own, by the rules of
+    flatten_records(), without a shuffle; a null extraction is to be asked again.
     """
     ext = F.col("extraction")
-    numbered = results.withColumn("figure_no", F.xxhash64("candidate_path"))
-    rows = flatten_records(numbered).select(F.coalesce("candidate_path", F.lit("")).alias("path")).distinct().withColumn("has_rows", F.lit(True))
     unwalkable = F.exists(panels_of(ext), lambda p: V.bad_list(p, LISTS[0]) | V.bad_list(p, LISTS[1]) | V.bad_list(p, LISTS[2]))
     flag = V.field(ext, "is_western_blot")
     sound = V.is_object(ext) & ~V.truthy(V.field(ext, "error")) & V.is_kind(flag, "BOOLEAN")
-    fruitless = is_positive(ext) & (F.col("has_rows").isNull() | unwalkable)
-    joined = results.join(rows, F.coalesce("candidate_path", F.lit("")) == F.col("path"), "left")
-    return joined.withColumn("needs_retry", ~F.coalesce(sound, F.lit(False)) | F.coalesce(fruitless, F.lit(False))).drop("path", "has_rows")
+    fruitless = F.when(is_positive(ext), unwalkable | ~_gives_rows(panels_of(ext)))
+    return results.withColumn("needs_retry", ~F.coalesce(sound, F.lit(False)) | F.coalesce(fruitless, F.lit(False)))
 
 
 def merge_parts(parts: DataFrame, warning: str | None = None) -> DataFrame:

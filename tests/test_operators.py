@@ -74,6 +74,23 @@ def test_retry(spark):
     assert [r.needs_retry for r in out] == [w for _, w in cases]
 
 
+def test_retry_row_by_row_agrees_with_the_flattened_rows(spark):
+    """Targets from the band or its row, states of any kind, lists that hold other things: 400 figures, nothing shuffled."""
+    import random
+
+    draw = random.Random(7)
+    names, states, numbers = ["AKT", "", " ", None, 0, 3, True, [], ["x"], {}], ["present", " Absent ", "gone", None, "", 0, 1, [], {"a": 1}], [1, 2, "1", " 2 ", 1.0, None, True, "x", 0, []]
+    band = lambda: draw.choice([1, None, "b"]) if draw.random() < 0.1 else {"row_index": draw.choice(numbers), "target": draw.choice(names), "band_state": draw.choice(states)}
+    target = lambda: draw.choice([2, None]) if draw.random() < 0.1 else {"row_index": draw.choice(numbers), "target": draw.choice(names)}
+    panel = lambda: {"bands": [band() for _ in range(draw.randrange(3))], "targets_top_to_bottom": [target() for _ in range(draw.randrange(4))]}
+    given = [{"is_western_blot": True, **(panel() if draw.random() < 0.5 else {"panels": [panel() for _ in range(draw.randrange(3))] + draw.choice([[], [1], [None]])})} for _ in range(400)]
+    results = figures(spark, *given).withColumn("candidate_path", F.col("figure_no").cast("string"))
+    flat = {r.figure_no for r in flatten.flatten_records(results).select("figure_no").distinct().collect()}
+    out = flatten.needs_retry(results)
+    assert {r.figure_no for r in out.filter("NOT needs_retry").collect()} == flat and 50 < len(flat) < 350
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(("raw", "error"), [("<think>a</think> ```json\n{\"a\": 1}\n```", None), ("not json", "bad_json"), ('{"a":1}{"b":2}', "bad_json"), ("</think><think>{}", None), ("Here:\n```json\n{\"a\": 1}\n```\nDone ```", None), ('{"a":1,"a":2}', None)])
 def test_model_json(spark, raw, error):
     v = spark.createDataFrame([(raw,)], "r string").select(strict_json.model_json(F.col("r")).alias("v"))
