@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import search
+from . import grams, search
 
 IDENTITY = ("paper_id", "candidate_key", "panel_label", "row_index", "lane_index", "target")
 BUCKETS = 64  # of a new catalog
@@ -199,10 +199,14 @@ class Catalog:
         """One snapshot, or these buckets of it; columns it lacks are null."""
         return self._rows(self._entry(version or self.version()), buckets)
 
-    def _rows(self, entry: dict, buckets: Collection[str | int] | None = None) -> DataFrame:
+    def _chains(self, entry: dict, buckets: Collection[str | int] | None = None) -> list[list[dict]]:
         wanted = None if buckets is None else {str(b) for b in buckets}
-        chains = [b["parts"] for key, b in sorted(entry["folders"].items()) if wanted is None or key in wanted]
-        paths = [f"{self.root}/{part['path']}" for parts in chains for part in parts if part["path"]]
+        return [b["parts"] for key, b in sorted(entry["folders"].items()) if wanted is None or key in wanted]
+
+    def _rows(self, entry: dict, buckets: Collection[str | int] | None = None, phrases: Sequence[tuple[str, Sequence[str]]] = ()) -> DataFrame:
+        """The rows of an entry, without files that by their trigrams cannot hold every phrase."""
+        chains = self._chains(entry, buckets)
+        paths = [f"{self.root}/{path}" for path in self._possible([part for parts in chains for part in parts if part["path"]], phrases)]
         if not paths:
             return self.spark.createDataFrame([], SCHEMA)
         whole = self.spark.read.schema(f"{SCHEMA}, seq BIGINT").parquet(*paths)
@@ -212,6 +216,17 @@ class Catalog:
             whole = whole.join(later, same(whole, later, ("paper_id", "source_id")) & (whole["seq"] < later["seq"]), "left_anti")
         return whole.drop("seq")
 
+    def _possible(self, parts: list[dict], phrases: Sequence[tuple[str, Sequence[str]]]) -> list[str]:
+        """The folders of parts, or their files alone that can hold every phrase; a part written without trigrams is read whole."""
+        asked = [(wanted, fields) for phrase, fields in phrases if (wanted := grams.required(phrase))]
+        indexed = {part["path"] for part in parts if part.get("grams")} if asked else set()
+        if not indexed:
+            return [part["path"] for part in parts]
+        tables = sorted({path.split("/")[0] for path in indexed})
+        index = self.spark.read.schema(grams.SCHEMA).parquet(*[f"{self.root}/{name}-grams" for name in tables])
+        files = [r.file for r in grams.files_holding(index, asked).collect()]  # a name a file, as Spark's own listing of what it reads
+        return [part["path"] for part in parts if part["path"] not in indexed] + sorted(f for f in files if f.rsplit("/", 1)[0] in indexed)
+
     def _write(self, seen: dict, seq: int, fresh: DataFrame | None, sources: dict[str, list], anew: dict[str, int], replaced: DataFrame | None, top: int | None = None) -> tuple[dict, str]:
         """Write fresh rows, and whole the buckets of anew (key -> rows to expect); the changed buckets and the folder."""
         folders, name = seen["folders"], f"v-{uuid.uuid4().hex}"
@@ -235,7 +250,10 @@ class Catalog:
         for key, bucket in changes.items():
             n = counts.get(key, 0)
             if n or key in sources and bucket["parts"]:
-                bucket["parts"].append({"path": f"{name}/bucket={key}" if n else None, "seq": seq, "rows": n, "sources": sources.get(key, []) if bucket["parts"] else []})
+                bucket["parts"].append({"path": f"{name}/bucket={key}" if n else None, "seq": seq, "rows": n, "grams": True, "sources": sources.get(key, []) if bucket["parts"] else []})
+        whole = self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{name}")
+        file = F.concat(F.lit(f"{name}/"), F.regexp_extract("_metadata.file_path", r"(bucket=\d+/[^/]+)$", 1))
+        grams.index(whole, file, search.Columns().everywhere).write.parquet(f"{self.root}/{name}-grams")
         if top is not None:
             self._index(written.filter(F.col("id") > top), name)
         return changes, name
@@ -267,6 +285,11 @@ class Catalog:
             except RuntimeError:  # the number is taken: look again
                 continue
 
+    def _drop(self, name: str) -> None:
+        """Remove what a writer that lost has written."""
+        self._delete(f"{self.root}/{name}")
+        self._delete(f"{self.root}/{name}-grams")
+
     def _delete(self, path: str) -> None:
         fs, at = self._fs(path)
         fs.delete(at, True)
@@ -329,7 +352,7 @@ class Catalog:
         try:
             self._commit(seen, read, changes)
         except Moved:
-            self._delete(f"{self.root}/{name}")
+            self._drop(name)
             raise
 
     def _too_long(self, parts: list[dict], coming: int, sources: int) -> bool:
@@ -350,14 +373,15 @@ class Catalog:
                 self._commit(seen, anew, changes)
                 return len(anew)
             except Moved:
-                self._delete(f"{self.root}/{name}")
+                self._drop(name)
 
     def search(self, criteria: search.Criteria, limit: int = 100, offset: int = 0) -> tuple[DataFrame, DataFrame]:
-        """Page and total from the same snapshot."""
+        """Page and total from the same snapshot; files whose trigrams rule the phrases out are not opened."""
         search.validate(criteria, limit, offset)
         paper = (criteria.paper_id or "").strip()
         entry = self._entry(self.version())
-        rows, where = self._rows(entry, {directory_key(entry["folders"], zlib.crc32(paper.encode()))} if paper else None), search.predicate(criteria)
+        buckets = {directory_key(entry["folders"], zlib.crc32(paper.encode()))} if paper else None
+        rows, where = self._rows(entry, buckets, search.phrases(criteria)), search.predicate(criteria)
         page = search.search_page(rows, where, [search.Key("updated_at"), search.Key("id")], limit, offset)
         return public_records(page), search.search_total(rows, where)
 

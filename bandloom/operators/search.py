@@ -49,22 +49,24 @@ def search_terms(value: str, stopwords: frozenset[str]) -> list[str]:
     return terms or [value.strip()]
 
 
-def predicate(criteria: Criteria, columns: Columns = Columns()) -> Column:
-    """All asked criteria and-ed; each term of a multi-field criterion may be met by any of its fields."""
+def phrases(criteria: Criteria, columns: Columns = Columns()) -> list[tuple[str, Sequence[str]]]:
+    """The phrases that a row must hold, each with the columns of which any may hold it."""
     asked = {k: v.strip() for k, v in vars(criteria).items() if v and v.strip()}
-    clauses = []
-    if "paper_id" in asked:
-        clauses.append(F.col(columns.paper) == asked["paper_id"])
-    if "target" in asked:
-        clauses.append(T.contains_phrase(F.col(columns.target), asked["target"]))
-    multi = []
+    out: list[tuple[str, Sequence[str]]] = [(asked["target"], (columns.target,))] if "target" in asked else []
     if "sample" in asked:
-        multi += [(t, columns.sample) for t in search_terms(asked["sample"], SAMPLE_STOPWORDS)]
+        out += [(t, columns.sample) for t in search_terms(asked["sample"], SAMPLE_STOPWORDS)]
     if "condition" in asked:
-        multi += [(t, columns.condition) for t in search_terms(asked["condition"], CONDITION_STOPWORDS)]
+        out += [(t, columns.condition) for t in search_terms(asked["condition"], CONDITION_STOPWORDS)]
     if "q" in asked:
-        multi += [(t, columns.everywhere) for t in asked["q"].split()]
-    clauses += [reduce(Column.__or__, [T.contains_phrase(F.col(c), term) for c in fields]) for term, fields in multi]
+        out += [(t, columns.everywhere) for t in asked["q"].split()]
+    return out
+
+
+def predicate(criteria: Criteria, columns: Columns = Columns()) -> Column:
+    """All asked criteria and-ed; each term of a multi-field criterion may be met by any of its fields."""
+    paper = (criteria.paper_id or "").strip()
+    clauses = [F.col(columns.paper) == paper] if paper else []
+    clauses += [reduce(Column.__or__, [T.contains_phrase(F.col(c), term) for c in fields]) for term, fields in phrases(criteria, columns)]
     return reduce(Column.__and__, clauses, F.lit(True))
 
 

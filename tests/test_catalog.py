@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from bandloom.operators import catalog, search
+from bandloom.operators import catalog, grams, search
 
 KINDS = "paper_id string, candidate_key string, page int, target string, is_loading_control boolean, western_blot_type string, sample string, source_id string"
 
@@ -120,3 +120,57 @@ def test_buckets_split_and_lookups_open_one(spark, tmp_path):
     page, total = store.search(search.Criteria(paper_id=papers[0]), 200)
     assert total.first().total == 51 and page.count() == 51
     assert store.rows().groupBy("paper_id").agg(F.count("*")).count() == 40
+
+
+PHRASES = ["zeta", "ZETA-1", "ze%a", "z_ta", "et", "\\\\zeta", "a\\%b", "a%b", "élan", "ÉLAN v", "lan vital", "zeta vital", "\u212aelvin", "kelvin", "nowhere", "100%", "pap", "\\"]
+
+
+@pytest.mark.parametrize("field", ["q", "sample"])
+def test_trigrams_rule_files_out_and_lose_no_hit(spark, tmp_path_factory, field):
+    """Every phrase finds what a scan finds, wildcards, escapes and case included; fewer files are opened where it has three letters."""
+    store = getattr(test_trigrams_rule_files_out_and_lose_no_hit, "store", None)
+    if store is None:
+        store = catalog.Catalog(spark, str(tmp_path_factory.mktemp("grams")))
+        store.initialize()
+        samples = ["Zeta-1 cells", "z\\zeta", "a%b", "aXb", "Élan vital", "\u212aelvin", "", None, "100% pure", "new\nzeta line", "ab", "İzeta"]
+        rows = [(f"paper{i}", "k", 1, t, False, "total_protein", s, "s") for i, (s, t) in enumerate(zip(samples, ["AKT", "zeta", *samples[2:6], *"bcdefg"], strict=True))]
+        frame = spark.createDataFrame(rows, KINDS)
+        store.replace_batch(frame, frame.select("paper_id", "source_id"))
+        store.replace(batch(spark, ("paper0", "k", "s", "kappa")), "paper0", "s")  # what it held is still in the older file
+        test_trigrams_rule_files_out_and_lose_no_hit.store = store
+    whole = store.rows().cache()
+    files = set(store.rows().inputFiles())
+    for phrase in PHRASES:
+        criteria = search.Criteria(**{field: phrase})
+        page, total = store.search(criteria, 200)
+        wanted = sorted(r.id for r in whole.filter(search.predicate(criteria)).collect())
+        assert sorted(r.id for r in page.collect()) == wanted and total.first().total == len(wanted), phrase
+        opened = set(page.inputFiles())
+        assert opened <= files
+        if any(grams.required(asked) for asked, _ in search.phrases(criteria)):
+            assert len(opened) <= len(wanted) + 2, phrase
+        else:
+            assert opened == files, phrase
+
+
+def test_required_trigrams():
+    assert grams.required("ab%cdef_gh") == {"cde", "def"}
+    assert grams.required("a\\%bC") == {"a%b", "%bc"} and grams.required("été") == grams.required("") == set()
+    assert grams.required("abc\\") == {"abc", "bc%"}
+
+
+def test_parts_without_trigrams_are_read_whole(spark, tmp_path):
+    """Versions written before there was an index, and one that was compacted since."""
+    store = catalog.Catalog(spark, str(tmp_path))
+    store.initialize()
+    store.replace(batch(spark, ("p1", "k", "s", "alpha")), "p1", "s")
+    entry = store._entry(store.version())
+    for bucket in entry["folders"].values():
+        bucket["parts"] = [{k: v for k, v in part.items() if k != "grams"} for part in bucket["parts"]]
+    store._log(entry, store.version())
+    store.replace(batch(spark, ("p2", "k", "s", "beta")), "p2", "s")
+    store.replace(batch(spark, ("p2", "j", "t", "gamma")), "p2", "t")
+    for _ in range(2):
+        found = {word: sorted(r.paper_id for r in store.search(search.Criteria(sample=word), 10)[0].collect()) for word in ("alpha", "beta", "gamma", "delta")}
+        assert found == {"alpha": ["p1"], "beta": ["p2"], "gamma": ["p2"], "delta": []}
+        store.compact()
