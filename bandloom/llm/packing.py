@@ -58,6 +58,8 @@ def encoded(docs: DataFrame, path: str, kind: str, end_id: int) -> DataFrame:
                 starts = np.concatenate([[0], ends[:-1]])
                 body = pa.array([ids[b:e].tobytes() + end for b, e in zip(starts, ends, strict=True)], pa.binary())
                 rows = pa.array(np.arange(at + begin, at + stop), pa.int64())
+                del ids
+                chunks.trim()
                 yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id")[begin:stop], pa.array(ends - starts + 1, pa.int64()), body], ["row", "doc_id", "n", "ids"])
             at += len(texts)
         chunks.trim()

@@ -19,9 +19,20 @@ LATIN_WORD = r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}
 
 
 def gather(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of runs of these sizes that lie one after another in flat, those asked for, in a row; and their sizes."""
+    """Of runs of these sizes that lie one after another in flat, those asked for, in a row; and their sizes.
+
+    Places take four bytes each where that is enough, and are added up in place: a batch has far more of them than bytes.
+    """
     starts, own = np.cumsum(sizes) - sizes, sizes[which]
-    return flat[np.repeat(starts[which] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))], own
+    total = int(own.sum(dtype=np.int64))
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    shift = np.cumsum(own, dtype=kind)
+    shift -= own.astype(kind)
+    np.subtract(starts.astype(kind)[which], shift, out=shift)
+    places = np.repeat(shift, own)
+    del shift
+    places += np.arange(total, dtype=kind)
+    return flat[places], own
 
 
 class BatchEncoder:
@@ -57,8 +68,10 @@ class BatchEncoder:
         """The ids of all texts in a row, and where each text's ids end."""
         words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         counts, coded = pc.list_value_length(words).to_numpy(), words.flatten().dictionary_encode()
-        ids, sizes = gather(*self._pieces(coded.dictionary), coded.indices.to_numpy())
-        return ids, np.cumsum(sizes)[np.cumsum(counts) - 1]
+        del words  # as large as the texts
+        flat, sizes = self._pieces(coded.dictionary)
+        ids, sizes = gather(flat.astype(np.int32), sizes.astype(np.int32), coded.indices.to_numpy())
+        return ids, np.cumsum(sizes, dtype=np.int64)[np.cumsum(counts) - 1]
 
 
 class WordEncoder(BatchEncoder):
