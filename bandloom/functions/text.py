@@ -101,6 +101,16 @@ def display(value: Column) -> Column:
     return F.when(F.coalesce(shown, F.lit("")) == "", "—").otherwise(shown)
 
 
+def shown_percent(share: Column) -> Column:
+    """A share as a whole per cent, halves rounded up; a dash for null."""
+    return F.coalesce(F.concat(F.floor(share * 100 + 0.5).cast("string"), F.lit("%")), F.lit("—"))
+
+
+def spaced(value: Column) -> Column:
+    """A stored name as words: underscores as spaces."""
+    return display(F.replace(value, F.lit("_"), F.lit(" ")))
+
+
 def source_link(doi: Column, source_url: Column) -> Column:
     """Where a record's source can be seen: its web address, otherwise the DOI's, otherwise null."""
     encoded = F.array_join(F.transform(F.split(doi, "/"), lambda part: F.replace(F.url_encode(part), F.lit("+"), F.lit("%20"))), "/")

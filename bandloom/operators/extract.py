@@ -10,12 +10,13 @@ from collections.abc import Callable, Iterator
 from urllib.error import HTTPError
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import strict_json
 from ..functions import values as V
-from . import catalog, images
+from . import catalog, images, ledger
 from .flatten import is_positive, merge_parts, needs_retry
 
 Client = Callable[[str, str, str | None], str]  # request_path, text_context, image as data URL -> the model's answer
@@ -72,29 +73,43 @@ def error_fields(error: Exception) -> tuple:
     return type(error).__name__, str(error), status, getattr(response, "url", None), text[:SHOWN] if text else None
 
 
-def ask_model(requests: DataFrame, client: Client) -> DataFrame:
+def ask_model(requests: DataFrame, client: Client, kept_at: str | None = None, known: DataFrame | None = None) -> DataFrame:
     """The raw answer or the error of each request; a failed request becomes a row, not a failed job.
 
     requests: candidate_path, text_context, and where they are there request_path, stage, part, data_url.
-    Tasks may run again after a lost executor, so a client must be safe to call twice for a path;
-    write the result before using it.
+    With kept_at every answer is kept in that folder as it comes, and a task that runs again after a lost executor asks only
+    what its predecessor had not written; known (request_key, raw) are answers of earlier runs, which are not asked again.
+    Errors are not kept. A client must still be safe to call twice for a path; write the result before using it.
     """
     missing = {"request_path": F.col("candidate_path"), "stage": F.lit("full"), "part": F.lit(0), "data_url": F.lit(None).cast("string")}
     asked = requests.select("candidate_path", "text_context", *[F.col(c) if c in requests.columns else v.alias(c) for c, v in missing.items()])
+    key = ledger.request_key(*(F.col(c) for c in ("request_path", "stage", "part", "text_context", "data_url")))
+    asked = asked.withColumn("request_key", key if kept_at or known is not None else F.lit(None).cast("string"))
+    asked = asked.join(known, "request_key", "left") if known is not None else asked.withColumn("raw", F.lit(None).cast("string"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in ATTEMPT.split(", ")]
-        for pdf in batches:
-            rows = []
-            for path, context, request, stage, part, url in zip(*(pdf[c] for c in ("candidate_path", "text_context", "request_path", "stage", "part", "data_url")), strict=True):
-                try:
-                    raw = client(request, context, url)
-                    if not isinstance(raw, str):
-                        raise ValueError("the model's answer is not a text")
-                    rows.append((path, request, stage, part, raw, *[None] * 5))
-                except Exception as error:  # the failure log's row
-                    rows.append((path, request, stage, part, None, *error_fields(error)))
-            yield pd.DataFrame(rows, columns=names).astype({"status_code": "Int32"})
+        keeper = ledger.Keeper(kept_at, TaskContext.get().partitionId()) if kept_at else None
+        try:
+            for pdf in batches:
+                rows = []
+                for path, context, request, stage, part, url, key, raw in zip(*(pdf[c] for c in ("candidate_path", "text_context", "request_path", "stage", "part", "data_url", "request_key", "raw")), strict=True):
+                    if not isinstance(raw, str) and keeper:
+                        raw = keeper.known.get(key)
+                    try:
+                        if not isinstance(raw, str):
+                            raw = client(request, context, url)
+                            if not isinstance(raw, str):
+                                raise ValueError("the model's answer is not a text")
+                            if keeper:
+                                keeper.keep(key, raw)
+                        rows.append((path, request, stage, part, raw, *[None] * 5))
+                    except Exception as error:  # the failure log's row
+                        rows.append((path, request, stage, part, None, *error_fields(error)))
+                yield pd.DataFrame(rows, columns=names).astype({"status_code": "Int32"})
+        finally:
+            if keeper:
+                keeper.flush()
 
     return asked.mapInPandas(run, ATTEMPT)
 
@@ -197,14 +212,17 @@ def run_extraction(candidates: DataFrame, contexts: DataFrame, pixels: DataFrame
     candidates: candidate_no, candidate_path, paper_id, page; contexts: candidate_path, text_context,
     line_no; pixels: candidate_path, width_px, height_px, bgr. What must be asked is written once with its context and
     crop, a folder for each wave of about wave requests, so a wave reads its own crops only; each wave's results are appended
-    to run_dir/extractions and its failures to run_dir/failures before the next begins, so a stopped run goes on where
-    its last wave ended. Without use_cache both start empty. Repeated candidate paths are asked once.
+    to run_dir/extractions and its failures to run_dir/failures before the next begins. Within a wave every task keeps its
+    answers in run_dir/answers as they come, until the wave is appended; so a stopped run goes on with the candidate at
+    which it stopped. Without use_cache all three start empty. Repeated candidate paths are asked once.
     """
     spark = candidates.sparkSession
     chosen = first_candidates(candidates.dropDuplicates(["candidate_path"]), limit)
     if not use_cache:
         _table(spark.createDataFrame([], CACHE), f"{run_dir}/extractions")
         _table(spark.createDataFrame([], ATTEMPT), f"{run_dir}/failures")
+        ledger.forget(spark, f"{run_dir}/answers")
+    known = ledger.known_answers(spark, f"{run_dir}/answers")
     cache = read_run_cache(spark, run_dir)
     last = cache.agg(F.coalesce(F.max("line_no"), F.lit(0))).first()[0]
     usable = usable_cache(cache).select("candidate_path")
@@ -216,19 +234,21 @@ def run_extraction(candidates: DataFrame, contexts: DataFrame, pixels: DataFrame
     cut.write.partitionBy("wave").parquet(f"{work}/todo")
     n = spark.read.schema("place BIGINT").parquet(f"{work}/todo").count()
     for k in range(-(-n // wave)):
+        kept_at = f"{run_dir}/answers/{uuid.uuid4().hex}"
         own = spark.read.schema(crops.schema).parquet(f"{work}/todo/wave={k}")
         shots = own.select("candidate_path", "width_px", "height_px", "bgr")
         sent = images.model_images(shots.filter(F.col("bgr").isNotNull()), longest).select("candidate_path", "data_url")
         asked = own.drop("width_px", "height_px", "bgr")
-        full = _table(ask_model(asked.join(sent, "candidate_path", "left"), client), f"{work}/full-{k}")
+        full = _table(ask_model(asked.join(sent, "candidate_path", "left"), client, f"{kept_at}/full", known), f"{work}/full-{k}")
         failed = asked.join(full.filter("error_type IS NOT NULL").select("candidate_path"), "candidate_path", "left_semi")
-        parts = _table(ask_model(split_requests(failed, shots, longest), client), f"{work}/parts-{k}")
+        parts = _table(ask_model(split_requests(failed, shots, longest), client, f"{kept_at}/parts", known), f"{work}/parts-{k}")
         judged = judged_parts(parts)
         rows = extractions_of(full, judged).join(asked.select("candidate_path", "paper_id", "page", "place"), "candidate_path")
         full.filter("error_type IS NOT NULL").unionByName(judged.filter("error_type IS NOT NULL").drop("extraction")).write.mode("append").parquet(f"{run_dir}/failures")
         rows.select("candidate_path", "paper_id", "page", (F.col("place") + last).alias("attempt_no"), F.to_json("extraction").alias("extraction")).write.mode("append").parquet(f"{run_dir}/extractions")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(work)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        ledger.forget(spark, kept_at)
+    for folder in [work, *([f"{run_dir}/answers"] if limit is None else [])]:
+        ledger.forget(spark, folder)
     latest = read_run_cache(spark, run_dir).groupBy("candidate_path").agg(F.max_by(F.struct("paper_id", "page", F.to_json("extraction").alias("extraction")), "line_no").alias("r"))
     results = chosen.select("candidate_no", "candidate_path").join(latest, "candidate_path").select("candidate_no", "candidate_path", "r.paper_id", "r.page", F.parse_json("r.extraction").alias("extraction"))
     checked = needs_retry(results)

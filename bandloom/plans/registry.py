@@ -15,6 +15,7 @@ from ..functions import values as V
 from ..operators import candidates as cand
 from ..operators import catalog, context, detail, extract, flatten, images, ingest, search
 from ..operators.settings import Settings
+from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -601,3 +602,154 @@ def ingested_evidence(spark, sf_dir):
     files = files.select(F.regexp_extract("path", r"([^/]+)\.png$", 1).cast("long").alias("doc_id"), F.sha2("content", 256).alias("file_sha256"))
     rows = shown.select(F.substring("target", 2, 20).cast("long").alias("doc_id"), "target", F.col("image_url").isNotNull().alias("has_image"), "image_sha256", "figure_caption", "paper_context")
     return rows.join(files, "doc_id", "left")
+
+
+_HEAD = "10.1234/abc.7\nJones et al.\n42\nsee www.Frontiersin.org now\nFrontiers in Cell Biology"
+_EVEN, _ODD = "A\n B \nFigure 7\nThe caption.", "Fig 7\nwell-\nknown 123\n7"
+
+
+@query(f"""WITH l AS (SELECT doc_id, string_split(concat_ws(chr(10), '{_HEAD}', text, CASE WHEN doc_id % 2 = 0 THEN '{_EVEN}' ELSE '{_ODD}' END), chr(10)) AS lines FROM documents),
+c AS (SELECT *, coalesce(list_position(list_transform(lines, lambda x: regexp_matches(x, '^\\s*(FIGURE|Figure)\\s+\\d+\\s*$')), true), 0) AS cut FROM l),
+b AS (SELECT doc_id, CASE WHEN cut > 0 THEN regexp_replace(chr(10) || array_to_string(lines[1:cut - 1], chr(10)), '(\\n[ \\t]*[A-Z][ \\t]*)+$', '') ELSE array_to_string(lines, chr(10)) END AS before FROM c),
+k AS (SELECT doc_id, list_filter(string_split(before, chr(10)), lambda x: NOT (regexp_matches(x, '^\\s*\\d{{2}}\\s*$') OR regexp_matches(x, '^\\s*10\\.\\d{{4,9}}/\\S+\\s*$')
+OR regexp_matches(x, '(?i)^\\s*\\S+\\s+et al\\.\\s*$') OR regexp_matches(x, '^\\s*Frontiers in \\S+(\\s+\\S+)*\\s*$') OR contains(lower(x), 'frontiersin.org'))) AS kept FROM b)
+SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(array_to_string(kept, chr(10)), '(\\w)-\\n(\\w)', '\\1-\\2', 'g'), '\\s+', ' ', 'g'))) AS digest FROM k""")
+def page_bodies(spark, sf_dir):
+    """Documents as pages with furniture above, and below a figure heading under panel letters, or a broken word and no heading."""
+    raw = F.concat_ws("\n", F.lit(_HEAD), "text", F.when(F.col("doc_id") % 2 == 0, _EVEN).otherwise(_ODD))
+    return table(spark, sf_dir, "documents").select("doc_id", T.content_hash(T.page_body(raw)).alias("digest"))
+
+
+_PAGE = "'Opening words. ' || CASE turn % 3 WHEN 0 THEN 'Figure ' || (turn % 4) || 'A shows it. ' WHEN 1 THEN 'See Supplementary Figure ' || (turn % 4) || '. ' ELSE 'Both figs ' || (turn % 4) || '0 and more. ' END || text"
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, trim(regexp_replace({_PAGE}, '\\s+', ' ', 'g')) AS body FROM conversations),
+w AS (SELECT r.conv_id, r.turn, CAST(r.turn % 4 AS VARCHAR) AS n, string_agg(body, ' ' ORDER BY p.turn) AS t FROM conversations r JOIN p ON p.conv_id = r.conv_id AND p.turn BETWEEN r.turn - 2 AND r.turn + 1 WHERE r.turn % 5 <> 4 GROUP BY ALL),
+l AS (SELECT conv_id, turn, n, string_split(regexp_replace(t, '([.!?])\\s+([A-Z0-9(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS parts FROM w),
+s AS (SELECT conv_id, turn, n, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS pos FROM l),
+m AS (SELECT *, max(CAST(regexp_matches(regexp_replace(sentence, '(?i)supplementary fig', '', 'g'), '(?i)\\bfig(ure)?s?\\.?\\s*' || n) AS INTEGER)) OVER (PARTITION BY conv_id, turn ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS near FROM s),
+k AS (SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS island FROM m WHERE near = 1),
+g AS (SELECT conv_id, turn, island, string_agg(sentence, ' ' ORDER BY pos) AS paragraph FROM k GROUP BY ALL)
+SELECT conv_id, turn, sha256(string_agg(paragraph, chr(10) || chr(10) ORDER BY island)) AS digest FROM g GROUP BY ALL""")
+def page_windows(spark, sf_dir):
+    """Conversations are papers, their turns pages and records; a record's figure is sought two pages before to one after its own."""
+    conv, turn = table(spark, sf_dir, "conversations"), F.col("turn").cast("int")
+    number = (turn % 4).cast("string")
+    said = F.when(turn % 3 == 0, F.concat(F.lit("Figure "), number, F.lit("A shows it. "))).when(turn % 3 == 1, F.concat(F.lit("See Supplementary Figure "), number, F.lit(". "))).otherwise(F.concat(F.lit("Both figs "), number, F.lit("0 and more. ")))
+    label = F.when(turn % 5 == 4, "a blot").otherwise(F.concat(F.lit("Fig. "), number, F.lit(" of 9")))
+    records = conv.select(F.struct("conv_id", "turn").alias("id"), F.col("conv_id").alias("run"), turn.alias("page"), label.alias("figure_label"))
+    pages = conv.select(F.col("conv_id").alias("run"), turn.alias("page"), turn.alias("page_no"), F.concat(F.lit("Opening words. "), said, "text").alias("text"))
+    return context.page_context(records, pages).select("id.conv_id", "id.turn", T.content_hash(F.col("paper_context")).alias("digest"))
+
+
+_SAMPLES = (" the ", " cell lines "), (" la ", " mouse tissue "), (" der ", " Western Blot "), (" of ", " mice "), (" et ", " rat ")
+_TERM_ROWS = ", ".join(f"({i}, '{term}')" for i, term in enumerate(context.SAMPLE_KEYWORDS))
+
+
+def _replaced(text: str) -> str:
+    for old, new in _SAMPLES:
+        text = f"replace({text}, '{old}', '{new}')"
+    return text
+
+
+@query(f"""WITH t AS (SELECT doc_id, trim(regexp_replace({_replaced("text")}, '\\s+', ' ', 'g')) AS s FROM documents),
+h AS (SELECT doc_id, s, i, term, string_split(lower(s), term) AS parts FROM t, (VALUES {_TERM_ROWS}) AS v(i, term)),
+n AS (SELECT doc_id, list([len(parts) - 1] ORDER BY i) AS hits FROM h GROUP BY doc_id),
+a AS (SELECT doc_id, list_reduce([[0]] || hits, lambda acc, x: acc || [least(x[1], greatest(1, 48 - list_sum(acc)))]) AS taken FROM n),
+o AS (SELECT h.doc_id, s, i, term, parts, unnest(range(1, 1 + CAST(taken[i + 2] AS BIGINT))) AS k FROM h JOIN a ON a.doc_id = h.doc_id),
+w AS (SELECT doc_id, s, i, k, length(term) AS size, CAST(list_sum(list_transform(list_slice(parts, 1, k), lambda x: length(x))) AS BIGINT) + (k - 1) * length(term) AS pos FROM o),
+v AS (SELECT doc_id, i, k, substring(s, greatest(0, pos - 350) + 1, least(length(s), pos + size + 350) - greatest(0, pos - 350)) AS win FROM w),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(left(win, 250)) ORDER BY i, k) AS first FROM v),
+g AS (SELECT doc_id, i, k, win, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS place FROM f WHERE first = 1)
+SELECT t.doc_id, sha256(coalesce(string_agg('- ' || win, chr(10) || chr(10) ORDER BY i, k) FILTER (place <= 16), '')) AS digest FROM t LEFT JOIN g ON g.doc_id = t.doc_id GROUP BY t.doc_id""")
+def sample_snippets(spark, sf_dir):
+    """All sample terms in documents whose commonest words have become some of them."""
+    text = F.expr(_replaced("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.content_hash(context.snippets(text)).alias("digest"))
+
+
+@query("""SELECT s_suppkey, s_suppkey % 10 = 0 AND s_suppkey % 40 = 0 AS positive,
+CASE WHEN s_suppkey % 10 = 0 THEN CASE WHEN s_suppkey % 40 >= 20 THEN 'vlm_request_failed' END WHEN s_suppkey % 3 = 0 THEN 'vlm_request_failed' END AS error,
+CASE WHEN s_suppkey % 10 <> 0 THEN CASE WHEN s_suppkey % 3 = 0 THEN 'no answer' END WHEN s_suppkey % 40 = 20 THEN 'no answer; no answer' WHEN s_suppkey % 40 = 30 THEN 'no answer; the answer for this half is no valid extraction' END AS message,
+CASE WHEN s_suppkey % 10 = 0 AND s_suppkey % 40 < 20 THEN 'runs/r/vlm_panel_splits/' || s_suppkey || '_part_01.png, runs/r/vlm_panel_splits/' || s_suppkey || '_part_02.png' END AS halves,
+CASE WHEN s_suppkey % 40 = 0 THEN 2 ELSE 0 END AS panels FROM supplier""")
+def extraction_halves(spark, sf_dir):
+    """Suppliers are candidates, every tenth with a large crop for which the model answers in halves only: yes, no, one missing, one bad."""
+    key = F.col("s_suppkey")
+    path = F.concat(F.lit("runs/r/panel_candidates/"), key.cast("string"), F.lit(".png")).alias("candidate_path")
+    rows, large = table(spark, sf_dir, "supplier"), key % 10 == 0
+    candidates = rows.select(key.alias("candidate_no"), path, F.lit("p").alias("paper_id"), F.lit(1).alias("page"))
+    contexts = rows.select(path, key.cast("string").alias("text_context"), F.lit(1).alias("line_no"))
+    shots = rows.select(path, F.when(large, 900).otherwise(2).alias("width_px"), F.when(large, 1200).otherwise(1).alias("height_px"), F.unhex(F.when(large, F.repeat(F.lit("808080"), 900 * 1200)).otherwise("000000ffffff")).alias("bgr"))
+
+    def model(asked: str, number: str, _: str | None) -> str:
+        half, kind = asked.rsplit("_part_", 1)[1:], int(number) % 40
+        if not half and (int(number) % 10 == 0 or int(number) % 3 == 0) or half == ["02.png"] and kind == 20:
+            raise TimeoutError("no answer")
+        if half == ["02.png"] and kind == 30:
+            return "[]"
+        return '{"is_western_blot": true, "panel_label": "A", "bands": [{"target": "x"}]}' if kind == 0 else '{"is_western_blot": false}'
+
+    results, _ = extract.run_extraction(candidates, contexts, shots, model, _scratch(spark))
+    get = lambda name, kind: F.try_variant_get("extraction", f"$.{name}", kind)
+    return results.select(
+        F.col("candidate_no").alias("s_suppkey"), flatten.is_positive(F.col("extraction")).alias("positive"), get("error", "string").alias("error"), get("message", "string").alias("message"),
+        F.array_join(get("split_candidate_paths", "array<string>"), ", ").alias("halves"), F.coalesce(F.array_size(get("panels", "array<variant>")), F.lit(0)).alias("panels"),
+    )
+
+
+@query("SELECT doc_id, coalesce((SELECT max(quality * 2 + toxic) % 2 = 0 FROM labels l WHERE l.doc_id = f.doc_id), false) AS reused FROM (SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 700) f")
+def prefix_before_resume(spark, sf_dir):
+    """The last documents are the first candidates: the limit counts before what labels have cached (toxic ones as errors) is taken off."""
+    candidates = table(spark, sf_dir, "documents").select("doc_id", (-F.col("doc_id")).alias("candidate_no"), F.col("doc_id").cast("string").alias("candidate_path"))
+    answer = F.when(F.col("toxic") == 1, '{"error": "vlm_request_failed"}').otherwise('{"is_western_blot": false}')
+    cache = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("candidate_path"), F.lit("p").alias("paper_id"), F.lit(1).alias("page"), (F.col("quality") * 2 + F.col("toxic")).alias("line_no"), F.parse_json(answer).alias("extraction"))
+    reused, asked = extract.resume(extract.first_candidates(candidates, 700), cache)
+    return reused.select((-F.col("candidate_no")).alias("doc_id"), F.lit(True).alias("reused")).unionByName(asked.select("doc_id", F.lit(False).alias("reused")))
+
+
+@query("""WITH h AS (SELECT doc_id, sha256(text) AS d FROM documents), p AS (SELECT doc_id, CAST('0x' || substring(d, 6 * k + 1, 2) AS INTEGER) AS b, CAST('0x' || substring(d, 6 * k + 3, 2) AS INTEGER) AS g, CAST('0x' || substring(d, 6 * k + 5, 2) AS INTEGER) AS r FROM h, range(0, 10) AS t(k))
+SELECT doc_id, avg(CASE WHEN greatest(b, g, r) > 0 THEN (510 * (greatest(b, g, r) - least(b, g, r)) + greatest(b, g, r)) // (2 * greatest(b, g, r)) ELSE 0 END) AS saturation,
+avg(CAST((1868 * b + 9617 * g + 4899 * r + 8192) // 16384 < 210 AS INTEGER)) AS dark FROM p GROUP BY doc_id""")
+def image_colours(spark, sf_dir):
+    """The digest of each text as a coloured image of five by two."""
+    bgr = F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 60))
+    out = images.image_features(table(spark, sf_dir, "documents").select("doc_id", F.lit(5).alias("width_px"), F.lit(2).alias("height_px"), bgr.alias("bgr")))
+    return out.select("doc_id", "saturation", "dark")
+
+
+@query("""WITH b AS (SELECT CAST(s_nationkey AS VARCHAR) AS paper_id, s_suppkey AS page, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INTEGER) AS candidate_no, 28 + 10 * (s_suppkey % 7) AS x, 18 + 10 * (s_suppkey % 5) AS y FROM supplier WHERE s_suppkey % 3 <> 0)
+SELECT paper_id, page, candidate_no, x AS tight_x, y AS tight_y, x + 284 AS tight_right, y + 184 AS tight_bottom, greatest(0, x - 240) AS x1, greatest(0, y - 60) AS y1, least(700, x + 304) AS x2, least(400, y + 204) AS y2,
+(SELECT count(*) FROM supplier) AS pages, (SELECT count(*) FROM b) AS candidate_count, (SELECT count(*) FROM b) AS llm_candidate_count, (SELECT count(*) FROM b) AS contexts_written FROM b""")
+def page_boxes(spark, sf_dir):
+    """Suppliers are pages of their nation's paper: a third blank, the others with one block of ink, and a speck too small to count."""
+    key = F.col("s_suppkey").cast("int")
+    left, top = 50 + 10 * (key % 7), 40 + 10 * (key % 5)
+    white = lambda n: F.repeat(F.lit("ffffff"), n)
+    ink = lambda n: F.repeat(F.lit("787878"), n)
+    blank = white(F.lit(700))
+    block = F.concat(F.repeat(blank, top), F.repeat(F.concat(white(left), ink(F.lit(240)), white(460 - left)), F.lit(140)))
+    speck = F.concat(F.repeat(blank, 320 - top - 140), F.repeat(F.concat(white(F.lit(600)), ink(F.lit(30)), white(F.lit(70))), F.lit(5)), F.repeat(blank, F.lit(75)))
+    drawn = F.unhex(F.when(key % 3 != 0, F.concat(block, speck)).otherwise(F.repeat(blank, F.lit(400))))
+    pages = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("paper_id"), key.alias("page"), F.lit("see Figure 1").alias("text"), F.lit(700).alias("width_px"), F.lit(400).alias("height_px"), drawn.alias("bgr"))
+    found, good, contexts = ingest.preprocess(pages, Settings(min_candidate_score=0.01, min_model_score=0.01), work_dir=_scratch(spark))
+    counts = ingest.preprocess_summary(pages, found, good, contexts)
+    corners = [F.col(box)[k].alias(name) for box, names in (("tight_bbox_page", ("tight_x", "tight_y", "tight_right", "tight_bottom")), ("bbox_page", ("x1", "y1", "x2", "y2"))) for k, name in enumerate(names)]
+    return found.crossJoin(F.broadcast(counts)).select("paper_id", "page", "candidate_no", *corners, "pages", "candidate_count", "llm_candidate_count", "contexts_written")  # one row
+
+
+@query("SELECT doc_id || '.png' AS file_name, 'caption \"' || doc_id || '\" é' AS caption FROM labels WHERE quality = 1")
+def cached_answers(spark, sf_dir):
+    """Labels written as lines of a run's cache and read back: the positive answer of each file name."""
+    i = F.col("doc_id").cast("string")
+    answer = F.struct((F.col("quality") == 1).alias("is_western_blot"), F.concat(F.lit('caption "'), i, F.lit('" é')).alias("figure_caption"), F.array(F.struct(F.lit("x").alias("target"))).alias("bands"))
+    lines = table(spark, sf_dir, "labels").select(F.concat(F.lit("runs/r/panel_candidates/"), i, F.lit(".png")).alias("candidate_path"), F.lit(1).alias("page"), F.lit("p").alias("paper_id"), answer.alias("extraction"))
+    at = _scratch(spark)
+    files.write_json_lines(lines, at)
+    return files.latest_positive(spark, at).select("file_name", F.try_variant_get("extraction", "$.figure_caption", "string").alias("caption"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 5 = 0 THEN '—' ELSE CAST(CAST(floor(l_discount * 10 / 8 * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%' END AS confidence, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag || ' ' || l_linestatus || ' ' ELSE '—' END AS kind FROM lineitem")
+def shown_confidence(spark, sf_dir):
+    share = F.when(F.col("l_linenumber") % 5 != 0, F.col("l_discount") * 10 / 8)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.shown_percent(share).alias("confidence"), T.spaced(F.when(F.col("l_linenumber") % 2 == 0, F.concat("l_returnflag", F.lit("_"), "l_linestatus", F.lit("_")))).alias("kind"))

@@ -3,6 +3,8 @@
 import hashlib
 import json
 import threading
+import uuid
+from collections import Counter
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bandloom.functions import pixels
-from bandloom.operators import catalog, detail, extract, flatten, ingest
+from bandloom.operators import catalog, detail, extract, flatten, ingest, ledger
 from bandloom.operators.settings import Settings
 from bandloom.sources import assets, files
 from bandloom.streaming import publish
@@ -212,6 +214,48 @@ def test_a_run_reads_each_crop_once_and_goes_on(spark, tmp_path):
     assert sorted(p.name[0] for p in log.iterdir() if p.name != "ready") == list("aqrst")
 
 
+def test_answers_outlive_a_killed_wave(spark, tmp_path):
+    """All candidates in one wave: what was answered before a client died is not asked again, and nothing is left behind."""
+    candidates, contexts, shots = setup(spark, "abcqrstu", large=("c",))
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def model(path, context, data_url):
+        stem = path.rsplit("/", 1)[1].split(".")[0]
+        if stem in ("c_part_02", "u") and not (log / "ready").exists():
+            raise SystemExit("killed")
+        (log / f"{stem}-{uuid.uuid4().hex}").touch()
+        if stem == "c":
+            raise TimeoutError("too large")
+        return '{"is_western_blot": false}'
+
+    run_dir = str(tmp_path / "run")
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        extract.run_extraction(candidates, contexts, shots, model, run_dir)
+    assert ledger.known_answers(spark, f"{run_dir}/answers").count() > 0
+    (log / "ready").touch()
+    _, summary = extract.run_extraction(candidates, contexts, shots, model, run_dir)
+    assert summary.first().asDict() == {"candidates": 8, "results": 8, "positive_results": 0, "failed_candidates": 0, "cached": 0, "queried": 8}
+    asked = Counter(p.name.split("-")[0] for p in log.iterdir() if p.name != "ready")
+    assert asked.pop("c") in (1, 2) and asked == dict.fromkeys([*"abqrstu", "c_part_01", "c_part_02"], 1)  # an error is asked again
+    assert not (tmp_path / "run" / "answers").exists()
+
+
+def test_a_keeper_knows_its_predecessor(spark, tmp_path):
+    folder = str(tmp_path / "answers")
+    first = ledger.Keeper(folder, 3, seconds=0)
+    first.keep("k1", "line\n\u2028\"é")
+    first.keep("k2", "")
+    slow = ledger.Keeper(folder, 13, seconds=1000)
+    slow.keep("k3", "lost")  # its task is lost before the file is written
+    (tmp_path / "answers" / ".task-3-torn.json").write_text('{"request_key": "k4", "ra')
+    assert ledger.Keeper(folder, 3).known == {"k1": "line\n\u2028\"é", "k2": ""} and ledger.Keeper(folder, 13).known == {}
+    kept = {r.request_key: r.raw for r in ledger.known_answers(spark, folder).collect()}
+    assert kept == {"k1": "line\n\u2028\"é", "k2": ""} and ledger.known_answers(spark, f"{folder}-none") is None
+    key = lambda *parts: spark.range(1).select(ledger.request_key(*(F.lit(p).cast("string") for p in parts))).first()[0]
+    assert key("a", None) != key("a", "") != key(None, "a") and key("a", "b") == key("a", "b")
+
+
 def test_gate(spark):
     candidates, _, _ = setup(spark, "ab")
     hashes = candidates.select("candidate_path", F.lit("h").alias("image_sha256"))
