@@ -21,6 +21,7 @@ from .flatten import is_positive, merge_parts, needs_retry
 
 Client = Callable[[str, str, str | None], str]  # request_path, text_context, image as data URL -> the model's answer
 ATTEMPT = "candidate_path string, request_path string, stage string, part int, raw string, error_type string, error_message string, status_code int, response_url string, response_text string"
+DEALT = 125  # requests, with their crops, of about one task
 SHOWN = 1200  # characters of an answer or a refusal that a failure keeps
 SPLIT_NOTE = "Asked in two halves, because the request for the whole crop failed."
 CACHE = "candidate_path string, paper_id string, page int, attempt_no long, extraction string"
@@ -152,11 +153,10 @@ def first_candidates(candidates: DataFrame, limit: int | None) -> DataFrame:
     return candidates if limit is None else candidates.orderBy("candidate_no").limit(limit)
 
 
-def split_requests(failed: DataFrame, pixels: DataFrame, longest: int = 1800) -> DataFrame:
-    """Requests for the halves of the large crops among the failed candidates (candidate_path, text_context)."""
-    parts = images.crop_parts(pixels.join(failed.select("candidate_path"), "candidate_path", "left_semi"))
-    sized = images.model_images(parts, longest).select("candidate_path", "part", "request_path", "data_url", F.lit("split").alias("stage"))
-    return sized.join(failed.select("candidate_path", "text_context"), "candidate_path")
+def split_requests(failed: DataFrame, longest: int = 1800) -> DataFrame:
+    """Requests for the halves of the large crops among the failed candidates (candidate_path, text_context and pixels)."""
+    sized = images.model_images(images.crop_parts(failed, "text_context"), longest)
+    return sized.select("candidate_path", "text_context", "part", "request_path", "data_url", F.lit("split").alias("stage"))
 
 
 def judged_parts(attempts: DataFrame) -> DataFrame:
@@ -211,10 +211,12 @@ def run_extraction(candidates: DataFrame, contexts: DataFrame, pixels: DataFrame
 
     candidates: candidate_no, candidate_path, paper_id, page; contexts: candidate_path, text_context,
     line_no; pixels: candidate_path, width_px, height_px, bgr. What must be asked is written once with its context and
-    crop, a folder for each wave of about wave requests, so a wave reads its own crops only; each wave's results are appended
-    to run_dir/extractions and its failures to run_dir/failures before the next begins. Within a wave every task keeps its
-    answers in run_dir/answers as they come, until the wave is appended; so a stopped run goes on with the candidate at
-    which it stopped. Without use_cache all three start empty. Repeated candidate paths are asked once.
+    crop, a folder for each wave, so a wave reads its own crops only; the first wave has wave requests, each further one twice
+    as many, so their number hardly grows. Each wave's results are appended to run_dir/extractions and its failures to
+    run_dir/failures before the next begins. Within a wave every task keeps its answers in run_dir/answers as they come, until
+    the wave is appended; so a stopped run goes on with the candidate at which it stopped. Without use_cache all three start
+    empty. Repeated candidate paths are asked once. Rows with pixels are dealt by number and joined by merging: blank areas
+    shrink so far in a shuffle that Spark would take such rows for a small table, gather them in few tasks or broadcast them.
     """
     spark = candidates.sparkSession
     chosen = first_candidates(candidates.dropDuplicates(["candidate_path"]), limit)
@@ -228,22 +230,24 @@ def run_extraction(candidates: DataFrame, contexts: DataFrame, pixels: DataFrame
     usable = usable_cache(cache).select("candidate_path")
     cached = chosen.join(usable, "candidate_path", "left_semi").count()
     todo = catalog.numbered(chosen.join(usable, "candidate_path", "left_anti"), ["candidate_no", "candidate_path"], "place")
-    crops = with_context(todo, contexts).join(pixels.select("candidate_path", "width_px", "height_px", "bgr"), "candidate_path", "left")
     work = f"{run_dir}/work/{uuid.uuid4().hex}"
-    cut = crops.withColumn("wave", F.expr(f"(place - 1) div {wave}")).repartition("wave", F.pmod(F.xxhash64("candidate_path"), F.lit(8)))
+    todo = _table(with_context(todo, contexts), f"{work}/asked")
+    n = todo.count()
+    blocks = -(-n // wave)
+    dealt = max(-(-n // DEALT), 1)
+    shots = pixels.select("candidate_path", "width_px", "height_px", "bgr").repartition(dealt, "candidate_path")
+    crops = todo.repartition(dealt, "candidate_path").join(shots.hint("merge"), "candidate_path", "left")
+    cut = crops.withColumn("wave", F.expr(f"length(bin((place - 1) div {wave} + 1)) - 1"))
+    cut = cut.repartition(dealt, "wave", F.pmod(F.xxhash64("candidate_path"), F.expr(f"least({dealt}, greatest(1, shiftleft({wave}L, wave) div {DEALT}))")))
     cut.write.partitionBy("wave").parquet(f"{work}/todo")
-    n = spark.read.schema("place BIGINT").parquet(f"{work}/todo").count()
-    for k in range(-(-n // wave)):
+    for k in range(blocks.bit_length()):
         kept_at = f"{run_dir}/answers/{uuid.uuid4().hex}"
         own = spark.read.schema(crops.schema).parquet(f"{work}/todo/wave={k}")
-        shots = own.select("candidate_path", "width_px", "height_px", "bgr")
-        sent = images.model_images(shots.filter(F.col("bgr").isNotNull()), longest).select("candidate_path", "data_url")
-        asked = own.drop("width_px", "height_px", "bgr")
-        full = _table(ask_model(asked.join(sent, "candidate_path", "left"), client, f"{kept_at}/full", known), f"{work}/full-{k}")
-        failed = asked.join(full.filter("error_type IS NOT NULL").select("candidate_path"), "candidate_path", "left_semi")
-        parts = _table(ask_model(split_requests(failed, shots, longest), client, f"{kept_at}/parts", known), f"{work}/parts-{k}")
+        full = _table(ask_model(images.model_images(own, longest), client, f"{kept_at}/full", known), f"{work}/full-{k}")
+        failed = own.join(full.filter("error_type IS NOT NULL").select("candidate_path"), "candidate_path", "left_semi")
+        parts = _table(ask_model(split_requests(failed, longest), client, f"{kept_at}/parts", known), f"{work}/parts-{k}")
         judged = judged_parts(parts)
-        rows = extractions_of(full, judged).join(asked.select("candidate_path", "paper_id", "page", "place"), "candidate_path")
+        rows = extractions_of(full, judged).join(own.select("candidate_path", "paper_id", "page", "place"), "candidate_path")
         full.filter("error_type IS NOT NULL").unionByName(judged.filter("error_type IS NOT NULL").drop("extraction")).write.mode("append").parquet(f"{run_dir}/failures")
         rows.select("candidate_path", "paper_id", "page", (F.col("place") + last).alias("attempt_no"), F.to_json("extraction").alias("extraction")).write.mode("append").parquet(f"{run_dir}/extractions")
         ledger.forget(spark, kept_at)

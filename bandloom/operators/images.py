@@ -100,12 +100,12 @@ def model_images(images: DataFrame, longest: int = 1800) -> DataFrame:
     return sized.mapInArrow(run, T.StructType([*sized.schema.fields, T.StructField("data_url", T.StringType())]))
 
 
-def crop_parts(images: DataFrame) -> DataFrame:
-    """candidate_path, part, request_path and the pixels (width_px, height_px, bgr) of the two halves of large images; none of others."""
+def crop_parts(images: DataFrame, *carried: str) -> DataFrame:
+    """candidate_path, carried columns, part, request_path and the pixels (width_px, height_px, bgr) of the two halves of large images; none of others."""
     box = F.inline(cand.split_boxes(F.col("width_px"), F.col("height_px")))
-    rows = images.select("candidate_path", "width_px", "height_px", "bgr", box)
+    rows = images.select("candidate_path", *carried, "width_px", "height_px", "bgr", box)
     begin, length = F.col("y1") * F.col("width_px") * 3, (F.col("y2") - F.col("y1")) * F.col("width_px") * 3  # whole lines, so bytes in a row
-    return rows.select("candidate_path", "part", part_path(F.col("candidate_path"), F.col("part")).alias("request_path"), F.col("x2").alias("width_px"), (F.col("y2") - F.col("y1")).alias("height_px"), F.substring("bgr", begin + 1, length).alias("bgr"))
+    return rows.select("candidate_path", *carried, "part", part_path(F.col("candidate_path"), F.col("part")).alias("request_path"), F.col("x2").alias("width_px"), (F.col("y2") - F.col("y1")).alias("height_px"), F.substring("bgr", begin + 1, length).alias("bgr"))
 
 
 def part_path(path: Column, part: Column) -> Column:

@@ -35,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(rows: DataFrame, each: int = 64) -> DataFrame:
+    """Rows that work or pixels grow out of, dealt evenly so that a task has about `each`: a table of one small file is one task."""
+    return rows.repartition(max(1, -(-rows.count() // each)))
+
+
 # Search over documents and parts: text is the target, source the sample, lang the condition.
 DOCS = search.Columns(paper="source", target="text", sample=("source", "lang"), condition=("text", "lang"), everywhere=("text", "source", "lang"))
 PARTS = search.Columns(paper="p_brand", target="p_name", sample=("p_name", "p_brand"), condition=("p_type", "p_name"), everywhere=("p_name", "p_brand", "p_type"))
@@ -677,7 +682,7 @@ def extraction_halves(spark, sf_dir):
     """Suppliers are candidates, every tenth with a large crop for which the model answers in halves only: yes, no, one missing, one bad."""
     key = F.col("s_suppkey")
     path = F.concat(F.lit("runs/r/panel_candidates/"), key.cast("string"), F.lit(".png")).alias("candidate_path")
-    rows, large = table(spark, sf_dir, "supplier"), key % 10 == 0
+    rows, large = _dealt(table(spark, sf_dir, "supplier").select("s_suppkey")), key % 10 == 0
     candidates = rows.select(key.alias("candidate_no"), path, F.lit("p").alias("paper_id"), F.lit(1).alias("page"))
     contexts = rows.select(path, key.cast("string").alias("text_context"), F.lit(1).alias("line_no"))
     shots = rows.select(path, F.when(large, 900).otherwise(2).alias("width_px"), F.when(large, 1200).otherwise(1).alias("height_px"), F.unhex(F.when(large, F.repeat(F.lit("808080"), 900 * 1200)).otherwise("000000ffffff")).alias("bgr"))
