@@ -736,7 +736,7 @@ def page_boxes(spark, sf_dir):
     block = F.concat(F.repeat(blank, top), F.repeat(F.concat(white(left), ink(F.lit(240)), white(460 - left)), F.lit(140)))
     speck = F.concat(F.repeat(blank, 320 - top - 140), F.repeat(F.concat(white(F.lit(600)), ink(F.lit(30)), white(F.lit(70))), F.lit(5)), F.repeat(blank, F.lit(75)))
     drawn = F.unhex(F.when(key % 3 != 0, F.concat(block, speck)).otherwise(F.repeat(blank, F.lit(400))))
-    pages = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("paper_id"), key.alias("page"), F.lit("see Figure 1").alias("text"), F.lit(700).alias("width_px"), F.lit(400).alias("height_px"), drawn.alias("bgr"))
+    pages = _dealt(table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey")).select(F.col("s_nationkey").cast("string").alias("paper_id"), key.alias("page"), F.lit("see Figure 1").alias("text"), F.lit(700).alias("width_px"), F.lit(400).alias("height_px"), drawn.alias("bgr"))
     found, good, contexts = ingest.preprocess(pages, Settings(min_candidate_score=0.01, min_model_score=0.01), work_dir=_scratch(spark))
     counts = ingest.preprocess_summary(pages, found, good, contexts)
     corners = [F.col(box)[k].alias(name) for box, names in (("tight_bbox_page", ("tight_x", "tight_y", "tight_right", "tight_bottom")), ("bbox_page", ("x1", "y1", "x2", "y2"))) for k, name in enumerate(names)]
