@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,11 +73,34 @@ def dedupe_prefix(chunks: Column, length: int = 250) -> Column:
     return firsts(chunks)
 
 
+def _first_until(clean: str, mentions: Iterable[re.Pattern], longest: int) -> list[str]:
+    """The windows of figure mentions, the first of each prefix, until together they are as long as asked."""
+    by_prefix: dict[str, str] = {}
+    size = 0
+    for mention in mentions:
+        for hit in mention.finditer(clean):
+            window = clean[max(0, hit.start() - 300) : hit.start() + 2500]
+            prefix = window[:250].lower()
+            if prefix not in by_prefix:
+                by_prefix[prefix] = window
+                size += len(window)
+                if size >= longest:
+                    return list(by_prefix.values())
+    return list(by_prefix.values())
+
+
+def _of_each(texts: pa.Array, of_one: Callable[[str], str]) -> pa.Array:
+    """of_one of every text; only a few dozen of a batch are Python objects at a time."""
+    step = 64
+    found = [pa.array([of_one(t.as_py()) for t in texts.slice(i, step)], pa.string()) for i in range(0, len(texts), step)]
+    return pa.concat_arrays(found) if found else pa.array([], pa.string())
+
+
 def snippets(text: Column, terms: Sequence[str] = SAMPLE_KEYWORDS, most: int = 16, reach: int = 350) -> Column:
     """Bulleted windows around the terms' hits: three times `most` hits in all, then one more for each later term that hits."""
 
-    @F.pandas_udf("string")
-    def joined(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def joined(texts: pa.Array) -> pa.Array:
         wanted = [re.compile(re.escape(term.lower())) for term in terms]
 
         def of_one(clean: str) -> str:
@@ -86,23 +110,22 @@ def snippets(text: Column, terms: Sequence[str] = SAMPLE_KEYWORDS, most: int = 1
                 windows += [clean[max(0, hit.start() - reach) : hit.end() + reach] for hit in islice(term.finditer(low), allowed)]
             return "\n\n".join(f"- {window}" for window in _first_of_each(windows, 250)[:most])
 
-        return texts.map(of_one)
+        return _of_each(texts, of_one)
 
     return joined(T.normalize_ws(text))
 
 
 def figure_context(text: Column, longest: int = 5000) -> Column:
-    """Windows from 300 before to 2,500 after each figure mention, by pattern, joined and cut."""
+    """Windows from 300 before to 2,500 after each figure mention, by pattern, joined and cut; those beyond the cut are not sought."""
 
-    @F.pandas_udf("string")
-    def joined(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def joined(texts: pa.Array) -> pa.Array:
         mentions = [re.compile(pattern, re.IGNORECASE) for pattern in FIGURE_PATTERNS]
 
         def of_one(clean: str) -> str:
-            starts = (hit.start() for mention in mentions for hit in mention.finditer(clean))
-            return "\n\n".join(_first_of_each((clean[max(0, at - 300) : at + 2500] for at in starts), 250))[:longest]
+            return "\n\n".join(_first_until(clean, mentions, longest))[:longest]
 
-        return texts.map(of_one)
+        return _of_each(texts, of_one)
 
     return joined(T.normalize_ws(text))
 

@@ -17,3 +17,28 @@ def test_halves_are_cut_from_the_failed_rows_without_a_join(spark):
     rows = asked.orderBy("request_path").collect()
     assert [(r.candidate_path[-6:], r.text_context, r.part, r.request_path[-14:], r.stage) for r in rows] == [(f"c{i}.png", str(i), k, f"c{i}_part_0{k}.png", "split") for i in (0, 1) for k in (1, 2)]
     assert all(r.data_url.startswith("data:image/png;base64,") for r in rows)
+
+
+def test_figure_windows_stop_at_the_cut():
+    """Windows beyond the cut are not gathered, however many mentions a text has."""
+    import re
+
+    from bandloom.operators import context
+
+    clean = " ".join(f"w{i} Figure {i}" for i in range(20_000))
+    mentions = [re.compile(p, re.IGNORECASE) for p in context.FIGURE_PATTERNS]
+    kept = context._first_until(clean, mentions, 5000)
+    every = context._first_of_each((clean[max(0, h.start() - 300) : h.start() + 2500] for m in mentions for h in m.finditer(clean)), 250)
+    assert len(kept) < 5 < len(every) and "\n\n".join(kept)[:5000] == "\n\n".join(every)[:5000]
+
+
+def test_bands_are_read_once(spark):
+    """No filter inferred from an explode reads the lists again, and no value is lowered or looked at in a lookup."""
+    from bandloom.operators import flatten
+
+    figures = spark.range(1).select(F.col("id").alias("figure_no"), F.lit("p").alias("paper_id"), F.lit("c.png").alias("candidate_path"), F.lit(1).alias("page"), F.parse_json(F.concat(F.lit('{"is_western_blot":true,"bands":[{"target":"x","band_state":" Present "}],"n":'), "id", F.lit("}"))).alias("extraction"))
+    rows = flatten.flatten_records(figures)
+    for shown in (rows, rows.groupBy("candidate_key").count()):
+        plan = shown._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Filter" in x and "$.bands" in x]
+    assert [(r.target, r.band_state) for r in rows.collect()] == [("x", "present")]
