@@ -38,8 +38,7 @@ def contains_phrase(column: Column, phrase: str) -> Column:
 
 
 def blot_type(target: Column, loading: Column) -> Column:
-    name = F.lower(strip(F.coalesce(target, F.lit(""))))
-    phospho = reduce(Column.__or__, [name.startswith(p) for p in ("p-", "phospho-", "phospho ")])
+    phospho = strip(F.coalesce(target, F.lit(""))).rlike(r"(?i)\A(p-|phospho[- ])")  # no lower(), which costs far more than the match
     return F.when(loading, "loading_control").when(phospho, "phospho_signaling").otherwise("total_protein")
 
 

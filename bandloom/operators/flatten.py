@@ -26,8 +26,7 @@ def is_positive(extraction: Column) -> Column:
 
 def panels_of(extraction: Column) -> Column:
     """The panels that are objects; without any list of panels the extraction itself is the one panel."""
-    listed = V.list_field(extraction, "panels")
-    return F.when(F.size(listed) > 0, V.objects(listed)).otherwise(F.array(extraction))
+    return V.once(V.list_field(extraction, "panels"), lambda listed: F.when(F.size(listed) > 0, V.objects(listed)).otherwise(F.array(extraction)))
 
 
 def _same_key(key: Column, wanted: Column) -> Column:
@@ -35,19 +34,27 @@ def _same_key(key: Column, wanted: Column) -> Column:
     return F.coalesce(F.when(wanted.isNull(), key["absent"]).otherwise(key["number"] == wanted.cast("double")), F.lit(False))
 
 
-def _key(raw: Column) -> Column:
-    return F.struct(V.kind(raw).isNull().alias("absent"), V.as_double(raw).alias("number"))
+def _key(raw: V.Read) -> Column:
+    return F.struct(raw.kind.isNull().alias("absent"), V.as_double(raw).alias("number"))
 
 
 def _lane(item: Column) -> Column:
-    return F.struct(_key(item["lane_index"]).alias("key"), V.text_or_null(item["condition"]).alias("condition"))
+    return F.struct(_key(V.read(item["lane_index"])).alias("key"), V.text_or_null(V.read(item["condition"])).alias("condition"))
 
 
 def _target(item: Column) -> Column:
-    name = item["target"]
+    name = V.read(item["target"])
     return F.struct(
-        _key(item["row_index"]).alias("key"), F.when(V.truthy(name), V.as_text(name)).alias("name"),
-        V.truthy(item["is_loading_control"]).alias("loading"), V.confidence(item["confidence"]).alias("confidence"),
+        _key(V.read(item["row_index"])).alias("key"), F.when(V.truthy(name), V.as_text(name)).alias("name"),
+        V.truthy(V.read(item["is_loading_control"])).alias("loading"), V.confidence(V.read(item["confidence"])).alias("confidence"),
+    )
+
+
+def _band(item: Column) -> Column:
+    name, trust = V.read(item["target"]), V.read(item["confidence"])
+    return F.struct(
+        V.positive_int(V.read(item["row_index"])).alias("row_index"), V.positive_int(V.read(item["lane_index"])).alias("lane_index"), F.when(V.truthy(name), V.as_text(name)).alias("named"),
+        _band_state(V.read(item["band_state"])).alias("band_state"), V.truthy(trust).alias("trusted"), V.confidence(trust).alias("confidence"),
     )
 
 
@@ -57,67 +64,93 @@ def flatten_records(figures: DataFrame, source_pdf: str | None = None) -> DataFr
     figures: paper_id, candidate_path, page, extraction VARIANT, and figure_no for order. Rows carry
     figure_no, panel_no and band_no. Lookups inside a panel take the last of equal keys; a band
     without target or with another state is dropped. A list that cannot be walked counts as empty
-    here; needs_retry() reports it. Each step names what the next one reads more than once, so no
-    value is taken from the VARIANT twice; nothing is shuffled.
+    here; needs_retry() reports it. Kind and text of each value are taken from the VARIANT once, and all that is
+    derived comes from these; lists are read before their bands become rows. Nothing is shuffled.
     """
     ext, panel, band = F.col("extraction"), F.col("panel"), F.col("band")
     base = figures.filter(is_positive(ext)).select("figure_no", "paper_id", F.coalesce("candidate_path", F.lit("")).alias("path"), F.col("page").cast("int").alias("page"), "extraction")
     panels = base.select("*", F.posexplode(panels_of(ext)).alias("panel_no", "panel"))
     inherited = ("figure_label", "organism", "treatment_context", *SAMPLE_KEYS)
     panels = panels.select(
-        "figure_no", "panel_no", "paper_id", "path", "page", V.field(panel, "panel_label").alias("panel_label"),
-        *[V.field(panel, k).alias(f"own_{k}") for k in inherited], *[V.field(ext, k).alias(f"root_{k}") for k in inherited],
-        V.records_field(panel, "lanes_left_to_right", ("lane_index", "condition")).alias("lanes"),
-        V.records_field(panel, "targets_top_to_bottom", ("row_index", "target", "is_loading_control", "confidence")).alias("targets"),
-        V.records_field(panel, "bands", BAND_KEYS).alias("bands"),
+        "figure_no", "panel_no", "paper_id", "path", "page", V.once(V.parts(panel, "$.panel_label"), lambda p: V.text_or_null(V.read(p))).alias("panel_label"),
+        *[V.once(V.parts(v, f"$.{k}"), _inheritable).alias(f"{w}_{k}") for w, v in (("own", panel), ("root", ext)) for k in inherited],
+        V.once(
+            F.struct(
+                F.transform(V.records_field(panel, "lanes_left_to_right", ("lane_index", "condition")), _lane).alias("lanes"),
+                F.transform(V.records_field(panel, "targets_top_to_bottom", ("row_index", "target", "is_loading_control", "confidence")), _target).alias("targets"),
+                F.transform(V.records_field(panel, "bands", BAND_KEYS), _band).alias("bands"),
+            ), _looked_up,
+        ).alias("bands"),
     )
-    panels = panels.withColumns({"lanes": F.transform("lanes", _lane), "targets": F.transform("targets", _target)})
-    panels = panels.withColumns({f"text_{w}_{k}": V.text_or_null(F.col(f"{w}_{k}")) for w in ("own", "root") for k in inherited})
     sample = None
     for k in SAMPLE_KEYS:
-        counts = F.when(F.col(f"text_own_{k}").isNotNull(), V.truthy(F.col(f"own_{k}"))).otherwise(V.truthy(F.col(f"root_{k}")))
-        value = F.coalesce(f"text_own_{k}", f"text_root_{k}")
+        own, root = F.col(f"own_{k}"), F.col(f"root_{k}")
+        counts = F.when(own["text"].isNotNull(), own["truthy"]).otherwise(root["truthy"])
+        value = F.coalesce(own["text"], root["text"])
         sample = F.when(counts, value) if sample is None else sample.when(counts, value)
     bands = panels.select(
-        "figure_no", "panel_no", "paper_id", "path", "page", "lanes", "targets", V.text_or_null(F.col("panel_label")).alias("panel_label"), sample.alias("sample"),
-        *[F.coalesce(f"text_own_{k}", f"text_root_{k}").alias(k) for k in inherited if k not in SAMPLE_KEYS],
-        F.posexplode("bands").alias("band_no", "band"),
+        "figure_no", "panel_no", "paper_id", "path", "page", "panel_label", sample.alias("sample"),
+        *[F.coalesce(F.col(f"own_{k}")["text"], F.col(f"root_{k}")["text"]).alias(k) for k in inherited if k not in SAMPLE_KEYS],
+        F.posexplode_outer("bands").alias("band_no", "band"),  # from a plain posexplode Spark infers a filter that reads all lists once more
     )
-    bands = bands.withColumns({f"band_{k}": band[k] for k in BAND_KEYS}).drop("band")
-    bands = bands.withColumns({"row_index": V.positive_int(F.col("band_row_index")), "lane_index": V.positive_int(F.col("band_lane_index")), "named": F.when(V.truthy(F.col("band_target")), V.as_text(F.col("band_target"))), "trusted": V.truthy(F.col("band_confidence"))})
-    bands = bands.withColumn("lane", V.last_item(F.filter("lanes", lambda x: _same_key(x["key"], F.col("lane_index")))))
-    by_row = V.last_item(F.filter("targets", lambda t: _same_key(t["key"], F.col("row_index"))))
-    by_name = V.last_item(F.filter("targets", lambda t: F.coalesce(t["name"] == F.col("named"), F.lit(False))))
-    bands = bands.withColumn("info", F.coalesce(by_row, by_name)).drop("lanes", "targets")
-    bands = bands.withColumns({"target": T.strip(F.coalesce("named", F.col("info.name"), F.lit(""))), "band_state": _band_state(F.col("band_band_state")), "is_loading_control": F.coalesce("info.loading", F.lit(False))})
-    return bands.filter((F.col("target") != "") & F.col("band_state").isin(*STATES)).select(
+    return bands.filter(band.isNotNull() & (band["target"] != "") & band["band_state"].isin(*STATES)).select(
         "figure_no", "panel_no", "band_no",
         F.coalesce(F.when(F.col("paper_id") != "", F.col("paper_id")), F.lit("unknown")).alias("paper_id"),
         T.candidate_key(F.col("path"), F.col("page")).alias("candidate_key"),
         F.lit(source_pdf).cast("string").alias("source_pdf"),
         F.when(F.col("path") != "", F.col("path")).alias("candidate_path"),
         F.greatest(F.lit(1), F.coalesce("page", F.lit(1))).alias("page"),
-        "figure_label", "panel_label", "row_index", "lane_index", "target", "is_loading_control",
-        T.blot_type(F.col("target"), F.col("is_loading_control")).alias("western_blot_type"),
-        "sample", "organism", "treatment_context", F.col("lane.condition").alias("condition"), "band_state",
-        F.when(F.col("trusted"), V.confidence(F.col("band_confidence"))).otherwise(F.col("info.confidence")).alias("confidence"),
+        "figure_label", "panel_label", band["row_index"].alias("row_index"), band["lane_index"].alias("lane_index"), band["target"].alias("target"), band["loading"].alias("is_loading_control"),
+        T.blot_type(band["target"], band["loading"]).alias("western_blot_type"),
+        "sample", "organism", "treatment_context", band["condition"].alias("condition"), band["band_state"].alias("band_state"), band["confidence"].alias("confidence"),
     )
 
 
-def _band_state(raw: Column) -> Column:
-    return F.lower(T.strip(F.coalesce(F.when(V.truthy(raw), V.as_text(raw)), F.lit("uncertain"))))
+def _looked_up(panel: Column) -> Column:
+    """The bands of a panel with what its lanes and targets say of them."""
+
+    def whole(band: Column, info: Column) -> Column:
+        lane = V.last_item(F.filter(panel["lanes"], lambda x: _same_key(x["key"], band["lane_index"])))
+        return F.struct(
+            band["row_index"].alias("row_index"), band["lane_index"].alias("lane_index"), T.strip(F.coalesce(band["named"], info["name"], F.lit(""))).alias("target"), band["band_state"].alias("band_state"),
+            F.coalesce(info["loading"], F.lit(False)).alias("loading"), F.when(band["trusted"], band["confidence"]).otherwise(info["confidence"]).alias("confidence"), lane["condition"].alias("condition"),
+        )
+
+    def info(band: Column) -> Column:
+        by_row = V.last_item(F.filter(panel["targets"], lambda t: _same_key(t["key"], band["row_index"])))
+        by_name = V.last_item(F.filter(panel["targets"], lambda t: F.coalesce(t["name"] == band["named"], F.lit(False))))
+        return F.coalesce(by_row, by_name)
+
+    return F.transform(panel["bands"], lambda band: V.once(info(band), lambda found: whole(band, found)))
+
+
+def _inheritable(given: Column) -> Column:
+    value = V.read(given)
+    return F.struct(V.text_or_null(value).alias("text"), V.truthy(value).alias("truthy"))
+
+
+def _band_state(raw: V.Read) -> Column:
+    """One of the states, otherwise null."""
+    stated = T.strip(F.coalesce(F.when(V.truthy(raw), V.as_text(raw)), F.lit("uncertain")))
+    return V.once(stated, lambda s: F.coalesce(*[F.when((s == state) | V.is_word(s, state), state) for state in STATES]))
 
 
 def _gives_rows(panels: Column) -> Column:
     """Whether a band of these panels becomes a row: it has a target, its own or its row's, and one of the states."""
+
+    def target(t: Column) -> Column:
+        name = V.read(t["target"])
+        return F.struct(_key(V.read(t["row_index"])).alias("key"), V.as_text(name).alias("name"), V.truthy(name).alias("named"))
+
+    def band(b: Column) -> Column:
+        name = V.read(b["target"])
+        return F.struct(V.positive_int(V.read(b["row_index"])).alias("row"), F.when(V.truthy(name), V.as_text(name)).alias("named"), _band_state(V.read(b["band_state"])).alias("state"))
+
     read = F.transform(
         panels,
         lambda p: F.struct(
-            F.transform(V.records_field(p, "targets_top_to_bottom", ("row_index", "target")), lambda t: F.struct(_key(t["row_index"]).alias("key"), V.as_text(t["target"]).alias("name"), V.truthy(t["target"]).alias("named"))).alias("targets"),
-            F.transform(
-                V.records_field(p, "bands", ("row_index", "target", "band_state")),
-                lambda b: F.struct(V.positive_int(b["row_index"]).alias("row"), F.when(V.truthy(b["target"]), V.as_text(b["target"])).alias("named"), _band_state(b["band_state"]).alias("state")),
-            ).alias("bands"),
+            F.transform(V.records_field(p, "targets_top_to_bottom", ("row_index", "target")), target).alias("targets"),
+            F.transform(V.records_field(p, "bands", ("row_index", "target", "band_state")), band).alias("bands"),
         ),
     )  # each value is taken from the VARIANT once
 
@@ -136,10 +169,10 @@ def needs_retry(results: DataFrame) -> DataFrame:
     flatten_records(), without a shuffle; a null extraction is to be asked again.
     """
     ext = F.col("extraction")
-    unwalkable = F.exists(panels_of(ext), lambda p: V.bad_list(p, LISTS[0]) | V.bad_list(p, LISTS[1]) | V.bad_list(p, LISTS[2]))
+    unwalkable = lambda p: V.bad_list(p, LISTS[0]) | V.bad_list(p, LISTS[1]) | V.bad_list(p, LISTS[2])
     flag = V.field(ext, "is_western_blot")
     sound = V.is_object(ext) & ~V.truthy(V.field(ext, "error")) & V.is_kind(flag, "BOOLEAN")
-    fruitless = F.when(is_positive(ext), unwalkable | ~_gives_rows(panels_of(ext)))
+    fruitless = F.when(is_positive(ext), V.once(panels_of(ext), lambda panels: F.exists(panels, unwalkable) | ~_gives_rows(panels)))
     return results.withColumn("needs_retry", ~F.coalesce(sound, F.lit(False)) | F.coalesce(fruitless, F.lit(False)))
 
 

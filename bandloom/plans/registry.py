@@ -182,11 +182,11 @@ def constraint_violations(spark, sf_dir):
 
 def _figures(spark, sf_dir):
     """Orders as figures with their lines as lanes and bands, and suppliers as targets; text JSON read as VARIANT."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_quantity", "l_discount").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_quantity", "l_discount").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey").distinct()  # one shuffle; a fixed number, since lines shrink so far that Spark would join tasks
     lane = F.struct(F.col("l_linenumber").alias("lane_index"), F.concat(F.lit(" "), F.col("l_quantity").cast("int").cast("string")).alias("condition"))
     target = F.struct((F.col("l_suppkey") % 5 + 1).alias("row_index"), F.concat(F.lit("p-"), (F.col("l_suppkey") % 5).cast("string")).alias("target"), ((F.col("l_suppkey") % 5) == 0).alias("is_loading_control"), F.lit("medium").alias("confidence"))
     band = F.struct((F.col("l_suppkey") % 5 + 1).cast("string").alias("row_index"), F.col("l_linenumber").alias("lane_index"), F.when(F.col("l_returnflag") == "R", "maybe").when(F.col("l_returnflag") == "A", " Absent ").otherwise("present").alias("band_state"), F.when(F.col("l_discount") > 0, F.col("l_discount") * 20).alias("confidence"))
-    grouped = lines.groupBy("l_orderkey").agg(*[F.array_sort(F.collect_list(x)).alias(n) for x, n in ((lane, "lanes_left_to_right"), (target, "targets_top_to_bottom"), (band, "bands"))])
+    grouped = lines.groupBy("l_orderkey").agg(*[F.sort_array(F.collect_list(x)).alias(n) for x, n in ((lane, "lanes_left_to_right"), (target, "targets_top_to_bottom"), (band, "bands"))])
     orders = table(spark, sf_dir, "orders").join(grouped, F.col("o_orderkey") == F.col("l_orderkey"))
     panel = F.struct(F.when(F.col("o_orderkey") % 2 == 0, F.lit("own")).otherwise("  ").alias("organism"), F.lit("A").alias("panel_label"), "lanes_left_to_right", "targets_top_to_bottom", "bands")
     ext = F.to_json(F.struct((F.col("o_orderstatus") != "P").alias("is_western_blot"), F.lit("Figure 1").alias("figure_label"), F.col("o_orderpriority").alias("organism"), F.col("o_orderstatus").alias("biological_sample"), F.array(panel).alias("panels")))
