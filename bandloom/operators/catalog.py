@@ -18,6 +18,7 @@ from . import grams, search
 IDENTITY = ("paper_id", "candidate_key", "panel_label", "row_index", "lane_index", "target")
 BUCKETS = 64  # of a new catalog
 STRETCH = 1 << 20  # ids whose papers are noted in one folder
+FILE_ROWS = 1 << 15  # of a part that one task writes, and whose trigrams one task finds
 KEPT_ON_UPDATE = ("id", "created_at", "page")
 SCHEMA = """id BIGINT, paper_id STRING, candidate_key STRING, source_pdf STRING, candidate_path STRING, page INT,
 figure_label STRING, panel_label STRING, row_index INT, lane_index INT, target STRING, is_loading_control BOOLEAN,
@@ -31,10 +32,10 @@ def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(Column.__and__, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def public_records(rows: DataFrame) -> DataFrame:
-    """The public columns, with a source_url only where it is a web address, and the DOI."""
+def public_records(rows: DataFrame, *more: str | Column) -> DataFrame:
+    """The public columns, with a source_url only where it is a web address, the DOI, and more columns of the rows."""
     url = T.public_url(F.col("source_url"))
-    return rows.select(*[url.alias(c) if c == "source_url" else c for c in PUBLIC], T.record_doi(F.col("paper_id"), url).alias("doi"))
+    return rows.select(*[url.alias(c) if c == "source_url" else c for c in PUBLIC], T.record_doi(F.col("paper_id"), url).alias("doi"), *more)
 
 
 def stale_rows(own: DataFrame, batch: DataFrame, identity: Sequence[str] = IDENTITY) -> DataFrame:
@@ -241,7 +242,7 @@ class Catalog:
             old = self._rows(seen, anew)
             old = old if replaced is None else old.join(replaced, same(old, replaced, ("paper_id", "source_id")), "left_anti")
             out = old if fresh is None else fresh.unionByName(old)
-        salts = max(1, -(-max(anew.values(), default=0) // self.bucket_rows))
+        salts = max(1, -(-max(anew.values(), default=0) // min(self.bucket_rows, FILE_ROWS)))
         dealt = out.withColumns({"seq": F.lit(seq).cast("long"), "bucket": self._bucket(folders | changes)})
         dealt = dealt.repartition("bucket", F.pmod(F.xxhash64(*IDENTITY), F.lit(salts)))  # a paper may be larger than a bucket
         dealt.write.partitionBy("bucket").option("maxRecordsPerFile", self.bucket_rows).parquet(f"{self.root}/{name}")

@@ -169,7 +169,7 @@ def page_context(records: DataFrame, pages: DataFrame) -> DataFrame:
     """
     wanted = records.filter(F.regexp_extract("figure_label", r"\d+", 0) != "").select("id", "run", "figure_label", F.explode(F.sequence(F.col("page") - 2, F.col("page") + 1)).alias("page"))
     bodies = pages.select("run", "page", "page_no", T.page_body(F.col("text")).alias("body")).filter("body <> ''")
-    texts = ordered_text(wanted.join(bodies, ["run", "page"]), ["id", "figure_label"], "page_no", F.col("body"), " ")
+    texts = ordered_text(wanted.hint("merge").join(bodies, ["run", "page"]), ["id", "figure_label"], "page_no", F.col("body"), " ")
     rows = texts.select("id", "figure_label", F.posexplode(T.sentences(F.col("full_text"))).alias("pos", "sentence"))
     groups = context_groups(rows.withColumn("hit", T.figure_reference(F.col("sentence"), F.col("figure_label"))), "id", F.col("hit"))
     return ordered_text(groups, ["id"], "paragraph_no", F.col("paragraph"), "\n\n").withColumnRenamed("full_text", "paper_context")

@@ -52,7 +52,8 @@ def record_detail(records: DataFrame, cache: DataFrame, pages: DataFrame) -> Dat
 
     records: catalog rows; cache: run, candidate_path, extraction VARIANT and line_no; pages: run, page, text
     and page_no. The last positive extraction under the crop's file name in its run counts. Without a
-    safe crop path there is no image, caption, context or warning. One row for each record.
+    safe crop path there is no image, caption, context or warning. One row for each record. Answers and pages that are alike
+    shrink so far in a file that Spark would take a whole run's for a small table and broadcast it: they are joined by merging.
     """
     path = F.col("candidate_path")
     name = F.regexp_extract("candidate_path", r"([^/]+)$", 1)
@@ -60,14 +61,13 @@ def record_detail(records: DataFrame, cache: DataFrame, pages: DataFrame) -> Dat
     ext = F.col("extraction")
     positive = extract.is_positive(ext)
     latest = cache.filter(positive).withColumn("file_name", name).groupBy("run", "file_name").agg(F.max_by(F.to_json("extraction"), "line_no").alias("latest"))
-    joined = known.join(latest, ["run", "file_name"], "left").withColumn("extraction", F.parse_json("latest"))
+    joined = known.join(latest.hint("merge"), ["run", "file_name"], "left").withColumn("extraction", F.parse_json("latest"))
     given = V.field(ext, "figure_caption")
     caption = F.when(given.isNull(), "").otherwise(shown_text(given))
     shown = joined.select("*", caption.alias("figure_caption"), F.transform(V.list_field(ext, "warnings"), shown_text).alias("warnings"))
     about = context.page_context(known.filter("run IS NOT NULL").select("id", "run", "page", "figure_label"), pages)
-    public = catalog.public_records(shown)
-    extra = shown.select("id", F.when(F.col("run").isNotNull(), F.format_string("/api/records/%d/image", F.col("id"))).alias("image_url"), "figure_caption", "warnings")
-    return public.join(extra, "id").join(about, "id", "left").withColumn("paper_context", F.coalesce("paper_context", F.lit("")))
+    image = F.when(F.col("run").isNotNull(), F.format_string("/api/records/%d/image", F.col("id"))).alias("image_url")
+    return catalog.public_records(shown, image, "figure_caption", "warnings").join(about, "id", "left").withColumn("paper_context", F.coalesce("paper_context", F.lit("")))
 
 
 def published_detail(records: DataFrame, data_dir: str) -> DataFrame:

@@ -21,7 +21,8 @@ from .flatten import is_positive, merge_parts, needs_retry
 
 Client = Callable[[str, str, str | None], str]  # request_path, text_context, image as data URL -> the model's answer
 ATTEMPT = "candidate_path string, request_path string, stage string, part int, raw string, error_type string, error_message string, status_code int, response_url string, response_text string"
-DEALT = 125  # requests, with their crops, of about one task
+DEALT = 125  # requests, with their crops, of about one task where crops are large
+MOST_DEALT, DEALT_BYTES, LEAST_TASKS = 4_000, 32 << 20, 64  # small crops: requests and pixels of a task, once there are so many tasks
 SHOWN = 1200  # characters of an answer or a refusal that a failure keeps
 SPLIT_NOTE = "Asked in two halves, because the request for the whole crop failed."
 CACHE = "candidate_path string, paper_id string, page int, attempt_no long, extraction string"
@@ -35,7 +36,7 @@ def run_fingerprint(config: dict) -> str:
 def with_context(candidates: DataFrame, contexts: DataFrame) -> DataFrame:
     """Candidates with their text context, empty where there is none; the last of equal paths counts."""
     last = contexts.groupBy("candidate_path").agg(F.max_by("text_context", "line_no").alias("text_context"))
-    return candidates.join(last, "candidate_path", "left").withColumn("text_context", F.coalesce("text_context", F.lit("")))
+    return candidates.join(last.hint("merge"), "candidate_path", "left").withColumn("text_context", F.coalesce("text_context", F.lit("")))
 
 
 def latest_by_key(rows: DataFrame, key: str, value: str, position: str) -> DataFrame:
@@ -189,7 +190,16 @@ def extractions_of(full: DataFrame, parts: DataFrame) -> DataFrame:
     return fine.unionByName(joined.select("candidate_path", F.parse_json(text).alias("extraction")))
 
 
-def _table(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+def dealt_tasks(n: int, pixel_bytes: int) -> int:
+    """Among how many tasks n requests with so many bytes of pixels are dealt: DEALT for each, more where crops are small.
+
+    Rows are dealt twice, so blocks of a shuffle grow with the square of this number.
+    """
+    return max(1, min(-(-n // DEALT), max(LEAST_TASKS, -(-n // MOST_DEALT), -(-pixel_bytes // DEALT_BYTES))))
+
+
+def stored(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+    """The rows written to path and read from there, so that what made them runs once."""
     df.write.mode(mode).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -217,13 +227,17 @@ def run_extraction(candidates: DataFrame, contexts: DataFrame, pixels: DataFrame
     the wave is appended; so a stopped run goes on with the candidate at which it stopped. Without use_cache all three start
     empty. Repeated candidate paths are asked once. Rows with pixels are dealt by number and joined by merging: blank areas
     shrink so far in a shuffle that Spark would take such rows for a small table, gather them in few tasks or broadcast them.
+    Their bytes are known from width_px and height_px, which are summed first. A wave without a failed request asks for no halves.
+    Answers, which shrink as far, are joined by merging too.
     """
     spark = candidates.sparkSession
     chosen = first_candidates(candidates.dropDuplicates(["candidate_path"]), limit)
     if not use_cache:
-        _table(spark.createDataFrame([], CACHE), f"{run_dir}/extractions")
-        _table(spark.createDataFrame([], ATTEMPT), f"{run_dir}/failures")
+        stored(spark.createDataFrame([], CACHE), f"{run_dir}/extractions")
+        stored(spark.createDataFrame([], ATTEMPT), f"{run_dir}/failures")
         ledger.forget(spark, f"{run_dir}/answers")
+    else:
+        stored(spark.createDataFrame([], ATTEMPT), f"{run_dir}/failures", "append")  # there even if nothing fails
     known = ledger.known_answers(spark, f"{run_dir}/answers")
     cache = read_run_cache(spark, run_dir)
     last = cache.agg(F.coalesce(F.max("line_no"), F.lit(0))).first()[0]
@@ -231,10 +245,11 @@ def run_extraction(candidates: DataFrame, contexts: DataFrame, pixels: DataFrame
     cached = chosen.join(usable, "candidate_path", "left_semi").count()
     todo = catalog.numbered(chosen.join(usable, "candidate_path", "left_anti"), ["candidate_no", "candidate_path"], "place")
     work = f"{run_dir}/work/{uuid.uuid4().hex}"
-    todo = _table(with_context(todo, contexts), f"{work}/asked")
+    todo = stored(with_context(todo, contexts), f"{work}/asked")
     n = todo.count()
     blocks = -(-n // wave)
-    dealt = max(-(-n // DEALT), 1)
+    pixel_bytes = pixels.agg(F.coalesce(F.sum(F.col("width_px").cast("long") * F.col("height_px") * 3), F.lit(0))).first()[0]
+    dealt = dealt_tasks(n, pixel_bytes)
     shots = pixels.select("candidate_path", "width_px", "height_px", "bgr").repartition(dealt, "candidate_path")
     crops = todo.repartition(dealt, "candidate_path").join(shots.hint("merge"), "candidate_path", "left")
     cut = crops.withColumn("wave", F.expr(f"length(bin((place - 1) div {wave} + 1)) - 1"))
@@ -243,18 +258,23 @@ def run_extraction(candidates: DataFrame, contexts: DataFrame, pixels: DataFrame
     for k in range(blocks.bit_length()):
         kept_at = f"{run_dir}/answers/{uuid.uuid4().hex}"
         own = spark.read.schema(crops.schema).parquet(f"{work}/todo/wave={k}")
-        full = _table(ask_model(images.model_images(own, longest), client, f"{kept_at}/full", known), f"{work}/full-{k}")
-        failed = own.join(full.filter("error_type IS NOT NULL").select("candidate_path"), "candidate_path", "left_semi")
-        parts = _table(ask_model(split_requests(failed, longest), client, f"{kept_at}/parts", known), f"{work}/parts-{k}")
-        judged = judged_parts(parts)
-        rows = extractions_of(full, judged).join(own.select("candidate_path", "paper_id", "page", "place"), "candidate_path")
-        full.filter("error_type IS NOT NULL").unionByName(judged.filter("error_type IS NOT NULL").drop("extraction")).write.mode("append").parquet(f"{run_dir}/failures")
+        full = stored(ask_model(images.model_images(own, longest), client, f"{kept_at}/full", known), f"{work}/full-{k}")
+        refused = full.filter("error_type IS NOT NULL")
+        if refused.isEmpty():
+            answers = full.select("candidate_path", read_answer(F.col("raw")).alias("extraction"))
+        else:
+            failed = own.join(refused.select("candidate_path"), "candidate_path", "left_semi")
+            parts = stored(ask_model(split_requests(failed, longest), client, f"{kept_at}/parts", known), f"{work}/parts-{k}")
+            judged = judged_parts(parts)
+            answers = extractions_of(full, judged)
+            refused.unionByName(judged.filter("error_type IS NOT NULL").drop("extraction")).write.mode("append").parquet(f"{run_dir}/failures")
+        rows = answers.hint("merge").join(own.select("candidate_path", "paper_id", "page", "place"), "candidate_path")
         rows.select("candidate_path", "paper_id", "page", (F.col("place") + last).alias("attempt_no"), F.to_json("extraction").alias("extraction")).write.mode("append").parquet(f"{run_dir}/extractions")
         ledger.forget(spark, kept_at)
     for folder in [work, *([f"{run_dir}/answers"] if limit is None else [])]:
         ledger.forget(spark, folder)
     latest = read_run_cache(spark, run_dir).groupBy("candidate_path").agg(F.max_by(F.struct("paper_id", "page", F.to_json("extraction").alias("extraction")), "line_no").alias("r"))
-    results = chosen.select("candidate_no", "candidate_path").join(latest, "candidate_path").select("candidate_no", "candidate_path", "r.paper_id", "r.page", F.parse_json("r.extraction").alias("extraction"))
+    results = chosen.select("candidate_no", "candidate_path").join(latest.hint("merge"), "candidate_path").select("candidate_no", "candidate_path", "r.paper_id", "r.page", F.parse_json("r.extraction").alias("extraction"))
     checked = needs_retry(results)
     counts = checked.agg(F.count("*").alias("results"), F.count_if(is_positive(F.col("extraction"))).alias("positive_results"), F.count_if("needs_retry").alias("failed_candidates"))
     summary = counts.select(F.lit(cached + n).alias("candidates"), "*", F.lit(cached).alias("cached"), F.lit(n).alias("queried"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import assets, files
 from . import candidates as cand
-from . import catalog, context, extract, flatten, images
+from . import catalog, context, extract, flatten, images, ledger
 from .settings import Settings
 
 FORMAT = 2  # of what a run folder holds; another number starts every run anew
@@ -70,11 +72,12 @@ def validated_records(candidates: DataFrame, results: DataFrame, paper_id: str,
     """The band rows of complete results; raises Incomplete or ValueError before anything is written.
 
     Results must match the candidates one to one, need no retry and name the paper; hashes has
-    candidate_path and image_sha256 of every crop that exists.
+    candidate_path and image_sha256 of every crop that exists. Results that bear needs_retry were judged before.
     """
+    judged = results if "needs_retry" in results.columns else flatten.needs_retry(results)
     if not extract.completeness_faults(results, candidates).isEmpty():
         raise Incomplete("results do not match the candidates")
-    if not flatten.needs_retry(results.select("candidate_path", "page", "paper_id", "extraction")).filter("needs_retry").isEmpty():
+    if not judged.filter("needs_retry").isEmpty():
         raise Incomplete("an extraction failed")
     if not extract.foreign_papers(results, paper_id).isEmpty():
         raise ValueError("a result belongs to another paper")
@@ -110,7 +113,7 @@ def at_published(rows: DataFrame, folder: str, source_name: str) -> DataFrame:
 def source_fingerprint(candidates: DataFrame, contexts: DataFrame, crops: DataFrame, client: extract.Client, settings: Settings, **given) -> str:
     """The fingerprint of all that shapes an answer: the source's bytes, boxes, contexts, options, model, prompt and schema.
 
-    Prompt and schema are what the client says of itself (its attribute identity); a client that says nothing is told from
+    crops has name, and content or the SHA-256 of it. Prompt and schema are what the client says of itself (its attribute identity); a client that says nothing is told from
     others by config alone.
     """
     boxes = [c for c in ("candidate_no", "candidate_path", "page", "bbox_page", "tight_bbox_page", "cv_score") if c in candidates.columns]
@@ -132,7 +135,8 @@ def ingest(
     files to publish (the crops by file name, and the source under source_name); pages has page and text, and lacks a
     single image's. The run folder is that of the paper and of source_fingerprint, so any change of the source or
     of what is asked starts anew. Nothing is published unless every candidate has a good extraction and no band comes
-    twice. Files are published before the records that name them.
+    twice. Files are published before the records that name them. Digests of the crops, judged results and band rows are each
+    written once, beside the run, and removed at the end: all checks and what is published read them from there.
     """
     files.admit_source(source_name, source_url, source_id)
     if not paper_id.strip():
@@ -141,20 +145,28 @@ def ingest(
     if candidates.isEmpty():
         raise Incomplete("no candidate was found")
     slug = spark.range(1).select(T.run_slug(F.lit(paper_id))).first()[0]
-    fingerprint = source_fingerprint(candidates, contexts, crops, client, settings, paper_id=paper_id, source_id=source_id, source_url=source_url, config=config)
-    run_dir = f"{settings.data_dir}/runs/{slug}/{fingerprint}"
-    results, summary = extract.run_extraction(candidates, contexts, pixels, client, run_dir, use_cache=use_cache, longest=settings.image_max_side)
-    path = F.regexp_extract("candidate_path", r"([^/]+)$", 1)
-    hashes = candidates.select("candidate_path", path.alias("name")).join(crops, "name").select("candidate_path", T.content_hash(F.col("content")).alias("image_sha256"))
-    rows = with_provenance(validated_records(candidates, results, paper_id, source_name, hashes), source_id, settings.model_version, source_url)
-    if not catalog.duplicate_identities(rows, BAND).isEmpty():
-        raise ValueError("a band comes twice; the catalog is kept")
-    if pages is None:
-        first = contexts.groupBy("candidate_path").agg(F.max_by("text_context", "line_no").alias("text"))
-        pages = candidates.join(first, "candidate_path", "left").groupBy("page").agg(F.min("text").alias("text"))
-    numbered = pages.select(F.col("page").cast("int").alias("page"), F.col("page").cast("int").alias("page_no"), "text")
-    store.initialize()
-    folder = publish_assets(crops, source_name, run_dir, numbered, results)
-    relative = f"runs/{slug}/{fingerprint}/{folder}"
-    n = store.replace(at_published(rows, relative, source_name), paper_id, source_id)
+    work = f"{settings.data_dir}/runs/{slug}/work-{uuid.uuid4().hex}"
+    try:
+        digests = extract.stored(crops.select("name", T.content_hash(F.col("content")).alias("content")), f"{work}/digests")
+        fingerprint = source_fingerprint(candidates, contexts, digests, client, settings, paper_id=paper_id, source_id=source_id, source_url=source_url, config=config)
+        run_dir = f"{settings.data_dir}/runs/{slug}/{fingerprint}"
+        results, summary = extract.run_extraction(candidates, contexts, pixels, client, run_dir, use_cache=use_cache, longest=settings.image_max_side)
+        judged = flatten.needs_retry(results).withColumn("extraction", F.to_json("extraction"))
+        results = extract.stored(judged, f"{work}/results").withColumn("extraction", F.parse_json("extraction"))
+        path = F.regexp_extract("candidate_path", r"([^/]+)$", 1)
+        hashes = candidates.select("candidate_path", path.alias("name")).join(digests, "name").select("candidate_path", F.col("content").alias("image_sha256"))
+        rows = with_provenance(validated_records(candidates, results, paper_id, source_name, hashes), source_id, settings.model_version, source_url)
+        rows = extract.stored(rows, f"{work}/rows")
+        if not catalog.duplicate_identities(rows, BAND).isEmpty():
+            raise ValueError("a band comes twice; the catalog is kept")
+        if pages is None:
+            first = contexts.groupBy("candidate_path").agg(F.max_by("text_context", "line_no").alias("text"))
+            pages = candidates.join(first, "candidate_path", "left").groupBy("page").agg(F.min("text").alias("text"))
+        numbered = pages.select(F.col("page").cast("int").alias("page"), F.col("page").cast("int").alias("page_no"), "text")
+        store.initialize()
+        folder = publish_assets(crops, source_name, run_dir, numbered, results)
+        relative = f"runs/{slug}/{fingerprint}/{folder}"
+        n = store.replace(at_published(rows, relative, source_name), paper_id, source_id)
+    finally:
+        ledger.forget(spark, work)
     return {"paper_id": paper_id, "source_id": source_id, "source_url": source_url, "model_version": settings.model_version, "run_dir": run_dir, "published": relative, "database_rows": n, **summary.first().asDict()}

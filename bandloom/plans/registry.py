@@ -15,7 +15,7 @@ from ..functions import values as V
 from ..operators import candidates as cand
 from ..operators import catalog, context, detail, extract, flatten, images, ingest, search
 from ..operators.settings import Settings
-from ..sources import files
+from ..sources import assets, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -40,6 +40,20 @@ def _dealt(rows: DataFrame, each: int = 64) -> DataFrame:
     return rows.repartition(max(1, -(-rows.count() // each)))
 
 
+def _by_ranges(rows: DataFrame, key: str, at: str, each: int = 4_000) -> DataFrame:
+    """Rows with the number of their range of key, written once, a file for each range of about `each` rows; equal keys share a range."""
+    ranged = rows.repartitionByRange(max(1, -(-rows.count() // each)), key)
+    return extract.stored(ranged.withColumn("range", F.spark_partition_id()), at)
+
+
+def _ranked(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows of _by_ranges with the dense rank of their key: counted within each range, after the ranges before it."""
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    offsets = rows.groupBy("range").agg(F.count_distinct(F.struct(key)).alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.dense_rank().over(Window.partitionBy("range").orderBy(key))
+    return rows.join(F.broadcast(offsets), "range").withColumn(name, (own + F.col("before")).cast("int")).drop("range", "before")
+
+
 # Search over documents and parts: text is the target, source the sample, lang the condition.
 DOCS = search.Columns(paper="source", target="text", sample=("source", "lang"), condition=("text", "lang"), everywhere=("text", "source", "lang"))
 PARTS = search.Columns(paper="p_brand", target="p_name", sample=("p_name", "p_brand"), condition=("p_type", "p_name"), everywhere=("p_name", "p_brand", "p_type"))
@@ -588,23 +602,24 @@ FROM documents WHERE source IS NOT NULL""")
 def ingested_evidence(spark, sf_dir):
     """Documents are the crops of one paper: ingested, then every record, its published file, caption and figure sentences read back."""
     i = F.col("doc_id").cast("string")
-    docs = table(spark, sf_dir, "documents").filter("source IS NOT NULL").withColumn("place", F.dense_rank().over(Window.orderBy("doc_id")))
+    root = _scratch(spark)
+    whole = _by_ranges(table(spark, sf_dir, "documents").filter("source IS NOT NULL").select("doc_id", "source", "text"), "doc_id", f"{root}/documents")
+    docs = extract.stored(_ranked(whole.select("doc_id", "source", "range"), "doc_id", "place"), f"{root}/places")
     path = F.concat(F.lit("runs/r/panel_candidates/"), i, F.lit(".png")).alias("candidate_path")
     candidates = docs.select(F.col("doc_id").alias("candidate_no"), path, F.lit("p").alias("paper_id"), F.col("place").alias("page"))
     contexts = docs.select(path, i.alias("text_context"), F.lit(1).alias("line_no"))
     dots = docs.select(path, F.lit(2).alias("width_px"), F.lit(1).alias("height_px"), F.unhex(F.lit("000000ffffff")).alias("bgr"))
-    crops = docs.select(F.concat(i, F.lit(".png")).alias("name"), F.col("text").cast("binary").alias("content"))
+    crops = whole.select(F.concat(i, F.lit(".png")).alias("name"), F.col("text").cast("binary").alias("content"))
     about = F.concat(F.lit("Before "), i, F.lit(" it began. Figure "), i, F.lit(" shows the source "), "source", F.lit(". After "), i, F.lit(" it ended."))
 
     def model(_: str, number: str, __: str | None) -> str:
         return f'{{"is_western_blot": true, "figure_label": "Figure {number}", "figure_caption": "caption {number}", "bands": [{{"target": "t{number}", "band_state": "present"}}]}}'
 
-    root = _scratch(spark)
     store, settings = catalog.Catalog(spark, f"{root}/catalog"), Settings(data_dir=f"{root}/data")
     out = ingest.ingest(store, model, candidates, contexts, dots, crops, "paper.pdf", "p", settings, pages=docs.select(F.col("place").alias("page"), about.alias("text")))
     shown = detail.published_detail(store.rows(), settings.data_dir)
-    files = spark.read.format("binaryFile").load(f"{settings.data_dir}/{out['published']}/panel_candidates")
-    files = files.select(F.regexp_extract("path", r"([^/]+)\.png$", 1).cast("long").alias("doc_id"), F.sha2("content", 256).alias("file_sha256"))
+    files = assets.read_files(_dealt(store.rows().select(F.col("candidate_path").alias("name")).distinct(), 4_000), settings.data_dir)
+    files = files.select(F.regexp_extract("name", r"([^/]+)\.png$", 1).cast("long").alias("doc_id"), F.sha2("content", 256).alias("file_sha256"))
     rows = shown.select(F.substring("target", 2, 20).cast("long").alias("doc_id"), "target", F.col("image_url").isNotNull().alias("has_image"), "image_sha256", "figure_caption", "paper_context")
     return rows.join(files, "doc_id", "left")
 

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+READ_BYTES = 8 << 20  # of files that a task holds at a time
+
+
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path there."""
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
@@ -36,12 +39,16 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, inside = file_system(folder)
+        made: set[str] = set()
         for batch in batches:
             sizes = []
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
                 at, body = f"{inside}/{name}", content.as_py() or b""
-                system.create_dir(at.rsplit("/", 1)[0], recursive=True)
-                part = f"{at.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+                inner = at.rsplit("/", 1)[0]
+                if inner not in made:
+                    system.create_dir(inner, recursive=True)
+                    made.add(inner)
+                part = f"{inner}/.{uuid.uuid4().hex}"
                 with system.open_output_stream(part) as out:
                     out.write(body)
                 system.move(part, at)
@@ -51,6 +58,38 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
     return files.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(write, "name string, n_bytes long")
 
 
+def read_files(names: DataFrame, folder: str) -> DataFrame:
+    """name and content of the files named (by name, beneath folder), read by the tasks that hold the names; none where there is no file.
+
+    Spark's binaryFile source lists a folder on the driver and opens a few files a task: for many small files that is a task
+    for every few of them. Here a task opens as many as it has names.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inside = file_system(folder)
+        for batch in batches:
+            found, size = [], 0
+            for name in batch.column("name").to_pylist():
+                try:
+                    with system.open_input_stream(f"{inside}/{name}") as stream:
+                        found.append((name, stream.read()))
+                except FileNotFoundError:
+                    continue
+                size += len(found[-1][1])
+                if size >= READ_BYTES:
+                    yield _named(found)
+                    found, size = [], 0
+            if found:
+                yield _named(found)
+
+    return names.filter(is_plain_name(F.col("name"))).select("name").mapInArrow(read, "name string, content binary")
+
+
+def _named(found: list[tuple[str, bytes]]) -> pa.RecordBatch:
+    names, contents = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["name", "content"])
+
+
 def publish_folder(files: DataFrame, tables: dict[str, DataFrame], parent: str) -> str:
     """Files and tables (Parquet) in a fresh folder beneath parent that nothing writes again; returns its name.
 

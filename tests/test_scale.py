@@ -42,3 +42,80 @@ def test_bands_are_read_once(spark):
         plan = shown._jdf.queryExecution().optimizedPlan().toString()
         assert not [x for x in plan.splitlines() if "Filter" in x and "$.bands" in x]
     assert [(r.target, r.band_state) for r in rows.collect()] == [("x", "present")]
+
+
+def test_small_crops_make_few_tasks():
+    """Requests are dealt twice, so the blocks of the shuffle grow with the square of the tasks: 500,000 dots are no 4,000 tasks, large crops still are."""
+    assert [extract.dealt_tasks(n, 6 * n) for n in (0, 1, 1000, 10_000, 500_000)] == [1, 1, 8, 64, 125]
+    assert extract.dealt_tasks(500_000, 500_000 * 3_000_000) == 4_000 and extract.dealt_tasks(6_000, 600 * 900 * 1200 * 3) == 48
+
+
+def test_ranks_are_counted_by_ranges(spark, tmp_path):
+    """Dense ranks over many ranges, repeated keys included, without a window over all rows."""
+    from bandloom.plans import registry
+
+    keys = [k * 7 % 101 for k in range(300)] + [None]
+    ranked = registry._ranked(registry._by_ranges(spark.createDataFrame([(k,) for k in keys], "k int"), "k", str(tmp_path / "t"), each=20), "k", "place")
+    order = {k: i + 1 for i, k in enumerate(sorted(set(keys), key=lambda k: (k is not None, k)))}
+    rows = ranked.collect()
+    assert sorted((r.k is not None, r.k, r.place) for r in rows) == sorted((k is not None, k, order[k]) for k in keys)
+    assert len(list((tmp_path / "t").glob("*.parquet"))) > 5
+    windows = [x for x in plan_of(ranked).splitlines() if "dense_rank" in x and "Window" in x]
+    assert windows and all("range" in x.split("windowspecdefinition", 1)[1].split("ASC", 1)[0] for x in windows)
+
+
+def test_named_files_are_read_by_tasks(spark, tmp_path):
+    from bandloom.sources import assets
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a é.png").write_bytes(b"1" * 10)
+    (tmp_path / "in" / "b").write_bytes(b"")
+    (tmp_path / "out").write_bytes(b"secret")
+    names = spark.createDataFrame([("a é.png",), ("b",), ("gone",), ("../out",), (None,)], "name string")
+    assert {r.name: bytes(r.content) for r in assets.read_files(names, str(tmp_path / "in")).collect()} == {"a é.png": b"1" * 10, "b": b""}
+
+
+def test_an_ingestion_reads_its_crops_twice_and_asks_for_no_halves(spark, tmp_path, monkeypatch):
+    """Crops are worked out for their digests and for publishing, not again for each check; without a failed request no halves are sought."""
+    from bandloom.operators import catalog, ingest
+    from bandloom.operators.settings import Settings
+
+    log = tmp_path / "log"
+    log.mkdir()
+
+    @F.udf("binary")
+    def content(name):
+        import uuid
+
+        (log / f"{name}-{uuid.uuid4().hex}").touch()
+        return name.encode()
+
+    monkeypatch.setattr(extract, "split_requests", lambda *_: 1 / 0)
+    path = F.format_string("runs/r/panel_candidates/%d.png", F.col("id"))
+    ids = spark.range(3)
+    candidates = ids.select(F.col("id").alias("candidate_no"), path.alias("candidate_path"), F.lit("p").alias("paper_id"), (F.col("id") + 1).cast("int").alias("page"))
+    contexts = candidates.select("candidate_path", F.lit("c").alias("text_context"), F.lit(1).alias("line_no"))
+    dots = candidates.select("candidate_path", F.lit(1).alias("width_px"), F.lit(1).alias("height_px"), F.unhex(F.lit("000000")).alias("bgr"))
+    crops = ids.select(F.format_string("%d.png", F.col("id")).alias("name")).withColumn("content", content("name"))
+    settings = Settings(data_dir=str(tmp_path / "data"))
+    store = catalog.Catalog(spark, str(tmp_path / "catalog"))
+    out = ingest.ingest(store, lambda *_: '{"is_western_blot": true, "bands": [{"target": "x"}]}', candidates, contexts, dots, crops, "s.pdf", "p", settings)
+    assert out["database_rows"] == 3 and out["positive_results"] == 3
+    assert len(list(log.iterdir())) == 2 * 3
+    assert [p.name for p in (tmp_path / "data" / "runs" / "p").iterdir()] == [out["run_dir"].rsplit("/", 1)[1]]
+    assert spark.read.schema(extract.ATTEMPT).parquet(f"{out['run_dir']}/failures").count() == 0
+
+
+def test_details_broadcast_no_answers_and_no_pages(spark):
+    """Alike answers shrink to almost nothing in a file; a broadcast would open a whole run's on the driver. Records are read without a join with themselves."""
+    from bandloom.operators import catalog, detail
+
+    given = spark.createDataFrame([(1, "p", "runs/r/panel_candidates/a.png", 1, "Figure 1")], "id long, paper_id string, candidate_path string, page int, figure_label string")
+    records = spark.createDataFrame([], catalog.SCHEMA).unionByName(given, allowMissingColumns=True)
+    cache = spark.createDataFrame([("runs/r", "a.png", 1, '{"is_western_blot": true, "figure_caption": "cap"}')], "run string, candidate_path string, line_no long, j string")
+    pages = spark.createDataFrame([("runs/r", 1, 1, "It begins. Figure 1 shows it.")], "run string, page int, page_no int, text string")
+    out = detail.record_detail(records, cache.select("run", "candidate_path", "line_no", F.parse_json("j").alias("extraction")), pages)
+    plan = plan_of(out)
+    assert plan.count("SortMergeJoin [run") == 2 and "BroadcastHashJoin [run" not in plan and plan.count("Join [id") == 1
+    row = out.first()
+    assert (row.figure_caption, row.paper_context, row.image_url) == ("cap", "It begins. Figure 1 shows it.", "/api/records/1/image")
