@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +16,20 @@ from ..functions import pixels
 from . import candidates as cand
 
 MEASURES = ("saturation", "dark", "horizontal", "row_ratio", "col_ratio")
+ARROW_BYTES, PAGE_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "1m"
+
+
+@contextmanager
+def _few_pages(spark: SparkSession) -> Iterator[None]:
+    """Within it a batch holds a page or two: large buffers, grown and copied, took longer than the pages' pixels. A bound that the session has set stays."""
+    unset = spark.conf.get(ARROW_BYTES, None) is None
+    if unset:
+        spark.conf.set(ARROW_BYTES, PAGE_BYTES)
+    try:
+        yield
+    finally:
+        if unset:
+            spark.conf.unset(ARROW_BYTES)
 
 
 def _array(data: bytes, width: int, height: int) -> np.ndarray:
@@ -59,11 +74,14 @@ def page_candidates(pages: DataFrame, min_score: float = 0.35, at: str | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for paper, page, width, height, data in zip(*(batch.column(c).to_pylist() for c in ("paper_id", "page", "width_px", "height_px", "bgr")), strict=True):
-                rows, image = [], _array(data, width, height) if data else None
-                for seq, (x, y, w, h) in enumerate(pixels.ink_boxes(image) if image is not None else []):
+                if not data:
+                    continue
+                rows, image = [], _array(data, width, height)
+                luma = pixels.gray(image)
+                for seq, (x, y, w, h) in enumerate(pixels.ink_boxes(image, luma=luma)):
                     if w * h >= cand.LEAST_AREA and not (w > cand.WHOLE_PAGE * width and h > cand.WHOLE_PAGE * height):  # spares the measures of others
                         x1, y1, x2, y2 = max(0, x - 240), max(0, y - 60), min(width, x + w + 20), min(height, y + h + 20)
-                        rows.append((paper, page, seq, x, y, w, h, width, height, *pixels.features(image[y : y + h, x : x + w]), pixels.png(image[y1:y2, x1:x2])))
+                        rows.append((paper, page, seq, x, y, w, h, width, height, *pixels.features(image[y : y + h, x : x + w], luma[y : y + h, x : x + w]), pixels.png(image[y1:y2, x1:x2])))
                 if rows:  # a page at a time: crops are large
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -72,7 +90,8 @@ def page_candidates(pages: DataFrame, min_score: float = 0.35, at: str | None =
     score = cand.candidate_score(w, h, *(F.col(c) for c in MEASURES))
     kept = found.filter(cand.passes_geometry(w, h, page_w, page_h)).withColumn("cv_score", score).filter(F.col("cv_score") >= min_score)
     if at:
-        kept.write.mode("overwrite").parquet(at)
+        with _few_pages(pages.sparkSession):
+            kept.write.mode("overwrite").parquet(at)
         kept = pages.sparkSession.read.schema(kept.schema).parquet(at)
     number = F.row_number().over(Window.partitionBy("paper_id").orderBy("page", "seq")) - 1
     path = F.format_string("panel_candidates/page_%03d_cand_%04d.png", F.col("page"), F.col("candidate_no"))

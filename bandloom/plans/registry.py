@@ -35,9 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _dealt(rows: DataFrame, each: int = 64) -> DataFrame:
-    """Rows that work or pixels grow out of, dealt evenly so that a task has about `each`: a table of one small file is one task."""
-    return rows.repartition(max(1, -(-rows.count() // each)))
+def _dealt(rows: DataFrame, each: int = 64, most: int = 64) -> DataFrame:
+    """Rows that work or pixels grow out of, dealt evenly so that a task has about `each`: a table of one small file is one task.
+
+    Of many rows a task gets up to `most`, as long as that leaves extract.LEAST_TASKS of them.
+    """
+    n = rows.count()
+    return rows.repartition(max(1, min(-(-n // each), max(extract.LEAST_TASKS, -(-n // most)))))
 
 
 def _by_ranges(rows: DataFrame, key: str, at: str, each: int = 4_000) -> DataFrame:
@@ -745,13 +749,13 @@ def page_boxes(spark, sf_dir):
     """Suppliers are pages of their nation's paper: a third blank, the others with one block of ink, and a speck too small to count."""
     key = F.col("s_suppkey").cast("int")
     left, top = 50 + 10 * (key % 7), 40 + 10 * (key % 5)
-    white = lambda n: F.repeat(F.lit("ffffff"), n)
-    ink = lambda n: F.repeat(F.lit("787878"), n)
+    white = lambda n: F.repeat(F.unhex(F.lit("ffffff")).cast("string"), n)  # noqa: E731  bytes of pixels, which only a string repeats
+    ink = lambda n: F.repeat(F.unhex(F.lit("787878")).cast("string"), n)
     blank = white(F.lit(700))
     block = F.concat(F.repeat(blank, top), F.repeat(F.concat(white(left), ink(F.lit(240)), white(460 - left)), F.lit(140)))
     speck = F.concat(F.repeat(blank, 320 - top - 140), F.repeat(F.concat(white(F.lit(600)), ink(F.lit(30)), white(F.lit(70))), F.lit(5)), F.repeat(blank, F.lit(75)))
-    drawn = F.unhex(F.when(key % 3 != 0, F.concat(block, speck)).otherwise(F.repeat(blank, F.lit(400))))
-    pages = _dealt(table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey")).select(F.col("s_nationkey").cast("string").alias("paper_id"), key.alias("page"), F.lit("see Figure 1").alias("text"), F.lit(700).alias("width_px"), F.lit(400).alias("height_px"), drawn.alias("bgr"))
+    drawn = F.when(key % 3 != 0, F.concat(block, speck)).otherwise(F.repeat(blank, F.lit(400))).cast("binary")
+    pages = _dealt(table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey"), most=512).select(F.col("s_nationkey").cast("string").alias("paper_id"), key.alias("page"), F.lit("see Figure 1").alias("text"), F.lit(700).alias("width_px"), F.lit(400).alias("height_px"), drawn.alias("bgr"))
     found, good, contexts = ingest.preprocess(pages, Settings(min_candidate_score=0.01, min_model_score=0.01), work_dir=_scratch(spark))
     counts = ingest.preprocess_summary(pages, found, good, contexts)
     corners = [F.col(box)[k].alias(name) for box, names in (("tight_bbox_page", ("tight_x", "tight_y", "tight_right", "tight_bottom")), ("bbox_page", ("x1", "y1", "x2", "y2"))) for k, name in enumerate(names)]

@@ -119,3 +119,100 @@ def test_details_broadcast_no_answers_and_no_pages(spark):
     assert plan.count("SortMergeJoin [run") == 2 and "BroadcastHashJoin [run" not in plan and plan.count("Join [id") == 1
     row = out.first()
     assert (row.figure_caption, row.paper_context, row.image_url) == ("cap", "It begins. Figure 1 shows it.", "/api/records/1/image")
+
+
+def page_of_dots(height=300, width=300):
+    import numpy as np
+
+    mask = np.random.default_rng(3).random((height, width)) < 0.4
+    return np.where(mask[..., None], 120, 255).astype(np.uint8).repeat(3, -1)
+
+
+def test_boxes_are_sought_without_a_step_for_each_run():
+    """A page's runs of ink, tens of thousands where it is grainy, are joined all at once: the calls made do not grow with them."""
+    import sys
+
+    from bandloom.functions import pixels
+
+    mask, calls = page_of_dots()[..., 0] < 245, [0]
+
+    def count(*_):
+        calls[0] += 1
+
+    sys.setprofile(count)
+    try:
+        boxes = pixels.outer_boxes(mask)
+    finally:
+        sys.setprofile(None)
+    assert len(pixels.label_runs(mask, True)[0]) > 10_000 and len(boxes) > 100
+    assert calls[0] < 2_000
+
+
+def test_boxes_take_a_few_bytes_a_pixel():
+    """A large page's windows are no 64-bit sums over the whole page."""
+    import tracemalloc
+
+    import numpy as np
+
+    from bandloom.functions import pixels
+
+    page = np.full((1500, 2000, 3), 255, np.uint8)
+    page[300:700, 400:1000] = 120
+    tracemalloc.start()
+    try:
+        assert pixels.ink_boxes(page) == [(378, 278, 644, 444)]
+        assert tracemalloc.get_traced_memory()[1] < 8 * 1500 * 2000
+    finally:
+        tracemalloc.stop()
+
+
+def test_boxes_are_those_of_a_closed_and_grown_page():
+    """The reference closes gaps, then grows; so do plain windows here, blank, grainy and striped pages included."""
+    import numpy as np
+
+    from bandloom.functions import pixels
+
+    def window(mask, side, whole):
+        part = np.lib.stride_tricks.sliding_window_view(np.pad(mask, side // 2, constant_values=whole), (side, side))
+        return part.all((2, 3)) if whole else part.any((2, 3))
+
+    rng = np.random.default_rng(9)
+    for share in (0.0, 0.002, 0.01, 0.05, 1.0):
+        ink = np.repeat(rng.random((20, 50)) < share, 3, 0)
+        page = np.where(ink[..., None], (30, 200, 90), 255).astype(np.uint8)
+        for side in (3, 7):
+            grown = window(window(window(ink, side, False), side, True), side, False)
+            assert pixels.ink_boxes(page, side) == pixels.outer_boxes(grown)
+            assert (pixels.dilate(ink, side, side) == window(ink, side, False)).all() and (pixels.erode(ink, side, side) == window(ink, side, True)).all()
+
+
+def test_many_rows_are_dealt_to_fewer_tasks(spark):
+    """A few rows go to as many tasks as before, many to larger tasks, so that tasks do not outgrow their work."""
+    from bandloom.plans import registry
+
+    tasks = [registry._dealt(spark.range(n), each=2, most=20).rdd.getNumPartitions() for n in (0, 1, 40, 200, 4_000)]
+    assert tasks == [1, 1, 20, extract.LEAST_TASKS, 200] and registry._dealt(spark.range(400), each=2, most=2).rdd.getNumPartitions() == 200
+
+
+def test_pages_go_to_python_a_few_at_a_time(spark, monkeypatch, tmp_path):
+    """While boxes are written a batch holds a page or two, not 64 MB of them; the session's own bound stays and comes back."""
+    from bandloom.operators import images
+
+    seen = []
+
+    class Watched(type(spark.range(1).write)):
+        def parquet(self, *args, **kwargs):
+            seen.append(spark.conf.get(images.ARROW_BYTES, None))
+            return super().parquet(*args, **kwargs)
+
+    monkeypatch.setattr(type(spark.range(1)), "write", property(lambda df: Watched(df)))
+    pages = spark.range(2).select(F.lit("p").alias("paper_id"), F.col("id").cast("int").alias("page"), F.lit(1).alias("width_px"), F.lit(1).alias("height_px"), F.unhex(F.lit("ffffff")).alias("bgr"))
+    had = spark.conf.get(images.ARROW_BYTES, None)
+    try:
+        for given in (None, "3m"):
+            spark.conf.unset(images.ARROW_BYTES) if given is None else spark.conf.set(images.ARROW_BYTES, given)
+            assert images.page_candidates(pages, at=str(tmp_path / f"at-{given}")).count() == 0
+            assert spark.conf.get(images.ARROW_BYTES, None) == given
+        assert seen == [images.PAGE_BYTES, "3m"]
+    finally:
+        spark.conf.unset(images.ARROW_BYTES) if had is None else spark.conf.set(images.ARROW_BYTES, had)
